@@ -39,11 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
+    """Let Arrow batches hold a few megabytes: whole long texts go both ways, and each core of an executor has batches on both sides."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def text_udf(make: Callable[[], Callable[[list], dict]], schema: str) -> Callable[[Column], Column]:
     """An Arrow-batched struct column computed from a text column.
 
     make() runs once per task and gives a function from a list of texts (None: null) to a dict of columns.
     """
+    small_batches(SparkSession.active())
 
     @F.pandas_udf(schema)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -65,14 +74,17 @@ def per_worker(key: tuple, build: Callable):
 
 
 class Memo(dict):
-    """A dict that computes missing values and empties itself when it holds too many, so memory stays bounded."""
+    """A dict that computes missing values. Of over `limit` values it keeps those asked for since, so memory stays bounded."""
 
     def __init__(self, fill: Callable, limit: int = 200_000):
-        self.fill, self.limit = fill, limit
+        self.fill, self.limit, self.older = fill, limit, {}
 
     def __missing__(self, key):
-        value = self.fill(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.fill(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
