@@ -165,8 +165,11 @@ def decode_ids(df: DataFrame, file: str, pattern: str, ids_col: str = "ids", int
     return df.withColumn(into, text_udf(make, "bytes binary")(F.col(ids_col))["bytes"])
 
 
-def bpe_digests(docs: DataFrame, file: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256. Encoding and decoding run one after the other on a batch, so ids never leave the worker."""
+def bpe_digests(docs: DataFrame, file: str, pattern: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for.
+
+    Encoding and decoding run one after the other on a batch, so ids leave the worker only if kept.
+    """
     worker_bpe = _text_bpe(docs.sparkSession, file, pattern)
 
     def make():
@@ -174,12 +177,14 @@ def bpe_digests(docs: DataFrame, file: str, pattern: str, text_col: str = "text"
 
         def run(texts: list) -> dict:
             ids = [bpe.encode(t) for t in texts]
-            return {"n": [len(x) >> 2 for x in ids], "ids": [hashlib.sha256(x).hexdigest() for x in ids], "decoded": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]}
+            out = {"n": [len(x) >> 2 for x in ids], "ids": [hashlib.sha256(x).hexdigest() for x in ids], "decoded": [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]}
+            return out | ({"raw": ids} if keep_ids else {})
 
         return run
 
-    r = text_udf(make, "n long, ids string, decoded string")(F.col(text_col))
-    return docs.select("doc_id", r.alias("r")).select("doc_id", F.col("r.n").alias("n_tokens"), F.col("r.ids").alias("ids_sha256"), F.col("r.decoded").alias("decoded_sha256"))
+    r = text_udf(make, "n long, ids string, decoded string" + ", raw binary" * keep_ids)(F.col(text_col))
+    columns = [F.col("r.n").alias("n_tokens"), F.col("r.ids").alias("ids_sha256"), F.col("r.decoded").alias("decoded_sha256")]
+    return docs.select("doc_id", r.alias("r")).select("doc_id", *columns, *([F.col("r.raw").alias("ids")] if keep_ids else []))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
