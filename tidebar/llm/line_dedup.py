@@ -7,7 +7,7 @@ take part. Keys found in at least `min_docs` documents lose all their lines exce
    into segments of 2^16 bits, sent as the offsets of set bits, and merged per segment: what two tasks saw once is seen twice.
 2. The twice-seen filter goes back to all tasks. Only keys in it are suspected; their 128-bit digests are shuffled, counted exactly (partly
    before the shuffle, so a key in a third of all documents costs one row per task), and get the id that keeps them.
-3. Each document gets the list of digests it loses, by its id, and drops those lines.
+3. Each document gets the numbers of the lines it loses, by its id and text hash, and drops those lines. Texts are split and joined by Spark itself.
 
 The filter has about 256 bits a document, at most 2^`most_log2_bits` (128 MB): its size is bounded, and a full filter only makes more keys suspected.
 
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 
 STRIP = " \t\n\x0b\x0c\r"
 SEGMENT = 16  # log2 of the bits of a filter's segment
@@ -38,8 +38,13 @@ def line_key(line: str, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass").lower()) if len(key) >= min_chars else None
 
 
-def keys_of(text: str | None, min_chars: int) -> set[bytes]:
-    return {k for line in (text or "").split("\n") if len(line) >= min_chars and (k := line_key(line, min_chars)) is not None}
+def keys_of(text: str | None, min_chars: int) -> dict[bytes, list[int]]:
+    """The numbers of the lines of each key in a text."""
+    out: dict[bytes, list[int]] = {}
+    for i, line in enumerate((text or "").split("\n")):
+        if len(line) >= min_chars and (k := line_key(line, min_chars)) is not None:
+            out.setdefault(k, []).append(i)
+    return out
 
 
 def _positions(digests: list[bytes], log2_bits: int) -> np.ndarray:
@@ -98,56 +103,47 @@ def twice_seen_filter(docs: DataFrame, text_col: str, min_chars: int, log2_bits:
 
 
 def suspects(docs: DataFrame, id_col: str, text_col: str, min_chars: int, log2_bits: int) -> DataFrame:
-    """(id, key) of the distinct keys of each document that the twice-seen filter holds."""
+    """(id, text_hash, key, lines) of the distinct keys of each document that the twice-seen filter holds."""
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen_filter(docs, text_col, min_chars, log2_bits))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
-            found = [list(keys_of(t, min_chars)) for t in b.column(1).to_pylist()]
+            found = [keys_of(t, min_chars) for t in b.column(2).to_pylist()]
             digests = [k for keys in found for k in keys]
             if not digests:
                 continue
             at = _positions(digests, log2_bits)
             kept = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-            owner = np.repeat(np.arange(len(found)), [len(k) for k in found])[kept]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), pa.array([digests[i] for i in kept.tolist()], pa.binary())], ["id", "key"])
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found])[kept])
+            lines = [x for keys in found for x in keys.values()]
+            mine = kept.tolist()
+            yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array([digests[i] for i in mine], pa.binary()), pa.array([lines[i] for i in mine], pa.list_(pa.int32()))], ["id", "text_hash", "key", "lines"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(test, "id long, key binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(test, "id long, text_hash long, key binary, lines array<int>")
 
 
-def dropped_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, most_log2_bits: int = 30) -> DataFrame:
-    """(id, keys): the digests of lines that the documents with this id lose."""
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, most_log2_bits: int = 30) -> DataFrame:
+    """(id, text_hash, lines): the numbers of the lines that documents with this id and text lose."""
+    small_batches(docs.sparkSession)
     log2_bits = int(np.clip(int(docs.count() * 256).bit_length(), 20, most_log2_bits))
     found = materialize(suspects(docs, id_col, text_col, min_chars, log2_bits), "line-suspects")
     repeated = found.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
     repeated = materialize(repeated, "line-repeats")
-    return found.join(repeated, "key").where(F.col("id") < F.col("keeper")).groupBy("id").agg(F.collect_list("key").alias("keys"))
-
-
-LINES = "n_lines long, n_dropped long, kept string"
+    lost = found.join(repeated, "key").where(F.col("id") < F.col("keeper"))
+    return lost.groupBy("id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, into: str = "lines") -> DataFrame:
-    """docs with a struct column `into` of LINES: the lines of each text before dropping, those dropped, and the text that is left."""
-
-    @F.pandas_udf(LINES)
-    def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, lost in batches:
-            out = []
-            for text, keys in zip(texts, lost, strict=True):
-                text = text or ""
-                if keys is None:
-                    out.append((text.count("\n") + 1, 0, text))
-                else:
-                    lines, gone = text.split("\n"), {bytes(k) for k in keys}
-                    kept = [x for x in lines if line_key(x, min_chars) not in gone]
-                    out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
-            yield pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
-
-    lost = dropped_keys(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
-    found = docs.join(lost, F.col(id_col).cast("long") == F.col("_lost_id"), "left")
-    return found.withColumn(into, apply(F.col(text_col), F.col("_lost_keys"))).drop("_lost_id", "_lost_keys")
+    """docs with a struct column `into`: n_lines of each text before dropping, n_dropped, and the text that is left as `kept`."""
+    lost = dropped_lines(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("_lost_id"), F.col("text_hash").alias("_lost_hash"), F.col("lines").alias("_lost"))
+    found = docs.join(lost, (F.col(id_col).cast("long") == F.col("_lost_id")) & (F.xxhash64(text_col) == F.col("_lost_hash")), "left")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("_lost"), i)), "\n")
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    result = F.struct(n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("_lost").isNull(), text).otherwise(kept).alias("kept"))
+    return found.withColumn(into, result).drop("_lost_id", "_lost_hash", "_lost")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
