@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_udf
+from .common import materialize, small_batches, table, text_udf
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
@@ -178,6 +178,7 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", into: str = "text") -> DataFrame:
     """pages with a string column `into`: the main text of each whole html."""
+    small_batches(pages.sparkSession)
     winners = materialize(winning_paths(pages, url_col, html_col), "host-paths")
 
     @F.pandas_udf("string")
