@@ -90,6 +90,13 @@ class CoverTree:
         self.center, self.radius = np.array(self.center), np.array(self.radius)
 
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "single"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"single": state["x"].astype(np.float32)}
+
+
 class Links:
     """Link counts and a forest of linked points over two blocks (or one)."""
 
@@ -201,7 +208,8 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     usable = rows.where(F.coalesce(finite & F.exists("v", lambda c: c != 0), F.lit(False)))
-    classes = materialize(usable.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n")), "vector-classes")
+    classes = usable.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    classes = materialize(classes.withColumn("h", F.xxhash64("v")), "vector-classes")  # h: classes of one id are told apart
     done = [block_work(classes.where(F.size("v") == size), size, threshold, block_rows, most_cells, sample_rows) for size in [r[0] for r in classes.select(F.size("v")).distinct().collect()]]
     if not done:
         return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -209,9 +217,9 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     for more in done[1:]:
         work = work.union(more)
     work = materialize(work, "block-links")
-    counts = work.groupBy("node").agg(F.sum("links").alias("links"))
-    owner = usable.join(classes, "v").select("id", "node", "n")
-    owner = materialize(owner.join(counts, "node", "left").select("id", "node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-owners")
+    counts = work.groupBy("node", "h").agg(F.sum("links").alias("links"))
+    owner = usable.join(classes, "v").select("id", "node", "h", "n")
+    owner = materialize(owner.join(counts, ["node", "h"], "left").select("id", "node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-owners")
     shared = owner.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
     edges = work.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(owner.join(shared, "id").select("a", F.col("node").alias("b")))
     found = components(edges)
@@ -221,7 +229,7 @@ def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
 
 
 def block_work(classes: DataFrame, size: int, threshold: float, block_rows: int, most_cells: int, sample_rows: int) -> DataFrame:
-    """(node, links, root) per class and pair of blocks in which it has links."""
+    """(node, h, links, root) per class and pair of blocks in which it has links."""
     spark = classes.sparkSession
     total = classes.count()
     sample = [r["v"] for r in classes.orderBy(F.xxhash64("node")).limit(sample_rows).select("v").collect()]
@@ -230,13 +238,13 @@ def block_work(classes: DataFrame, size: int, threshold: float, block_rows: int,
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _unit(b.column(2).to_pylist(), size)
+            x = _unit(b.column(3).to_pylist(), size)
             d = distances(x, shared.value)
             cell = d.argmin(1)
             data = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell]), pa.array(data, pa.binary())], ["node", "n", "cell", "far", "unit"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell]), pa.array(data, pa.binary())], ["node", "h", "n", "cell", "far", "unit"])
 
-    placed = materialize(classes.select("node", "n", "v").mapInArrow(assign, "node long, n long, cell int, far double, unit binary"), "cells")
+    placed = materialize(classes.select("node", "h", "n", "v").mapInArrow(assign, "node long, h long, n long, cell int, far double, unit binary"), "cells")
     stats = {r["cell"]: (r["rows"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius")).collect()}  # a row per cell
     blocks_in = {c: -(-rows // block_rows) for c, (rows, _) in stats.items()}
     reach, between = float(np.sqrt(2 - 2 * threshold)), distances(pivots, pivots)
@@ -247,28 +255,28 @@ def block_work(classes: DataFrame, size: int, threshold: float, block_rows: int,
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
         tree = CoverTree(np.frombuffer(b"".join(group["unit"]), "<f8").reshape(-1, size))
-        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "part": [group["part"].iloc[0]], "nodes": [group["node"].to_numpy("<i8").tobytes()], "ns": [group["n"].to_numpy("<i8").tobytes()], "tree": [pickle.dumps(tree)]})
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "part": [group["part"].iloc[0]], "nodes": [group["node"].to_numpy("<i8").tobytes()], "hs": [group["h"].to_numpy("<i8").tobytes()], "ns": [group["n"].to_numpy("<i8").tobytes()], "tree": [pickle.dumps(tree)]})
 
-    blocks = placed.withColumn("part", F.pmod(F.xxhash64("node"), parts[F.col("cell")]).cast("int")).groupBy("cell", "part").applyInPandas(pack, "cell int, part int, nodes binary, ns binary, tree binary")
+    blocks = placed.withColumn("part", F.pmod(F.xxhash64("node"), parts[F.col("cell")]).cast("int")).groupBy("cell", "part").applyInPandas(pack, "cell int, part int, nodes binary, hs binary, ns binary, tree binary")
     blocks = materialize(blocks, "blocks")
-    side = lambda s: blocks.select(F.col("cell").alias(f"cell_{s}"), F.col("part").alias(f"part_{s}"), F.col("nodes").alias(f"nodes_{s}"), F.col("ns").alias(f"ns_{s}"), F.col("tree").alias(f"tree_{s}"))
+    side = lambda s: blocks.select(F.col("cell").alias(f"cell_{s}"), F.col("part").alias(f"part_{s}"), F.col("nodes").alias(f"nodes_{s}"), F.col("hs").alias(f"hs_{s}"), F.col("ns").alias(f"ns_{s}"), F.col("tree").alias(f"tree_{s}"))
     both = numbered.join(side("a"), ["cell_a", "part_a"]).join(side("b"), ["cell_b", "part_b"])
-    dealt = both.repartition(max(1, len(pairs)), "pair").select("cell_a", "part_a", "cell_b", "part_b", "nodes_a", "ns_a", "tree_a", "nodes_b", "ns_b", "tree_b")
+    dealt = both.repartition(max(1, len(pairs)), "pair").select("cell_a", "part_a", "cell_b", "part_b", "nodes_a", "hs_a", "ns_a", "tree_a", "nodes_b", "hs_b", "ns_b", "tree_b")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
                 row = [c[k].as_py() for c in b.columns]
                 same = row[:2] == row[2:4]
-                (na, ca, ta), (nb, cb, tb) = [(np.frombuffer(n, "<i8"), np.frombuffer(c, "<i8"), pickle.loads(t)) for n, c, t in (row[4:7], row[7:10])]
+                (na, ha, ca, ta), (nb, hb, cb, tb) = [(*(np.frombuffer(x, "<i8") for x in part[:3]), pickle.loads(part[3])) for part in (row[4:8], row[8:12])]
                 count, root = block_links(ta, ca, None, None, threshold) if same else block_links(ta, ca, tb, cb, threshold)
-                nodes = na if same else np.concatenate([na, nb])
+                nodes, hs = (na, ha) if same else (np.concatenate([na, nb]), np.concatenate([ha, hb]))
                 least = np.full(len(nodes), np.iinfo(np.int64).max)
                 np.minimum.at(least, root, nodes)
                 has = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(count[has]), pa.array(least[root[has]])], ["node", "links", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(hs[has]), pa.array(count[has]), pa.array(least[root[has]])], ["node", "h", "links", "root"])
 
-    return dealt.mapInArrow(link, "node long, links long, root long")
+    return dealt.mapInArrow(link, "node long, h long, links long, root long")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
