@@ -36,7 +36,14 @@ class PrefixBpe:
         self.longest = max(map(len, ranks))
         #: The two tokens that merge to a token; (itself, itself) for a single byte. Tokens that merging never reaches are left out.
         self.split = split or self._splits()
-        self.fits = Memo(self._fits, 1_000_000)
+        self.fits = Memo(self._fits, 300_000)
+        import ahocorasick
+
+        self.suffixes = ahocorasick.Automaton()
+        for token, rank in ranks.items():
+            if rank in self.split:
+                self.suffixes.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.suffixes.make_automaton()
 
     def _splits(self) -> dict[int, tuple[int, int]]:
         out = {}
@@ -73,15 +80,18 @@ class PrefixBpe:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Fill `last` (tokens of prefixes, last[0] unused) up to the whole piece."""
-        ranks, split, fits = self.ranks, self.split, self.fits
-        for i in range(len(last), len(piece) + 1):
-            for j in range(max(0, i - self.longest), i):
-                token = ranks.get(piece[j:i])
-                if token in split and (j == 0 or fits[last[j], token]):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError(f"byte {piece[i - 1]} has no token")
+        done, fits = len(last), self.fits
+        skip = max(0, done - self.longest)
+        last += [-1] * (len(piece) + 1 - done)
+        # tokens that end at each byte, the longest first
+        for end, (token, length) in self.suffixes.iter(piece[skip:].decode("latin-1")):
+            i = end + skip + 1
+            if i >= done and last[i] < 0:
+                j = i - length
+                if j == 0 or fits[last[j], token]:
+                    last[i] = token
+        if -1 in last[1:]:
+            raise ValueError("a byte has no token")
         return last
 
     def tokens(self, last: list[int]) -> list[int]:
@@ -116,8 +126,8 @@ class TextBpe:
 
         self.bpe = PrefixBpe(load_ranks(file), split)
         self.find = regex.compile(pattern).findall
-        self.pieces = Memo(lambda p: np.array(self.bpe.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes())
-        self.spaced = Memo(lambda c: self.chunks_of(" " + c))
+        self.pieces = Memo(lambda p: np.array(self.bpe.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), 300_000)
+        self.spaced = Memo(lambda c: self.chunks_of(" " + c), 400_000)
         self.size = max(self.bpe.bytes_of) + 1
         self.table = [self.bpe.bytes_of.get(i, b"") for i in range(self.size)]
 
