@@ -14,6 +14,7 @@ with score 1 / languages. Ties go to the first language in order. Without traini
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, table, text_udf
+from .common import crc_remainder, per_worker, small_batches, table, text_udf
 
 ORDERS = (1, 2, 3)
 
 
 def grams_of(word: str) -> list[str]:
     w = f"\x02{word}\x03"
-    return [w[i : i + n] for n in ORDERS for i in range(len(w) - n + 1)]
+    return [*word, *(w[i : i + n] for n in ORDERS[1:] for i in range(len(w) - n + 1))]
 
 
 def codewords(languages: int) -> np.ndarray:
@@ -50,50 +51,108 @@ def codewords(languages: int) -> np.ndarray:
     return best
 
 
+_U = np.uint64
+
+
+def _gram_hashes(line: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    r"""For each order, (hash of each gram, position where it starts) over words written as \x02word\x03; no gram spans two words."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
+    out = []
+    for n in ORDERS:
+        size = len(c) - n + 1
+        if size < 1:
+            continue
+        h, whole = np.full(size, n, _U), np.ones(size, bool)
+        for k in range(n):
+            part = c[k : k + size]
+            h = (h * _U(0x9E3779B97F4A7C15)) ^ (part * _U(0xBF58476D1CE4E5B9))
+            h ^= h >> _U(29)
+            if k < n - 1:
+                whole &= part != 3
+        if n == 1:
+            whole = c > 3  # a lone mark is no gram
+        at = np.flatnonzero(whole)
+        out.append((h[at], at))
+    return out
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     code: np.ndarray
-    grams: dict[str, int]
+    grams: list[str]
     weights: np.ndarray  # grams x bits
 
-    def predictor(self, limit: int = 200_000):
-        code, known, weights, sharp = self.code, self.grams, self.weights, 12.0
-        index: dict[str, int] = {}
-        rows: list[np.ndarray] = []
-
-        def row(word: str) -> int:
-            at = [known[g] for g in grams_of(word) if g in known]
-            rows.append(np.append(weights[at].sum(0), len(at)))
-            index[word] = len(rows) - 1
-            return len(rows) - 1
-
-        def predict(text: str | None) -> tuple[str, float, bool]:
-            if not text or not self.languages or not any(c.isalpha() for c in text):
-                return "und", 0.0, False
-            if len(rows) > limit:
-                index.clear()
-                rows.clear()
-            words = Counter(text.lower().split())
-            at = [index[w] if w in index else row(w) for w in words]
-            total = np.array(list(words.values()), float) @ np.array([rows[i] for i in at])
-            bits = total[:-1] / max(total[-1], 1.0)
-            loss = np.exp(-code * np.clip(bits, -20, 20)).sum(1)
-            p = np.exp(sharp * (loss.min() - loss))
-            p /= p.sum()
-            best = int(loss.argmin())
-            second = np.partition(p, -2)[-2] if len(p) > 1 else 0.0
-            return self.languages[best], float(p[best]), bool(p[best] - second < 0.2)
-
-        return predict
+
+class Predictor:
+    """Applies a model to whole texts. Words are looked up in a bounded memo of (sum of weights, number of known grams)."""
+
+    SHARPNESS, CLOSE = 12.0, 0.2
+
+    def __init__(self, model: LanguageModel, limit: int = 300_000):
+        self.model, self.limit = model, limit
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((1024, model.code.shape[1] + 1))
+        # open-addressed by the low bits of the hash; the rare grams that share a slot are told apart by a second slot
+        self.slots = 1 << 20
+        self.key, self.row = np.zeros((2, self.slots), _U), np.zeros((2, self.slots), np.int64)
+        for i, g in enumerate(model.grams):
+            h = next(h[0] for h, at in _gram_hashes(g)[len(g) - 1 :])
+            s = int(h) & (self.slots - 1)
+            t = 0 if not self.key[0, s] else 1
+            self.key[t, s], self.row[t, s] = h, i
+
+    def _learn(self, words: list[str]) -> None:
+        line = "".join([f"\x02{w}\x03" for w in words])
+        starts = np.cumsum([0] + [len(w) + 2 for w in words[:-1]])
+        base, bits = len(self.index), self.model.code.shape[1]
+        while len(self.rows) < base + len(words):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        total = np.zeros((len(words), bits + 1))
+        for hashes, at in _gram_hashes(line):
+            slot = (hashes & _U(self.slots - 1)).astype(np.int64)
+            owner = np.searchsorted(starts, at, side="right") - 1
+            for t in (0, 1):
+                hit = np.flatnonzero(self.key[t, slot] == hashes)
+                if len(hit):
+                    w, mine = self.model.weights[self.row[t, slot[hit]]], owner[hit]
+                    for k in range(bits):
+                        total[:, k] += np.bincount(mine, w[:, k], len(words))
+                    total[:, bits] += np.bincount(mine, minlength=len(words))
+        self.rows[base : base + len(words)] = total
+        self.index.update(zip(words, range(base, base + len(words)), strict=True))
+
+    def predict(self, texts: list[str | None], group: int = 200) -> Iterator[tuple[str, float, bool]]:
+        for i in range(0, len(texts), group):
+            some = texts[i : i + group]
+            counts = [Counter(t.lower().split()) if t and self.model.languages and any(map(str.isalpha, t)) else None for t in some]
+            if len(self.index) > self.limit:
+                self.index.clear()
+            new = set().union(*[c for c in counts if c is not None]).difference(self.index)
+            if new:
+                self._learn(list(new))
+            yield from map(self._decode, counts)
+
+    def _decode(self, words: Counter | None) -> tuple[str, float, bool]:
+        if words is None:
+            return "und", 0.0, False
+        total = np.array(list(words.values()), float) @ self.rows[list(map(self.index.__getitem__, words))]
+        bits = total[:-1] / max(total[-1], 1.0)
+        loss = np.exp(-self.model.code * np.clip(bits, -20, 20)).sum(1)
+        p = np.exp(self.SHARPNESS * (loss.min() - loss))
+        p /= p.sum()
+        best = int(loss.argmin())
+        second = np.partition(p, -2)[-2] if len(p) > 1 else 0.0
+        return self.model.languages[best], float(p[best]), bool(p[best] - second < self.CLOSE)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, max_grams: int = 60_000) -> LanguageModel:
     """Fit on rows with a language; about per_language of each are counted."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
-        return LanguageModel([], np.zeros((0, 1)), {}, np.zeros((0, 1)))
+        return LanguageModel([], np.zeros((0, 1)), [], np.zeros((0, 1)))
     languages = sorted(sizes)
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(per_language / sizes[name]))])
     drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
@@ -127,18 +186,19 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         one = code[:, b] > 0
         if one.any() and not one.all():
             weights[:, b] = np.log(share_of[:, one].mean(1)) - np.log(share_of[:, ~one].mean(1))
-    return LanguageModel(languages, code, {r["gram"]: i for i, r in enumerate(top)}, weights)
+    return LanguageModel(languages, code, [r["gram"] for r in top], weights)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Column:
     """A struct column (lang, score, ambiguous) for text_col of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams x bits
+    key = hashlib.md5(model.weights.tobytes() + repr((model.languages, model.grams)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def make():
-        predict = shared.value.predictor()
+        predictor = per_worker(("languages", key), lambda: Predictor(shared.value))
 
         def run(texts: list) -> dict:
-            found = [predict(t) for t in texts]
+            found = list(predictor.predict(texts))
             return {"lang": [x[0] for x in found], "score": [x[1] for x in found], "ambiguous": [x[2] for x in found]}
 
         return run
