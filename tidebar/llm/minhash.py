@@ -6,10 +6,11 @@ alone, fall on signature slots, and a slot keeps the shingle that arrives first.
 first arrival (early termination). Two texts agree on a slot with the probability Jaccard similarity of their weighted shingles.
 
 Texts with the same words are one class from the start (an aggregate, whatever its size). Class representatives that share a band of slots are
-candidates, and a pair is linked if the exact Jaccard similarity of the two shingle sets is 0.8 or more. Candidates are tried in two rounds, so
-that a large group is never expanded into all its pairs: first each text against the one band partner it shares most bands with among
-the partners with the least id; then, in each band bucket that still spans several components, the texts outside the largest component
-against all others of another component. Groups are the connected components of all links.
+candidates, and a pair is linked if the exact Jaccard similarity of the two shingle sets is 0.8 or more. Candidates are tried in rounds, so that a
+large group is not expanded into all its pairs: first each text against one band partner with the least id in a band. Then, in bands
+that still span several components, each text outside the band's largest component meets two texts of that component, the one with the
+most links so far and one drawn by lot. After `rounds` of these, texts that are still outside meet, block by block, every text in the bands whose
+largest component is the same, so no link between texts that share a band is lost. Groups are the connected components of all links.
 
 Results: texts without words (null, empty, marks only) link with nothing. Rows that share an id belong to one group. Rows without an id are kept
 and have no group. The kept row of a group is that with the least id. Ties between partners go to the least id.
@@ -24,12 +25,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 from .components import components
 from .decontaminate import _NORMAL
 
@@ -213,8 +215,49 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def blocks(rows: DataFrame, sets: DataFrame, most_shingles: int = 150_000) -> DataFrame:
+    """(component, part, ids, ends, values): the shingle sets of rows (component, node, n), packed in blocks of about most_shingles."""
+    count = rows.groupBy("component").agg(F.ceil(F.sum("n") / most_shingles).alias("parts"))
+    dealt = rows.join(count, "component").join(sets.withColumnRenamed("id", "node"), "node").select("component", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), "node", "set")
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        ends = np.cumsum([len(x) // 8 for x in group["set"]])
+        return pd.DataFrame({"component": [group["component"].iloc[0]], "part": [group["part"].iloc[0]], "ids": [group["node"].to_numpy("<i8").tobytes()], "ends": [ends.astype("<i8").tobytes()], "values": [b"".join(group["set"])]})
+
+    return materialize(dealt.groupBy("component", "part").applyInPandas(pack, "component long, part int, ids binary, ends binary, values binary"), "set-blocks")
+
+
+def block_links(queries: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between any query and any text of a component; two blocks meet in one row, so pairs are never rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids_q, ends_q, values_q, ids_t, ends_t, values_t = [np.frombuffer(c[k].as_buffer(), t) for c, t in zip(b.columns, ("<i8", "<i8", _U) * 2, strict=True)]
+                sizes = np.diff(ends_t, prepend=0)
+                order = np.argsort(values_t, kind="stable")
+                ordered, owner = values_t[order], np.repeat(np.arange(len(ids_t)), sizes)[order]
+                found_a, found_b = [], []
+                for node, i, j in zip(ids_q.tolist(), [0, *ends_q[:-1].tolist()], ends_q.tolist(), strict=True):
+                    low, high = np.searchsorted(ordered, values_q[i:j], "left"), np.searchsorted(ordered, values_q[i:j], "right")
+                    times = high - low
+                    at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+                    shared = np.bincount(owner[at], minlength=len(ids_t))
+                    near = ids_t[(shared >= threshold * (j - i + sizes - shared)) & (shared > 0)]
+                    found_b += near[near != node].tolist()
+                    found_a += [node] * int((near != node).sum())
+                if found_a:
+                    yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+
+    side = lambda df, s: df.select("component", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "ends", "values")])
+    both = side(queries, "q").join(side(texts, "t"), "component").drop("component")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, rounds: int = 2) -> DataFrame:
     """One row per row of docs that has an id: (id, class_id, kept). class_id is the least id of its group."""
+    small_batches(docs.sparkSession)
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
     classes = materialize(signed.groupBy("copy").agg(F.min("id").alias("node"), F.min("n").alias("n"), F.min("bands").alias("bands")), "classes")
     buckets = classes.select("node", "n", F.explode("bands").alias("band"))
@@ -228,25 +271,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = star.groupBy("node").agg(F.max_by("center", F.struct("shared", -F.col("center"))).alias("center"))
     first = materialize(first.select(F.col("center").alias("a"), F.col("node").alias("b")), "first-pairs")
     sets = materialize(shingle_sets(docs, members.select(F.col("node").alias("id")).distinct(), id_col, text_col), "shingle-sets")
-    links = materialize(verified(first, sets, threshold), "links")
-    found = components(links)
-
-    placed = members.join(found, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("component"))
-    placed = materialize(placed, "placed")
-    counts = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    largest = counts.groupBy("band").agg(F.max_by("component", F.struct("size", -F.col("component"))).alias("largest"), F.count("*").alias("several")).where("several > 1")
-    largest = materialize(largest.select("band", "largest"), "split-bands")
-    open_bands = materialize(placed.join(largest, "band"), "open-bands")
-    minor = open_bands.where("component <> largest").select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    other = open_bands.select("band", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    second = minor.join(other, "band").where((F.col("cx") != F.col("cy")) & similar_size(F.col("nx"), F.col("ny")))
-    second = second.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = materialize(second.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "second-pairs")
-    more = verified(second, sets, threshold)
+    links = materialize(verified(first, sets, threshold), "links").select("a", "b")
+    for turn in range(rounds + 1):
+        found = components(links)
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+        placed = members.join(found, "node", "left").join(ends, "node", "left")
+        placed = materialize(placed.select("band", "node", "n", F.coalesce("component", "node").alias("component"), F.coalesce("degree", F.lit(0)).alias("degree")), "placed")
+        parts = placed.groupBy("band", "component").agg(
+            F.count("*").alias("size"), F.max(F.struct("degree", -F.col("node"), "node", "n")).alias("busy"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node"), F.col("n"))).alias("drawn")
+        )
+        split = parts.groupBy("band").agg(F.max(F.struct("size", -F.col("component"), "component", "busy", "drawn")).alias("main"), F.count("*").alias("several")).where("several > 1")
+        split = materialize(split.select("band", "main"), "split-bands")
+        minor = placed.join(split, (placed["band"] == split["band"]) & (placed["component"] != split["main.component"])).select(placed["band"], "node", "n", F.col("main.component").alias("main"), "main.busy", "main.drawn")
+        minor = materialize(minor, "minor")
+        if not minor.limit(1).count():
+            break
+        if turn < rounds:  # one partner of many links and one drawn by lot, those that share the most bands
+            partner = [F.struct(F.lit(k).alias("kind"), F.col(f"{k}.node").alias("partner"), F.col(f"{k}.n").alias("n_partner")) for k in ("busy", "drawn")]
+            tries = minor.select("node", "n", F.explode(F.array(*partner)).alias("p")).select("node", "n", "p.*").where(similar_size(F.col("n"), F.col("n_partner")))
+            tries = tries.groupBy("node", "kind", "partner").agg(F.count("*").alias("shared"))
+            pairs = tries.groupBy("node", "kind").agg(F.max_by("partner", F.struct("shared", -F.col("partner"))).alias("partner"))
+            pairs = materialize(pairs.select(F.least("node", "partner").alias("a"), F.greatest("node", "partner").alias("b")).distinct(), "pairs")
+            more = verified(pairs, sets, threshold).select("a", "b")
+        else:  # what is left outside meets every text of the bands with the same largest component
+            queries = materialize(minor.select(F.col("main").alias("component"), "node", "n").distinct(), "left-over")
+            texts = placed.join(split, "band").select(F.col("main.component").alias("component"), "node", "n").distinct()
+            more = block_links(blocks(queries, sets), blocks(texts, sets), threshold)
+        links = links.union(materialize(more, "links"))
     rows = materialize(signed.select("id", "copy").join(classes.select("copy", "node"), "copy").select("id", "node"), "class-of-row")
     shared_ids = rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
     same_id = rows.join(shared_ids, "id").select("a", F.col("node").alias("b"))  # texts of one id stay together
-    found = components(materialize(links.select("a", "b").union(more.select("a", "b")).union(same_id), "all-links"))
+    found = components(materialize(links.union(same_id), "all-links"))
     per_id = rows.join(found, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
     per_id = materialize(per_id, "class-of-id")  # texts without words have no row here
     ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id is not null")
