@@ -10,7 +10,7 @@ T = "strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime"
 
 
 def r(x: str, name: str | None = None, places: int = 6) -> str:
-    return f"round(({x})::DOUBLE, {places}) + 0.0::DOUBLE AS {name or x}"
+    return f"round(({x})::DOUBLE + 1e-9, {places}) + 0.0::DOUBLE AS {name or x}"
 
 
 TICKS = """ticks AS (SELECT 'C' || (user_id % 4)::VARCHAR AS contract, ts, event_id, floor(value * 10) / 10 AS price, floor(value) AS level, k AS qty, date_trunc('hour', ts) AS datetime,
@@ -59,7 +59,7 @@ feats AS (SELECT *, pct AS close_to_prev_close_return, open / nullif(pc, 0) - 1
   delta_strength * close_location_value AS flow_at_bar_extreme, CASE WHEN dir * dd < 0 THEN abs(delta_strength) * dd ELSE 0 END AS absorption_score, abs(delta_strength) * abs(close_location_value) * CASE WHEN volume_zscore_20 IS NOT NULL THEN greatest(volume_zscore_20, 0) END AS exhaustion_score,
   sign(trend_return_12) * delta_strength AS trend_delta_confirm, poc_distance_zscore_20 * close_location_value AS poc_rejection_score, volume_zscore_20 * delta_strength AS volume_delta_confirm, open_interest_zscore_20 * delta_strength AS oi_delta_confirm,
   delta_strength / nullif(volatility_20, 0) AS volatility_adjusted_flow FROM f2 {W}),
-features AS (SELECT *, CASE WHEN rng = 0 THEN NULL ELSE value_acceptance_ratio_0 END AS value_acceptance_ratio FROM feats)"""
+features AS (SELECT *, value_acceptance_ratio_0 AS value_acceptance_ratio FROM feats)"""
 LABEL_COLUMNS = f"""{', '.join(f'lead(close, {h}) OVER w / nullif(close, 0) - 1 AS future_return_{h}' for h in (1, 3, 5, 10))},
   CASE WHEN count(high) OVER f10 = 10 THEN max(high) OVER f10 END / nullif(close, 0) - 1 AS mfe_10_long, CASE WHEN count(low) OVER f10 = 10 THEN min(low) OVER f10 END / nullif(close, 0) - 1 AS mae_10_long,
   lead(open) OVER w AS entry_open_next, lead(close, 5) OVER w AS exit_close_after_5, lead(close, 5) OVER w / nullif(lead(open) OVER w, 0) - 1 AS trade_return_5_gross,
@@ -226,7 +226,7 @@ SWEEP = f"{PULLBACK}, {SPLIT}, {_case_rows()}, {barriers('long', SWEEP_CAND)}"
 CASES = f"""{SWEEP}, {metrics_of("(SELECT * FROM priced WHERE split = 'train')", 'case_id')},
 summary AS (SELECT c.case_id, time_i::BIGINT AS time_i, stop_i::BIGINT AS stop_i, take_i::BIGINT AS take_i, time_barrier_bars::BIGINT AS time_barrier_bars, stop_atr_multiple::DOUBLE AS stop_atr_multiple, take_profit_multiple::DOUBLE AS take_profit_multiple, kline_mode, space_filter_on,
   coalesce(trade_count, 0) AS trade_count, win_rate, avg_net_return FROM cases c LEFT JOIN metrics m ON c.case_id = m.case_id)"""
-MARGINAL = "count(*) AS cases, sum(trade_count)::BIGINT AS trade_count, round(avg(avg_net_return), 6) + 0.0 AS mean_net_return, round(avg(win_rate), 6) + 0.0 AS mean_win_rate, round(avg((avg_net_return > 0)::INT), 6) + 0.0 AS positive_share"
+MARGINAL = "count(*) AS cases, sum(trade_count)::BIGINT AS trade_count, round(avg(avg_net_return) + 1e-9, 6) + 0.0 AS mean_net_return, round(avg(win_rate) + 1e-9, 6) + 0.0 AS mean_win_rate, round(avg((avg_net_return > 0)::INT) + 1e-9, 6) + 0.0 AS positive_share"
 
 
 def finding(category: str, checks: list[tuple[str, str, str]], source: str) -> str:
@@ -262,7 +262,7 @@ SELECT h.contract, strftime(h.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('op
   LEFT JOIN ladder b ON b.contract = l.contract AND b.datetime = l.datetime AND b.level = l.level + 1),
 sides AS (SELECT contract, datetime, level, 'buy' AS side FROM near WHERE CASE WHEN below > 0 THEN buy >= below ELSE buy >= 1 END UNION ALL SELECT contract, datetime, level, 'sell' FROM near WHERE CASE WHEN above > 0 THEN sell >= above ELSE sell >= 1 END),
 islands AS (SELECT *, level - row_number() OVER (PARTITION BY contract, datetime, side ORDER BY level) AS g FROM sides)""",
-        f"SELECT contract, {T}, side, round(min(level), 6) AS low_level, round(max(level), 6) AS high_level, count(*) AS levels FROM islands GROUP BY contract, islands.datetime, side, g HAVING count(*) >= 2",
+        f"SELECT contract, {T}, side, round(min(level) + 1e-9, 6) AS low_level, round(max(level) + 1e-9, 6) AS high_level, count(*) AS levels FROM islands GROUP BY contract, islands.datetime, side, g HAVING count(*) >= 2",
     ),
     "tick_direction_class": shown(
         f"""{TICKS}, prev AS (SELECT *, level - 1 AS bid, level + 1 AS ask, lag(level - 1) OVER (PARTITION BY contract ORDER BY ts, event_id) AS pb, lag(level + 1) OVER (PARTITION BY contract ORDER BY ts, event_id) AS pa FROM ticks),
@@ -306,17 +306,17 @@ types(interest, way, tick_type, s) AS (VALUES ('OPEN', 'UP', 'OPENLONG', 1), ('O
     "zscore_apply": shown(f"{FEATURES}, {SPLIT}, {train_long('features', SCORE_NAMES)}, {PARAMS}, {ZS}", f"SELECT contract, {T}, feature, {r('clipped')}, {r('z')} FROM zs"),
     "signal_score": shown(SCORE, f"SELECT contract, {T}, {r('signal_score')} FROM scored"),
     "risk_filter": shown(SCORE, f"SELECT {NAMED} AS split, count(*) AS row_count, count(*) FILTER (risk_pass) AS passed FROM risked, split GROUP BY 1"),
-    "score_thresholds": shown(SCORE, "SELECT round(quantile_cont(signal_score, 0.85), 6) AS long_threshold, round(quantile_cont(signal_score, 0.15), 6) AS short_threshold, round(any_value(max_range), 6) AS max_range, round(any_value(max_poc_shift), 6) AS max_poc_shift FROM risked, split, limits WHERE datetime <= train_end AND risk_pass"),
+    "score_thresholds": shown(SCORE, "SELECT round(quantile_cont(signal_score, 0.85) + 1e-9, 6) AS long_threshold, round(quantile_cont(signal_score, 0.15) + 1e-9, 6) AS short_threshold, round(any_value(max_range) + 1e-9, 6) AS max_range, round(any_value(max_poc_shift) + 1e-9, 6) AS max_poc_shift FROM risked, split, limits WHERE datetime <= train_end AND risk_pass"),
     "trades_fixed_hold": shown(TRADES, TRADE_ROWS),
     "trades_stage1": shown(f"{SCORE}, {fixed(0.8, 0.2, 'signal_score IS NOT NULL', True, True)}", TRADE_ROWS),
     "strategy_metrics": shown(f"{TRADES}, {WITH_ALL}, {metrics_of('alls', 'split')}", f"SELECT split, trade_count, long_count, short_count, {', '.join(r(c) for c in ('win_rate', 'avg_gross_return', 'avg_net_return', 'median_net_return', 'sum_net_return', 'sharpe', 'max_drawdown'))} FROM metrics"),
-    "equity_curve": shown(TRADES, f"SELECT split, contract, {_TIME('signal_time')}, {_TIME('exit_time')}, round(sum(net_return) OVER (PARTITION BY split ORDER BY priced.exit_time, contract, priced.signal_time ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS equity FROM priced"),
+    "equity_curve": shown(TRADES, f"SELECT split, contract, {_TIME('signal_time')}, {_TIME('exit_time')}, round(sum(net_return) OVER (PARTITION BY split ORDER BY priced.exit_time, contract, priced.signal_time ROWS UNBOUNDED PRECEDING) + 1e-9, 6) + 0.0 AS equity FROM priced"),
     "overlap_check": shown(TRADES, "SELECT contract, count(*) AS trade_count, count(*) FILTER (nxt < exit_time) AS overlap_count FROM (SELECT *, lead(entry_time) OVER (PARTITION BY contract ORDER BY signal_time) AS nxt FROM priced) GROUP BY contract"),
     "cost_sensitivity": shown(
         f"{TRADES}, {WITH_ALL}, costed AS (SELECT a.* REPLACE (gross_return - c / entry_price AS net_return), c AS cost_ticks FROM alls a, (VALUES (1.0::DOUBLE), (2.0), (3.0), (4.0)) v(c)), {metrics_of('costed', 'cost_ticks, split')}",
         f"SELECT {r('cost_ticks')}, split, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('max_drawdown')} FROM metrics",
     ),
-    "periodic_trades": shown(TRADES, "SELECT split, strftime(exit_time, '%Y-%m-%d') AS month, count(*) AS trade_count, round(avg((net_return > 0)::INT), 6) AS win_rate, round(avg(net_return), 6) + 0.0 AS avg_net_return, round(sum(net_return), 6) + 0.0 AS sum_net_return FROM priced GROUP BY ALL"),
+    "periodic_trades": shown(TRADES, "SELECT split, strftime(exit_time, '%Y-%m-%d') AS month, count(*) AS trade_count, round(avg((net_return > 0)::INT) + 1e-9, 6) AS win_rate, round(avg(net_return) + 1e-9, 6) + 0.0 AS avg_net_return, round(sum(net_return) + 1e-9, 6) + 0.0 AS sum_net_return FROM priced GROUP BY ALL"),
     "sample_confidence": shown(
         f"{TRADES}, {WITH_ALL}, {metrics_of('alls', 'split')}, se AS (SELECT *, sqrt(win_rate * (1 - win_rate) / trade_count) AS e FROM metrics)",
         f"SELECT split, trade_count, {r('win_rate')}, {r('e', 'win_rate_se')}, {r('greatest(0, win_rate - 1.96 * e)', 'win_rate_low')}, {r('least(1, win_rate + 1.96 * e)', 'win_rate_high')}, CASE WHEN trade_count < 100 THEN 'insufficient' WHEN trade_count < 300 THEN 'low_confidence' ELSE 'sufficient' END AS sample_status FROM se",
@@ -331,7 +331,7 @@ types(interest, way, tick_type, s) AS (VALUES ('OPEN', 'UP', 'OPENLONG', 1), ('O
 counted AS (SELECT split, count(*) AS row_count, count(*) FILTER (trade_ready) AS ready_count, [count(*) FILTER (trade_ready AND trend_filter_pass), count(*) FILTER (trade_ready AND trend_filter_pass AND pullback_structure_pass), count(*) FILTER (trade_ready AND trend_filter_pass AND pullback_structure_pass AND kline_turn_pass),
   count(*) FILTER (trade_ready AND trend_filter_pass AND pullback_structure_pass AND kline_turn_pass AND flow_confirm_pass), count(*) FILTER (trade_ready AND trend_filter_pass AND pullback_structure_pass AND kline_turn_pass AND flow_confirm_pass AND space_filter_pass)] AS c FROM both_of GROUP BY split),
 names(o, combo_name) AS (VALUES (1, 'trend_only'), (2, 'trend_pullback'), (3, 'trend_pullback_kline'), (4, 'trend_pullback_kline_flow'), (5, 'trend_pullback_full_space'))""",
-        "SELECT o::BIGINT AS combo_order, combo_name, split, row_count, ready_count, c[o] AS passed_count, CASE WHEN o = 1 THEN ready_count ELSE c[o - 1] END AS previous_count, round(c[o] / nullif(CASE WHEN o = 1 THEN ready_count ELSE c[o - 1] END, 0)::DOUBLE, 6) AS pass_rate, round(c[o] / nullif(ready_count, 0)::DOUBLE, 6) AS ready_rate FROM counted, names",
+        "SELECT o::BIGINT AS combo_order, combo_name, split, row_count, ready_count, c[o] AS passed_count, CASE WHEN o = 1 THEN ready_count ELSE c[o - 1] END AS previous_count, round(c[o] / nullif(CASE WHEN o = 1 THEN ready_count ELSE c[o - 1] END, 0)::DOUBLE + 1e-9, 6) AS pass_rate, round(c[o] / nullif(ready_count, 0)::DOUBLE + 1e-9, 6) AS ready_rate FROM counted, names",
     ),
     "trades_triple_barrier": shown(BARRIER, BARRIER_ROWS),
     "trades_triple_barrier_short": shown(BARRIER_SHORT, BARRIER_ROWS),
@@ -346,7 +346,7 @@ names(o, combo_name) AS (VALUES (1, 'trend_only'), (2, 'trend_pullback'), (3, 't
         "agg AS (SELECT case_id, count(*) AS neighbours, avg(nn) AS m, coalesce(stddev_samp(nn), 0) AS sd, avg((nn > 0)::INT) AS pos, sum(nt) AS t FROM near GROUP BY case_id)",
         f"SELECT s.* EXCLUDE (win_rate, avg_net_return, stop_atr_multiple, take_profit_multiple), {r('stop_atr_multiple')}, {r('take_profit_multiple')}, {r('win_rate')}, {r('avg_net_return')}, neighbours, {r('m', 'neighbour_mean')}, {r('sd', 'neighbour_std')}, {r('m * pos * ln(1 + greatest(t, 1)) / (sd + 0.1 * abs(m) + 1e-12)', 'plateau_score')} FROM summary s JOIN agg USING (case_id)",
     ),
-    "kline_ablation": shown(CASES, f"SELECT case_id, kline_mode, {r('avg_net_return')}, round(avg_net_return - max(CASE WHEN kline_mode = 'none' THEN summary.avg_net_return END) OVER (PARTITION BY time_barrier_bars, stop_atr_multiple, take_profit_multiple, space_filter_on), 6) + 0.0 AS avg_net_return_vs_baseline FROM summary"),
+    "kline_ablation": shown(CASES, f"SELECT case_id, kline_mode, {r('avg_net_return')}, round(avg_net_return - max(CASE WHEN kline_mode = 'none' THEN summary.avg_net_return END) OVER (PARTITION BY time_barrier_bars, stop_atr_multiple, take_profit_multiple, space_filter_on) + 1e-9, 6) + 0.0 AS avg_net_return_vs_baseline FROM summary"),
     "marginal_means": shown(CASES, f"SELECT time_barrier_bars, {MARGINAL}, NULL::DOUBLE AS stop_atr_multiple FROM summary GROUP BY time_barrier_bars UNION ALL SELECT NULL, {MARGINAL}, round(stop_atr_multiple, 6) FROM summary GROUP BY stop_atr_multiple"),
     "audit_integrity": shown(BARS, INTEGRITY),
     "audit_label_alignment": shown(LABELS_ONLY, " UNION ALL ".join([LABEL_DIFF("future_return_1"), LABEL_DIFF("future_return_5", "CASE WHEN hour(datetime) = 7 THEN 0.01 ELSE 0 END"), LABEL_DIFF("mfe_10_long")])),

@@ -25,11 +25,12 @@ def query(f):
 
 
 def shown(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded (a billionth is added first, so that halves that a last bit may miss go up), times as text, whole numbers as long."""
     out = []
     for field in df.schema:
         c, kind = F.col(f"`{field.name}`"), field.dataType.simpleString()
         if kind == "double":
-            c = F.round(c, places)
+            c = F.round(c + 1e-9, places)
         elif kind.startswith("timestamp"):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif kind in ("int", "smallint", "tinyint"):
