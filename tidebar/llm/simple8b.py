@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, new_path, per_worker, table
+from .common import Memo, new_path, per_worker, small_batches, table
 
 #: Fixed values of the code: values per word and bits per value, by selector.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -39,11 +39,12 @@ def pack(values: np.ndarray) -> np.ndarray:
     for s in range(len(COUNTS) - 2, -1, -1):
         count, wide = COUNTS[s], v >> np.uint64(BITS[s]) != 0
         if n < count:
-            continue
-        if wide.all():
-            break  # narrower codes cannot fit anywhere either
-        seen = np.concatenate([[0], np.cumsum(wide, dtype=np.int64)])
+            break
+        seen = np.zeros(n + 1, np.int32)
+        np.cumsum(wide, dtype=np.int32, out=seen[1:])
         fits = seen[count:] == seen[:-count]
+        if not fits.any():
+            break  # narrower codes hold more values, so they fit nowhere either
         best[: n - count + 1][fits] = s
     best[v >> np.uint64(60) != 0] = ESCAPE
     # long runs of one value of at most 32 bits
@@ -128,20 +129,69 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file, through a memo of words.
+    """Ids of whole texts by a tokenizers file, through memos of words and of their letters.
 
-    Valid for tokenizers whose normaliser and splitter never look across a space or line feed, such as the word-end BPE file used here.
+    Valid for tokenizers whose normaliser lower-cases and never looks across a space or line feed, whose splitter parts letters from marks, and whose
+    last token of each piece ends in "</w>", such as the word-end BPE file used here. The library encodes the new letter runs of a batch
+    together, joined by spaces, and the word ends part them again; all other new words it encodes one by one.
     """
 
-    def __init__(self, file: str):
-        from tokenizers import Tokenizer
+    MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # without the apostrophe, which may begin a piece of letters
 
-        self.tokenizer = Tokenizer.from_file(file)
-        self.words = Memo(lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+    def __init__(self, file: str, limit: int = 500_000):
+        from tokenizers import Tokenizer
 
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
+        self.tokenizer, self.limit = Tokenizer.from_file(file), limit
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.tails = Memo(lambda marks: self._ids(marks).tobytes(), 10_000)
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_letters(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), 10_000):
+            part = runs[i : i + 10_000]
+            ids = self._ids(" ".join(part))
+            ends = (np.flatnonzero(self.ends_word[ids]) * 4 + 4).tolist()
+            if len(ends) == len(part):
+                data = ids.tobytes()
+                self.letters.update(zip(part, [data[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
+            else:  # the library parts some run that Python takes for letters only
+                self.letters.update((w, self._ids(w).tobytes()) for w in part)
+
+    def _learn(self, words: set[str]) -> None:
+        found, none = [], b""
+        for w in words:
+            low = w.lower() if w.isascii() else w
+            if low.isalpha():
+                found.append((w, low, none))
+            elif (run := low.rstrip(self.MARKS)).isalpha():
+                found.append((w, run, self.tails[low[len(run) :]]))
+            else:
+                self.words[w] = self._ids(w).tobytes()
+        if len(self.letters) > self.limit:
+            self.letters = {}
+        self._learn_letters(list({run for _, run, _ in found}.difference(self.letters)))
+        letters = self.letters
+        self.words.update([(w, letters[run] + tail) for w, run, tail in found])
+
+    def encode(self, texts: list[str | None], group: int = 500) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (null: none)."""
+        for i in range(0, len(texts), group):
+            split = [t.replace("\n", " ").split(" ") if t else [] for t in texts[i : i + group]]
+            if len(self.words) > self.limit:
+                self.words, self.older = {}, self.words
+            new = set().union(*split).difference(self.words)
+            if self.older:
+                known = new.intersection(self.older)
+                self.words.update((w, self.older[w]) for w in known)
+                new -= known
+            self._learn(new)
+            yield from (b"".join(map(self.words.__getitem__, ws)) for ws in split)
 
 
 BLOCK_SCHEMA = "shard int, block int, doc_ids binary, missing binary, ends binary, n_ids long, words binary"
@@ -158,7 +208,7 @@ def write_token_ids(docs: DataFrame, path: str, file: str, id_col: str = "doc_id
         enc = per_worker(("words", file), lambda: WordEncoder(file))
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [np.frombuffer(enc.encode(t) + end, "<u4") for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(x + end, "<u4") for x in enc.encode(b.column(1).to_pylist())]
             packed = [zlib.compress(b"\x04" + x.tobytes() if x.max() >> 16 else b"\x02" + x.astype("<u2").tobytes(), 1) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["id", "packed", "n"])
 
@@ -184,6 +234,7 @@ def write_token_ids(docs: DataFrame, path: str, file: str, id_col: str = "doc_id
         if ids:
             yield close()
 
+    small_batches(docs.sparkSession)
     encoded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "id long, packed binary, n long")
     # range bounds come from the ids alone: repartitionByRange would sample the encoded rows and so encode twice
     cuts = range_cuts(docs, id_col, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
