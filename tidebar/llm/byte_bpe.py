@@ -36,7 +36,7 @@ class PrefixBpe:
         self.longest = max(map(len, ranks))
         #: The two tokens that merge to a token; (itself, itself) for a single byte. Tokens that merging never reaches are left out.
         self.split = split or self._splits()
-        self.fits = Memo(self._fits, 300_000)
+        self.fits = Memo(self._fits, 200_000)
         import ahocorasick
 
         self.suffixes = ahocorasick.Automaton()
@@ -126,7 +126,7 @@ class TextBpe:
 
         self.bpe = PrefixBpe(load_ranks(file), split)
         self.find = regex.compile(pattern).findall
-        self.pieces = Memo(lambda p: np.array(self.bpe.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), 300_000)
+        self.pieces = Memo(lambda p: np.array(self.bpe.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), 150_000)
         self.spaced = Memo(lambda c: self.chunks_of(" " + c), 400_000)
         self.size = max(self.bpe.bytes_of) + 1
         self.table = [self.bpe.bytes_of.get(i, b"") for i in range(self.size)]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,15 @@ def small_batches(spark: SparkSession, rows: int = 2000, mb: int = 8) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back_memory() -> None:
+    """Hand a worker's freed memory back to the system: workers live on after a task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def text_udf(make: Callable[[], Callable[[list], dict]], schema: str) -> Callable[[Column], Column]:
     """An Arrow-batched struct column computed from a text column.
 
@@ -56,23 +67,34 @@ def text_udf(make: Callable[[], Callable[[list], dict]], schema: str) -> Callabl
 
     @F.pandas_udf(schema)
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        _USED.clear()
         run = make()
+        forget_unused()
         for batch in batches:
             yield pd.DataFrame(run(batch.tolist()))
+        give_back_memory()
 
     return apply
 
 
 _WORKER: dict = {}
+_USED: set = set()
 
 
 def per_worker(key: tuple, build: Callable):
     """What build() gives, made once per Python worker: tasks that share a worker share automata and word memos."""
+    _USED.add(key)
     if key not in _WORKER:
         _WORKER[key] = build()
     return _WORKER[key]
 
 
+def forget_unused() -> None:
+    """Drop what the task at hand has not asked for: a worker goes on to other stages, which have no use for it."""
+    for key in [k for k in _WORKER if k not in _USED]:
+        del _WORKER[key]
+
+
 class Memo(dict):
     """A dict that computes missing values. Of over `limit` values it keeps those asked for since, so memory stays bounded."""
 
