@@ -72,22 +72,20 @@ def summary(df: DataFrame, features: list[str], target: str = "future_return_5")
     return out.withColumns({"abs_spearman_ic": F.abs("spearman_ic"), "ic_direction": F.signum("spearman_ic")})
 
 
-def correlations(df: DataFrame, features: list[str], chunk: int = 100) -> DataFrame:
+def correlations(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature_a, feature_b, pearson_corr, spearman_corr) of all pairs; Spearman ranks each feature over all its own values.
 
-    Ranks are taken per feature after unpivoting, brought back to rows, and then all pairs are summed in one pass, some `chunk` pairs per aggregate.
+    Ranks are taken per feature after unpivoting and brought back to rows. Each row then feeds all pairs into one aggregate, whose partial sums have a row
+    per pair and task; the plan stays one aggregate however many pairs there are.
     """
     keys = ["contract", "datetime"]
-    long = long_form(df, features, keys)
-    ranks = long.withColumn("r", average_rank("x", "feature"))
+    ranks = long_form(df, features, keys).withColumn("r", average_rank("x", "feature"))
     wide = ranks.groupBy(*keys).pivot("feature", features).agg(F.first("x").alias("x"), F.first("r").alias("r"))
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    parts = []
-    for i in range(0, len(pairs), chunk):
-        some = pairs[i : i + chunk]
-        agg = wide.agg(*[F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), pearson(f"{a}_x", f"{b}_x").alias("pearson_corr"), pearson(f"{a}_r", f"{b}_r").alias("spearman_corr")).alias(f"p{k}") for k, (a, b) in enumerate(some)])
-        parts.append(agg.select(F.explode(F.array(*[F.col(f"p{k}") for k in range(len(some))])).alias("p")).select("p.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
+    of = lambda k: F.array(*[F.lit(p[k] + 1) for p in pairs])
+    at = lambda values, k: F.element_at(F.col(values), F.element_at(of(k), F.col("pair")))
+    rows = wide.select(F.array(*[F.col(f"{f}_x") for f in features]).alias("xs"), F.array(*[F.col(f"{f}_r") for f in features]).alias("rs"), F.explode(F.sequence(F.lit(1), F.lit(len(pairs)))).alias("pair"))
+    rows = rows.select("pair", at("xs", 0).alias("x"), at("xs", 1).alias("y"), at("rs", 0).alias("rx"), at("rs", 1).alias("ry"))
+    found = rows.groupBy("pair").agg(pearson("x", "y").alias("pearson_corr"), pearson("rx", "ry").alias("spearman_corr"))
+    name = lambda k: F.element_at(F.array(*[F.lit(features[p[k]]) for p in pairs]), F.col("pair"))
+    return found.select(name(0).alias("feature_a"), name(1).alias("feature_b"), "pearson_corr", "spearman_corr")
