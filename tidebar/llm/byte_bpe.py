@@ -121,13 +121,14 @@ class TextBpe:
     #: A cut before a single space between two non-spaces never crosses a match of the pattern; other white space is left to the pattern.
     _ODD = re.compile(r" \s|\s ")
 
-    def __init__(self, file: str, pattern: str, split: dict[int, tuple[int, int]] | None = None):
+    def __init__(self, file: str, pattern: str, split: dict[int, tuple[int, int]] | None = None, memo: int = 400_000):
         import regex
 
         self.bpe = PrefixBpe(load_ranks(file), split)
+        self.bpe.fits.limit = memo // 2
         self.find = regex.compile(pattern).findall
-        self.pieces = Memo(lambda p: np.array(self.bpe.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), 150_000)
-        self.spaced = Memo(lambda c: self.chunks_of(" " + c), 400_000)
+        self.pieces = Memo(lambda p: np.array(self.bpe.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes(), memo * 3 // 8)
+        self.spaced = Memo(lambda c: self.chunks_of(" " + c), memo)
         self.size = max(self.bpe.bytes_of) + 1
         self.table = [self.bpe.bytes_of.get(i, b"") for i in range(self.size)]
 
@@ -147,10 +148,10 @@ class TextBpe:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _text_bpe(spark: SparkSession, file: str, pattern: str):
+def _text_bpe(spark: SparkSession, file: str, pattern: str, memo: int = 400_000):
     """Gives the worker's TextBpe; the table of merges is made once on the driver (bounded by the vocabulary) and broadcast."""
     split = spark.sparkContext.broadcast(per_worker(("merges", file), lambda: PrefixBpe(load_ranks(file)).split))
-    return lambda: per_worker(("bpe", file, pattern), lambda: TextBpe(file, pattern, split.value))
+    return lambda: per_worker(("bpe", file, pattern, memo), lambda: TextBpe(file, pattern, split.value, memo))
 
 
 def encode_texts(docs: DataFrame, file: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
@@ -175,12 +176,12 @@ def decode_ids(df: DataFrame, file: str, pattern: str, ids_col: str = "ids", int
     return df.withColumn(into, text_udf(make, "bytes binary")(F.col(ids_col))["bytes"])
 
 
-def bpe_digests(docs: DataFrame, file: str, pattern: str, text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def bpe_digests(docs: DataFrame, file: str, pattern: str, text_col: str = "text", keep_ids: bool = False, memo: int = 400_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for.
 
-    Encoding and decoding run one after the other on a batch, so ids leave the worker only if kept.
+    Encoding and decoding run one after the other on a batch, so ids leave the worker only if kept. A worker remembers up to `memo` words.
     """
-    worker_bpe = _text_bpe(docs.sparkSession, file, pattern)
+    worker_bpe = _text_bpe(docs.sparkSession, file, pattern, memo)
 
     def make():
         bpe = worker_bpe()
