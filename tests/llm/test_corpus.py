@@ -135,6 +135,17 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_copies_that_repeat_a_passage_are_found(spark):
+    rows = []
+    for i in range(40):
+        base, passage = prose(2000 + i, 200), prose(3000 + i, 20)
+        rows += [(2 * i, f"{base} {passage}"), (2 * i + 1, f"{edited(base, i, 3)} {' '.join([passage] * 300)}")]
+    least = groups_brute(rows)
+    assert sum(least[2 * i + 1] == 2 * i for i in range(40)) > 30
+    found = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert {r["id"]: r["class_id"] for r in found.collect()} == least
+
+
 def test_signatures_estimate_probability_jaccard():
     a, b = np.arange(1, 401, dtype=np.uint64), np.arange(101, 501, dtype=np.uint64)
     wa, wb = np.where(a % 3 == 0, 5, 1), np.where(b % 3 == 0, 1, 4)

@@ -1,9 +1,11 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
 Shingles are five consecutive words (as in decontamination: A-Z lower-cased, runs of letters and digits); a text of one to four words is one shingle of all its
-words. A shingle's weight is 1 + ln(its count). Each shingle is a Poisson process whose rate is its weight: its arrivals, made from its hash
-alone, fall on signature slots, and a slot keeps the shingle that arrives first. A text's processes stop once they are behind the latest
-first arrival (early termination). Two texts agree on a slot with the probability Jaccard similarity of their weighted shingles.
+words. Each shingle is a Poisson process whose rate is its weight, 1 + ln(count): its arrivals, made from its hash alone, fall on signature
+slots, and a slot keeps the shingle that arrives first. A text's processes stop once they are behind the latest first arrival (early
+termination). Two texts agree on a slot with the probability Jaccard similarity of their weighted shingles. Signatures of candidates count every
+distinct shingle once, so that this is the Jaccard similarity of the sets, which links are verified by: weights of counts would
+lower it where copies repeat a passage a different number of times.
 
 Texts with the same words are one class from the start (an aggregate, whatever its size). Class representatives that share a band of slots are
 candidates, and a pair is linked if the exact Jaccard similarity of the two shingle sets is 0.8 or more. Candidates are tried in rounds, so that a
@@ -140,8 +142,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _groups(texts):
                 hashes, counts = word_hashes(texts[i:j])
-                owner, values, times = shingles(hashes, counts)
-                bands = band_hashes(prob_minhash(owner, values, times, j - i)).astype(np.int64)
+                owner, values, _ = shingles(hashes, counts)
+                bands = band_hashes(prob_minhash(owner, values, np.ones(len(values)), j - i)).astype(np.int64)
                 ends = np.cumsum(counts)
                 has = np.flatnonzero(counts)
                 copies = [xxhash.xxh3_128_digest(hashes[ends[k] - counts[k] : ends[k]].tobytes()) for k in has.tolist()]
