@@ -265,6 +265,26 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG_STORY = "<p>A long story with many words in it.</p>" * 9
+
+
+@pytest.mark.parametrize("name", ["class='content has-sidebar'", "class='page no-ads'", "id='search-result'", "class='content-with-sidebar'", "class='post comments-open'", "class='search'", "id='widget-1'"])
+def test_containers_of_articles_are_kept_whatever_their_modifiers(name):
+    _, _, source = page(1, f"<div {name}>{LONG_STORY}</div><div class='menu'>Menu</div>")
+    assert html_extract.Page(source).text(None) == " ".join(["A long story with many words in it."] * 9)
+
+
+@pytest.mark.parametrize("name", ["class='ad-slot'", "class='left sidebar'", "id='postComments'", "class='share-buttons'", "class='related-posts'", "role=navigation", "class='comments-list'"])
+def test_containers_named_as_furniture_are_left_out(name):
+    _, _, source = page(1, f"<div class='post'>{LONG_STORY}<div {name}><p>dull</p></div></div>")
+    assert "dull" not in html_extract.Page(source).text(None)
+
+
+def test_long_comments_stay_out():
+    _, _, source = page(1, f"<div class='post'><p>Short story.</p><div class='comments'>{LONG_STORY}</div></div>")
+    assert html_extract.Page(source).text(None) == "Short story."
+
+
 # ---- pipeline
 
 

@@ -5,8 +5,9 @@ the next; text in links counts against. A container's path is generalised (tag a
 container with its score. In Spark the votes are summed per host and path, and each host's winning path is looked up for every page, which is then
 extracted again from the containers on that path. A page without a container on its host's path uses its own best one.
 
-Menus, headers, footers, asides, forms, scripts, styles, comments and containers whose class, id or role names them as such (`FURNITURE`) are
-left out. Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page order.
+Menus, headers, footers, asides, forms, scripts, styles, comments and containers whose class, id or role names them as such are left out. A name
+counts by its head word (`FURNITURE`): `ad-slot` and `post-comments` do, `has-sidebar`, `search-result` and `comments-open` do not. A container that is named
+so but encloses more than half of a page's text (readers' comments: all of it) is a plain container. Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page order.
 
 Results: null, empty and text-free html give an empty text. Pages without a host share the host ''. Repeated pages have their own rows (and
 votes). Ties of votes go to the greater path in string order. Votes are summed before they move, so a hot host costs one row per task and path; winners are
@@ -38,34 +39,64 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FURNITURE_TAGS = frozenset("aside button dialog footer form head header menu nav select".split())
 #: Words of a class, id or role that name a page's furniture.
 FURNITURE = frozenset("ad ads adslot advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus dialog footer form header masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget".split())
+#: Words before a name that only say whether a page has such a part.
+SWITCHES = frozenset("can disable enable has hide is no non not show with without".split())
+#: Words behind a name that say only where or what kind of box it is; the word before them is the head.
+BOXES = frozenset("area bar block body bottom box button buttons container content group holder icon icons inner item items left link links list outer panel right section slot slots top unit wrap wrapper zone".split())
+#: First words that name furniture whatever is behind them.
+QUALIFIERS = frozenset("disqus outbrain promoted related sponsored taboola".split())
+REMARKS = frozenset("comment comments disqus replies reply respond".split())
 _CLOSES_P = BLOCKS - {"br"}
 
 
-def _names(tag: str, attributes: str) -> tuple[str, bool]:
-    """(generalised step of a path, is it furniture)."""
-    classes, furniture = [], tag in FURNITURE_TAGS
+def _head(token: str) -> str:
+    """The word of a class, id or role that says what the container is."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()) if w]
+    if not SWITCHES.isdisjoint(words[:-1]):
+        return ""
+    if words and words[0] in QUALIFIERS:
+        return words[0]
+    while len(words) > 1 and words[-1] in BOXES:
+        words.pop()
+    return words[-1] if words else ""
+
+
+def _names(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """(generalised step of a path, is it furniture by its tag, the word that names it furniture or '')."""
+    classes, name = [], ""
     if "=" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             value = html.unescape(m[2] or m[3] or m[4] or "")
             if m[1].lower() == "class":
                 classes = value.split()
-            words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())
-            furniture = furniture or any(w in (FURNITURE if tag not in ("article", "main") else ("comment", "comments")) for w in words)
+            words = map(_head, value.split())
+            name = name or next((w for w in words if w in (FURNITURE if tag not in ("article", "main") else ("comment", "comments"))), "")
     step = ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in classes)])
-    return step, furniture and tag not in ("html", "body")
+    return step, tag in FURNITURE_TAGS, name if tag not in ("html", "body") else ""
 
 
 class Page:
     """The blocks of a page's text outside furniture, and the containers around them."""
 
     def __init__(self, source: str | None):
+        named = self._read(source or "", frozenset())
+        if named:
+            whole = sum(len(text) for text, _ in self.blocks) + sum(size for _, size, _, outermost in named if outermost)
+            plain = frozenset(at for at, size, word, _ in named if (size >= whole if word in REMARKS else 2 * size > whole) and size)
+            if plain:
+                self._read(source or "", plain)
+
+    def _read(self, source: str, plain: frozenset[int]) -> list[tuple[int, int, str, bool]]:
+        """Reads the page; elements that begin at `plain` are no furniture by name. Those that are: (where, characters, name, is it in no other)."""
         self.blocks: list[tuple[str, tuple[int, ...]]] = []  # text, numbers of containers from the outermost in
         self.paths: list[str] = []  # by container
         self.linked: list[int] = []  # characters of link text by block
-        # open elements: tag, path, number of container or -1, is furniture, is link
-        stack: list[tuple[str, str, int, bool, bool]] = []
+        # open elements: tag, path, number of container or -1, is furniture, is link, is furniture by its tag
+        stack: list[tuple[str, str, int, bool, bool, bool]] = []
         inside: list[int] = []
-        furniture = links = 0
+        named: list[tuple[int, int, str, bool]] = []
+        opened: list[tuple[int, int, int, str]] = []  # furniture by name: depth, where, characters before, name
+        furniture = links = by_tag = hidden = 0
         parts: list[str] = []
         in_links = at = 0
 
@@ -80,19 +111,24 @@ class Page:
             in_links = 0
 
         def pop_to(depth: int) -> None:
-            nonlocal furniture, links
+            nonlocal furniture, links, by_tag
             while len(stack) > depth:
-                _, _, number, dull, link = stack.pop()
+                _, _, number, dull, link, tagged = stack.pop()
                 furniture -= dull
+                by_tag -= tagged
+                if opened and opened[-1][0] == len(stack):
+                    _, where, before, word = opened.pop()
+                    named.append((where, hidden - before, word, not opened))
                 links -= link
                 if number >= 0:
                     inside.pop()
 
-        source = source or ""
         for m in _MARKUP.finditer(source):
             if m.start() > at and not furniture:
                 parts.append(html.unescape(source[at : m.start()]))
                 in_links += (m.start() - at) * (links > 0)
+            elif m.start() > at and not by_tag:
+                hidden += len(" ".join(source[at : m.start()].split()))
             at = m.end()
             tag = (m[3] or "").lower()
             if not tag:
@@ -114,19 +150,27 @@ class Page:
                         break
             if tag in VOID or m[4].endswith("/") and tag not in BLOCKS:
                 continue
-            step, dull = _names(tag, m[4])
+            step, tagged, word = _names(tag, m[4])
+            if word and not tagged and not by_tag and m.start() not in plain:
+                opened.append((len(stack), m.start(), hidden, word))
+            dull = tagged or bool(word) and m.start() not in plain
             path = f"{stack[-1][1]}>{step}" if stack and tag in CONTAINERS else step if tag in CONTAINERS else stack[-1][1] if stack else ""
             number = -1
             if tag in CONTAINERS and not furniture and not dull:
                 number = len(self.paths)
                 self.paths.append(path)
                 inside.append(number)
-            stack.append((tag, path, number, dull, tag == "a"))
+            stack.append((tag, path, number, dull, tag == "a", tagged))
             furniture += dull
+            by_tag += tagged
             links += tag == "a"
         if at < len(source) and not furniture:
             parts.append(html.unescape(source[at:]))
+        elif at < len(source) and not by_tag:
+            hidden += len(" ".join(source[at:].split()))
         close_block()
+        pop_to(0)
+        return named
 
     def best(self) -> tuple[int, float]:
         """(number of the best container or -1, its score)."""
