@@ -285,6 +285,32 @@ def test_long_comments_stay_out():
     assert html_extract.Page(source).text(None) == "Short story."
 
 
+SAYING = "many words of one kind and another, " * 20
+
+
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<div class='story'>{}</div>", "<main>{}</main>", "{}"])
+@pytest.mark.parametrize("inner", ["<blockquote><p>{0}</blockquote>", "<section><p>{0}</section>", "<ul><li>{0}</li><li>{0}</li></ul>", "<table><tbody><tr><td>{0}</td><td>{0}</td></tr><tr><td>{0}</td></tr></tbody></table>"])
+def test_long_parts_do_not_stand_for_their_article(spark, outer, inner):
+    if outer == "{}" and "section" in inner:
+        return  # sections of a body may be menus or teasers; they stay apart
+    _, _, source = page(1, outer.format(f"<h1>Head</h1><p>First words.</p>{inner.format(SAYING)}<p>Last words.</p>"))
+    path, _ = html_extract._vote(source)
+    for text in (html_extract.Page(source).text(None), html_extract.Page(source).text(path)):
+        assert text.startswith("Head First words. many words") and text.endswith("Last words.") and text.count(SAYING.strip()) == inner.count("{0}")
+
+
+def test_host_of_long_lists_keeps_its_paragraphs(spark):
+    rows = [page(i, f"<article><p>Cook {i}.</p><ul><li>{SAYING}</li><li>{SAYING}</li></ul></article>") for i in range(4)] + [page(9, "<article><p>No list here.</p><ul><li>x</li></ul></article>")]
+    text = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[9] == "No list here. x" and all(text[i].startswith(f"Cook {i}. many words") for i in range(4))
+
+
+def test_climbing_stops_where_links_or_other_stories_begin():
+    menu = "<ul>" + "<li><a href=x>menu item of some length</a></li>" * 9 + "</ul>"
+    source = f"<body><div id=all>{menu}<div class=teasers>{'<div><p>other story</p></div>' * 9}</div><div class=story><p>{SAYING}</div><p>tail</p></div></body>"
+    assert html_extract.Page(source).text(None) == SAYING.strip()
+
+
 # ---- pipeline
 
 

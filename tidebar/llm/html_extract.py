@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of a host's pages.
 
 Each page's containers are scored: a block of text gives its length to the container around it, half to the next one out, a third to
-the next; text in links counts against. A container's path is generalised (tag and sorted classes, digits as N), and the page votes for the path of its best
-container with its score. In Spark the votes are summed per host and path, and each host's winning path is looked up for every page, which is then
+the next; text in links counts against. From the best container the page climbs to the article around it, or as far out as a container's own
+text (its paragraphs, lists, tables, quotations and sections) goes on around it, so that a long list, table or quotation does not stand for its article. A container's path is generalised (tag and sorted classes, digits as N), and the page votes for the path of the container it
+comes to with the best one's score. In Spark the votes are summed per host and path, and each host's winning path is looked up for every page, which is then
 extracted again from the containers on that path. A page without a container on its host's path uses its own best one.
 
 Menus, headers, footers, asides, forms, scripts, styles, comments and containers whose class, id or role names them as such are left out. A name
@@ -35,6 +36,9 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 #: Elements that end one block of text and begin another.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article blockquote body center dd details div dl figure html li main ol section table tbody td th tr ul".split())
+#: Containers that are parts of a text, and those that also stand for a whole one.
+PARTS = frozenset("blockquote center dd details dl figure li ol table tbody td th tr ul".split())
+FLOW = PARTS | {"section"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE_TAGS = frozenset("aside button dialog footer form head header menu nav select".split())
 #: Words of a class, id or role that name a page's furniture.
@@ -184,12 +188,36 @@ class Page:
         top = max(range(len(score)), key=lambda i: (score[i], -i))
         return (top, score[top]) if score[top] > 0 else (-1, 0.0)
 
+    def climb(self, top: int) -> int:
+        """The container whose text the container `top` is a part of, or top."""
+        around = next((inside for _, inside in self.blocks if top in inside), (top,))
+        outward = around[: around.index(top)][::-1]  # from the next one out
+        tags = {i: self.paths[i].rsplit(">", 1)[-1].split(".", 1)[0] for i in {j for _, inside in self.blocks for j in inside} | {top}}
+        for number in outward:
+            if tags[number] == "article":
+                return number
+        found = top
+        for number in outward:
+            if tags[number] == "html" or tags[number] == "body" and tags[found] not in PARTS:
+                break
+            rest = linked = own = 0
+            for (text, inside), in_links in zip(self.blocks, self.linked, strict=True):
+                if number in inside and found not in inside:
+                    rest += len(text)
+                    linked += in_links
+                    if all(tags[i] in FLOW for i in inside[inside.index(number) + 1 :]):
+                        own += len(text)
+            if rest and 2 * linked < rest and (tags[number] in PARTS or tags[number] == "main" or 2 * own >= rest):
+                found = number
+        return found
+
     def text(self, path: str | None) -> str:
         """The blocks in containers on the path, else in the best container, else all blocks."""
         chosen = {i for i, p in enumerate(self.paths) if p == path}
         kept = [text for text, inside in self.blocks if not chosen.isdisjoint(inside)]
         if not kept:
             top, _ = self.best()
+            top = self.climb(top) if top >= 0 else top
             kept = [text for text, inside in self.blocks if top < 0 or top in inside]
         return " ".join(kept)
 
@@ -201,7 +229,7 @@ def host_of(url: Column) -> Column:
 def _vote(source: str | None) -> tuple[str | None, float]:
     page = Page(source)
     top, score = page.best()
-    return (page.paths[top], score) if top >= 0 else (None, 0.0)
+    return (page.paths[page.climb(top)], score) if top >= 0 else (None, 0.0)
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
