@@ -91,6 +91,15 @@ def test_decontamination(spark):
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
 
 
+def test_items_without_an_id_hit_words_but_are_not_listed(spark):
+    docs = spark.createDataFrame([(1, prose(901, 13)), (2, prose(902, 13)), (3, prose(903, 40))], SCHEMA)
+    bench = spark.createDataFrame([(None, prose(901, 13)), (None, prose(902, 13)), ("b", prose(902, 13))], "item_id string, text string")
+    for limit in (64, 0):
+        found = docs.select("doc_id", decontaminate.contamination(docs, bench, pattern_mb=limit).alias("x"))
+        assert got(found, "doc_id", "x.n_hit", "x.n_items", "x.items", "x.contaminated") == [(1, 13, 0, [], True), (2, 13, 1, ["b"], True), (3, 0, 0, [], False)]
+    assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
+
+
 # ---- near duplicates
 
 

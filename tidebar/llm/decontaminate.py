@@ -6,7 +6,7 @@ normalised the same way, so a match always starts and ends at word borders. Matc
 in the original text (`hit_spans`).
 
 Results: null, empty and word-free texts have no words, no hits and are clean. Repeated rows and repeated items give repeated rows and one id.
-Items without words match nothing; with an empty benchmark all is clean. The automaton is built from the benchmark, which must fit a worker: above
+Items without an id hit words like any other but are in no list or number of items. Items without words match nothing; with an empty benchmark all is clean. The automaton is built from the benchmark, which must fit a worker: above
 `pattern_mb` of normalised windows the items are cut into groups of that size, whose automata scan each batch one after the other, with the same result.
 """
 
@@ -42,13 +42,15 @@ def windows_of(text: str | None, size: int = WINDOW) -> set[bytes]:
 class WindowAutomaton:
     """All windows of some items; finds which occur in a text and which of its words they cover."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
         import ahocorasick
 
         of: dict[bytes, set[str]] = {}
         for item, text in items:
             for w in windows_of(text, size):
-                of.setdefault(w, set()).add(item)
+                ids = of.setdefault(w, set())
+                if item is not None:
+                    ids.add(item)
         self.automaton = ahocorasick.Automaton()
         for w, ids in of.items():
             self.automaton.add_word(w.decode("latin-1"), (w.count(b" ") - 1, tuple(ids)))
@@ -78,7 +80,7 @@ def hit_spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
-def _groups(items: list[tuple[str, str | None]], limit: int) -> list[list[tuple[str, str | None]]]:
+def _groups(items: list[tuple[str | None, str | None]], limit: int) -> list[list[tuple[str | None, str | None]]]:
     out, size = [[]], 0
     for item in items:
         more = sum(map(len, windows_of(item[1])))
@@ -98,7 +100,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     spark = docs.sparkSession
     # benchmark items come to the driver in id order: the test sets are what the automaton is made of, and their size is checked below
     rows = benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").toLocalIterator()
-    groups = _groups([(r[0], r[1]) for r in rows if r[0] is not None], pattern_mb << 20)
+    groups = _groups([(r[0], r[1]) for r in rows], pattern_mb << 20)
     shared = spark.sparkContext.broadcast(groups)
     key = hashlib.md5(repr(groups).encode("utf-8", "surrogatepass")).hexdigest()
 
