@@ -54,7 +54,7 @@ def codewords(languages: int) -> np.ndarray:
 _U = np.uint64
 
 
-def _gram_hashes(line: str) -> list[tuple[np.ndarray, np.ndarray]]:
+def _gram_hashes(line: str, seed: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
     r"""For each order, (hash of each gram, position where it starts) over words written as \x02word\x03; no gram spans two words."""
     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(_U)
     out = []
@@ -62,7 +62,7 @@ def _gram_hashes(line: str) -> list[tuple[np.ndarray, np.ndarray]]:
         size = len(c) - n + 1
         if size < 1:
             continue
-        h, whole = np.full(size, n, _U), np.ones(size, bool)
+        h, whole = np.full(size, n + (seed << 8), _U), np.ones(size, bool)
         for k in range(n):
             part = c[k : k + size]
             h = (h * _U(0x9E3779B97F4A7C15)) ^ (part * _U(0xBF58476D1CE4E5B9))
@@ -93,14 +93,21 @@ class Predictor:
         self.model, self.limit = model, limit
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, model.code.shape[1] + 1))
-        # open-addressed by the low bits of the hash; the rare grams that share a slot are told apart by a second slot
-        self.slots = 1 << 20
-        self.key, self.row = np.zeros((2, self.slots), _U), np.zeros((2, self.slots), np.int64)
-        for i, g in enumerate(model.grams):
-            h = next(h[0] for h, at in _gram_hashes(g)[len(g) - 1 :])
-            s = int(h) & (self.slots - 1)
-            t = 0 if not self.key[0, s] else 1
-            self.key[t, s], self.row[t, s] = h, i
+        # grams by ascending hash; two of one hash would be mistaken for each other, so hashes are made again with another seed until all differ
+        for self.seed in range(64):
+            keys = np.array([next(h[0] for h, at in _gram_hashes(g, self.seed)[len(g) - 1 :]) for g in model.grams], _U)
+            self.row = np.argsort(keys, kind="stable")
+            self.key = keys[self.row]
+            if (self.key[1:] != self.key[:-1]).all():
+                break
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which hashes are known grams, rows of these grams)."""
+        if not len(self.key):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
+        hit = np.flatnonzero(self.key[at] == hashes)
+        return hit, self.row[at[hit]]
 
     def _learn(self, words: list[str]) -> None:
         line = "".join([f"\x02{w}\x03" for w in words])
@@ -109,16 +116,14 @@ class Predictor:
         while len(self.rows) < base + len(words):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         total = np.zeros((len(words), bits + 1))
-        for hashes, at in _gram_hashes(line):
-            slot = (hashes & _U(self.slots - 1)).astype(np.int64)
+        for hashes, at in _gram_hashes(line, self.seed):
             owner = np.searchsorted(starts, at, side="right") - 1
-            for t in (0, 1):
-                hit = np.flatnonzero(self.key[t, slot] == hashes)
-                if len(hit):
-                    w, mine = self.model.weights[self.row[t, slot[hit]]], owner[hit]
-                    for k in range(bits):
-                        total[:, k] += np.bincount(mine, w[:, k], len(words))
-                    total[:, bits] += np.bincount(mine, minlength=len(words))
+            hit, rows = self._places(hashes)
+            if len(hit):
+                w, mine = self.model.weights[rows], owner[hit]
+                for k in range(bits):
+                    total[:, k] += np.bincount(mine, w[:, k], len(words))
+                total[:, bits] += np.bincount(mine, minlength=len(words))
         self.rows[base : base + len(words)] = total
         self.index.update(zip(words, range(base, base + len(words)), strict=True))
 
