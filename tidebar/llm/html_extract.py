@@ -176,17 +176,17 @@ class Page:
         pop_to(0)
         return named
 
-    def best(self) -> tuple[int, float]:
-        """(number of the best container or -1, its score)."""
-        score = [0.0] * len(self.paths)
+    def best(self) -> tuple[int, int]:
+        """(number of the best container or -1, its score in sixths of a character, so that sums are exact)."""
+        score = [0] * len(self.paths)
         for (text, inside), linked in zip(self.blocks, self.linked, strict=True):
             worth = len(text) - 2 * linked
             for k, number in enumerate(reversed(inside[-3:])):
-                score[number] += worth / (k + 1)
+                score[number] += worth * (6, 3, 2)[k]
         if not score:
-            return -1, 0.0
+            return -1, 0
         top = max(range(len(score)), key=lambda i: (score[i], -i))
-        return (top, score[top]) if score[top] > 0 else (-1, 0.0)
+        return (top, score[top]) if score[top] > 0 else (-1, 0)
 
     def climb(self, top: int) -> int:
         """The container whose text the container `top` is a part of, or top."""
@@ -226,10 +226,10 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _vote(source: str | None) -> tuple[str | None, float]:
+def _vote(source: str | None) -> tuple[str | None, int]:
     page = Page(source)
     top, score = page.best()
-    return (page.paths[page.climb(top)], score) if top >= 0 else (None, 0.0)
+    return (page.paths[page.climb(top)], score) if top >= 0 else (None, 0)
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -242,9 +242,9 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
 
         return run
 
-    vote = text_udf(make, "path string, score double")(F.col(html_col))
+    vote = text_udf(make, "path string, score long")(F.col(html_col))
     votes = pages.select(host_of(F.col(url_col)).alias("host"), vote.alias("v")).select("host", "v.path", "v.score").where("path is not null")
-    sums = votes.groupBy("host", "path").agg(F.round(F.sum("score")).alias("score"))
+    sums = votes.groupBy("host", "path").agg(F.sum("score").alias("score"))
     return sums.groupBy("host").agg(F.max(F.struct("score", "path")).alias("top")).select("host", F.col("top.path").alias("path"))
 
 
