@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,16 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session uses its warehouse; a cluster has to set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="tidebar-"))
-        base = _OWN[0]
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidebar"
     return base.rstrip("/")
 
 
