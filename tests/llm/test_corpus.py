@@ -10,6 +10,8 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 sys.path.insert(0, str(Path(__file__).parent))
 from cases import AWKWARD, LONG, SCHEMA, awkward, clashing, empty, got, prose
@@ -79,9 +81,8 @@ def test_decontamination(spark):
     docs, bench = spark.createDataFrame(LEAKED, SCHEMA), spark.createDataFrame(ITEMS, "item_id string, text string")
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     key = lambda r: [(x is not None, str(type(x)), x if x is not None else 0) for x in r]
-    for limit in (64, 0):  # one automaton, and one for each item
-        found = docs.select("doc_id", decontaminate.contamination(docs, bench, pattern_mb=limit, spans=True).alias("x"))
-        assert got(found, "doc_id", *[f"x.{c}" for c in columns]) == sorted(want, key=key)
+    found = docs.select("doc_id", decontaminate.contamination(docs, bench, spans=True).alias("x"))
+    assert got(found, "doc_id", *[f"x.{c}" for c in columns]) == sorted(want, key=key)
     spans = {r["doc_id"]: r["x"]["spans"] for r in found.collect()}
     (span,) = spans[302]
     assert dict(LEAKED)[302].encode()[span["begin"] : span["end"]].decode() == prose(204, 13).rstrip(".")
@@ -94,12 +95,36 @@ def test_decontamination(spark):
 def test_items_without_an_id_hit_words_but_are_not_listed(spark):
     docs = spark.createDataFrame([(1, prose(901, 13)), (2, prose(902, 13)), (3, prose(903, 40))], SCHEMA)
     bench = spark.createDataFrame([(None, prose(901, 13)), (None, prose(902, 13)), ("b", prose(902, 13))], "item_id string, text string")
-    for limit in (64, 0):
-        found = docs.select("doc_id", decontaminate.contamination(docs, bench, pattern_mb=limit).alias("x"))
-        assert got(found, "doc_id", "x.n_hit", "x.n_items", "x.items", "x.contaminated") == [(1, 13, 0, [], True), (2, 13, 1, ["b"], True), (3, 0, 0, [], False)]
+    found = docs.select("doc_id", decontaminate.contamination(docs, bench).alias("x"))
+    assert got(found, "doc_id", "x.n_hit", "x.n_items", "x.items", "x.contaminated") == [(1, 13, 0, [], True), (2, 13, 1, ["b"], True), (3, 0, 0, [], False)]
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()] == [3]
 
 
+def test_a_benchmark_above_the_bound_is_refused(spark):
+    bench = spark.createDataFrame([("a", prose(1, 400_000 // 4))], "item_id string, text string")
+    with pytest.raises(ValueError, match="more than the 0 MB"):
+        decontaminate.contamination(awkward(spark), bench, most_mb=0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a b c".split()), max_size=34), max_size=5), st.lists(st.sampled_from("a b c d".split()), max_size=60), st.randoms(use_true_random=False))
+def test_windows_by_blocks_are_those_by_brute_force(items, text, r):
+    if items and items[0]:
+        cut = r.randrange(len(items[0]))
+        text = text[:20] + items[0][cut : cut + r.randrange(20)] + text[20:]
+    scan = decontaminate.WindowAutomaton((f"i{k}" if k else None, " ".join(x)) for k, x in enumerate(items))
+    mask, found = scan.scan([w.encode() for w in text])
+    hit, want = set(), set()
+    for k, x in enumerate(items):
+        n = min(13, len(x))
+        for p in range(len(x) - n + 1) if n else ():
+            for q in range(len(text) - n + 1):
+                if text[q : q + n] == x[p : p + n]:
+                    hit |= set(range(q, q + n))
+                    want |= {f"i{k}"} if k else set()
+    assert (set() if mask is None else set(np.flatnonzero(mask).tolist())) == hit and found == want
+
+
 # ---- near duplicates
 
 
@@ -245,6 +270,40 @@ def test_language(spark):
     assert {r[0] for r in docs.select(language_id.identify(docs, nothing)["lang"]).collect()} == {"und"}
 
 
+def test_every_known_gram_is_found():
+    r = random.Random(9)
+    letters = [chr(c) for c in (*range(97, 123), *range(0x3B1, 0x3C9), *range(0x4E00, 0x4E60))]
+    grams = sorted({"".join(r.choices(letters, k=r.randint(1, 3))) for _ in range(90_000)})
+    p = language_id.Predictor(language_id.LanguageModel(["a", "b"], language_id.codewords(2), grams, np.zeros((len(grams), 1))))
+    for n in (1, 2, 3):
+        some = [g for g in grams if len(g) == n]
+        hashes = np.array([next(h[0] for h, _ in language_id._gram_hashes(g, p.seed)[n - 1 :]) for g in some], np.uint64)
+        hit, rows = p._places(hashes)
+        assert len(hit) == len(some) and [grams[i] for i in rows] == some
+
+
+def test_language_by_brute_force(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choices((TONGUES["xx"] + " " + TONGUES["yy"]).split() if i % 5 == 0 else TONGUES[k].split(), k=1 + i % 7)), k) for i in range(90) for k in [list(TONGUES)[i % 3]]]
+    docs = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string")
+    m = language_id.train(docs)
+    weight = dict(zip(m.grams, m.weights, strict=True))
+    for row in docs.select("text", language_id.identify(docs, m).alias("r")).collect():
+        found = [weight[g] for w in row["text"].lower().split() for g in language_id.grams_of(w) if g in weight]
+        bits = np.clip(np.mean(found, axis=0), -20, 20)
+        loss = [sum(math.exp(-c * b) for c, b in zip(code, bits, strict=True)) for code in m.code]
+        p = np.exp(12.0 * (min(loss) - np.array(loss)))
+        p /= p.sum()
+        assert row["r"]["lang"] == m.languages[int(np.argmin(loss))] and row["r"]["score"] == pytest.approx(max(p))
+        assert row["r"]["ambiguous"] == (sorted(p)[-1] - sorted(p)[-2] < 0.2)
+
+
+def test_a_text_between_two_languages_is_ambiguous(spark):
+    docs = spark.createDataFrame([(i, "ab cd", k) for i, k in enumerate("xyxyxy")], "doc_id long, text string, lang string")
+    m = language_id.train(docs)
+    assert {tuple(r["r"]) for r in docs.select(language_id.identify(docs, m).alias("r")).collect()} == {("x", 0.5, True)}  # a tie goes to the first
+
+
 def test_codewords_of_many_languages_are_apart():
     code = language_id.codewords(20)
     assert min((code[i] != code[j]).sum() for i in range(20) for j in range(i)) >= 10

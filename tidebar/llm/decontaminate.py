@@ -1,25 +1,28 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows scans each text once.
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark passages scans each text once.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z: runs of digits, a-z and any code point above 0x7F. A window is 13
-consecutive words of an item; an item with fewer words, but not none, is one window. Each window becomes " w1 ... w13 " in UTF-8; a text is
-normalised the same way, so a match always starts and ends at word borders. Match ends map back to word numbers, and word numbers to offsets
-in the original text (`hit_spans`).
+consecutive words of an item; an item with fewer words, but not none, is one window. Items are cut into blocks of 7 words from their start on,
+of which every window holds a whole one. The automaton's patterns are the first 5 words of each block, and whole items of under 13 words, written as
+word numbers: some states per benchmark word, where whole windows would take thirteen words' bytes. Where a pattern occurs in a text, the words around it are held
+against those around each of its places in the benchmark: 13 equal words or more in a row are windows, whose words are hit. Places with equal words around them
+are one context, however many items share it. Word numbers map to offsets in the original text (`hit_spans`).
 
 Results: null, empty and word-free texts have no words, no hits and are clean. Repeated rows and repeated items give repeated rows and one id.
-Items without an id hit words like any other but are in no list or number of items. Items without words match nothing; with an empty benchmark all is clean. The automaton is built from the benchmark, which must fit a worker: above
-`pattern_mb` of normalised windows the items are cut into groups of that size, whose automata scan each batch one after the other, with the same result.
+Items without an id hit words like any other but are in no list or number of items. Items without words match nothing; with an empty benchmark all is clean.
+The automaton is built once, on the driver, and broadcast: test sets are small beside a corpus, and a benchmark of over `most_mb` of text is refused with an error.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import per_worker, table, text_udf
+from .common import table, text_udf
 
 WINDOW = 13
 #: Bytes of UTF-8 by what they are to a word: themselves, lower-cased, or a break.
@@ -31,46 +34,117 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split() if text else []
 
 
-def windows_of(text: str | None, size: int = WINDOW) -> set[bytes]:
-    words = words_of(text)
-    if not words:
-        return set()
-    size = min(size, len(words))
-    return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(len(words) - size + 1)}
+ANCHOR = 5  # words of a block that the automaton matches; the others are compared with its neighbours
+
+
+def _symbols(number: int) -> str:
+    """A word's number as two characters of disjoint alphabets, so that no state has many thousand ways out and matches begin at words."""
+    return chr(number & 255) + chr(256 + (number >> 8))
+
+
+def _numbers(line: str) -> np.ndarray:
+    pairs = np.frombuffer(line.encode("utf-16-le", "surrogatepass"), "<u2").astype(np.int32)
+    return pairs[::2] + (pairs[1::2] - 256 << 8)
 
 
 class WindowAutomaton:
     """All windows of some items; finds which occur in a text and which of its words they cover."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], size: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], size: int = WINDOW):
         import ahocorasick
 
-        of: dict[bytes, set[str]] = {}
+        self.size, block = size, (size + 1) // 2
+        self.anchor = min(ANCHOR, block)
+        self.before, self.behind = size - block, size - self.anchor  # words that a window may have on either side of an anchor
+        self.coded: dict[bytes, str] = {}  # the symbols of each word; those of 0 are any other word's
+        of_name: dict[str, int] = {}
+        coded, lines, lengths, owners = self.coded, [], [], []
         for item, text in items:
-            for w in windows_of(text, size):
-                ids = of.setdefault(w, set())
-                if item is not None:
-                    ids.add(item)
-        self.automaton = ahocorasick.Automaton()
-        for w, ids in of.items():
-            self.automaton.add_word(w.decode("latin-1"), (w.count(b" ") - 1, tuple(ids)))
-        self.automaton.make_automaton() if of else None
-        self.empty = not of
+            words = words_of(text)
+            if words:
+                lengths.append(len(words))
+                owners.append(-1 if item is None else of_name.setdefault(item, len(of_name)))
+                for w in words:
+                    if w not in coded:
+                        coded[w] = _symbols(len(coded) + 1)
+                lines.append("".join(map(coded.__getitem__, words)))
+        if len(coded) > 50_000 << 8:
+            raise ValueError("too many distinct words for one automaton")
+        self.other, self.names = _symbols(0), list(of_name)
+        lengths, owners = np.array(lengths, np.int64), np.array(owners, np.int64)
+        starts = np.cumsum(lengths + 1) - lengths + size  # one -1 between items
+        flat = np.full(int(lengths.sum()) + len(lengths) + 2 * size + 1, -1, np.int32)
+        for a, n, line in zip(starts.tolist(), lengths.tolist(), lines, strict=True):
+            flat[a : a + n] = _numbers(line)
+
+        # contexts: an anchor, the words before it from the nearest on, and the words behind it, -1 beyond the item
+        long = lengths >= size
+        count = np.where(long, (lengths - block) // block + 1, 0)
+        places = np.repeat(starts, count) + block * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+        reach = np.concatenate([np.arange(self.anchor), -1 - np.arange(self.before), self.anchor + np.arange(self.behind)])
+        rows = flat[places[:, None] + reach]
+        for part in (rows[:, self.anchor : self.anchor + self.before], rows[:, self.anchor + self.before :]):
+            part[~np.logical_and.accumulate(part > 0, axis=1)] = -1
+        self.contexts, of_row = np.unique(rows, axis=0, return_inverse=True)  # those of an anchor are neighbours
+        del rows
+        pairs = np.stack([of_row.ravel(), np.repeat(owners, count)], 1)
+        pairs = np.unique(pairs[pairs[:, 1] >= 0], axis=0)
+        self.items, self.items_from = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(self.contexts) + 1))
+        anchors = self.contexts[:, : self.anchor]
+        first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]).any(1)])) if len(anchors) else np.zeros(0, np.int64)
+
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        symbols = [self.other, *coded.values()]
+        for k, pattern in enumerate(anchors[first].tolist()):
+            self.automaton.add_word("".join([symbols[i] for i in pattern]), k)
+        self.anchors, self.first = len(first), np.append(first, len(anchors))  # pattern k < anchors: contexts first[k] up to first[k + 1]
+        self.whole: dict[int, tuple[int, set[int]]] = {}  # (words, items) of patterns that are items of under `size` words
+        for line, n, owner in zip(lines, lengths.tolist(), owners.tolist(), strict=True):
+            if n < size:
+                k = self.automaton.get(line, -1)
+                if k < 0:
+                    k = len(self.automaton)
+                    self.automaton.add_word(line, k)
+                self.whole.setdefault(k, (n, set()))[1].update([owner] if owner >= 0 else [])
+        self.empty = not len(self.automaton)
+        if not self.empty:
+            self.automaton.make_automaton()
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """(mask of hit words or None, ids of items with a window in the text)."""
         if self.empty or not words:
             return None, set()
-        line = (b" " + b" ".join(words) + b" ").decode("latin-1")
+        known, other = self.coded.get, self.other
+        line = "".join([known(w, other) for w in words])
         found = list(self.automaton.iter(line))
         if not found:
             return None, set()
-        breaks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        ends = np.searchsorted(breaks, [end for end, _ in found])  # words before the match's last break
-        change = np.zeros(len(words) + 1, np.int64)
-        np.add.at(change, ends - [n for _, (n, _) in found], 1)
-        np.add.at(change, ends, -1)
-        return np.cumsum(change[:-1]) > 0, {i for _, (_, ids) in found for i in ids}
+        change, items = np.zeros(len(words) + 1, np.int64), set()
+        for end, k in found:
+            if k in self.whole:
+                n, of = self.whole[k]
+                change[(end + 1) // 2 - n] += 1
+                change[(end + 1) // 2] -= 1
+                items |= of
+        text = np.full(self.before + len(words) + self.behind, -2, np.int32)  # beyond the text no context is equal
+        text[self.before : self.before + len(words)] = _numbers(line)
+        hits = np.array([((end + 1) // 2 - self.anchor, k) for end, k in found if k < self.anchors], np.int64).reshape(-1, 2)
+        sizes = self.first[hits[:, 1] + 1] - self.first[hits[:, 1]]
+        parts = np.flatnonzero(np.diff(np.cumsum(sizes) // 50_000, prepend=-1))  # compare some ten thousand contexts at once
+        for i, j in zip(parts.tolist(), [*parts.tolist(), len(hits)][1:], strict=True):
+            n = sizes[i:j]
+            row = np.repeat(self.first[hits[i:j, 1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            begin = np.repeat(hits[i:j, 0], n)
+            context, at = self.contexts[row], self.before + begin[:, None]
+            a = np.logical_and.accumulate(context[:, self.anchor : self.anchor + self.before] == text[at - 1 - np.arange(self.before)], axis=1).sum(1)
+            b = np.logical_and.accumulate(context[:, self.anchor + self.before :] == text[at + self.anchor + np.arange(self.behind)], axis=1).sum(1)
+            hit = a + self.anchor + b >= self.size
+            np.add.at(change, (begin - a)[hit], 1)
+            np.add.at(change, (begin + self.anchor + b)[hit], -1)
+            for r in np.unique(row[hit]).tolist():
+                items.update(self.items[self.items_from[r] : self.items_from[r + 1]].tolist())
+        mask = np.cumsum(change[:-1]) > 0
+        return (mask if mask.any() else None), {self.names[i] for i in items}
 
 
 def hit_spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
@@ -80,43 +154,25 @@ def hit_spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
 
 
-def _groups(items: list[tuple[str | None, str | None]], limit: int) -> list[list[tuple[str | None, str | None]]]:
-    out, size = [[]], 0
-    for item in items:
-        more = sum(map(len, windows_of(item[1])))
-        if out[-1] and size + more > limit:
-            out.append([])
-            size = 0
-        out[-1].append(item)
-        size += more
-    return out
-
-
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<begin:int,end:int>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", pattern_mb: int = 64, spans: bool = False) -> Column:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_mb: int = 256, spans: bool = False) -> Column:
     """A struct column of SCHEMA for text_col of docs. contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
-    spark = docs.sparkSession
-    # benchmark items come to the driver in id order: the test sets are what the automaton is made of, and their size is checked below
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_mb << 20:
+        raise ValueError(f"a benchmark of {size >> 20} MB of text is more than the {most_mb} MB that one automaton may be made of")
+    # the items come to the driver in id order; their size is checked above
     rows = benchmark.select(F.col("item_id").cast("string"), "text").orderBy("item_id", "text").toLocalIterator()
-    groups = _groups([(r[0], r[1]) for r in rows], pattern_mb << 20)
-    shared = spark.sparkContext.broadcast(groups)
-    key = hashlib.md5(repr(groups).encode("utf-8", "surrogatepass")).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(WindowAutomaton((r[0], r[1]) for r in rows))
 
     def make():
-        kept = per_worker(("windows", key), lambda: WindowAutomaton(shared.value[0])) if len(shared.value) == 1 else None
+        automaton = shared.value
 
         def run(texts: list) -> dict:
             all_words = [words_of(t) for t in texts]
-            masks: list = [None] * len(texts)
-            items: list[set] = [set() for _ in texts]
-            for automaton in [kept] if kept else map(WindowAutomaton, shared.value):
-                for k, words in enumerate(all_words):
-                    mask, ids = automaton.scan(words)
-                    if mask is not None:
-                        masks[k] = mask if masks[k] is None else masks[k] | mask
-                        items[k] |= ids
+            found = list(map(automaton.scan, all_words))
+            masks, items = [m for m, _ in found], [i for _, i in found]
             n_words, n_hit = [len(w) for w in all_words], [0 if m is None else int(m.sum()) for m in masks]
             ids = [sorted(i) for i in items]
             return {
