@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,7 +45,7 @@ TIED = [("<unk>", 0.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), (
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab cdé", max_size=14))
 def test_ties_go_as_in_the_library(text):
-    for fallback in (True,):
+    for fallback in (True, False):
         assert token_counts.CountOnlyViterbi(TIED, fallback).count(text) == len(unigram(TIED, fallback).encode(text).ids)
 
 
@@ -81,6 +82,47 @@ def test_token_id_files(spark, block_ids):
     assert simple8b.token_id_digests(spark, path + "-none").count() == 0
 
 
+def test_token_ids_with_thousands_of_partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        path = new_path(spark, "ids")
+        simple8b.write_token_ids(spark.createDataFrame([(i, f"word {i}") for i in range(300)], "doc_id long, text string"), path, WORD_BPE)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        found = sorted((tuple(r) for r in simple8b.token_id_digests(spark, path).collect()), key=lambda r: r[1])
+        assert [r[0] for r in found] == list(range(300))
+        assert simple8b.read_token_ids(spark, path).select("shard").distinct().count() > 200
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_token_ids_of_every_letter_before_marks():
+    from tokenizers import Tokenizer
+
+    t, enc = Tokenizer.from_file(WORD_BPE), simple8b.WordEncoder(WORD_BPE)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha()]
+    letters = [c for c in letters if ord(c) < 0x3400 or ord(c) % 97 == 0 or 0xA000 <= ord(c) < 0xAC00 or 0xF900 <= ord(c) < 0x11000]
+    texts = [form.format(c) for c in letters for form in ("{0}.", "a{0}, b", "{0}b{0}'s", "x{0}\u0301!?")]
+    for i in range(0, len(texts), 20_000):
+        some = texts[i : i + 20_000]
+        got_ids, want = enc.encode(pa.array(some)), t.encode_batch_fast(some, add_special_tokens=False)
+        assert [x for x, g, w in zip(some, got_ids, want, strict=True) if g.tolist() != w.ids] == []
+
+
+WORD_ENCODER = simple8b.WordEncoder(WORD_BPE, limit=200)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.text(max_size=30) | st.text("aİक़é.,'s\n 1İ़\u0307", max_size=30), max_size=6))
+def test_token_ids_of_any_text(texts):
+    from tokenizers import Tokenizer
+
+    t = WORD_ENCODER.tokenizer
+    assert isinstance(t, Tokenizer)
+    found = WORD_ENCODER.encode(pa.array(["skipped", *texts], pa.string()).slice(1))
+    assert [x.tolist() for x in found] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def encoding():
     import tiktoken
 

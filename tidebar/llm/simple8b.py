@@ -10,11 +10,11 @@ Blocks hold whole documents and close at `block_ids` ids or more, so a reader ca
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,26 +35,35 @@ def pack(values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     # densest fitting selector at each position: a narrower code needs the next `count` values all below 2**bits
+    least = np.zeros(n, np.uint8)  # the narrowest selector that holds the value alone
+    small = v.astype(np.uint32) if not (v >> np.uint64(32)).any() else v
+    for bits in BITS:
+        wide = small >> small.dtype.type(bits) != 0 if bits < 8 * small.dtype.itemsize else None
+        if wide is None or not wide.any():
+            break
+        least += wide
     best = np.full(n, len(COUNTS) - 1, np.uint8)
+    seen = np.zeros(n + 1, np.int32)
     for s in range(len(COUNTS) - 2, -1, -1):
-        count, wide = COUNTS[s], v >> np.uint64(BITS[s]) != 0
+        count = COUNTS[s]
         if n < count:
             break
-        seen = np.zeros(n + 1, np.int32)
-        np.cumsum(wide, dtype=np.int32, out=seen[1:])
+        np.cumsum(least > s, dtype=np.int32, out=seen[1:])
         fits = seen[count:] == seen[:-count]
         if not fits.any():
             break  # narrower codes hold more values, so they fit nowhere either
         best[: n - count + 1][fits] = s
-    best[v >> np.uint64(60) != 0] = ESCAPE
-    # long runs of one value of at most 32 bits
-    edges = np.flatnonzero(np.diff(v)) + 1
-    starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
-    long = (ends - starts >= LEAST_RUN) & (v[starts] >> np.uint64(32) == 0)
-    runs = {int(a): int(b) for a, b in zip(starts[long], ends[long], strict=True)}
-    step = np.array([*COUNTS, 0, 1])[best].tolist()
+    best[least >= len(COUNTS)] = ESCAPE
+    # long runs of one value of at most 32 bits; one holds two neighbours among every 30th value
+    runs: dict[int, int] = {}
+    if (v[30::30] == v[:-30:30]).any():
+        edges = np.flatnonzero(np.diff(v)) + 1
+        starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [n]])
+        long = (ends - starts >= LEAST_RUN) & (v[starts] >> np.uint64(32) == 0)
+        runs = {int(a): int(b) for a, b in zip(starts[long], ends[long], strict=True)}
+    step = np.array([*COUNTS, 0, 1], np.uint8)[best].tobytes()
     at, selectors, lengths, i = [], [], [], 0
-    add_at, sel = at.append, best.tolist()
+    add_at, sel = at.append, best.tobytes()
     if not runs:
         while i < n:
             add_at(i)
@@ -133,7 +142,8 @@ class WordEncoder:
 
     Valid for tokenizers whose normaliser lower-cases and never looks across a space or line feed, whose splitter parts letters from marks, and whose
     last token of each piece ends in "</w>", such as the word-end BPE file used here. The library encodes the new letter runs of a batch
-    together, joined by spaces, and the word ends part them again; all other new words it encodes one by one.
+    together, joined by spaces, and the word ends part them again; all other new words it encodes one by one. Marks behind a letter are
+    encoded apart only where the library itself parts them: some letters' normal form ends in a combining mark.
     """
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # without the apostrophe, which may begin a piece of letters
@@ -146,12 +156,17 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
         self.tails = Memo(lambda marks: self._ids(marks).tobytes(), 10_000)
+        self.parted = Memo(self._parts, 10_000)
         self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _parts(self, letter: str) -> bool:
+        """Does a mark behind this letter begin a new piece?"""
+        return self._ids(letter + ".").tobytes() == self._ids(letter).tobytes() + self._ids(".").tobytes()
+
     def _learn_letters(self, runs: list[str]) -> None:
         for i in range(0, len(runs), 10_000):
             part = runs[i : i + 10_000]
@@ -163,35 +178,44 @@ class WordEncoder:
             else:  # the library parts some run that Python takes for letters only
                 self.letters.update((w, self._ids(w).tobytes()) for w in part)
 
-    def _learn(self, words: set[str]) -> None:
-        found, none = [], b""
-        for w in words:
+    def _learn(self, new: set[str]) -> None:
+        words, runs, tailed, tails = [], [], [], []
+        for w in new:
             low = w.lower() if w.isascii() else w
             if low.isalpha():
-                found.append((w, low, none))
-            elif (run := low.rstrip(self.MARKS)).isalpha():
-                found.append((w, run, self.tails[low[len(run) :]]))
+                words.append(w)
+                runs.append(low)
+            elif (run := low.rstrip(self.MARKS)).isalpha() and (run[-1].isascii() or self.parted[run[-1]]):
+                tailed.append((w, run, self.tails[low[len(run) :]]))
             else:
                 self.words[w] = self._ids(w).tobytes()
         if len(self.letters) > self.limit:
             self.letters = {}
-        self._learn_letters(list({run for _, run, _ in found}.difference(self.letters)))
         letters = self.letters
-        self.words.update([(w, letters[run] + tail) for w, run, tail in found])
-
-    def encode(self, texts: list[str | None], group: int = 500) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text (null: none)."""
-        for i in range(0, len(texts), group):
-            split = [t.replace("\n", " ").split(" ") if t else [] for t in texts[i : i + group]]
-            if len(self.words) > self.limit:
-                self.words, self.older = {}, self.words
-            new = set().union(*split).difference(self.words)
-            if self.older:
-                known = new.intersection(self.older)
-                self.words.update((w, self.older[w]) for w in known)
-                new -= known
+        self._learn_letters(list({*runs, *(run for _, run, _ in tailed)}.difference(letters)))
+        self.words.update(zip(words, map(letters.__getitem__, runs), strict=True))
+        self.words.update([(w, letters[run] + tail) for w, run, tail in tailed])
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text (null: none). Arrow cuts the words and numbers them, so that each is looked up once in an array of texts."""
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        coded = words.values.dictionary_encode()
+        n = len(coded.dictionary)
+        names = pc.binary_join(pa.ListArray.from_arrays([0, n], coded.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if n else []  # words hold no space
+        if len(self.words) > self.limit:
+            self.words, self.older = {}, self.words
+        new = set(names).difference(self.words)
+        if self.older:
+            known = new.intersection(self.older)
+            self.words.update((w, self.older[w]) for w in known)
+            new -= known
+        if new:
             self._learn(new)
-            yield from (b"".join(map(self.words.__getitem__, ws)) for ws in split)
+        found = pa.array(map(self.words.__getitem__, names), pa.large_binary()).take(coded.indices)  # one after the other in one buffer
+        _, ends, data = found.buffers()
+        ids = np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4")
+        cuts = (np.frombuffer(ends, "<i8") // 4)[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist() if len(found) else [0] * (len(texts) + 1)
+        return [ids[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 BLOCK_SCHEMA = "shard int, block int, doc_ids binary, missing binary, ends binary, n_ids long, words binary"
@@ -200,17 +224,23 @@ BLOCK_SCHEMA = "shard int, block int, doc_ids binary, missing binary, ends binar
 def write_token_ids(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, block_ids: int = 1 << 18) -> None:
     """Encode every whole text (null: empty), append end_id to each document, and write Simple-8b blocks in ascending id order.
 
-    Texts are encoded where they are read; only deflated ids move, to range partitions by id. Shard k holds smaller ids than shard k + 1, and
+    Texts are encoded where they are read; only compressed ids move, to range partitions by id. Shard k holds smaller ids than shard k + 1, and
     within a shard blocks and documents ascend. Rows that share an id are all kept, side by side. A null id sorts first.
     """
+    # range bounds come from the ids alone: repartitionByRange would sample the encoded rows and so encode twice
+    cuts = range_cuts(docs, id_col, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = np.array(cuts, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = per_worker(("words", file), lambda: WordEncoder(file))
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in enc.encode(b.column(1).to_pylist())]
-            packed = [zlib.compress(b"\x04" + x.tobytes() if x.max() >> 16 else b"\x02" + x.astype("<u2").tobytes(), 1) for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(packed, pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["id", "packed", "n"])
+            own = b.column(0).cast(pa.int64())
+            part = np.searchsorted(bounds, own.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
+            ids = [np.append(x, end) for x in enc.encode(b.column(1))]
+            plain = [x.tobytes() if x.max() >> 16 else x.astype("<u2").tobytes() for x in ids]
+            packed = pa.array([pa.compress(x, "lz4", asbytes=True) for x in plain], pa.binary())
+            yield pa.RecordBatch.from_arrays([own, pa.array(part), packed, pa.array([len(x) for x in ids], pa.int64()), pa.array([len(x) for x in plain], pa.int64())], ["id", "part", "packed", "n", "size"])
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, k, ids, parts, sizes, n = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -222,10 +252,9 @@ def write_token_ids(docs: DataFrame, path: str, file: str, id_col: str = "doc_id
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for b in batches:
-            for doc, packed, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, _, packed, size, plain in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 ids.append(doc)
-                raw = zlib.decompress(packed)
-                parts.append(np.frombuffer(raw, f"<u{raw[0]}", offset=1))
+                parts.append(np.frombuffer(pa.decompress(packed, plain, "lz4"), f"<u{plain // size}"))
                 sizes.append(size)
                 n += size
                 if n >= block_ids:
@@ -235,13 +264,8 @@ def write_token_ids(docs: DataFrame, path: str, file: str, id_col: str = "doc_id
             yield close()
 
     small_batches(docs.sparkSession)
-    encoded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "id long, packed binary, n long")
-    # range bounds come from the ids alone: repartitionByRange would sample the encoded rows and so encode twice
-    cuts = range_cuts(docs, id_col, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.lit(0)
-    for cut in cuts:
-        part = part + F.coalesce((F.col("id") >= cut).cast("int"), F.lit(0))
-    dealt = encoded.repartitionById(len(cuts) + 1, part)
+    encoded = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, "id long, part int, packed binary, n long, size long")
+    dealt = encoded.repartitionById(len(cuts) + 1, F.col("part"))
     dealt.sortWithinPartitions("id", "packed").mapInArrow(block, BLOCK_SCHEMA).write.parquet(path)
 
 
