@@ -53,7 +53,31 @@ def test_lines(spark):
 
 def test_full_filter_changes_nothing(spark):
     docs = spark.createDataFrame(LINES, SCHEMA)
-    assert got(line_dedup.dropped_lines(docs, most_log2_bits=20), "id", "lines") == got(line_dedup.dropped_lines(docs), "id", "lines")
+    lost = [line_dedup.lost_lines(*line_dedup.repeated_keys(docs, most_log2_bits=bits)) for bits in (16, 30)]
+    assert got(lost[0], "id", "lines") == got(lost[1], "id", "lines") != []
+
+
+def test_lines_that_are_too_many_to_broadcast(spark):
+    columns = ["doc_id", "out.n_lines", "out.n_dropped", "out.kept"]
+    docs = spark.createDataFrame(LINES, SCHEMA).repartition(5)
+    assert got(line_dedup.dedup_lines(docs, into="out", most_broadcast=-1), *columns) == lines_brute(LINES)
+    named = docs.selectExpr("*", "1 as lost", "2 as _lost", "3 as lost_id", "4 as LOST_HASH", "5 as gone", "6 as key")
+    for most in (-1, 1 << 20):
+        found = line_dedup.dedup_lines(named, into="out", most_broadcast=most)
+        assert got(found, *columns) == lines_brute(LINES) and found.columns == [*named.columns, "out"]
+
+
+def test_keepers_with_equal_first_halves():
+    keys = [bytes([1] * 8 + [i] * 8) for i in range(5)] + [bytes([i] * 16) for i in range(2, 6)]
+    keepers = line_dedup.Keepers([(b"".join(keys), np.arange(9, dtype="<i8").tobytes())])
+    assert keepers.of(keys[::-1]).tolist() == list(range(9))[::-1] and keepers.of([bytes([1] * 8 + [9] * 8), bytes([7] * 16)]).max() < 0
+    assert line_dedup.Keepers([]).of(keys[:1]).max() < 0
+
+
+def test_segments_of_many_tasks_are_merged(spark):
+    rows = [(i, f"a line that only two documents have, {i % 300:05d}") for i in range(600)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(300)
+    assert spark.range(1).count() == 1 and line_dedup.suspects(docs, "doc_id", "text", 20, 24).count() == 600
 
 
 # ---- benchmark passages

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -108,6 +109,76 @@ class Memo(dict):
         return value
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes not to clash with a column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+_U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A well-spread 64-bit hash of 64-bit values."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _id_bits(ids: np.ndarray, log2_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mixed = _mix(ids.astype(np.int64).view(_U))
+    return mixed & _U((1 << log2_bits) - 1), _mix(mixed) & _U((1 << log2_bits) - 1)
+
+
+def id_filter(ids: DataFrame, most_log2_bits: int = 28) -> np.ndarray:
+    """A Bloom filter (two hashes, about 12 bits an id, at most 32 MB) of a long column `id`, as bytes of bits."""
+    log2_bits = min(max(int(ids.count() * 12).bit_length(), 16), most_log2_bits)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (log2_bits - 3), np.uint8)
+        for b in batches:
+            for at in _id_bits(b.column(0).to_numpy(), log2_bits):
+                np.bitwise_or.at(bits, at >> _U(3), np.uint8(1) << (at & _U(7)).astype(np.uint8))
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+
+    out = np.zeros(1 << (log2_bits - 3), np.uint8)
+    for row in ids.select("id").where("id is not null").mapInArrow(build, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ids may be in the filter: all that are, and a few others."""
+    a, b = ((bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1).astype(bool) for at in _id_bits(ids, len(bits).bit_length() + 2))
+    return a & b
+
+
+def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of a long column that is true for all values of the long column `id` of ids, and for a few others; missing counts as 0."""
+    shared = ids.sparkSession.sparkContext.broadcast(id_filter(ids))  # of bounded size
+
+    @F.pandas_udf("boolean")
+    def test(values: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(shared.value, values.to_numpy(np.int64)))
+
+    return lambda value: test(F.coalesce(value.cast("long"), F.lit(0)))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in the long column `id` of ids; rows without an id stay. Only rows that may go are shuffled."""
+    (name,) = free_names(docs, "gone")
+    maybe = may_be_among(ids)(F.col(id_col))
+    gone = ids.select(F.col("id").alias(name))
+    return docs.where(~maybe).unionByName(docs.where(maybe).join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti"))
+
+
 def crc_remainder(id_col: Column, divisor: int) -> Column:
     """crc32(id as text) mod divisor: the deterministic folds of the learned operators."""
     return F.crc32(id_col.cast("string").cast("binary")) % divisor
