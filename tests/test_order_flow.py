@@ -95,6 +95,87 @@ def test_ema_and_trendline_match_pandas(spark, some_bars):
     close_to(column(d, "trendline_60"), want.tolist(), 1e-7)
 
 
+def test_ema_of_a_long_contract(spark):
+    n = 3 * k.ema_piece(60) + 500  # far beyond where 1 / q^n leaves a double
+    x = 100 + np.cumsum(np.random.default_rng(3).normal(size=n))
+    d = spark.createDataFrame(pd.DataFrame({"contract": "A", "datetime": np.arange(n), "x": x, "_row": np.arange(1, n + 1)}))
+    found = d.withColumn("_e", k.ema_within("x", 60)).select("datetime", k.ema("_e", 60).alias("e")).toPandas().sort_values("datetime")["e"]
+    want = pd.Series(x).ewm(span=60, adjust=False, min_periods=60).mean()
+    assert found.isna().sum() == 59 and np.abs(found.to_numpy()[59:] - want.to_numpy()[59:]).max() < 1e-9
+
+
+def test_ranks_by_pieces_are_ranks(spark):
+    r = np.random.default_rng(4)
+    p = pd.DataFrame({"g": r.integers(0, 3, 3000), "x": r.integers(0, 200, 3000) / 7, "y": r.normal(size=3000)})
+    found = evaluate.ranks(spark.createDataFrame(p), ["x", "y"], ["g"], pieces=8).toPandas()
+    want = p.assign(rx=p.groupby("g")["x"].rank(), ry=p.groupby("g")["y"].rank())
+    key = ["g", "x", "y"]
+    pd.testing.assert_frame_equal(found.sort_values(key)[[*key, "rx", "ry"]].reset_index(drop=True), want.sort_values(key).reset_index(drop=True), check_dtype=False)
+
+
+def test_correlations_match_pandas(spark, some_bars):
+    names = ["bar_return", "delta_strength", "volume_burst_flag", "trend_return_48", "open_interest_zscore_60"]
+    d = features.extended(some_bars).withColumn("volume_burst_flag", F.lit(1.0))  # a constant correlates with nothing
+    p = d.toPandas()[names].astype(float)
+    x, r = p.corr(min_periods=20), p.rank().corr(min_periods=20)
+    for row in evaluate.correlations(d, names).collect():
+        for found, want in ((row["pearson_corr"], x), (row["spearman_corr"], r)):
+            w = want.loc[row["feature_a"], row["feature_b"]]
+            assert found is None if math.isnan(w) else found == pytest.approx(w, abs=1e-9)
+
+
+def test_summary_counts_rows_with_feature_and_target(spark):
+    rows = [(float(i), None if i >= 25 else i / 10, 0.0, 0.0) for i in range(30)] + [(None, 1.0, 0.0, 0.0)] * 10
+    s = evaluate.summary(spark.createDataFrame(rows, "f double, future_return_5 double, mfe_10_long double, mae_10_long double"), ["f"]).first()
+    assert (s["non_null_count"], s["valid_count"], s["coverage"], s["unique_count"], s["inf_count"]) == (30, 25, 25 / 40, 25, 0)
+    assert s["spearman_ic"] == pytest.approx(1.0) and s["top_quintile_win_rate"] == 1.0
+
+
+def test_moments_match_pandas(spark):
+    x = pd.Series(np.random.default_rng(5).exponential(size=50))
+    for n in (50, 4, 3, 2):
+        row = series(spark, x[:n].tolist()).agg(*[m.alias(c) for m, c in zip(metrics.moments(F.col("x")), "sk", strict=True)]).first()
+        for found, want in ((row["s"], x[:n].skew()), (row["k"], x[:n].kurtosis())):
+            assert found is None if math.isnan(want) else found == pytest.approx(want)
+
+
+def gains(spark, *rows):
+    """rows: combo, trades, win rate, gross, net, sum."""
+    return spark.createDataFrame([(c, "test", n, w, g, x, s, "enough_samples" if n >= 300 else "low_confidence") for c, n, w, g, x, s in rows], "combo_name string, split string, trade_count long, win_rate double, avg_gross_return double, avg_net_return double, sum_net_return double, sample_status string")
+
+
+def test_gain_labels(spark):
+    m = gains(spark, ("a", 1000, 0.52, 0.2, 0.1, 9.0), ("b", 900, 0.54, 0.3, 0.2, 12.0), ("c", 400, 0.56, 0.4, 0.3, 8.0), ("d", 350, 0.57, 0.2, 0.2, 7.0), ("e", 320, 0.50, 0.1, -0.1, -3.0), ("f", 299, 0.9, 1.0, 1.0, 9.0))
+    months = spark.createDataFrame([(c, x) for c in "abcdef" for x in ((1.0, 1.0) if c != "b" else (1.0, -1.0, -1.0))], "combo_name string, avg_net_return double")
+    found = {r["combo_name"]: r for r in metrics.gain_diagnostics(m, months, list("abcdef")).collect()}
+    assert [found[c]["effectiveness"] for c in "abcdef"] == ["absolute_effective", "unstable", "quality_improved_not_scalable", "win_rate_only", "cost_failed", "low_confidence"]
+    assert found["b"]["benchmark_combo"] == "a" and found["a"]["benchmark_combo"] is None
+    z = (0.54 - 0.52) / math.sqrt(1006 / 1900 * (1 - 1006 / 1900) * (1 / 1000 + 1 / 900))
+    assert found["b"]["win_rate_diff_z"] == pytest.approx(z) and found["b"]["win_rate_diff_p"] == pytest.approx(math.erfc(z / math.sqrt(2)), abs=1e-6)
+
+
+def test_dimension_gains(spark):
+    m = gains(spark, ("delta_only", 1000, 0.48, 0.2, -0.1, -9.0), ("poc_only", 1000, 0.49, 0.2, 0.05, 9.0), ("delta_poc", 900, 0.55, 0.3, 0.2, 12.0), ("delta_poc_position", 900, 0.52, 0.3, 0.1, 8.0))
+    tails = spark.createDataFrame([(c, s, x) for c, x in (("delta_only", 1.0), ("poc_only", 1.0), ("delta_poc", 0.9), ("delta_poc_position", 0.3)) for s in ("train", "test", "all")], "combo_name string, split string, tail_separation double")
+    shapes = metrics.distribution_diagnostics(tails, m)
+    by = {r["combo_name"]: r for r in shapes.where("split = 'test'").collect()}
+    assert (by["delta_poc"]["benchmark_combo"], by["delta_poc"]["distribution_status"]) == ("poc_only", "ok") and by["delta_only"]["benchmark_combo"] is None
+    assert by["delta_poc_position"]["distribution_status"] == "distribution_deformed" and by["delta_poc_position"]["tail_shrink_ratio"] == pytest.approx(2 / 3)
+    chosen = spark.createDataFrame([("poc_only", 1, "x", "poc"), ("poc_only", 2, "y", "poc"), ("delta_poc", 1, "x", "poc"), ("delta_poc", 2, "w", "delta")], "combo_name string, selection_order int, feature string, dimension string")
+    corr = metrics.selected_correlations(chosen, spark.createDataFrame([("y", "x", -0.9)], "feature_a string, feature_b string, spearman_corr double"))
+    assert {(r["combo_name"], r["correlation_status"], r["is_cross_dimension"]) for r in corr.collect()} == {("poc_only", "collinearity_blocked", False), ("delta_poc", "unknown", True)}
+    months = spark.createDataFrame([(c, 1.0) for c in ("delta_only", "poc_only", "delta_poc")], "combo_name string, avg_net_return double")
+    found = {r["combo_name"]: r["effectiveness"] for r in metrics.dimension_gains(m, months, corr, shapes).collect()}
+    assert found == {"delta_only": "cost_failed", "poc_only": "collinearity_blocked", "delta_poc": "incremental_effective", "delta_poc_position": "distribution_deformed"}
+
+
+def test_bootstrap_difference_is_that_of_the_means(spark):
+    rows = [(c, "A", T0 + dt.timedelta(minutes=i), T0 + dt.timedelta(minutes=i), base + (i % 5) / 10) for c, base in (("a", 0.0), ("b", 1.0), ("z", 5.0)) for i in range(60)]
+    d = spark.createDataFrame(rows, "combo_name string, contract string, signal_time timestamp, exit_time timestamp, net_return double")
+    (row,) = metrics.bootstrap_differences(d, ["a", "b"]).collect()
+    assert (row["combo_name"], row["benchmark_combo"]) == ("b", "a") and 0.9 < row["low"] <= 1.0 <= row["high"] < 1.1
+
+
 def test_average_rank(spark):
     assert column(series(spark, [1, 2, 2, 4]).withColumn("r", k.average_rank("x")), "r") == [1.0, 2.5, 2.5, 4.0]
 
@@ -198,6 +279,13 @@ def test_csv_sources(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/bars").count() == 2
 
 
+def test_numbers_are_carried_between_chunks(spark):
+    rows = [(c, (chunk << 33) + i, None if (chunk, i) in ((0, 0), (1, 0), (2, 1), (3, 0), (3, 1)) else float(10 * chunk + i)) for c in "AB" for chunk in range(4) for i in range(2)]
+    t = spark.createDataFrame([(c, s, *[x] * len(ticks.NUMERIC)) for c, s, x in rows], "contract string, seq long, " + ", ".join(f"{n} double" for n in ticks.NUMERIC)).repartition(3)
+    found = ticks.filled_forward(t).where("contract = 'A'").orderBy("seq").collect()
+    assert [r["last_price"] for r in found] == [0.0, 1.0, 1.0, 11.0, 20.0, 20.0, 20.0, 20.0] and found[0]["volume"] == 0.0
+
+
 def test_calendar():
     assert len(calendar.INSTRUMENTS) == 44 and calendar.tick_size("CU") == 10.0
     assert calendar.session_rows("au", ("21:00:00-02:30:00",)) == [("au", 75600, 95400)]
@@ -264,11 +352,31 @@ def test_sweep_grid_and_cases(spark, some_bars):
     one = simulate.barrier_trades(p, base, fit.time_split(some_bars), "long", bars=5, stop_atr=0.5, take=1.0)
     mine = t.where(F.col("case_id") == few[0]["case_id"])
     assert sorted(r["i"] for r in mine.collect()) == sorted(r["i"] for r in one.collect())
-    assert sweep.asymmetry(cases[0], cases[0], {"time_i": 4, "stop_i": 4}) == 0.0
     table = spark.createDataFrame(few)
-    train = metrics.plateau_scores(sweep.case_summary(t, table).select(*table.columns, "trade_count", "win_rate", "avg_net_return"))
-    ranked = sweep.ranking(train, sweep.case_summary(t, table, "test"), least_trades=1, top=3)
-    assert ranked.count() == 3 and {r["verification"] for r in ranked.collect()} == {"insufficient"}
+    train, test = (sweep.case_summary(t, table, s).select(*table.columns, "trade_count", "win_rate", "avg_net_return", "sum_net_return") for s in ("train", "test"))
+    scored = metrics.plateau_scores(train)
+    ranked = sweep.ranking(scored, test, least_trades=1, top=3)
+    by = {r["case_id"]: r for r in ranked.collect()}
+    best = sorted(scored.collect(), key=lambda r: (-r["plateau_score"], -r["neighbour_mean"], -r["avg_net_return"], r["case_id"]))[:3]
+    assert [by[r["case_id"]]["train_rank"] for r in best] == [1, 2, 3]
+    assert all((r["train_rank"] is None) == (r["recommendation_status"] == "test_only") for r in by.values()) and 3 <= len(by) <= 6
+    mean = {c["case_id"]: c for c in train.collect()}
+    first = best[0]
+    near = [c for c in mean.values() if c["kline_mode"] == first["kline_mode"] and abs(c["take_i"] - first["take_i"]) <= 1]
+    net = [c["avg_net_return"] for c in near]
+    want = np.mean(net) * np.mean([x > 0 for x in net]) * math.log1p(first["trade_count"]) / (np.std(net, ddof=1) + 0.1 * abs(np.mean(net)) + 1e-12)
+    assert first["plateau_score"] == pytest.approx(want)
+    chosen = sweep.best_cases(ranked, test, table)
+    same = sweep.asymmetry(chosen, chosen, {"time_i": 4, "stop_i": 4, "take_i": 4}).first()
+    assert same["asymmetry_score"] == 0.0 and same["long_selection_source"] in ("train_test_consistent", "test_only")
+
+
+def test_sweep_ends_where_bars_end(spark):
+    """The longest horizon of a sweep does not shorten the others'."""
+    d = flat(spark, 12).withColumns({"ready": F.lit(True), "stop_price_signal": F.lit(900.0), "short_stop_price_signal": F.lit(1100.0), "atr20_ticks": F.lit(3.0)})
+    cases = sweep.grid(times=(2, 9), stops=(1.0,), takes=(2.0,), klines=("none",), spaces=(False,))
+    t = sweep.sweep_trades(d, halves(spark), "long", cases, signals=lambda kline, space: F.col("ready"))
+    assert {(r["case_id"], r["i"]) for r in t.collect()} == {("case_0001", i) for i in (0, 3, 6, 9)} | {("case_0002", 0)}
 
 
 # ---- fits and metrics
@@ -280,7 +388,11 @@ def test_transform_falls_back_to_global(spark):
     by = {(r["contract"], r["feature"]): r for r in params.collect()}
     assert by["A", "f"]["scale_type"] == "mad" and by["A", "f"]["center"] == pytest.approx(49.5) and by["B", "g"]["scale_type"] == "constant"
     new = fit.standardised(spark.createDataFrame([("N", "f", 1000.0), ("N", "f", None)], "contract string, feature string, x double"), params)
+    wide = fit.with_z(spark.createDataFrame([("N", 1000.0), ("N", None), ("A", 50.0)], "contract string, f double"), params, ["f"], clipped=True)
+    found = {(r["contract"], r["f"]): r["z_f"] for r in wide.collect()}
     z = {r["x"]: r["z"] for r in new.collect()}
+    assert found["N", by[fit.GLOBAL, "f"]["upper"]] == z[1000.0] and found["N", None] is None
+    assert found["A", 50.0] == pytest.approx((50.0 - 49.5) / by["A", "f"]["scale"])
     assert z[1000.0] == pytest.approx((by[fit.GLOBAL, "f"]["upper"] - 49.5) / by[fit.GLOBAL, "f"]["scale"]) and z[None] is None
 
 

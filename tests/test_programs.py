@@ -1,15 +1,69 @@
-"""A program end to end on small bars."""
+"""Each program end to end on small bars."""
 
 import sys
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parent))
 from tests_support import small_bars
 
+from tidebar.operators import sweep
 from tidebar.plans import programs
 
 
-def test_stage1(spark, tmp_path):
-    out = programs.stage1(small_bars(spark))
+@pytest.fixture(scope="module")
+def bars(spark):
+    return small_bars(spark)
+
+
+@pytest.fixture(scope="module")
+def pack(bars):
+    return programs.stage2_pack(bars)
+
+
+def test_stage1(spark, bars, tmp_path):
+    out = programs.stage1(bars)
     programs.save({k: out[k] for k in ("selected", "metrics", "trades")}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/selected").count() == 5 and spark.read.parquet(f"{tmp_path}/trades").count() > 0
+
+
+def test_stage2(spark, bars, pack, tmp_path):
+    out = programs.stage2(bars, pack=pack)
+    programs.save({k: v for k, v in out.items() if k not in ("data", "params", "split", "summary", "correlations")}, str(tmp_path))
+    assert 1 < spark.read.parquet(f"{tmp_path}/selected").count() <= 18 and spark.read.parquet(f"{tmp_path}/trades").count() > 0
+    assert spark.read.parquet(f"{tmp_path}/audit").where("severity = 'BLOCKER' and status <> 'PASS' and category <> 'integrity'").count() == 0
+
+
+def test_gain_curve(spark, bars, pack, tmp_path):
+    out = programs.gain_curve(bars, pack=pack)
+    programs.save(out, str(tmp_path))
+    read = lambda name: spark.read.parquet(f"{tmp_path}/{name}")
+    assert {r["combo_name"] for r in read("trades").select("combo_name").distinct().collect()} == set(programs.GAIN_COMBOS)
+    gains = {r["combo_name"]: r for r in read("gains").collect()}
+    assert gains["delta_poc_position"]["benchmark_combo"] == "delta_poc" and gains["delta_poc"]["benchmark_combo"] in ("delta_only", "poc_only")
+    assert all(r["effectiveness"] == "insufficient_samples" for r in gains.values())
+    assert read("signal_distribution").count() == 3 * len(programs.GAIN_COMBOS) and read("interaction_patterns").count() >= 1
+
+
+def test_pullback(spark, bars, pack, tmp_path):
+    out = programs.pullback(bars, pack=pack)
+    programs.save(out, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/funnel").count() == 15
+    assert spark.read.parquet(f"{tmp_path}/audit").where("status <> 'PASS'").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/trades").where("combo_name = 'trend_only'").count() > 0
+
+
+def test_parameter_sweep(spark, bars, pack, tmp_path):
+    cases = sweep.grid(times=(5, 12), stops=(0.5, 1.0), takes=(1.0, 2.0), klines=("none", "full_patterns"), spaces=(False, True))
+    out = programs.parameter_sweep(bars, pack=pack, cases=cases)
+    programs.save(out, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/long_summary").count() == len(cases) and spark.read.parquet(f"{tmp_path}/comparison").count() == 2
+    assert {r["recommendation_status"] for r in spark.read.parquet(f"{tmp_path}/long_ranking").collect()} <= {"test_only"}
+    one = spark.read.parquet(f"{tmp_path}/asymmetry").first()
+    assert one["overlap_score"] + one["asymmetry_score"] == pytest.approx(1.0)
+
+
+def test_markdown_shows_what_it_leaves_out():
+    shown = programs.markdown([{"a": 1.5, "b": None}] * 3, ["a", "b"], most=2).split("\n")
+    assert shown == ["| a | b |", "|---|---|", "| 1.5 | - |", "| 1.5 | - |", "(1 more rows)"]

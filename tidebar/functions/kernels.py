@@ -78,17 +78,32 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
 
-def ema(x: str | Column, span: int, row: str = "_row") -> Column:
-    """Recursive mean with weight a = 2 / (span + 1), started at the first value, from row `span` on, as one cumulative window.
+def ema_piece(span: int) -> int:
+    """Rows that are summed at once for an exponential mean: (1 - a)^-rows stays within a double, (1 - a)^rows is far below its precision."""
+    return 200 * (span + 1)
 
-    `row` numbers the rows of a contract from 1. With q = 1 - a the mean of row k is q^k times the sum of c x q^-j over rows j up to k, where c is 1 for
-    the first row and a for others. q^-j leaves a double's range after some 700 * (span + 1) / 2 rows (over 21,000 for a span of 60): beyond
-    that `operators.indicators.ema` computes the same by rows. x must have no gaps.
+
+def ema_within(x: str | Column, span: int, row: str = "_row") -> Column:
+    """The part of `ema` that comes from the rows of a contract's piece of `ema_piece` rows, as one cumulative window.
+
+    Weight a = 2 / (span + 1), started at the first value. With q = 1 - a, the part of row k is q^k times the sum of c x q^-j over the piece's rows j up to k,
+    where c is 1 for the contract's first row and a for others. `row` numbers the rows of a contract from 1. x must have no gaps.
     """
     a = 2.0 / (span + 1)
-    q, j = F.lit(1 - a), (col(row) - 1).cast("double")
+    q, j = F.lit(1 - a), ((col(row) - 1) % ema_piece(span)).cast("double")
     share = F.when(col(row) == 1, F.lit(1.0)).otherwise(F.lit(a))
-    return F.when(col(row) >= span, F.sum(share * col(x) * F.pow(q, -j)).over(so_far()) * F.pow(q, j))
+    piece = F.floor((col(row) - 1) / ema_piece(span))
+    so_far_in_piece = Window.partitionBy(KEY, piece).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(share * col(x) * F.pow(q, -j)).over(so_far_in_piece) * F.pow(q, j)
+
+
+def ema(within: str, span: int, row: str = "_row") -> Column:
+    """Recursive mean from row `span` on, out of the column `within` of `ema_within`: a piece adds what the last one ended with, of which older ones are no
+    measurable part."""
+    a = 2.0 / (span + 1)
+    j = ((col(row) - 1) % ema_piece(span)).cast("double")
+    before = F.last(F.when(col(row) % ema_piece(span) == 0, col(within)), ignorenulls=True).over(per_contract().rowsBetween(Window.unboundedPreceding, -1))
+    return F.when(col(row) >= span, col(within) + F.coalesce(before * F.pow(F.lit(1 - a), j + 1), F.lit(0.0)))
 
 
 def fracdiff_weights(d: float = 0.4, threshold: float = 1e-4, cap: int = 200) -> list[float]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.kernels import per_contract
+from tidebar.operators.fit import Fitted, attach
 
 FINDING = ["severity", "category", "check_id", "status", "affected_rows"]
 
@@ -66,10 +67,10 @@ def head_nulls(df: DataFrame, warm_up: dict[str, int]) -> DataFrame:
     return findings(d, "isolation", {f"head_null_{v}": ("BLOCKER", F.count_if((F.col("_row") <= n) & F.col(v).isNotNull())) for v, n in warm_up.items()})
 
 
-def trade_checks(trades: DataFrame, bars: DataFrame, split: DataFrame, cost: float = 2.0) -> DataFrame:
+def trade_checks(trades: DataFrame, bars: DataFrame, split: Fitted, cost: float = 2.0) -> DataFrame:
     """Trades against the bars they name: entry at the open, returns by formula, no crossing from train to test, barriers on the right sides."""
     at = bars.select("contract", F.col("datetime").alias("entry_time"), F.col("open").alias("_open"))
-    t = trades.join(at, ["contract", "entry_time"], "left").crossJoin(F.broadcast(split))
+    t = attach(trades.join(at, ["contract", "entry_time"], "left"), split)
     gross = F.when(F.col("side") == "long", F.col("exit_price") / F.col("entry_price") - 1).otherwise(1 - F.col("exit_price") / F.col("entry_price"))
     off = lambda a, b: F.coalesce(F.abs(a - b) > 1e-10, F.lit(True))
     return findings(
@@ -143,6 +144,38 @@ def extremes(bars: DataFrame, fields: list[str], q: float = 0.999, most: int = 5
     return above.withColumn("place", place).where(F.col("place") <= most).drop("cut")
 
 
+def isolation(selected: DataFrame, train_summary: DataFrame, params: DataFrame, refitted: DataFrame, used_cuts: DataFrame, refitted_cuts: DataFrame) -> DataFrame:
+    """Checks that fitted values come from the training part only.
+
+    selected features have the training summary's coefficients; parameters and thresholds equal those fitted again on the training part; every split uses the
+    same thresholds. Each compares small fitted tables.
+    """
+    s = selected.join(train_summary.select("feature", F.col("abs_spearman_ic").alias("_ic")), "feature", "left")
+    off = lambda a, b, tolerance: F.coalesce(F.abs(a - b) > tolerance, a.isNull() != b.isNull())
+    chosen = findings(s, "isolation", {"selected_from_train_summary": ("BLOCKER", F.count_if(off(F.col("abs_spearman_ic"), F.col("_ic"), 1e-12)))})
+    values = ["lower", "upper", "center", "scale"]
+    p = params.select("contract", "feature", *values, F.lit(1).alias("_p")).join(refitted.select("contract", "feature", *[F.col(v).alias(f"_{v}") for v in values], F.lit(1).alias("_r")), ["contract", "feature"], "full_outer")
+    wrong = F.col("_p").isNull() | F.col("_r").isNull()
+    for v in values:
+        wrong = wrong | off(F.col(v), F.col(f"_{v}"), 1e-9)
+    fitted = findings(p, "isolation", {"params_from_train": ("BLOCKER", F.count_if(wrong)), "params_have_global": ("BLOCKER", F.when(F.count_if(F.col("contract") == "__GLOBAL__") > 0, 0).otherwise(1))})
+    cuts = ["long_threshold", "short_threshold"]
+    c = used_cuts.crossJoin(F.broadcast(refitted_cuts.select(*[F.col(x).alias(f"_{x}") for x in cuts])))  # one row
+    again = off(F.col(cuts[0]), F.col(f"_{cuts[0]}"), 1e-9) | off(F.col(cuts[1]), F.col(f"_{cuts[1]}"), 1e-9)
+    shared = F.count_distinct(F.struct(*cuts)) - 1
+    thresholds = findings(c, "isolation", {"thresholds_from_train": ("BLOCKER", F.count_if(again)), "thresholds_shared": ("BLOCKER", shared)})
+    return chosen.unionByName(fitted).unionByName(thresholds)
+
+
+def feature_checks(quality: DataFrame, correlations: DataFrame, selected: DataFrame, total: int, near: float = 0.95, share: float = 0.6) -> DataFrame:
+    """Features with infinite values or hardly any variance, pairs that are nearly one, and a group that holds most of the selected features."""
+    q = findings(quality, "quality", {"infinite_values": ("BLOCKER", F.count_if(F.col("inf_count") > 0)), "near_constant": ("WARNING", F.count_if((F.col("unique_count") <= 1) | (F.col("std") < 1e-12)))})
+    c = findings(correlations, "correlation", {"nearly_equal_pairs": ("WARNING", F.count_if(F.abs("spearman_corr") >= near))})
+    g = selected.groupBy("group").agg((F.count(F.lit(1)) / total).alias("_share"))
+    d = findings(g, "diversity", {"dominant_group": ("WARNING", F.count_if(F.col("_share") >= share)), "one_group_only": ("WARNING", F.when(F.count(F.lit(1)) <= 1, 1).otherwise(0))})
+    return q.unionByName(c).unionByName(d)
+
+
 def forbidden_columns(df: DataFrame, tokens: tuple[str, ...] = ("future", "mfe", "mae", "trade_return", "entry_open", "exit_close")) -> list[str]:
     """Columns whose names betray a look ahead."""
     return [c for c in df.columns if any(t in c.lower() for t in tokens)]

@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.kernels import ahead, diff, div, ema, flag, fracdiff, lag, lead, per_contract, rolling, running_sum, so_far, trailing, zscore
+from tidebar.functions.kernels import ahead, diff, div, ema, ema_within, flag, fracdiff, lag, lead, per_contract, rolling, running_sum, so_far, trailing, zscore
 
 BASE = ["contract", "datetime", "open", "high", "low", "close", "volume", "poc", "delta", "open_interest"]
 
+#: The catalogue of features by group.
 GROUPS = {
     "price_structure": ["bar_return", "close_to_prev_close_return", "gap_return", "true_range_ticks", "range_expansion_20", "body_ratio", "close_location_value", "upper_shadow_ratio", "lower_shadow_ratio", "wick_imbalance"],
     "orderflow_delta": ["delta_strength", "abs_delta_strength", "delta_zscore_20", "delta_zscore_60", "delta_change_1", "delta_accel_3", "cvd_change_5", "cvd_change_10", "cvd_change_20", "cvd_slope_20", "delta_price_agreement", "delta_price_divergence"],
@@ -85,6 +86,7 @@ def extended(bars: DataFrame, tick: float = 1.0) -> DataFrame:
     ).select(*BASE, *FEATURES)
 
 
+#: The features of stage 1.
 STAGE1 = [
     "bar_return", "range_ticks", "body_ratio", "close_position", "upper_shadow_ratio", "lower_shadow_ratio", "delta_strength", "delta_zscore_20", "volume_zscore_20", "cvd_change_10",
     "poc_distance_ticks", "poc_shift_ticks", "open_interest_change", "open_interest_zscore_20", "trend_return_12", "volatility_20", "price_delta_agreement",
@@ -107,6 +109,7 @@ def stage1(bars: DataFrame, tick: float = 1.0) -> DataFrame:
     ).select(*BASE, *STAGE1)
 
 
+#: The labels.
 LABELS = ["future_return_1", "future_return_3", "future_return_5", "future_return_10", "mfe_10_long", "mae_10_long", "entry_open_next", "exit_close_after_5", "trade_return_5_gross", "trade_return_5_net"]
 
 
@@ -159,12 +162,13 @@ def pullback(features: DataFrame, tick: float = 1.0, reward_to_risk: float = 1.5
     full = F.count("close").over(w60) == 60
     df = df.withColumns(
         {
-            "ema60": ema("close", 60), "_slope": F.when(full, F.regr_slope(c, i).over(w60)), "_mean": F.when(full, F.avg(c).over(w60)), "atr20_ticks": rolling(F.avg, "true_range_ticks", 20),
+            "_ema": ema_within("close", 60), "_slope": F.when(full, F.regr_slope(c, i).over(w60)), "_mean": F.when(full, F.avg(c).over(w60)), "atr20_ticks": rolling(F.avg, "true_range_ticks", 20),
             "pullback_low_10": rolling(F.min, "low", 10), "pullback_high_10": rolling(F.max, "high", 10), "_h1": lag("high"), "_l1": lag("low"),
             "_o1": lag("open"), "_c1": lag("close"), "_o2": lag("open", 2), "_c2": lag("close", 2), "_body1": lag("body_ratio"),
             "_clv1": lag("close_location_value"), "_clv2": lag("close_location_value", 2), "_ret1": lag("bar_return"), "_ret2": lag("bar_return", 2),
         }
     )
+    df = df.withColumns({"ema60": ema("_ema", 60)})
     df = df.withColumns(
         {
             "ema60_slope_12_ticks": (F.col("ema60") - lag("ema60", 12)) / tick / 12, "trendline_60": F.col("_mean") + F.col("_slope") * 29.5, "trendline_slope_60_ticks": F.col("_slope") / tick,

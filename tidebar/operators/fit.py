@@ -12,6 +12,22 @@ from pyspark.sql import functions as F
 GLOBAL = "__GLOBAL__"
 
 
+#: Fitted values: a table of one row, or the same values as constants.
+Fitted = DataFrame | dict[str, Column]
+
+
+def constants(fitted: DataFrame) -> dict[str, Column]:
+    """The values of a one-row table. One small job gets them, and later plans hold constants where they would hold a join."""
+    times = [f.name for f in fitted.schema if f.dataType.typeName().startswith("timestamp")]
+    row = fitted.select(*[F.col(f.name).cast("string").alias(f.name) if f.name in times else F.col(f.name) for f in fitted.schema]).first()
+    return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in fitted.schema}
+
+
+def attach(df: DataFrame, fitted: Fitted) -> DataFrame:
+    """df with the fitted values as columns."""
+    return df.withColumns(fitted) if isinstance(fitted, dict) else df.crossJoin(F.broadcast(fitted))  # one row
+
+
 def time_split(bars: DataFrame, ratio: float = 0.8) -> DataFrame:
     """One row (train_end, test_start): the last bar up to `ratio` of the time span, and the first bar after it."""
     ratio = min(max(ratio, 0.1), 0.9)
@@ -21,10 +37,10 @@ def time_split(bars: DataFrame, ratio: float = 0.8) -> DataFrame:
     return ends
 
 
-def with_split(df: DataFrame, split: DataFrame, time: str = "datetime") -> DataFrame:
+def with_split(df: DataFrame, split: Fitted, time: str = "datetime") -> DataFrame:
     """df with split: train, test, or missing for rows between the two."""
     named = F.when(F.col(time) <= F.col("train_end"), "train").when(F.col(time) >= F.col("test_start"), "test")
-    return df.crossJoin(F.broadcast(split)).withColumn("split", named).drop("train_end", "test_start")
+    return attach(df, split).withColumn("split", named).drop("train_end", "test_start")
 
 
 def transform_params(long_train: DataFrame) -> DataFrame:
@@ -58,6 +74,32 @@ def standardised(long: DataFrame, params: DataFrame) -> DataFrame:
     return j.select(*long.columns, clipped.alias("clipped"), F.try_divide(clipped - pick["center"], pick["scale"]).alias("z"))
 
 
+def standardised(long: DataFrame, params: DataFrame) -> DataFrame:
+    """long with x clipped and z = (x - centre) / scale, by the contract's own parameters or, where it has none, the global ones."""
+    own = params.where(F.col("contract") != GLOBAL)
+    all_ = params.where(F.col("contract") == GLOBAL).drop("contract")
+    names = ["lower", "upper", "center", "scale"]
+    j = long.join(own.select("contract", "feature", *[F.col(n).alias(f"own_{n}") for n in names]), ["contract", "feature"], "left")
+    j = j.join(all_.select("feature", *[F.col(n).alias(f"all_{n}") for n in names]), "feature", "left")
+    pick = {n: F.when(F.col("own_lower").isNotNull(), F.col(f"own_{n}")).otherwise(F.col(f"all_{n}")) for n in names}
+    clipped = F.when(F.col("x").isNotNull(), F.greatest(pick["lower"], F.least("x", pick["upper"])))
+    return j.select(*long.columns, clipped.alias("clipped"), F.try_divide(clipped - pick["center"], pick["scale"]).alias("z"))
+
+
+def with_z(df: DataFrame, params: DataFrame, names: list[str], clipped: bool = False) -> DataFrame:
+    """df with z_<name> of each feature, as `standardised` but on wide rows: the parameters become one row per contract. `clipped` clips the features as well."""
+    values = ["lower", "upper", "center", "scale"]
+    wide = params.groupBy("contract").pivot("feature", names).agg(*[F.first(v).alias(v) for v in values])
+    cells = [f"{n}_{v}" for n in names for v in values]
+    own = wide.where(F.col("contract") != GLOBAL).select("contract", *[F.col(f"`{c}`").alias(f"_own_{c}") for c in cells])
+    all_ = wide.where(F.col("contract") == GLOBAL).select(*[F.col(f"`{c}`").alias(f"_all_{c}") for c in cells])
+    j = df.join(own, "contract", "left").join(F.broadcast(all_), F.lit(True), "left")  # one row
+    pick = lambda n, v: F.when(F.col(f"_own_{n}_lower").isNotNull(), F.col(f"_own_{n}_{v}")).otherwise(F.col(f"_all_{n}_{v}"))
+    bounded = {n: F.when(F.col(n).isNotNull(), F.greatest(pick(n, "lower"), F.least(F.col(n).cast("double"), pick(n, "upper")))) for n in names}
+    kept = [bounded[c].alias(c) if clipped and c in bounded else F.col(c) for c in df.columns]
+    return j.select(*kept, *[F.try_divide(bounded[n] - pick(n, "center"), pick(n, "scale")).alias(f"z_{n}") for n in names])
+
+
 def weighted_score(features: dict[str, list[tuple[str, float, float]]]) -> Column:
     """Mean over groups of the signed, weighted sums of z columns: {group: [(z column, sign, weight)]}.
 
@@ -76,10 +118,10 @@ def risk_limits(train: DataFrame) -> DataFrame:
     return train.agg(F.percentile("true_range_ticks", F.lit(0.995)).alias("max_range"), F.percentile(F.abs("poc_shift_ticks"), F.lit(0.995)).alias("max_poc_shift"))
 
 
-def risk_pass(limits: DataFrame, df: DataFrame, score: str = "signal_score") -> DataFrame:
+def risk_pass(limits: Fitted, df: DataFrame, score: str = "signal_score") -> DataFrame:
     """df with risk_pass: a score, some volume, no extreme range or shift, and an entry and exit to come."""
     ok = F.col(score).isNotNull() & (F.col("volume") > 0) & (F.col("true_range_ticks") <= F.col("max_range")) & (F.abs("poc_shift_ticks") <= F.col("max_poc_shift")) & F.col("entry_open_next").isNotNull() & F.col("exit_close_after_5").isNotNull()
-    return df.crossJoin(F.broadcast(limits)).withColumn("risk_pass", F.coalesce(ok, F.lit(False))).drop("max_range", "max_poc_shift")
+    return attach(df, limits).withColumn("risk_pass", F.coalesce(ok, F.lit(False))).drop("max_range", "max_poc_shift")
 
 
 def thresholds(train: DataFrame, score: str = "signal_score", high: float = 0.85, low: float = 0.15) -> DataFrame:
@@ -92,7 +134,7 @@ def select_features(summary: list[dict], corr: dict[tuple[str, str], float], gro
     First the best of each group in order of group names, then one at a time the candidate with the greatest |IC| - penalty * s * mean correlation to the chosen
     + spread * s if its group is empty, where s is the median |IC|. No chosen pair may correlate above corr_cap, and no group may hold over group_share of all.
     """
-    ic = {r["feature"]: abs(r["spearman_ic"]) for r in summary if r["coverage"] >= coverage and r["unique_count"] >= unique and r["spearman_ic"]}
+    ic = {r["feature"]: abs(r["spearman_ic"]) for r in summary if r["coverage"] >= coverage and r["unique_count"] >= unique and not r.get("inf_count") and r["spearman_ic"]}
     order = sorted(ic, key=lambda f: (-ic[f], f))
     if not order:
         return []

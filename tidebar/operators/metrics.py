@@ -37,10 +37,11 @@ def equity_curve(trades: DataFrame, keys: list[str]) -> DataFrame:
     return trades.select(*keys, "contract", "signal_time", "exit_time", F.sum("net_return").over(w).alias("equity"))
 
 
-def cost_sensitivity(trades: DataFrame, ticks: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0), tick: float = 1.0) -> DataFrame:
+def cost_sensitivity(trades: DataFrame, ticks: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0), tick: float = 1.0, keys: list[str] | None = None) -> DataFrame:
+    """Per keys, cost and split: the metrics had each trade cost so many ticks."""
     costs = F.explode(F.array(*[F.lit(float(x)) for x in ticks])).alias("cost_ticks")
     t = with_all(trades).select("*", costs)
-    return strategy_metrics(t.withColumn("net_return", F.col("gross_return") - F.col("cost_ticks") * tick / F.col("entry_price")), ["cost_ticks", "split"])
+    return strategy_metrics(t.withColumn("net_return", F.col("gross_return") - F.col("cost_ticks") * tick / F.col("entry_price")), [*(keys or []), "cost_ticks", "split"])
 
 
 def monthly(trades: DataFrame, keys: list[str], pattern: str = "yyyy-MM") -> DataFrame:
@@ -56,11 +57,114 @@ def overlaps(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return t.groupBy(*keys).agg(F.count(F.lit(1)).alias("trade_count"), F.count_if("_overlap").alias("overlap_count"))
 
 
-def sample_confidence(metrics: DataFrame, low: int = 100, good: int = 300) -> DataFrame:
-    """metrics with the standard error of the win rate, its 95 % interval within 0..1, and a status by trade count."""
-    se = F.sqrt(F.col("win_rate") * (1 - F.col("win_rate")) / F.col("trade_count"))
-    status = F.when(F.col("trade_count") < low, "insufficient").when(F.col("trade_count") < good, "low_confidence").otherwise("sufficient")
-    return metrics.withColumns({"win_rate_se": se, "win_rate_low": F.greatest(F.lit(0.0), F.col("win_rate") - 1.96 * se), "win_rate_high": F.least(F.lit(1.0), F.col("win_rate") + 1.96 * se), "sample_status": status})
+def sample_confidence(metrics: DataFrame, low: int = 100, good: int = 300, every_split: bool = False) -> DataFrame:
+    """metrics with the standard error of the win rate, its 95 % interval within 0..1, and a status by trade count (of the test part only, unless every_split)."""
+    n, rate = F.col("trade_count"), F.col("win_rate")
+    se = F.sqrt(rate * (1 - rate) / n)
+    judged = F.lit(True) if every_split else F.col("split") == "test"
+    status = F.when((n == 0) | rate.isNull(), F.when(judged, "insufficient_samples").otherwise("no_samples")).when(judged & (n < low), "insufficient_samples").when(judged & (n < good), "low_confidence").otherwise("enough_samples")
+    return metrics.withColumns({"win_rate_se": se, "win_rate_low": F.greatest(F.lit(0.0), rate - 1.96 * se), "win_rate_high": F.least(F.lit(1.0), rate + 1.96 * se), "sample_status": status})
+
+
+def positive_months(monthly_trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Per keys: the share of months with a mean net return above 0."""
+    return monthly_trades.groupBy(*keys).agg(F.avg((F.col("avg_net_return") > 0).cast("double")).alias("positive_month_share"))
+
+
+def moments(x: Column) -> tuple[Column, Column]:
+    """Aggregates: skew and excess kurtosis corrected for bias; missing for fewer than 3 and 4 values, 0 where all are equal."""
+    n = F.count(x)
+    flat = F.coalesce(F.stddev_pop(x), F.lit(0.0)) == 0
+    skew = F.when(n >= 3, F.when(flat, 0.0).otherwise(F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)))
+    kurtosis = F.when(n >= 4, F.when(flat, 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6)))
+    return skew, kurtosis
+
+
+#: Quantiles of a signal's distribution; fixed values.
+SHOWN_QUANTILES = (0.01, 0.05, 0.15, 0.5, 0.85, 0.95, 0.99)
+
+
+def signal_distribution(scored: DataFrame, keys: list[str], cuts: list[str], score: str = "signal_score") -> DataFrame:
+    """Per keys: count, mean, deviation, bias-corrected skew and kurtosis, and quantiles of the scores that pass the risk filter, with the thresholds `cuts`
+    (long, short) of the keys, their distance and their mean size."""
+    x = F.col(score)
+    skew, kurtosis = moments(x)
+    q = F.percentile(x, F.array(*map(F.lit, SHOWN_QUANTILES)))
+    g = scored.where("risk_pass").groupBy(*keys).agg(F.count(x).alias("signal_count"), F.avg(x).alias("score_mean"), F.stddev_pop(x).alias("score_std"), skew.alias("score_skew"), kurtosis.alias("score_kurtosis"), q.alias("q"), *[F.first(c).alias(c) for c in cuts])
+    long, short = map(F.col, cuts)
+    shown = [F.get("q", F.lit(k)).alias(f"score_p{round(100 * p):02d}") for k, p in enumerate(SHOWN_QUANTILES)]
+    return g.select(*keys, "signal_count", "score_mean", "score_std", "score_skew", "score_kurtosis", *shown, *cuts, (long - short).alias("tail_separation"), ((F.abs(long) + F.abs(short)) / 2).alias("threshold_abs_mean"))
+
+
+def distribution_diagnostics(distribution: DataFrame, summary: DataFrame, most: float = 0.40) -> DataFrame:
+    """distribution with benchmark_combo, tail_shrink_ratio and distribution_status: how far a combination's thresholds moved together against its benchmark's.
+
+    delta_poc is held against the better test result of delta_only and poc_only, delta_poc_position against delta_poc. A shrink above `most` is tail_compressed,
+    and distribution_deformed where the net return did not gain.
+    """
+    test = summary.where("split = 'test'").select("combo_name", F.col("avg_net_return").alias("net"), F.col("win_rate").alias("rate"))
+    tails = distribution.where("split = 'train'").select("combo_name", F.col("tail_separation").alias("tail"))
+    facts = tails.join(test, "combo_name", "left")
+    single = facts.where(F.col("combo_name").isin("delta_only", "poc_only") & F.col("net").isNotNull())
+    single = single.groupBy().agg(F.max_by("combo_name", F.struct("net", "rate")).alias("benchmark_combo"), F.count(F.lit(1)).alias("n")).where("n = 2")
+    chosen = single.select(F.lit("delta_poc").alias("combo_name"), "benchmark_combo").union(single.select(F.lit("delta_poc_position"), F.lit("delta_poc")))
+    base = facts.select(F.col("combo_name").alias("benchmark_combo"), F.col("tail").alias("base_tail"), F.col("net").alias("base_net"))
+    pair = chosen.join(facts, "combo_name").join(base, "benchmark_combo").where("tail is not null and base_tail <> 0")
+    shrink = 1 - F.col("tail") / F.col("base_tail")
+    status = F.when((shrink > most) & (F.col("net") <= F.col("base_net")), "distribution_deformed").when(shrink > most, "tail_compressed").otherwise("ok")
+    pair = pair.select("combo_name", "benchmark_combo", shrink.alias("tail_shrink_ratio"), status.alias("distribution_status"))
+    return distribution.join(F.broadcast(pair), "combo_name", "left").withColumn("distribution_status", F.coalesce("distribution_status", F.lit("ok")))
+
+
+def dimension_gains(summary: DataFrame, monthly_test: DataFrame, correlation: DataFrame, distribution: DataFrame, bar: float = 0.01) -> DataFrame:
+    """The test rows of summary (metrics with sample_status by combo_name) with the gains over distribution's benchmark_combo, the worst correlation
+    status within the combination, the share of good months, and an effectiveness label."""
+    own = correlation.groupBy("combo_name").agg(
+        F.max("abs_spearman_corr").alias("max_selected_abs_corr"), F.bool_or(F.col("correlation_status") == "collinearity_blocked").alias("_blocked"), F.bool_or(F.col("correlation_status") == "collinearity_warning").alias("_warned"),
+    )
+    shape = distribution.where("split = 'test'").select("combo_name", "benchmark_combo", "tail_shrink_ratio", "distribution_status")
+    test = summary.where("split = 'test'")
+    base = test.select(F.col("combo_name").alias("benchmark_combo"), F.col("win_rate").alias("_rate"), F.col("avg_net_return").alias("_net"))
+    t = test.join(shape, "combo_name", "left").join(base, "benchmark_combo", "left").join(own, "combo_name", "left").join(positive_months(monthly_test, ["combo_name"]), "combo_name", "left")
+    t = t.withColumns({"win_rate_gain": F.col("win_rate") - F.col("_rate"), "avg_net_gain": F.col("avg_net_return") - F.col("_net")})
+    t = t.withColumn("collinearity_status", F.when(F.col("_blocked"), "collinearity_blocked").when(F.col("_warned"), "collinearity_warning").otherwise("ok"))
+    gain, net = F.col("win_rate_gain"), F.col("avg_net_gain")
+    cost = (F.col("avg_gross_return") > 0) & (F.col("avg_net_return") <= 0)
+    best = F.when((F.col("win_rate") > 0.5) & (F.col("avg_net_return") > 0), "absolute_effective").otherwise("ineffective")
+    against = F.when((gain >= bar) & (net > 0), "incremental_effective").when((gain > 0) & (net <= 0), "win_rate_only").when(cost, "cost_failed").when((gain <= 0) & (net <= 0), "ineffective").otherwise(best)
+    label = F.when(gain.isNotNull(), against).when(cost, "cost_failed").otherwise(best)
+    steady = F.coalesce(F.col("positive_month_share"), F.lit(0.0)) >= 0.5
+    final = (
+        F.when(F.col("sample_status") == "insufficient_samples", "insufficient_samples").when(F.col("_blocked"), "collinearity_blocked").when(F.col("distribution_status") == "distribution_deformed", "distribution_deformed")
+        .when(label.isin("absolute_effective", "incremental_effective") & ~steady, "unstable").otherwise(label)
+    )
+    return t.withColumn("effectiveness", final).drop("_rate", "_net", "_blocked", "_warned")
+
+
+def case_effectiveness(test: DataFrame) -> DataFrame:
+    """Test metrics with sample_status, with an effectiveness label of their own."""
+    status = F.col("sample_status")
+    label = F.when(status != "enough_samples", status).when((F.col("win_rate") > 0.5) & (F.col("avg_net_return") > 0) & (F.col("sum_net_return") > 0), "absolute_effective").when((F.col("avg_gross_return") > 0) & (F.col("avg_net_return") <= 0), "cost_failed")
+    return test.withColumn("effectiveness", label.otherwise("ineffective"))
+
+
+def selected_correlations(selected: DataFrame, corr: DataFrame, cap: float = 0.85, warn: float = 0.70) -> DataFrame:
+    """Pairs of features within a combination by selection order, with their Spearman correlation and its status."""
+    side = lambda s: selected.select("combo_name", F.col("selection_order").alias(f"order_{s}"), F.col("feature").alias(f"feature_{s}"), F.col("dimension").alias(f"dimension_{s}"))
+    pairs = side("a").join(side("b"), "combo_name").where("order_a < order_b")
+    both = corr.select("feature_a", "feature_b", "spearman_corr").union(corr.select("feature_b", "feature_a", "spearman_corr"))
+    size = F.abs("spearman_corr")
+    status = F.when(size.isNull(), "unknown").when(size > cap, "collinearity_blocked").when(size >= warn, "collinearity_warning").otherwise("ok")
+    out = pairs.join(both, ["feature_a", "feature_b"], "left")
+    return out.select("combo_name", "feature_a", "dimension_a", "feature_b", "dimension_b", "spearman_corr", size.alias("abs_spearman_corr"), (F.col("dimension_a") != F.col("dimension_b")).alias("is_cross_dimension"), status.alias("correlation_status"))
+
+
+def interaction_patterns(df: DataFrame, delta: str, poc: str, position: str, target: str = "future_return_5") -> DataFrame:
+    """By the agreement of three scores' signs: rows, mean and median of the target, and the share above 0."""
+    d, p, x = (F.signum(F.col(c)) for c in (delta, poc, position))
+    pattern = F.when((d == p) & (p == x), "all_same_direction").when(d == p, "delta_poc_same").otherwise("delta_poc_conflict")
+    known = df.dropna(subset=[delta, poc, position, target])
+    return known.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("rows"), F.avg(target).alias("mean_return"), F.median(target).alias("median_return"), F.avg((F.col(target) > 0).cast("double")).alias("positive_rate"))
 
 
 def exit_reasons(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,28 +197,82 @@ def block_bootstrap(trades: DataFrame, keys: list[str], samples: int = 500, seed
 
     def draw(group: pd.DataFrame) -> pd.DataFrame:
         x = group.sort_values(["exit_time", "contract", "signal_time"])["net_return"].to_numpy(float)
-        size = min(len(x), max(5, round(len(x) ** 0.5)))
-        starts = np.random.default_rng(seed).integers(0, len(x) - size + 1, (samples, -(-len(x) // size)))
-        means = x[(starts[:, :, None] + np.arange(size)).reshape(samples, -1)[:, : len(x)]].mean(1)
-        low, high = np.quantile(means, [0.025, 0.975])
+        rng = np.random.default_rng(seed)
+        size = block_size(len(x))
+        low, high = np.quantile([moving_block(x, size, rng).mean() for _ in range(samples)], [0.025, 0.975])
         return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "trades": [len(x)], "mean": [x.mean()], "low": [low], "high": [high]})
 
     return trades.groupBy(*keys).applyInPandas(draw, schema)
 
 
+def block_size(n: int) -> int:
+    return min(n, max(5, round(n**0.5)))
+
+
+def moving_block(x: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """A sample as long as x of runs of `size` values from random places."""
+    size = max(1, min(size, len(x)))
+    starts = rng.integers(0, len(x) - size + 1, -(-len(x) // size))
+    return x[(starts[:, None] + np.arange(size)).ravel()[: len(x)]]
+
+
+def bootstrap_differences(trades: DataFrame, combos: list[str], samples: int = 500, seed: int = 20260528) -> DataFrame:
+    """(combo_name, benchmark_combo, low, high): a 95 % interval of the difference of mean net returns between each combination and the one before it in
+    combos, from moving blocks of both by exit time, drawn in turn. A group holds the trades of two combinations, which are few beside bars."""
+    pairs = [(a, b) for b, a in zip(combos, combos[1:], strict=False)]
+    member = F.filter(F.array(*[F.when(F.col("combo_name").isin(*p), F.struct(F.lit(p[0]).alias("combo"), F.lit(p[1]).alias("benchmark"))) for p in pairs]), lambda x: x.isNotNull())
+    t = trades.select("combo_name", "contract", "signal_time", "exit_time", "net_return", F.explode(member).alias("pair")).select("*", "pair.*").drop("pair")
+
+    def draw(group: pd.DataFrame) -> pd.DataFrame:
+        g = group.sort_values(["exit_time", "contract", "signal_time"])
+        combo, benchmark = group["combo"].iloc[0], group["benchmark"].iloc[0]
+        x, y = (g.loc[g["combo_name"] == n, "net_return"].to_numpy(float) for n in (combo, benchmark))
+        low = high = None
+        if len(x) and len(y):
+            rng, size = np.random.default_rng(seed), max(5, round(min(len(x), len(y)) ** 0.5))
+            low, high = np.quantile([moving_block(x, size, rng).mean() - moving_block(y, size, rng).mean() for _ in range(samples)], [0.025, 0.975])
+        return pd.DataFrame({"combo_name": [combo], "benchmark_combo": [benchmark], "low": [low], "high": [high]})
+
+    return t.groupBy("combo", "benchmark").applyInPandas(draw, "combo_name string, benchmark_combo string, low double, high double")
+
+
+def gain_diagnostics(summary: DataFrame, monthly_test: DataFrame, combos: list[str]) -> DataFrame:
+    """The test rows of summary (metrics with sample_status by combo_name) held against the combination before: gains, z and p of the win rates, the share
+    of good months, and an effectiveness label."""
+    order = F.array_position(F.array(*map(F.lit, combos)), F.col("combo_name"))
+    w = Window.orderBy("_order")  # a row per combination
+    figures = ["combo_name", "trade_count", "win_rate", "avg_net_return", "sum_net_return"]
+    t = summary.where("split = 'test'").withColumn("_order", order).join(positive_months(monthly_test, ["combo_name"]), "combo_name", "left")
+    t = t.withColumns({f"_was_{c}": F.lag(c).over(w) for c in figures})
+    wins = lambda p: F.round(F.col(f"{p}win_rate") * F.col(f"{p}trade_count"))
+    z, p = two_proportions(wins(""), F.col("trade_count"), wins("_was_"), F.col("_was_trade_count"))
+    t = t.withColumns({"benchmark_combo": F.col("_was_combo_name"), "win_rate_gain": F.col("win_rate") - F.col("_was_win_rate"), "avg_net_gain": F.col("avg_net_return") - F.col("_was_avg_net_return"), "sum_net_gain": F.col("sum_net_return") - F.col("_was_sum_net_return"), "win_rate_diff_z": z})
+    t = t.withColumn("win_rate_diff_p", p)
+    gross_only = (F.col("avg_gross_return") > 0) & (F.col("avg_net_return") <= 0)
+    gain, net, total = F.col("win_rate_gain"), F.col("avg_net_gain"), F.col("sum_net_gain")
+    against = F.when((gain >= 0.01) & (net > 0) & (total >= 0), "incremental_effective").when((gain > 0) & (net > 0) & (total < 0), "quality_improved_not_scalable").when((gain > 0) & (net <= 0), "win_rate_only").when(gross_only, "cost_failed").otherwise("ineffective")
+    alone = F.when((F.col("win_rate") > 0.5) & (F.col("avg_net_return") > 0) & (F.col("sum_net_return") > 0), "absolute_effective").when(gross_only, "cost_failed").otherwise("ineffective")
+    label = F.when(F.col("benchmark_combo").isNotNull(), against).otherwise(alone)
+    stable = F.when(label.isin("absolute_effective", "incremental_effective") & (F.col("positive_month_share") < 0.5), "unstable").otherwise(label)
+    status = F.col("sample_status")
+    t = t.withColumn("effectiveness", F.when(status.isin("insufficient_samples", "low_confidence"), status).otherwise(stable))
+    return t.drop("_order", *[f"_was_{c}" for c in figures])
+
+
 def plateau_scores(cases: DataFrame, axes: tuple[str, ...] = ("time_i", "stop_i", "take_i"), same: tuple[str, ...] = ("kline_mode", "space_filter_on")) -> DataFrame:
     """cases with a score of their neighbourhood: cases equal in `same` and at most one step away on each axis, themselves included.
 
-    mean * share of positive * log(1 + trades) / (deviation + |mean| / 10), over the neighbours' mean net returns.
+    mean * share of positive * log(1 + the case's own trades) / (deviation + |mean| / 10), over the neighbours' mean net returns.
     """
-    near = cases.select(*same, *[F.col(a).alias(f"near_{a}") for a in axes], F.col("avg_net_return").alias("near_net"), F.col("trade_count").alias("near_trades"))
+    near = cases.select(*same, *[F.col(a).alias(f"near_{a}") for a in axes], F.col("avg_net_return").alias("near_net"))
     close = F.lit(True)
     for a in axes:
         close = close & (F.abs(F.col(a) - F.col(f"near_{a}")) <= 1)
     j = cases.join(near, [*same]).where(close)
     mean, std = F.avg("near_net"), F.coalesce(F.stddev_samp("near_net"), F.lit(0.0))
-    score = mean * F.avg((F.col("near_net") > 0).cast("double")) * F.log1p(F.greatest(F.sum("near_trades"), F.lit(1))) / (std + 0.1 * F.abs(mean) + 1e-12)
-    return j.groupBy(*cases.columns).agg(F.count(F.lit(1)).alias("neighbours"), mean.alias("neighbour_mean"), std.alias("neighbour_std"), score.alias("plateau_score"))
+    positive = F.avg((F.col("near_net") > 0).cast("double"))
+    score = mean * positive * F.log1p(F.greatest(F.col("trade_count"), F.lit(1))) / (std + 0.1 * F.abs(mean) + 1e-12)
+    return j.groupBy(*cases.columns).agg(F.count(F.lit(1)).alias("neighbours"), mean.alias("neighbour_mean"), std.alias("neighbour_std"), positive.alias("neighbour_positive"), score.alias("plateau_score"))
 
 
 def against_baseline(cases: DataFrame, column: str, baseline, same: list[str], value: str = "avg_net_return") -> DataFrame:

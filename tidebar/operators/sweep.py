@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebar.functions.kernels import flag
 from tidebar.operators import metrics
-from tidebar.operators.simulate import barrier_exits, greedy, gross_return
+from tidebar.operators.fit import Fitted
+from tidebar.operators.simulate import ahead_of, barrier_exits, closed_trades
 
 TIMES, STOPS, TAKES = (5, 12, 24, 36), (0.5, 0.75, 1.0, 1.25), (1.0, 1.5, 2.0, 2.5)
 KLINE_MODES, SPACE = ("none", "strong_close_only", "full_patterns"), (False, True)
@@ -32,40 +34,71 @@ def signal(side: str, kline: str, space: bool) -> Column:
     return base & F.col(f"{p}space_filter_pass") if space else base
 
 
-def sweep_trades(features: DataFrame, split: DataFrame, side: str, cases: list[dict], tick: float = 1.0, cost: float = 2.0, signals: Callable[[str, bool], Column] | None = None) -> DataFrame:
-    """Trades of every case. Each distinct (time, stop, take) is resolved once, over the windows that all share one sort; rows without any signal
-    drop out before cases multiply them, and the greedy pass runs once for all cases. `signals` gives another signal by K-line mode and space filter."""
+def sweep_trades(features: DataFrame, split: Fitted, side: str, cases: list[dict], tick: float = 1.0, cost: float = 2.0, signals: Callable[[str, bool], Column] | None = None) -> DataFrame:
+    """Trades of every case in one pass: rows without any signal drop out, the rest meet each distinct (time, stop, take) once, and its exit serves all
+    cases whose signal holds there. `signals` gives another signal by K-line mode and space filter."""
     chosen = signals or (lambda kline, space: signal(side, kline, space))
-    keep = ["contract", "datetime", "i", "entry_time", "entry_price", "exit_time", "exit_price", "exit_i", "exit_reason", "holding_bars", "cases"]
-    parts = None
-    for t, s, p in sorted({(c["time_barrier_bars"], c["stop_atr_multiple"], c["take_profit_multiple"]) for c in cases}):
-        mine = [c for c in cases if (c["time_barrier_bars"], c["stop_atr_multiple"], c["take_profit_multiple"]) == (t, s, p)]
-        hit = F.filter(F.array(*[F.when(chosen(c["kline_mode"], c["space_filter_on"]), F.lit(c["case_id"])) for c in mine]), lambda x: x.isNotNull())
-        exits = barrier_exits(features.withColumn("cases", hit), side, t, s, p, tick).where(F.size("cases") > 0).select(*keep)
-        parts = exits if parts is None else parts.unionByName(exits)
-    out = parts.withColumn("case_id", F.explode("cases")).drop("cases").crossJoin(F.broadcast(split))
-    named = F.when(F.col("datetime") <= F.col("train_end"), "train").when(F.col("datetime") >= F.col("test_start"), "test")
-    out = out.withColumn("split", named).where("split is not null").where(~((F.col("datetime") <= F.col("train_end")) & (F.col("exit_time") >= F.col("test_start"))))
-    gross = gross_return(F.lit(side), F.col("entry_price"), F.col("exit_price"))
-    out = out.select("case_id", "contract", F.lit(side).alias("side"), F.col("datetime").alias("signal_time"), "entry_time", "exit_time", "entry_price", "exit_price", gross.alias("gross_return"), (gross - cost * tick / F.col("entry_price")).alias("net_return"), "exit_reason", "holding_bars", "split", "i", (F.col("exit_i") + 1).alias("next_i"))
-    return greedy(out, ["case_id", "contract"]).drop("next_i")
+    masks = sorted({(c["kline_mode"], c["space_filter_on"]) for c in cases})
+    held = F.filter(F.array(*[F.when(flag(chosen(k, s)), F.lit(f"{k}|{s}")) for k, s in masks]), lambda x: x.isNotNull())
+    rows = ahead_of(features, max(c["time_barrier_bars"] for c in cases)).withColumn("_masks", held).where(F.size("_masks") > 0)
+    configs = sorted({(c["time_barrier_bars"], c["stop_atr_multiple"], c["take_profit_multiple"]) for c in cases})
+    config = F.explode(F.array(*[F.struct(F.lit(t).alias("bars"), F.lit(float(s)).alias("stop"), F.lit(float(p)).alias("take")) for t, s, p in configs]))
+    needed = ["contract", "datetime", "i", "entry_time", "entry_price", "atr20_ticks", "stop_price_signal", "short_stop_price_signal", "_ahead", "_masks"]
+    exits = barrier_exits(rows.select(*needed, config.alias("_c")), side, F.col("_c.bars"), F.col("_c.stop"), F.col("_c.take"), tick).withColumn("_mask", F.explode("_masks"))
+    ids = [x for c in cases for x in (F.lit("|".join([str(c["time_barrier_bars"]), str(float(c["stop_atr_multiple"])), str(float(c["take_profit_multiple"])), c["kline_mode"], str(c["space_filter_on"])])), F.lit(c["case_id"]))]
+    of = F.concat_ws("|", F.col("_c.bars").cast("string"), F.col("_c.stop").cast("string"), F.col("_c.take").cast("string"), F.col("_mask"))
+    out = exits.withColumn("case_id", F.element_at(F.create_map(*ids), of)).where("case_id is not null").drop("_masks", "_mask", "_c")
+    return closed_trades(out, ["case_id"], split, side, cost * tick)
 
 
 def case_summary(trades: DataFrame, cases: DataFrame, split: str = "train") -> DataFrame:
     """Every case with its metrics in one split; a case without trades has none."""
     m = metrics.strategy_metrics(trades.where(F.col("split") == split), ["case_id"])
-    return F.broadcast(cases).join(m, "case_id", "left").withColumn("trade_count", F.coalesce("trade_count", F.lit(0)))
+    return F.broadcast(cases).join(m, "case_id", "left").withColumn("trade_count", F.coalesce("trade_count", F.lit(0)))  # a row per case of the grid
 
 
 def ranking(train: DataFrame, test: DataFrame, least_trades: int = 300, top: int = 20) -> DataFrame:
-    """The best training cases by plateau score, each with its figures in the test part."""
-    best = train.where(F.col("trade_count") >= least_trades).orderBy(F.desc("plateau_score"), "case_id").limit(top)
-    shown = test.select("case_id", F.col("trade_count").alias("test_trade_count"), F.col("avg_net_return").alias("test_avg_net_return"))
-    verdict = F.when(F.coalesce("test_trade_count", F.lit(0)) < 100, "insufficient").when(F.col("test_avg_net_return") > 0, "confirmed").otherwise("failed")
-    return best.join(shown, "case_id", "left").withColumn("verification", verdict)
-
-
-def asymmetry(best_long: dict, best_short: dict, sizes: dict[str, int]) -> float:
-    """1 - the mean likeness of two cases' grid places: 1 - |difference| / (steps - 1) on each axis."""
-    like = [1 - abs(best_long[a] - best_short[a]) / max(n - 1, 1) for a, n in sizes.items()]
-    return 1 - sum(like) / len(like)
+    """The best training cases by plateau score with their figures in the test part, and behind them the best test cases that are not among them.
+
+    recommendation_status: train_test_consistent, not_verified, train_not_passed, or test_only for the latter, which have no train_rank. Both tables have a
+    row per case of the grid.
+    """
+    by = lambda *names: [F.round(c, 9).desc_nulls_last() for c in names]  # noqa: E731  scores that differ only in the last bits are ties
+    order = by("plateau_score", "neighbour_mean", "avg_net_return")
+    place = F.row_number().over(Window.orderBy(*order, "case_id"))
+    best = train.where(F.col("trade_count") >= least_trades).withColumn("train_rank", place).where(F.col("train_rank") <= top)
+    best = best.select("train_rank", "case_id", F.col("avg_net_return").alias("train_avg_net_return"), F.col("sum_net_return").alias("train_sum_net_return"), "neighbour_mean", "neighbour_positive", "plateau_score")
+    figures = ["trade_count", "win_rate", "avg_net_return", "sum_net_return"]
+    good = flag((F.col("train_avg_net_return") > 0) & (F.col("train_sum_net_return") > 0) & (F.col("neighbour_mean") > 0) & (F.col("neighbour_positive") >= 0.5))
+    holds = flag((F.col("avg_net_return") > 0) & (F.col("sum_net_return") > 0))
+    status = F.when(good & holds, "train_test_consistent").when(good, "not_verified").otherwise("train_not_passed")
+    verified = best.join(test.select("case_id", *figures), "case_id", "left").withColumn("recommendation_status", status)
+    seen = F.row_number().over(Window.orderBy(*by("avg_net_return", "sum_net_return", "win_rate"), "case_id"))
+    only = test.select("case_id", *figures, seen.alias("_seen")).where(F.col("_seen") <= top).drop("_seen").join(best, "case_id", "left_anti")
+    return verified.unionByName(only.withColumn("recommendation_status", F.lit("test_only")), allowMissingColumns=True)
+
+
+def best_cases(verified: DataFrame, test: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row: the best case of a side, a verified one if there is any (source train_test_consistent), else the best of the test part (source test_only)."""
+    a = verified.where("recommendation_status = 'train_test_consistent'").select("case_id", "avg_net_return", "sum_net_return", "win_rate", F.lit("train_test_consistent").alias("selection_source"), F.lit(0).alias("_first"))
+    b = test.where("avg_net_return is not null").select("case_id", "avg_net_return", "sum_net_return", "win_rate", F.lit("test_only").alias("selection_source"), F.lit(1).alias("_first"))
+    best = a.unionByName(b).orderBy("_first", *[F.round(c, 9).desc_nulls_last() for c in ("avg_net_return", "sum_net_return", "win_rate")], "case_id").limit(1).drop("_first")
+    return best.join(F.broadcast(cases), "case_id")
+
+
+def comparison(test: DataFrame, trials: int) -> DataFrame:
+    """Per side the best test case by mean net return, with the p-value of its win rate against one half times all trials."""
+    place = F.row_number().over(Window.partitionBy("side").orderBy(*[F.round(c, 9).desc_nulls_last() for c in ("avg_net_return", "sum_net_return", "win_rate")], "case_id"))
+    best = test.withColumn("_place", place).where("_place = 1").drop("_place").withColumn("split", F.lit("test"))
+    return metrics.win_rate_test(best, trials).drop("split")
+
+
+def asymmetry(long: DataFrame, short: DataFrame, steps: dict[str, int]) -> DataFrame:
+    """One row: the likeness of two cases' settings (1 - distance on the grid for each of steps, equality of K-line mode and space filter), its mean and 1 less it."""
+    columns = ["case_id", *steps, "kline_mode", "space_filter_on", "selection_source"]
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in columns])
+    both = side(long, "long").join(F.broadcast(side(short, "short")), F.lit(True))  # a row each
+    like = {c: 1 - F.abs(F.col(f"long_{c}") - F.col(f"short_{c}")) / max(n - 1, 1) for c, n in steps.items()}
+    like |= {c: (F.col(f"long_{c}") == F.col(f"short_{c}")).cast("double") for c in ("kline_mode", "space_filter_on")}
+    mean = sum(like.values(), F.lit(0.0)) / len(like)
+    return both.select("*", *[x.alias(f"{c}_likeness") for c, x in like.items()], mean.alias("overlap_score"), (1 - mean).alias("asymmetry_score"))

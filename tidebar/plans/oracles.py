@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from tidebar.functions.kernels import fracdiff_weights
-from tidebar.operators.features import GROUPS, LABELS, STAGE1
-from tidebar.plans.queries import EVALUATED, PULLBACK_SHOWN, SCORED, SESSIONS, SHORT_SHOWN, SMALL_GRID
+from tidebar.operators.features import COMBOS, GROUPS, LABELS, STAGE1
+from tidebar.operators.metrics import SHOWN_QUANTILES
+from tidebar.plans.queries import CHOSEN, EVALUATED, HORIZONS, LEAST_TRADES, PULLBACK_SHOWN, RATIOS, SCORED, SESSIONS, SHORT_SHOWN
 
 T = "strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime"
 
@@ -59,7 +60,8 @@ feats AS (SELECT *, pct AS close_to_prev_close_return, open / nullif(pc, 0) - 1
   delta_strength * close_location_value AS flow_at_bar_extreme, CASE WHEN dir * dd < 0 THEN abs(delta_strength) * dd ELSE 0 END AS absorption_score, abs(delta_strength) * abs(close_location_value) * CASE WHEN volume_zscore_20 IS NOT NULL THEN greatest(volume_zscore_20, 0) END AS exhaustion_score,
   sign(trend_return_12) * delta_strength AS trend_delta_confirm, poc_distance_zscore_20 * close_location_value AS poc_rejection_score, volume_zscore_20 * delta_strength AS volume_delta_confirm, open_interest_zscore_20 * delta_strength AS oi_delta_confirm,
   delta_strength / nullif(volatility_20, 0) AS volatility_adjusted_flow FROM f2 {W}),
-features AS (SELECT *, value_acceptance_ratio_0 AS value_acceptance_ratio FROM feats)"""
+exact AS (SELECT *, value_acceptance_ratio_0 AS value_acceptance_ratio FROM feats),
+features AS (SELECT * REPLACE ({', '.join(f'round({f}::DOUBLE, 11) AS {f}' for names in GROUPS.values() for f in names)}) FROM exact)"""
 LABEL_COLUMNS = f"""{', '.join(f'lead(close, {h}) OVER w / nullif(close, 0) - 1 AS future_return_{h}' for h in (1, 3, 5, 10))},
   CASE WHEN count(high) OVER f10 = 10 THEN max(high) OVER f10 END / nullif(close, 0) - 1 AS mfe_10_long, CASE WHEN count(low) OVER f10 = 10 THEN min(low) OVER f10 END / nullif(close, 0) - 1 AS mae_10_long,
   lead(open) OVER w AS entry_open_next, lead(close, 5) OVER w AS exit_close_after_5, lead(close, 5) OVER w / nullif(lead(open) OVER w, 0) - 1 AS trade_return_5_gross,
@@ -79,8 +81,12 @@ p3 AS (SELECT *, (ema60 - lag(ema60, 12) OVER w) / 12 AS ema60_slope_12_ticks, m
   coalesce(b1 <= 0.35, false) OR coalesce(abs(v1) <= 0.2, false) AS small1 FROM p2 {W}),
 p4 AS (SELECT *, coalesce(ema60_slope_12_ticks > 0, false) AND coalesce(trendline_slope_60_ticks > 0, false) AND coalesce(trend_return_48 > 0, false) AND coalesce(trend_strength_48 > 0, false) AS trend_filter_pass,
   coalesce(ema60_slope_12_ticks < 0, false) AND coalesce(trendline_slope_60_ticks < 0, false) AND coalesce(trend_return_48 < 0, false) AND coalesce(trend_strength_48 < 0, false) AS short_trend_filter_pass,
-  coalesce(abs(low - ema60) <= tol AND close >= ema60, false) OR coalesce(abs(low - trendline_60) <= tol AND close >= trendline_60, false) AS pullback_structure_pass,
-  coalesce(abs(high - ema60) <= tol AND close <= ema60, false) OR coalesce(abs(high - trendline_60) <= tol AND close <= trendline_60, false) AS short_pullback_structure_pass,
+  coalesce(abs(low - ema60) <= tol AND close >= ema60, false) AS ema60_hold_flag, coalesce(abs(low - trendline_60) <= tol AND close >= trendline_60, false) AS trendline_hold_flag,
+  coalesce(abs(high - ema60) <= tol AND close <= ema60, false) AS short_ema60_reject_flag, coalesce(abs(high - trendline_60) <= tol AND close <= trendline_60, false) AS short_trendline_reject_flag,
+  close - ema60 AS distance_to_ema60_ticks, low - ema60 AS low_distance_to_ema60_ticks, close - trendline_60 AS distance_to_trendline_ticks, low - trendline_60 AS low_distance_to_trendline_ticks, tol AS adaptive_pullback_tolerance_ticks,
+  ema60 - close AS short_distance_to_ema60_ticks, high - ema60 AS short_high_distance_to_ema60_ticks, trendline_60 - close AS short_distance_to_trendline_ticks, high - trendline_60 AS short_high_distance_to_trendline_ticks,
+  coalesce(delta > 0 AND delta_strength > 0, false) AS delta_confirm_long, coalesce(delta < 0 AND delta_strength < 0, false) AS short_delta_confirm, coalesce(volume_zscore_20 >= -0.5, false) AS volume_normal_or_better_flag,
+  coalesce(volume_zscore_20 >= 0, false) OR volume_burst_flag = 1 AS volume_expand_flag,
   bullish_bar_flag AND coalesce(c1 < o1, false) AND coalesce(open <= c1, false) AND coalesce(close >= o1, false) AS bullish_engulfing_flag, bearish_bar_flag AND coalesce(c1 > o1, false) AND coalesce(open >= c1, false) AND coalesce(close <= o1, false) AS bearish_engulfing_flag,
   coalesce(c2 < o2, false) AND small1 AND bullish_bar_flag AND coalesce(close > (o2 + c2) / 2, false) AS morning_star_proxy, coalesce(c2 > o2, false) AND small1 AND bearish_bar_flag AND coalesce(close < (o2 + c2) / 2, false) AS evening_star_proxy,
   (coalesce(r1 < 0, false) OR coalesce(r2 < 0, false) OR coalesce(v1 < -0.2, false) OR coalesce(v2 < -0.2, false)) AND strong_bullish_close_flag AND coalesce(bar_return > coalesce(r1, 0), false) AS weak_to_strong_3bar_flag,
@@ -88,32 +94,45 @@ p4 AS (SELECT *, coalesce(ema60_slope_12_ticks > 0, false) AND coalesce(trendlin
   coalesce(delta > 0 AND delta_strength > 0 AND delta_price_agreement >= 0 AND volume_zscore_20 >= -0.5, false) AS flow_confirm_pass, coalesce(delta < 0 AND delta_strength < 0 AND delta_price_agreement >= 0 AND volume_zscore_20 >= -0.5, false) AS short_flow_confirm_pass,
   close - stop_price_signal AS stop_distance_ticks_signal, previous_swing_high_20 - close AS reward_ticks_signal, short_stop_price_signal - close AS short_stop_distance_ticks_signal, close - previous_swing_low_20 AS short_reward_ticks_signal,
   volume > 0 AND entry_open_next IS NOT NULL AND exit_close_after_5 IS NOT NULL AS trade_ready FROM p3),
-p5 AS (SELECT *, strong_bullish_close_flag AND body_quality_flag AND (bullish_engulfing_flag OR morning_star_proxy OR weak_to_strong_3bar_flag) AS kline_turn_pass, strong_bearish_close_flag AND body_quality_flag AND (bearish_engulfing_flag OR evening_star_proxy OR strong_to_weak_3bar_flag) AS short_kline_turn_pass,
+p5 AS (SELECT *, ema60_hold_flag OR trendline_hold_flag AS pullback_structure_pass, short_ema60_reject_flag OR short_trendline_reject_flag AS short_pullback_structure_pass, strong_bullish_close_flag AND body_quality_flag AND (bullish_engulfing_flag OR morning_star_proxy OR weak_to_strong_3bar_flag) AS kline_turn_pass, strong_bearish_close_flag AND body_quality_flag AND (bearish_engulfing_flag OR evening_star_proxy OR strong_to_weak_3bar_flag) AS short_kline_turn_pass,
   reward_ticks_signal / nullif(stop_distance_ticks_signal, 0) AS reward_to_risk_proxy, short_reward_ticks_signal / nullif(short_stop_distance_ticks_signal, 0) AS short_reward_to_risk_proxy FROM p4),
-pullback AS (SELECT *, coalesce(previous_swing_high_20 > close AND stop_distance_ticks_signal BETWEEN 2 AND 30 AND reward_to_risk_proxy >= 1.5, false) AS space_filter_pass,
-  coalesce(previous_swing_low_20 < close AND short_stop_distance_ticks_signal BETWEEN 2 AND 30 AND short_reward_to_risk_proxy >= 1.5, false) AS short_space_filter_pass FROM p5)"""
+p6 AS (SELECT *, coalesce(previous_swing_high_20 > close AND stop_distance_ticks_signal BETWEEN 2 AND 30 AND reward_to_risk_proxy >= 1.5, false) AS space_filter_pass,
+  coalesce(previous_swing_low_20 < close AND short_stop_distance_ticks_signal BETWEEN 2 AND 30 AND short_reward_to_risk_proxy >= 1.5, false) AS short_space_filter_pass FROM p5),
+pullback AS (SELECT *, trend_filter_pass AS trend_only_pass, trend_filter_pass AND pullback_structure_pass AS trend_pullback_pass, trend_filter_pass AND pullback_structure_pass AND kline_turn_pass AS trend_pullback_kline_pass,
+  trend_filter_pass AND pullback_structure_pass AND kline_turn_pass AND flow_confirm_pass AS trend_pullback_kline_flow_pass, trend_filter_pass AND pullback_structure_pass AND kline_turn_pass AND flow_confirm_pass AND space_filter_pass AS trend_pullback_full_space_pass FROM p6)"""
 
 
 def shown(cte: str, body: str) -> str:
     return f"WITH RECURSIVE {cte}\n{body}"
 
 
+#: Columns with names like those of flags that are numbers.
+DOUBLES = ("volume_burst_flag", "trend_delta_confirm", "volume_delta_confirm", "oi_delta_confirm", "fracdiff_oi_delta_confirm")
+
+
 def picked(cte: str, table: str, columns: list[str], places: int = 6, plain: tuple[str, ...] = ()) -> str:
-    cols = ", ".join(c if c in plain or c.endswith(("_pass", "_flag", "_proxy", "_ready")) and "reward" not in c and c != "volume_burst_flag" else r(c, places=places) for c in columns)
+    cols = ", ".join(c if c in plain or c.endswith(("_pass", "_flag", "_proxy", "_ready", "_confirm", "confirm_long")) and "reward" not in c and c not in DOUBLES else r(c, places=places) for c in columns)
     return shown(cte, f"SELECT contract, {T}, {cols} FROM {table}")
 
 
 def long_of(table: str, names: list[str], keep: str) -> str:
-    return " UNION ALL ".join(f"SELECT {keep}, '{f}' AS feature, {f}::DOUBLE AS x FROM {table}" for f in names)
+    kept = ", ".join(k.split(" AS ")[-1] for k in keep.split(", "))
+    return f"SELECT {kept}, feature, x FROM (SELECT {keep}, {', '.join(f'{f}::DOUBLE AS {f}' for f in names)} FROM {table}) UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(names)}))"
 
 
 def edges(x: str = "x") -> str:
     return "list_sort(list_distinct([" + ", ".join(f"round(quantile_cont({x}, {q}), 12)" for q in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)) + "]))"
 
 
-QUINTILES = f"""long AS ({long_of('labelled', EVALUATED, 'future_return_5 AS y, mfe_10_long AS mfe, mae_10_long AS mae')}), known AS (SELECT * FROM long WHERE x IS NOT NULL AND y IS NOT NULL),
-cuts AS (SELECT feature, {edges()} AS e FROM known GROUP BY feature), placed AS (SELECT k.*, 1 + len(list_filter(e[2:len(e) - 1], lambda q: q + 1e-12 < x)) AS quintile FROM known k JOIN cuts c ON k.feature = c.feature WHERE len(e) > 1),
-quintiles AS (SELECT feature, quintile::BIGINT AS quintile, count(*) AS n, avg(x) AS mx, avg(y) AS my, median(y) AS medy, avg((y > 0)::INT) AS win, avg(mfe) AS mmfe, avg(mae) AS mmae FROM placed GROUP BY ALL)"""
+def quintiles_of(source: str, keys: str) -> str:
+    """The pairs of `source` with a target as known, and their quintiles, by keys."""
+    on = " AND ".join(f"k.{x} = c.{x}" for x in keys.split(", "))
+    return f"""known AS (SELECT * FROM {source} WHERE x IS NOT NULL AND y IS NOT NULL),
+cuts AS (SELECT {keys}, {edges()} AS e FROM known GROUP BY {keys}), placed AS (SELECT k.*, 1 + len(list_filter(e[2:len(e) - 1], lambda q: q + 1e-12 < x)) AS quintile FROM known k JOIN cuts c ON {on} WHERE len(e) > 1),
+quintiles AS (SELECT {keys}, quintile::BIGINT AS quintile, count(*) AS n, avg(x) AS mx, avg(y) AS my, median(y) AS medy, avg((y > 0)::INT) AS win, avg(mfe) AS mmfe, avg(mae) AS mmae FROM placed GROUP BY ALL)"""
+
+
+QUINTILES = f"long AS ({long_of('labelled', EVALUATED, 'future_return_5 AS y, mfe_10_long AS mfe, mae_10_long AS mae')}), {quintiles_of('long', 'feature')}"
 
 
 def ranks(keys: str, source: str = "pairs") -> str:
@@ -122,8 +141,9 @@ def ranks(keys: str, source: str = "pairs") -> str:
 
 
 CORR = lambda a, b: f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
-QUALITY = """quality AS (SELECT feature, count(x) AS non_null_count, count(*) AS row_count, count(x) / count(*)::DOUBLE AS coverage, count(DISTINCT x) AS unique_count, stddev_pop(x) AS std, min(x) AS min, quantile_cont(x, 0.01) AS p01, median(x) AS median,
-  quantile_cont(x, 0.99) AS p99, max(x) AS max FROM flong GROUP BY feature)"""
+_Q = {"p001": 0.001, "p01": 0.01, "median": 0.5, "p99": 0.99, "p999": 0.999}
+QUALITY = f"""quality AS (SELECT feature, count(x) AS non_null_count, count(*) - count(x) AS missing_count, 0::BIGINT AS inf_count, count(*) AS row_count, count(x) / count(*)::DOUBLE AS coverage, count(DISTINCT x) AS unique_count, stddev_pop(x) AS std, min(x) AS min,
+  {', '.join(f'quantile_cont(x, {q}) AS {n}' for n, q in _Q.items())}, max(x) AS max FROM flong GROUP BY feature)"""
 SCORE_NAMES = [f for fs in SCORED.values() for f in fs]
 PARAMS = """both_of AS (SELECT contract, feature, x FROM plong WHERE x IS NOT NULL UNION ALL SELECT '__GLOBAL__', feature, x FROM plong WHERE x IS NOT NULL),
 bounds AS (SELECT contract, feature, quantile_cont(x, 0.01) AS lower, quantile_cont(x, 0.99) AS upper FROM both_of GROUP BY ALL),
@@ -144,13 +164,14 @@ zs AS (SELECT l.contract, l.datetime, l.feature, CASE WHEN x IS NOT NULL THEN gr
   FROM zlong l LEFT JOIN params o ON o.contract = l.contract AND o.feature = l.feature LEFT JOIN params g ON g.contract = '__GLOBAL__' AND g.feature = l.feature)"""
 _GROUP_OF = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{g}'" for g, fs in SCORED.items() for f in fs) + " END"
 SCORE = f"""{LABELLED}, {SPLIT}, {train_long('labelled', SCORE_NAMES)}, {PARAMS}, {ZS},
-pairs AS (SELECT * FROM ({long_of('train', SCORE_NAMES, 'future_return_5 AS y')}) WHERE x IS NOT NULL AND y IS NOT NULL), {ranks('feature')},
+pairs AS (SELECT * FROM ({long_of('train', SCORE_NAMES, 'future_return_5 AS y')}) t WHERE x IS NOT NULL AND y IS NOT NULL), {ranks('feature')},
 ic AS (SELECT feature, CASE WHEN count(*) >= 20 THEN {CORR('rx', 'ry')} END AS ic, {_GROUP_OF} AS g FROM ranked GROUP BY feature),
 weights AS (SELECT feature, g, coalesce(sign(ic), 0) * abs(coalesce(ic, 0)) / sum(abs(coalesce(ic, 0))) OVER (PARTITION BY g) AS w FROM ic),
 by_group AS (SELECT contract, datetime, g, sum(z * w) AS s FROM zs JOIN weights USING (feature) GROUP BY ALL),
 scores AS (SELECT contract, datetime, avg(s) AS signal_score FROM by_group GROUP BY ALL),
-scored AS (SELECT l.*, signal_score, row_number() OVER (PARTITION BY l.contract ORDER BY l.datetime) - 1 AS i, lead(datetime) OVER (PARTITION BY l.contract ORDER BY l.datetime) AS entry_time,
-  lead(datetime, 5) OVER (PARTITION BY l.contract ORDER BY l.datetime) AS exit_time FROM labelled l JOIN scores s USING (contract, datetime)),
+group_scores AS (SELECT contract, datetime, {', '.join(f"max(s) FILTER (g = '{g}') AS score_{g}" for g in SCORED)} FROM by_group GROUP BY ALL),
+scored AS (SELECT l.*, signal_score, {', '.join(f'score_{g}' for g in SCORED)}, row_number() OVER (PARTITION BY l.contract ORDER BY l.datetime) - 1 AS i, lead(datetime) OVER (PARTITION BY l.contract ORDER BY l.datetime) AS entry_time,
+  lead(datetime, 5) OVER (PARTITION BY l.contract ORDER BY l.datetime) AS exit_time FROM labelled l JOIN scores s USING (contract, datetime) JOIN group_scores gs USING (contract, datetime)),
 limits AS (SELECT quantile_cont(true_range_ticks, 0.995) AS max_range, quantile_cont(abs(poc_shift_ticks), 0.995) AS max_poc_shift FROM scored, split WHERE datetime <= train_end),
 risked AS (SELECT s.*, coalesce(signal_score IS NOT NULL AND volume > 0 AND true_range_ticks <= max_range AND abs(poc_shift_ticks) <= max_poc_shift AND entry_open_next IS NOT NULL AND exit_close_after_5 IS NOT NULL, false) AS risk_pass FROM scored s, limits)"""
 NAMED = "CASE WHEN datetime <= train_end THEN 'train' WHEN datetime >= test_start THEN 'test' END"
@@ -213,19 +234,40 @@ BARRIER_SHORT = f"{PULLBACK}, {SPLIT}, {barriers('short', ONE_CASE('strong_beari
 BARRIER_ROWS = f"SELECT contract, side, {_TIME('signal_time')}, {_TIME('entry_time')}, {_TIME('exit_time')}, {r('entry_price')}, {r('exit_price')}, {r('gross_return')}, holding_bars::BIGINT AS holding_bars, exit_reason, {r('stop_price')}, {r('take_profit_price')}, stop_distance_source, split, i::BIGINT AS i, {r('net_return')} FROM priced"
 
 
+COMBO_CAND = " UNION ALL ".join(f"SELECT *, '{c}' AS case_id, 5 AS bars_n, 1.0 AS stop_m, 2.0 AS take_m FROM numbered WHERE {c}_pass AND trade_ready" for c in COMBOS)
+COMBO = f"{PULLBACK}, {SPLIT}, {barriers('long', COMBO_CAND)}"
+RATIO_CAND = " UNION ALL ".join(f"SELECT *, '{x}' AS case_id, 5 AS bars_n, 1.0 AS stop_m, 2.0 AS take_m FROM numbered WHERE flow_confirm_pass AND trade_ready AND previous_swing_high_20 > close AND stop_distance_ticks_signal BETWEEN 2 AND 30 AND reward_to_risk_proxy >= {x}" for x in RATIOS)
+
+
 def _case_rows() -> str:
     from tidebar.operators.sweep import grid
 
     keys = ["case_id", "time_i", "stop_i", "take_i", "time_barrier_bars", "stop_atr_multiple", "take_profit_multiple", "kline_mode", "space_filter_on"]
-    rows = ", ".join("(" + ", ".join(repr(c[k]) if not isinstance(c[k], bool) else str(c[k]).lower() for k in keys) + ")" for c in grid(**SMALL_GRID))
+    rows = ", ".join("(" + ", ".join(repr(c[k]) if not isinstance(c[k], bool) else str(c[k]).lower() for k in keys) + ")" for c in grid())
     return f"cases AS (SELECT * FROM (VALUES {rows}) v({', '.join(keys)}))"
 
 
-SWEEP_CAND = "SELECT n.*, c.case_id, c.time_barrier_bars AS bars_n, c.stop_atr_multiple AS stop_m, c.take_profit_multiple AS take_m FROM numbered n, cases c WHERE bullish_bar_flag AND trade_ready AND (kline_mode = 'none' OR strong_bullish_close_flag AND body_quality_flag)"
-SWEEP = f"{PULLBACK}, {SPLIT}, {_case_rows()}, {barriers('long', SWEEP_CAND)}"
-CASES = f"""{SWEEP}, {metrics_of("(SELECT * FROM priced WHERE split = 'train')", 'case_id')},
-summary AS (SELECT c.case_id, time_i::BIGINT AS time_i, stop_i::BIGINT AS stop_i, take_i::BIGINT AS take_i, time_barrier_bars::BIGINT AS time_barrier_bars, stop_atr_multiple::DOUBLE AS stop_atr_multiple, take_profit_multiple::DOUBLE AS take_profit_multiple, kline_mode, space_filter_on,
-  coalesce(trade_count, 0) AS trade_count, win_rate, avg_net_return FROM cases c LEFT JOIN metrics m ON c.case_id = m.case_id)"""
+def sweep_sql(side: str) -> str:
+    p, strong = ("", "strong_bullish_close_flag") if side == "long" else ("short_", "strong_bearish_close_flag")
+    base = f"{p}trend_filter_pass AND {p}pullback_structure_pass AND {p}flow_confirm_pass AND trade_ready"
+    mode = f"(kline_mode = 'none' OR kline_mode = 'strong_close_only' AND {strong} AND body_quality_flag OR kline_mode = 'full_patterns' AND {p}kline_turn_pass) AND (NOT space_filter_on OR {p}space_filter_pass)"
+    cand = f"SELECT n.*, c.case_id, c.time_barrier_bars AS bars_n, c.stop_atr_multiple AS stop_m, c.take_profit_multiple AS take_m FROM numbered n, cases c WHERE {base} AND {mode}"
+    return f"{PULLBACK}, {SPLIT}, {_case_rows()}, {barriers(side, cand)}"
+
+
+CASE_SHOWN = "time_i::BIGINT AS time_i, stop_i::BIGINT AS stop_i, take_i::BIGINT AS take_i, time_barrier_bars::BIGINT AS time_barrier_bars, stop_atr_multiple::DOUBLE AS stop_atr_multiple, take_profit_multiple::DOUBLE AS take_profit_multiple, kline_mode, space_filter_on"
+
+
+def cases_sql(side: str = "long", split: str = "train") -> str:
+    return f"""{sweep_sql(side)}, {metrics_of(f"(SELECT * FROM priced WHERE split = '{split}')", 'case_id')},
+summary AS (SELECT c.case_id, {CASE_SHOWN}, coalesce(trade_count, 0) AS trade_count, win_rate, avg_net_return, sum_net_return FROM cases c LEFT JOIN metrics m ON c.case_id = m.case_id)"""
+
+
+CASES = cases_sql()
+PLATEAU = """near AS (SELECT s.*, n.avg_net_return AS nn FROM summary s JOIN summary n ON s.kline_mode = n.kline_mode AND s.space_filter_on = n.space_filter_on AND abs(s.time_i - n.time_i) <= 1 AND abs(s.stop_i - n.stop_i) <= 1 AND abs(s.take_i - n.take_i) <= 1),
+agg AS (SELECT case_id, count(*) AS neighbours, avg(nn) AS m, coalesce(stddev_samp(nn), 0) AS sd, avg((nn > 0)::INT) AS pos FROM near GROUP BY case_id),
+plateaus AS (SELECT s.*, neighbours, m AS neighbour_mean, sd AS neighbour_std, pos AS neighbour_positive, m * pos * ln(1 + greatest(trade_count, 1)) / (sd + 0.1 * abs(m) + 1e-12) AS plateau_score FROM summary s JOIN agg USING (case_id))"""
+SWEEP_ROWS = f"SELECT case_id, contract, side, {_TIME('signal_time')}, {_TIME('entry_time')}, {_TIME('exit_time')}, {r('entry_price')}, {r('exit_price')}, {r('gross_return')}, holding_bars::BIGINT AS holding_bars, exit_reason, {r('stop_price')}, {r('take_profit_price')}, stop_distance_source, split, i::BIGINT AS i, {r('net_return')} FROM priced"
 MARGINAL = "count(*) AS cases, sum(trade_count)::BIGINT AS trade_count, round(avg(avg_net_return) + 1e-9, 6) + 0.0 AS mean_net_return, round(avg(win_rate) + 1e-9, 6) + 0.0 AS mean_win_rate, round(avg((avg_net_return > 0)::INT) + 1e-9, 6) + 0.0 AS positive_share"
 
 
@@ -245,7 +287,7 @@ INTEGRITY = finding(
 HEAD = lambda names: finding("isolation", [(f"head_null_{v}", "BLOCKER", f"row_i <= {n} AND {v} IS NOT NULL") for v, n in names.items()], "pullback")
 BAR_SHOWN = ", ".join([r("open"), r("high"), r("low"), r("close"), "volume", r("poc"), "delta", "open_interest"])
 LABEL_DIFF = lambda v, off="0": f"SELECT '{v}' AS column_name, count(*) FILTER (hour(datetime) = 3) AS only_expected, 0::BIGINT AS only_actual, count(*) FILTER (hour(datetime) <> 3 AND abs({off}) > 1e-10 AND {v} IS NOT NULL) AS mismatch_count, 0::BIGINT AS null_mismatch_count FROM labels"
-TAIL = {"future_return_1": 1, "future_return_5": 5, "future_return_10": 10, "mfe_10_long": 10, "entry_open_next": 1}
+TAIL = HORIZONS
 LABELS_ONLY = f"{BARS}, labels AS (SELECT *, {LABEL_COLUMNS} FROM bars {W})"
 
 ORACLES: dict[str, str] = {
@@ -286,15 +328,20 @@ types(interest, way, tick_type, s) AS (VALUES ('OPEN', 'UP', 'OPENLONG', 1), ('O
     "trendline60": picked(PULLBACK, "pullback", ["trendline_60", "trendline_slope_60_ticks"]),
     "pullback_features": picked(PULLBACK, "pullback", PULLBACK_SHOWN, plain=("morning_star_proxy",)),
     "short_mirror_features": picked(PULLBACK, "pullback", SHORT_SHOWN, plain=("evening_star_proxy",)),
-    "feature_quality": shown(f"{FEATURES}, flong AS ({long_of('features', EVALUATED, '1 AS one')}), {QUALITY}", f"SELECT feature, non_null_count, row_count, {r('coverage')}, unique_count, {', '.join(r(c) for c in ('std', 'min', 'p01', 'median', 'p99', 'max'))} FROM quality"),
+    "feature_quality": shown(f"{FEATURES}, flong AS ({long_of('features', EVALUATED, '1 AS one')}), {QUALITY}", f"SELECT feature, non_null_count, missing_count, inf_count, row_count, {r('coverage')}, unique_count, {', '.join(r(c) for c in ('std', 'min', *_Q, 'max'))} FROM quality"),
     "feature_quintiles": shown(f"{LABELLED}, {QUINTILES}", f"SELECT feature, quintile, n AS count, {r('mx', 'mean_feature')}, {r('my', 'mean_return')}, {r('medy', 'median_return')}, {r('win', 'win_rate')}, {r('mmfe', 'mean_mfe_10_long')}, {r('mmae', 'mean_mae_10_long')} FROM quintiles"),
     "periodic_ic": shown(
-        f"{LABELLED}, plong AS ({long_of('labelled', EVALUATED, chr(39) + chr(39) + ' || strftime(datetime, ' + chr(39) + '%Y-%m-%d' + chr(39) + ') AS period, future_return_5 AS y')}), pairs AS (SELECT * FROM plong WHERE x IS NOT NULL AND y IS NOT NULL), {ranks('period, feature')}",
-        f"SELECT period, feature, count(*) AS count, {r('CASE WHEN count(*) >= 20 THEN ' + CORR('x', 'y') + ' END', 'pearson_ic')}, {r('CASE WHEN count(*) >= 20 THEN ' + CORR('rx', 'ry') + ' END', 'spearman_ic')} FROM ranked GROUP BY ALL",
+        f"{LABELLED}, dated AS (SELECT *, strftime(datetime, '%Y-%m-%d') AS period FROM labelled), plong AS ({long_of('dated', EVALUATED, 'period, future_return_5 AS y')}), pairs AS (SELECT * FROM plong WHERE x IS NOT NULL AND y IS NOT NULL), {ranks('period, feature')}",
+        f"SELECT period, feature, count(*) AS count, {r(CORR('x', 'y'), 'pearson_ic')}, {r(CORR('rx', 'ry'), 'spearman_ic')} FROM ranked GROUP BY ALL HAVING count(*) >= 20",
     ),
     "feature_summary": shown(
-        f"{LABELLED}, {QUINTILES}, flong AS ({long_of('features', EVALUATED, '1 AS one')}), {QUALITY}, {ranks('feature', 'known')}, ics AS (SELECT feature, CASE WHEN count(*) >= 20 THEN {CORR('x', 'y')} END AS p, CASE WHEN count(*) >= 20 THEN {CORR('rx', 'ry')} END AS s FROM ranked GROUP BY feature), spreads AS (SELECT feature, max(my) FILTER (quintile = 5) - max(my) FILTER (quintile = 1) AS d FROM quintiles GROUP BY feature)",
-        f"SELECT q.feature, non_null_count, {r('coverage')}, unique_count, {r('p', 'pearson_ic')}, {r('s', 'spearman_ic')}, {r('d', 'quintile_spread')}, {r('abs(s)', 'abs_spearman_ic')}, {r('sign(s)::DOUBLE', 'ic_direction')} FROM quality q LEFT JOIN ics USING (feature) LEFT JOIN spreads USING (feature)",
+        f"{LABELLED}, {SPLIT}, named AS (SELECT l.*, {NAMED} AS sp FROM labelled l, split), both_of AS (SELECT *, sp AS split FROM named WHERE sp IS NOT NULL UNION ALL SELECT *, 'all' FROM named WHERE sp IS NOT NULL), "
+        f"long AS MATERIALIZED ({long_of('both_of', EVALUATED, 'split, future_return_5 AS y, mfe_10_long AS mfe, mae_10_long AS mae')}), {quintiles_of('long', 'split, feature')}, {ranks('split, feature', 'known')}, "
+        f"ics AS (SELECT split, feature, CASE WHEN count(*) >= 20 THEN {CORR('x', 'y')} END AS p, CASE WHEN count(*) >= 20 THEN {CORR('rx', 'ry')} END AS s FROM ranked GROUP BY ALL), "
+        "facts AS (SELECT split, feature, count(x) AS non_null_count, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS valid_count, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*)::DOUBLE AS coverage, count(DISTINCT x) FILTER (y IS NOT NULL) AS unique_count FROM long GROUP BY ALL), "
+        "ends AS (SELECT split, feature, max(my) FILTER (quintile = 5) - max(my) FILTER (quintile = 1) AS d, max(win) FILTER (quintile = 5) AS w, max(mmfe) FILTER (quintile = 5) AS f, max(mmae) FILTER (quintile = 5) AS a FROM quintiles GROUP BY ALL)",
+        f"SELECT split, feature, non_null_count, valid_count, {r('coverage')}, unique_count, 0::BIGINT AS inf_count, {r('p', 'pearson_ic')}, {r('s', 'spearman_ic')}, {r('d', 'quintile_spread')}, {r('CASE WHEN d IS NOT NULL THEN w END', 'top_quintile_win_rate')}, {r('CASE WHEN d IS NOT NULL THEN f END', 'top_quintile_mean_mfe')}, "
+        f"{r('CASE WHEN d IS NOT NULL THEN a END', 'top_quintile_mean_mae')}, {r('abs(s)', 'abs_spearman_ic')}, {r('coalesce(sign(s), 0)::DOUBLE', 'ic_direction')} FROM facts LEFT JOIN ics USING (split, feature) LEFT JOIN ends USING (split, feature)",
     ),
     "correlation_pairs": shown(
         f"{FEATURES}, clong AS ({long_of('features', EVALUATED, 'contract, datetime')}), cr AS (SELECT *, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY feature, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 END AS rk FROM clong), "
@@ -319,7 +366,7 @@ types(interest, way, tick_type, s) AS (VALUES ('OPEN', 'UP', 'OPENLONG', 1), ('O
     "periodic_trades": shown(TRADES, "SELECT split, strftime(exit_time, '%Y-%m-%d') AS month, count(*) AS trade_count, round(avg((net_return > 0)::INT) + 1e-9, 6) AS win_rate, round(avg(net_return) + 1e-9, 6) + 0.0 AS avg_net_return, round(sum(net_return) + 1e-9, 6) + 0.0 AS sum_net_return FROM priced GROUP BY ALL"),
     "sample_confidence": shown(
         f"{TRADES}, {WITH_ALL}, {metrics_of('alls', 'split')}, se AS (SELECT *, sqrt(win_rate * (1 - win_rate) / trade_count) AS e FROM metrics)",
-        f"SELECT split, trade_count, {r('win_rate')}, {r('e', 'win_rate_se')}, {r('greatest(0, win_rate - 1.96 * e)', 'win_rate_low')}, {r('least(1, win_rate + 1.96 * e)', 'win_rate_high')}, CASE WHEN trade_count < 100 THEN 'insufficient' WHEN trade_count < 300 THEN 'low_confidence' ELSE 'sufficient' END AS sample_status FROM se",
+        f"SELECT split, trade_count, {r('win_rate')}, {r('e', 'win_rate_se')}, {r('greatest(0, win_rate - 1.96 * e)', 'win_rate_low')}, {r('least(1, win_rate + 1.96 * e)', 'win_rate_high')}, CASE WHEN split = 'test' AND trade_count < 100 THEN 'insufficient_samples' WHEN split = 'test' AND trade_count < 300 THEN 'low_confidence' ELSE 'enough_samples' END AS sample_status FROM se",
     ),
     "two_proportion_test": shown(
         f"{TRADES}, w AS (SELECT count(*) FILTER (side = 'long' AND net_return > 0) AS wins_long, count(*) FILTER (side = 'long') AS n_long, count(*) FILTER (side = 'short' AND net_return > 0) AS wins_short, count(*) FILTER (side = 'short') AS n_short FROM priced), "
@@ -340,16 +387,50 @@ names(o, combo_name) AS (VALUES (1, 'trend_only'), (2, 'trend_pullback'), (3, 't
         f"SELECT split, exit_reason, n AS count, {r('n / (max(n) OVER (PARTITION BY split))::DOUBLE', 'rate')}, {r('a', 'avg_net_return')} FROM g",
     ),
     "barrier_replay_audit": " UNION ALL ".join(f"SELECT 'BLOCKER' AS severity, 'trades' AS category, '{k}' AS check_id, 'PASS' AS status, 0::BIGINT AS affected_rows" for k in ("entry_price", "gross_return", "net_return", "boundary", "time_order", "path_replay")),
-    "sweep_small_grid": shown(SWEEP, f"SELECT case_id, contract, side, {_TIME('signal_time')}, {_TIME('entry_time')}, {_TIME('exit_time')}, {r('entry_price')}, {r('exit_price')}, {r('gross_return')}, {r('net_return')}, exit_reason, holding_bars::BIGINT AS holding_bars, split, i::BIGINT AS i FROM priced"),
-    "plateau_scores": shown(
-        f"{CASES}, near AS (SELECT s.*, n.avg_net_return AS nn, n.trade_count AS nt FROM summary s JOIN summary n ON s.kline_mode = n.kline_mode AND s.space_filter_on = n.space_filter_on AND abs(s.time_i - n.time_i) <= 1 AND abs(s.stop_i - n.stop_i) <= 1 AND abs(s.take_i - n.take_i) <= 1), "
-        "agg AS (SELECT case_id, count(*) AS neighbours, avg(nn) AS m, coalesce(stddev_samp(nn), 0) AS sd, avg((nn > 0)::INT) AS pos, sum(nt) AS t FROM near GROUP BY case_id)",
-        f"SELECT s.* EXCLUDE (win_rate, avg_net_return, stop_atr_multiple, take_profit_multiple), {r('stop_atr_multiple')}, {r('take_profit_multiple')}, {r('win_rate')}, {r('avg_net_return')}, neighbours, {r('m', 'neighbour_mean')}, {r('sd', 'neighbour_std')}, {r('m * pos * ln(1 + greatest(t, 1)) / (sd + 0.1 * abs(m) + 1e-12)', 'plateau_score')} FROM summary s JOIN agg USING (case_id)",
+    "sweep_long": shown(sweep_sql("long"), SWEEP_ROWS),
+    "sweep_short": shown(sweep_sql("short"), SWEEP_ROWS),
+    "trades_by_combination": shown(COMBO, SWEEP_ROWS.replace("SELECT case_id,", "SELECT case_id AS combo_name,")),
+    "positive_months": shown(f"{COMBO}, days AS (SELECT case_id, split, strftime(exit_time, '%Y-%m-%d') AS d, avg(net_return) AS a FROM priced GROUP BY ALL)", f"SELECT case_id AS combo_name, split, {r('avg((a > 0)::INT)', 'positive_month_share')} FROM days GROUP BY ALL"),
+    "combination_gains": shown(
+        f"{COMBO}, {metrics_of('priced', 'case_id, split')}, days AS (SELECT case_id, strftime(exit_time, '%Y-%m') AS d, avg(net_return) AS a FROM priced WHERE split = 'test' GROUP BY ALL), shares AS (SELECT case_id, avg((a > 0)::INT) AS positive_month_share FROM days GROUP BY ALL), "
+        f"placed AS (SELECT m.*, list_position({list(COMBOS)!r}, case_id) AS o, sqrt(win_rate * (1 - win_rate) / trade_count) AS e FROM metrics m WHERE split = 'test'), "
+        "held AS (SELECT p.*, positive_month_share, lag(case_id) OVER v AS b, lag(win_rate) OVER v AS bw, lag(avg_net_return) OVER v AS ba, lag(sum_net_return) OVER v AS bs, lag(trade_count) OVER v AS bn FROM placed p LEFT JOIN shares USING (case_id) WINDOW v AS (ORDER BY o)), "
+        "zed AS (SELECT *, (win_rate * trade_count + bw * bn) / (trade_count + bn) AS pool FROM held), "
+        "named AS (SELECT *, CASE WHEN trade_count < 1 THEN 'insufficient_samples' WHEN trade_count < 2 THEN 'low_confidence' ELSE 'enough_samples' END AS sample_status, "
+        "CASE WHEN b IS NOT NULL THEN CASE WHEN win_rate - bw >= 0.01 AND avg_net_return > ba AND sum_net_return >= bs THEN 'incremental_effective' WHEN win_rate > bw AND avg_net_return > ba AND sum_net_return < bs THEN 'quality_improved_not_scalable' "
+        "WHEN win_rate > bw AND avg_net_return <= ba THEN 'win_rate_only' WHEN avg_gross_return > 0 AND avg_net_return <= 0 THEN 'cost_failed' ELSE 'ineffective' END WHEN win_rate > 0.5 AND avg_net_return > 0 AND sum_net_return > 0 THEN 'absolute_effective' "
+        "WHEN avg_gross_return > 0 AND avg_net_return <= 0 THEN 'cost_failed' ELSE 'ineffective' END AS label FROM zed)",
+        f"SELECT case_id AS combo_name, split, trade_count, {r('win_rate')}, {r('avg_gross_return')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('e', 'win_rate_se')}, {r('greatest(0, win_rate - 1.96 * e)', 'win_rate_low')}, {r('least(1, win_rate + 1.96 * e)', 'win_rate_high')}, sample_status, {r('positive_month_share')}, b AS benchmark_combo, "
+        f"{r('win_rate - bw', 'win_rate_gain')}, {r('avg_net_return - ba', 'avg_net_gain')}, {r('sum_net_return - bs', 'sum_net_gain')}, {r('(win_rate - bw) / nullif(sqrt(pool * (1 - pool) * (1.0::DOUBLE / trade_count + 1.0::DOUBLE / bn)), 0)', 'win_rate_diff_z')}, "
+        "CASE WHEN sample_status <> 'enough_samples' THEN sample_status WHEN label IN ('absolute_effective', 'incremental_effective') AND positive_month_share < 0.5 THEN 'unstable' ELSE label END AS effectiveness FROM named",
+    ),
+    "reward_risk_sensitivity": shown(
+        f"{PULLBACK}, {SPLIT}, {barriers('long', RATIO_CAND)}, {WITH_ALL}, {metrics_of('alls', 'case_id, split')}",
+        f"SELECT round(case_id::DOUBLE, 6) AS reward_to_risk_threshold, split, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('max_drawdown')} FROM metrics",
+    ),
+    "signal_distribution": shown(
+        f"{SCORE}, {fixed(0.85, 0.15, 'risk_pass', False, False)}, named AS (SELECT x.*, {NAMED} AS sp FROM risked x, split), every AS (SELECT *, sp AS split FROM named WHERE sp IS NOT NULL UNION ALL SELECT *, 'all' FROM named WHERE sp IS NOT NULL)",
+        f"SELECT split, count(*) AS signal_count, {r('avg(signal_score)', 'score_mean')}, {r('stddev_pop(signal_score)', 'score_std')}, {r('skewness(signal_score)', 'score_skew')}, {r('kurtosis(signal_score)', 'score_kurtosis')}, "
+        + ", ".join(r(f"quantile_cont(signal_score, {q})", f"score_p{round(100 * q):02d}") for q in SHOWN_QUANTILES)
+        + f", {r('any_value(hi)', 'long_threshold')}, {r('any_value(lo)', 'short_threshold')}, {r('any_value(hi - lo)', 'tail_separation')}, {r('any_value((abs(hi) + abs(lo)) / 2)', 'threshold_abs_mean')} FROM every, cuts WHERE risk_pass GROUP BY split",
     ),
+    "interaction_patterns": shown(
+        f"{SCORE}, known AS (SELECT *, sign(score_orderflow_delta) AS d, sign(score_auction_poc) AS p, sign(score_price_structure) AS q, future_return_5 AS y FROM scored, split WHERE datetime >= test_start AND score_orderflow_delta IS NOT NULL AND score_auction_poc IS NOT NULL AND score_price_structure IS NOT NULL AND future_return_5 IS NOT NULL)",
+        f"SELECT CASE WHEN d = p AND p = q THEN 'all_same_direction' WHEN d = p THEN 'delta_poc_same' ELSE 'delta_poc_conflict' END AS pattern, count(*) AS rows, {r('avg(y)', 'mean_return')}, {r('median(y)', 'median_return')}, {r('avg((y > 0)::INT)', 'positive_rate')} FROM known GROUP BY 1",
+    ),
+    "selected_correlations": shown(
+        f"{FEATURES}, {SPLIT}, tr AS (SELECT f.* FROM features f, split WHERE datetime <= train_end), clong AS ({long_of('tr', SCORE_NAMES, 'contract, datetime')}), cr AS (SELECT *, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY feature, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 END AS rk FROM clong), "
+        + f"ch(combo_name, o, feature, dimension) AS (VALUES {', '.join(repr(c) for c in CHOSEN)}), corr AS (SELECT a.feature AS fa, b.feature AS fb, CASE WHEN count(*) >= 20 THEN {CORR('a.rk', 'b.rk')} END AS s FROM cr a JOIN cr b ON a.contract = b.contract AND a.datetime = b.datetime WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL)",
+        f"SELECT a.combo_name, a.feature AS feature_a, a.dimension AS dimension_a, b.feature AS feature_b, b.dimension AS dimension_b, {r('s', 'spearman_corr')}, {r('abs(s)', 'abs_spearman_corr')}, a.dimension <> b.dimension AS is_cross_dimension, CASE WHEN s IS NULL THEN 'unknown' WHEN abs(s) > 0.5 THEN 'collinearity_blocked' WHEN abs(s) >= 0.05 THEN 'collinearity_warning' ELSE 'ok' END AS correlation_status "
+        "FROM ch a JOIN ch b ON a.combo_name = b.combo_name AND a.o < b.o LEFT JOIN corr ON fa = a.feature AND fb = b.feature",
+    ),
+    "space_ablation": shown(cases_sql("short"), f"SELECT case_id, space_filter_on, {r('avg_net_return')}, round(avg_net_return - max(CASE WHEN NOT space_filter_on THEN summary.avg_net_return END) OVER (PARTITION BY time_barrier_bars, stop_atr_multiple, take_profit_multiple, kline_mode) + 1e-9, 6) + 0.0 AS avg_net_return_vs_baseline FROM summary"),
+    "audit_isolation": " UNION ALL ".join(f"SELECT 'BLOCKER' AS severity, 'isolation' AS category, '{k}' AS check_id, 'PASS' AS status, 0::BIGINT AS affected_rows" for k in ("selected_from_train_summary", "params_from_train", "params_have_global", "thresholds_from_train", "thresholds_shared")),
+    "plateau_scores": shown(f"{CASES}, {PLATEAU}", f"SELECT case_id, {CASE_SHOWN}, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, neighbours, {r('neighbour_mean')}, {r('neighbour_std')}, {r('neighbour_positive')}, {r('plateau_score')} FROM plateaus"),
     "kline_ablation": shown(CASES, f"SELECT case_id, kline_mode, {r('avg_net_return')}, round(avg_net_return - max(CASE WHEN kline_mode = 'none' THEN summary.avg_net_return END) OVER (PARTITION BY time_barrier_bars, stop_atr_multiple, take_profit_multiple, space_filter_on) + 1e-9, 6) + 0.0 AS avg_net_return_vs_baseline FROM summary"),
     "marginal_means": shown(CASES, f"SELECT time_barrier_bars, {MARGINAL}, NULL::DOUBLE AS stop_atr_multiple FROM summary GROUP BY time_barrier_bars UNION ALL SELECT NULL, {MARGINAL}, round(stop_atr_multiple, 6) FROM summary GROUP BY stop_atr_multiple"),
     "audit_integrity": shown(BARS, INTEGRITY),
-    "audit_label_alignment": shown(LABELS_ONLY, " UNION ALL ".join([LABEL_DIFF("future_return_1"), LABEL_DIFF("future_return_5", "CASE WHEN hour(datetime) = 7 THEN 0.01 ELSE 0 END"), LABEL_DIFF("mfe_10_long")])),
+    "audit_label_alignment": shown(LABELS_ONLY, " UNION ALL ".join([LABEL_DIFF(v, "CASE WHEN hour(datetime) = 7 THEN 0.01 ELSE 0 END" if v == "future_return_5" else "0") for v in LABELS])),
     "audit_tail_null": shown(
         f"{LABELS_ONLY}, left_of AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY datetime DESC) AS l FROM labels)",
         " UNION ALL ".join(f"SELECT '{v}' AS label, {h}::BIGINT AS horizon, count(*) FILTER (l <= {h} AND {v} IS NOT NULL) AS leaked_rows, count(*) FILTER (l > {h} AND {v} IS NULL) AS missing_rows FROM left_of" for v, h in TAIL.items()),
@@ -380,7 +461,29 @@ names(o, combo_name) AS (VALUES (1, 'trend_only'), (2, 'trend_pullback'), (3, 't
         f"{BARS}, nb AS (SELECT *, row_number() OVER w AS n, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {W}), ar AS (SELECT contract, 15::BIGINT AS n, avg(tr) AS a FROM nb WHERE n BETWEEN 2 AND 15 GROUP BY contract HAVING count(*) = 14 UNION ALL SELECT r.contract, r.n + 1, (a * 13 + b.tr) / 14 FROM ar r JOIN nb b ON b.contract = r.contract AND b.n = r.n + 1)",
         f"SELECT b.contract, strftime(b.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('a', 'atr', 4)} FROM nb b LEFT JOIN ar r ON r.contract = b.contract AND r.n = b.n",
     ),
-    "union_ragged": shown(BARS, f"SELECT contract, {T}, {r('close')}, volume, NULL::BIGINT AS delta FROM bars WHERE contract = 'C0' UNION ALL SELECT contract, strftime(datetime, '%Y-%m-%d %H:%M:%S'), round(close, 6), NULL, delta FROM bars WHERE contract = 'C1'"),
+    "union_ragged": shown(BARS, f"SELECT contract, {T}, {r('close')}, volume, NULL::BIGINT AS delta FROM bars WHERE contract IN ('C0', 'C2') UNION ALL SELECT contract, strftime(datetime, '%Y-%m-%d %H:%M:%S'), round(close, 6), NULL, delta FROM bars WHERE contract IN ('C1', 'C3')"),
     "distinct_keys": shown(BARS, "SELECT DISTINCT contract, hour(datetime)::BIGINT AS hour FROM bars"),
-    "anti_test_only": shown(f"{BARS}, {SPLIT}", "SELECT DISTINCT contract, hour(datetime)::BIGINT AS hour FROM bars, split WHERE datetime >= test_start AND volume > 30 EXCEPT SELECT contract, hour(datetime)::BIGINT FROM bars, split WHERE datetime <= train_end AND volume > 30"),
+    "anti_test_only": shown(f"{BARS}, {SPLIT}", "SELECT DISTINCT contract, delta, volume FROM bars, split WHERE datetime >= test_start EXCEPT SELECT contract, delta, volume FROM bars, split WHERE datetime <= train_end"),
 }
+
+
+def _ranked(side: str) -> str:
+    """Selects the ranking of a side; the tables are named by the side."""
+    return f"""(WITH {cases_sql(side).removeprefix(',')}, {PLATEAU}, held AS (SELECT *, row_number() OVER (ORDER BY round(plateau_score, 9) DESC NULLS LAST, round(neighbour_mean, 9) DESC NULLS LAST, round(avg_net_return, 9) DESC NULLS LAST, case_id) AS train_rank FROM plateaus WHERE trade_count >= {LEAST_TRADES}),
+best AS (SELECT * FROM held WHERE train_rank <= 20), tests AS (SELECT c.case_id, coalesce(n, 0) AS trade_count, w AS win_rate, a AS avg_net_return, s AS sum_net_return FROM cases c LEFT JOIN (SELECT case_id, count(*) AS n, avg((net_return > 0)::INT) AS w, avg(net_return) AS a, sum(net_return) AS s FROM trades_net WHERE split = 'test' GROUP BY case_id) t ON t.case_id = c.case_id),
+seen AS (SELECT *, row_number() OVER (ORDER BY round(avg_net_return, 9) DESC NULLS LAST, round(sum_net_return, 9) DESC NULLS LAST, round(win_rate, 9) DESC NULLS LAST, case_id) AS place FROM tests)
+SELECT '{side}' AS side, b.train_rank, b.case_id, b.avg_net_return AS train_avg_net_return, b.sum_net_return AS train_sum_net_return, neighbour_mean, neighbour_positive, plateau_score, t.trade_count, t.win_rate, t.avg_net_return, t.sum_net_return,
+  CASE WHEN NOT coalesce(b.avg_net_return > 0 AND b.sum_net_return > 0 AND neighbour_mean > 0 AND neighbour_positive >= 0.5, false) THEN 'train_not_passed' WHEN coalesce(t.avg_net_return > 0 AND t.sum_net_return > 0, false) THEN 'train_test_consistent' ELSE 'not_verified' END AS recommendation_status FROM best b LEFT JOIN tests t USING (case_id)
+UNION ALL SELECT '{side}', NULL, case_id, NULL, NULL, NULL, NULL, NULL, trade_count, win_rate, avg_net_return, sum_net_return, 'test_only' FROM seen WHERE place <= 20 AND case_id NOT IN (SELECT case_id FROM best))""".replace("trades_net", "priced")
+
+
+def _recursive(x: str) -> str:
+    return x.replace("(WITH ", "(WITH RECURSIVE ", 1)
+
+
+_RANKS = f"{_recursive(_ranked('long'))} UNION ALL {_recursive(_ranked('short'))}"
+_TESTS = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {cases_sql(side, 'test')} SELECT '{side}' AS side, * FROM summary)" for side in ("long", "short"))
+ORACLES["sweep_ranking"] = f"SELECT side, train_rank::BIGINT AS train_rank, case_id, {', '.join(r(c, places=5) for c in ('train_avg_net_return', 'train_sum_net_return', 'neighbour_mean', 'neighbour_positive', 'plateau_score'))}, trade_count, {', '.join(r(c, places=5) for c in ('win_rate', 'avg_net_return', 'sum_net_return'))}, recommendation_status FROM ({_RANKS})"
+ORACLES["long_short_comparison"] = f"""WITH tests AS ({_TESTS}), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY round(avg_net_return, 9) DESC NULLS LAST, round(sum_net_return, 9) DESC NULLS LAST, round(win_rate, 9) DESC NULLS LAST, case_id) AS place, (win_rate - 0.5) / sqrt(0.25 / trade_count) AS z FROM tests)
+SELECT side, case_id, time_i, stop_i, take_i, time_barrier_bars, {r('stop_atr_multiple')}, {r('take_profit_multiple')}, kline_mode, space_filter_on, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('z', 'win_rate_z')},
+  CASE WHEN abs(z) < 3.9 THEN 'not_significant' WHEN z > 0 THEN 'passes' ELSE 'below_half' END AS win_rate_verdict FROM placed WHERE place = 1"""

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.operators import audit, bars, evaluate, features, fit, indicators, metrics, simulate, sweep
+from tidebar.plans.tables import shared_table
 from tidebar.sources import events
 
-EVALUATED = ["delta_strength", "close_location_value", "volume_zscore_20", "poc_distance_ticks", "bar_return", "body_ratio", "true_range_ticks", "cvd_change_10", "trend_return_12", "volatility_20", "delta_price_agreement", "open_interest_change"]
+EVALUATED = features.FEATURES
 #: Groups of the score and their features.
 SCORED = {"price_structure": ["close_location_value", "body_ratio"], "orderflow_delta": ["delta_strength", "cvd_change_10"], "auction_poc": ["poc_distance_ticks"]}
 COST = 2.0
@@ -40,16 +41,18 @@ def shown(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def _bars(spark: SparkSession, sf: str) -> DataFrame:
-    return events.event_bars(spark, sf)
+    return shared_table(spark, sf, "bars", lambda: events.event_bars(spark, sf))
 
 
-def _features(spark: SparkSession, sf: str) -> DataFrame:
-    return features.extended(_bars(spark, sf))
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars with features and labels, in one pass over the same windows. Features are rounded to 11 places, so that ties and distinct values do not hang on
+    the last bits, in which engines differ."""
+    d = lambda: features.labels(features.extended(_bars(spark, sf)), cost_ticks=COST)
+    return shared_table(spark, sf, "pack", lambda: d().withColumns({f: F.round(F.col(f).cast("double"), 11) for f in features.FEATURES}))
 
 
-def _labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Features and labels in one pass over the same windows."""
-    return features.labels(_features(spark, sf), cost_ticks=COST)
+def _features(spark: SparkSession, sf: str) -> DataFrame:
+    return _labelled(spark, sf).select(*features.BASE, *features.FEATURES)
 
 
 def _ladder(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,13 +60,17 @@ def _ladder(spark: SparkSession, sf: str) -> DataFrame:
     return bars.ladder_of(ticks, ("ts", "event_id"))
 
 
-def _split(b: DataFrame) -> DataFrame:
-    return fit.time_split(b)
+def _split(spark: SparkSession, sf: str) -> dict:
+    return fit.constants(shared_table(spark, sf, "split", lambda: fit.time_split(_bars(spark, sf))))
+
+
+def _train(df: DataFrame, split: dict) -> DataFrame:
+    return df.where(F.col("datetime") <= split["train_end"])
 
 
 @query
 def bars_hourly(spark, sf):
-    return shown(_bars(spark, sf))
+    return shown(events.event_bars(spark, sf))
 
 
 @query
@@ -113,7 +120,7 @@ def session_semi_join(spark, sf):
 
 def _group(name: str, places: int = 6):
     def run(spark, sf):
-        return shown(_features(spark, sf).select("contract", "datetime", *features.GROUPS[name]), places)
+        return shown(features.extended(_bars(spark, sf)).select("contract", "datetime", *features.GROUPS[name]), places)
 
     run.__name__ = f"features_{name}"
     return query(run)
@@ -134,7 +141,7 @@ def labels_forward(spark, sf):
 
 
 def _pullback(spark, sf):
-    return features.pullback(_labelled(spark, sf)).persist()
+    return shared_table(spark, sf, "pullback", lambda: features.pullback(_labelled(spark, sf)))
 
 
 @query
@@ -147,18 +154,27 @@ def trendline60(spark, sf):
     return shown(_pullback(spark, sf).select("contract", "datetime", "trendline_60", "trendline_slope_60_ticks"))
 
 
-PULLBACK_SHOWN = ["trend_filter_pass", "pullback_structure_pass", "kline_turn_pass", "flow_confirm_pass", "space_filter_pass", "bullish_engulfing_flag", "morning_star_proxy", "weak_to_strong_3bar_flag", "atr20_ticks", "stop_distance_ticks_signal", "reward_ticks_signal", "reward_to_risk_proxy", "trade_ready"]
-SHORT_SHOWN = ["short_trend_filter_pass", "short_pullback_structure_pass", "short_kline_turn_pass", "short_flow_confirm_pass", "short_space_filter_pass", "bearish_engulfing_flag", "evening_star_proxy", "strong_to_weak_3bar_flag", "short_stop_distance_ticks_signal", "short_reward_ticks_signal", "short_reward_to_risk_proxy"]
+PULLBACK_SHOWN = [
+    "distance_to_ema60_ticks", "low_distance_to_ema60_ticks", "distance_to_trendline_ticks", "low_distance_to_trendline_ticks", "adaptive_pullback_tolerance_ticks", "trend_filter_pass", "ema60_hold_flag", "trendline_hold_flag",
+    "pullback_structure_pass", "bullish_bar_flag", "strong_bullish_close_flag", "body_quality_flag", "bullish_engulfing_flag", "morning_star_proxy", "weak_to_strong_3bar_flag", "kline_turn_pass", "delta_confirm_long",
+    "volume_normal_or_better_flag", "volume_expand_flag", "flow_confirm_pass", "atr20_ticks", "previous_swing_high_20", "stop_price_signal", "stop_distance_ticks_signal", "reward_ticks_signal", "reward_to_risk_proxy",
+    "space_filter_pass", *[f"{c}_pass" for c in features.COMBOS], "trade_ready",
+]
+SHORT_SHOWN = [
+    "short_distance_to_ema60_ticks", "short_high_distance_to_ema60_ticks", "short_distance_to_trendline_ticks", "short_high_distance_to_trendline_ticks", "short_trend_filter_pass", "short_ema60_reject_flag", "short_trendline_reject_flag",
+    "short_pullback_structure_pass", "bearish_bar_flag", "strong_bearish_close_flag", "bearish_engulfing_flag", "evening_star_proxy", "strong_to_weak_3bar_flag", "short_kline_turn_pass", "short_delta_confirm", "short_flow_confirm_pass",
+    "previous_swing_low_20", "short_stop_price_signal", "short_stop_distance_ticks_signal", "short_reward_ticks_signal", "short_reward_to_risk_proxy", "short_space_filter_pass",
+]
 
 
 @query
 def pullback_features(spark, sf):
-    return shown(_pullback(spark, sf).select("contract", "datetime", *PULLBACK_SHOWN))
+    return shown(features.pullback(_labelled(spark, sf)).select("contract", "datetime", *PULLBACK_SHOWN))
 
 
 @query
 def short_mirror_features(spark, sf):
-    return shown(_pullback(spark, sf).select("contract", "datetime", *SHORT_SHOWN))
+    return shown(features.pullback(_labelled(spark, sf)).select("contract", "datetime", *SHORT_SHOWN))
 
 
 @query
@@ -173,13 +189,14 @@ def feature_quintiles(spark, sf):
 
 @query
 def periodic_ic(spark, sf):
-    d = _labelled(spark, sf).withColumn("period", F.date_format("datetime", "yyyy-MM-dd"))
-    return shown(evaluate.information_coefficients(d, EVALUATED, keys=["period"]))
+    return shown(evaluate.periodic_ic(_labelled(spark, sf), EVALUATED, "yyyy-MM-dd"))
 
 
 @query
 def feature_summary(spark, sf):
-    return shown(evaluate.summary(_labelled(spark, sf), EVALUATED))
+    """In the training part, the test part and both."""
+    d = metrics.with_all(fit.with_split(_labelled(spark, sf), _split(spark, sf)).where("split is not null"))
+    return shown(evaluate.summary(d, EVALUATED, keys=["split"]))
 
 
 @query
@@ -189,92 +206,119 @@ def correlation_pairs(spark, sf):
 
 @query
 def time_split(spark, sf):
-    return shown(_split(_bars(spark, sf)))
+    return shown(fit.time_split(_bars(spark, sf)))
 
 
-def _train(df: DataFrame, split: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(split)).where("datetime <= train_end").drop("train_end", "test_start")
-
-
-def _params(spark, sf, names):
-    b = _features(spark, sf)
-    return fit.transform_params(evaluate.long_form(_train(b, _split(b)), names, ["contract"]))
+def _params(spark, sf):
+    """Of all features, fitted on the training part."""
+    train = lambda: evaluate.long_form(_train(_features(spark, sf), _split(spark, sf)), EVALUATED, ["contract"])
+    return shared_table(spark, sf, "params", lambda: fit.transform_params(train()))
 
 
 @query
 def winsor_params(spark, sf):
-    return shown(_params(spark, sf, EVALUATED))
+    return shown(fit.transform_params(evaluate.long_form(_train(_features(spark, sf), _split(spark, sf)), EVALUATED, ["contract"])))
+
+
+SCORE_NAMES = [f for fs in SCORED.values() for f in fs]
 
 
 @query
 def zscore_apply(spark, sf):
-    names = [f for fs in SCORED.values() for f in fs]
-    long = evaluate.long_form(_features(spark, sf), names, ["contract", "datetime"])
-    return shown(fit.standardised(long, _params(spark, sf, names)).select("contract", "datetime", "feature", "clipped", "z"))
+    long = evaluate.long_form(_features(spark, sf), SCORE_NAMES, ["contract", "datetime"])
+    return shown(fit.standardised(long, _params(spark, sf)).select("contract", "datetime", "feature", "clipped", "z"))
 
 
-def _scored(spark, sf):
-    """Bars, risk columns and labels with signal_score, whose signs and weights are the training coefficients (a table of five rows)."""
-    names = [f for fs in SCORED.values() for f in fs]
-    d = _labelled(spark, sf).persist()  # read four times: for the split, the coefficients, the parameters and the score
-    split = _split(d)
-    ic = {r["feature"]: r["spearman_ic"] or 0.0 for r in evaluate.information_coefficients(_train(d, split), names).collect()}
-    params = fit.transform_params(evaluate.long_form(_train(d, split), names, ["contract"]))
-    z = fit.standardised(evaluate.long_form(d, names, ["contract", "datetime"]), params)
-    wide = z.groupBy("contract", "datetime").pivot("feature", names).agg(F.first("z")).select("contract", "datetime", *[F.col(f).alias(f"z_{f}") for f in names])
+def _with_scores(spark, sf):
+    """Labelled bars with signal_score and a score per group, whose signs and weights are the training coefficients (a table of five rows)."""
+    d, split = _labelled(spark, sf), _split(spark, sf)
+    ic = {r["feature"]: r["spearman_ic"] or 0.0 for r in evaluate.information_coefficients(_train(d, split), SCORE_NAMES).collect()}
     groups = {}
     for g, fs in SCORED.items():
         total = sum(abs(ic[f]) for f in fs) or 1.0
         groups[g] = [(f"z_{f}", (ic[f] > 0) - (ic[f] < 0), abs(ic[f]) / total) for f in fs]
-    keep = ["contract", "datetime", "open", "high", "low", "close", "volume", "true_range_ticks", "poc_shift_ticks", "entry_open_next", "exit_close_after_5"]
-    return d.select(*keep).join(wide, ["contract", "datetime"]).select(*keep, fit.weighted_score(groups).alias("signal_score")), split
+    z = fit.with_z(d, _params(spark, sf).where(F.col("feature").isin(SCORE_NAMES)), SCORE_NAMES)
+    return z.select(*d.columns, fit.weighted_score(groups).alias("signal_score"), *[fit.weighted_score({g: x}).alias(f"score_{g}") for g, x in groups.items()])
+
+
+def _scored(spark, sf):
+    keep = ["contract", "datetime", "open", "high", "low", "close", "volume", "true_range_ticks", "poc_shift_ticks", "entry_open_next", "exit_close_after_5", "future_return_5"]
+    return shared_table(spark, sf, "scored", lambda: _with_scores(spark, sf).select(*keep, "signal_score", *[f"score_{g}" for g in SCORED]))
 
 
 @query
 def signal_score(spark, sf):
-    return shown(_scored(spark, sf)[0].select("contract", "datetime", "signal_score"))
+    return shown(_with_scores(spark, sf).select("contract", "datetime", "signal_score"))
+
+
+def _limits(spark, sf):
+    return shared_table(spark, sf, "limits", lambda: fit.risk_limits(_train(_scored(spark, sf), _split(spark, sf))))
 
 
 def _risked(spark, sf):
-    scored, split = _scored(spark, sf)
-    return fit.risk_pass(fit.risk_limits(_train(scored, split)), scored).persist(), split
+    return fit.risk_pass(fit.constants(_limits(spark, sf)), _scored(spark, sf))
 
 
-def _cuts(risked, split, high=0.85, low=0.15):
-    return fit.thresholds(_train(risked, split).where("risk_pass"), high=high, low=low)
+def _cuts(spark, sf):
+    return fit.thresholds(_train(_risked(spark, sf), _split(spark, sf)).where("risk_pass"))
 
 
 @query
 def risk_filter(spark, sf):
-    risked, split = _risked(spark, sf)
-    return shown(fit.with_split(risked, split).groupBy("split").agg(F.count(F.lit(1)).alias("row_count"), F.count_if("risk_pass").alias("passed")))
+    return shown(fit.with_split(_risked(spark, sf), _split(spark, sf)).groupBy("split").agg(F.count(F.lit(1)).alias("row_count"), F.count_if("risk_pass").alias("passed")))
 
 
 @query
 def score_thresholds(spark, sf):
-    risked, split = _risked(spark, sf)
-    return shown(_cuts(risked, split).crossJoin(fit.risk_limits(_train(risked, split))))
+    return shown(fit.attach(_cuts(spark, sf), fit.constants(_limits(spark, sf))))
+
+
+def _new_trades(spark, sf):
+    return simulate.fixed_hold_trades(_risked(spark, sf), fit.constants(_cuts(spark, sf)), _split(spark, sf), cost=COST)
 
 
 def _trades(spark, sf):
-    risked, split = _risked(spark, sf)
-    return simulate.fixed_hold_trades(risked, _cuts(risked, split), split, cost=COST)
+    return shared_table(spark, sf, "trades", lambda: _new_trades(spark, sf))
 
 
 @query
 def trades_fixed_hold(spark, sf):
-    return shown(_trades(spark, sf))
+    return shown(_new_trades(spark, sf))
 
 
 @query
 def trades_stage1(spark, sf):
     """Stage-1 rules: 80/20 thresholds over all training scores, entry / exit - 1 for shorts, no skipped crossings."""
-    scored, split = _scored(spark, sf)
+    scored, split = _scored(spark, sf), _split(spark, sf)
     ready = scored.withColumn("risk_pass", F.col("signal_score").isNotNull())
-    cuts = fit.thresholds(_train(scored, split), high=0.8, low=0.2)
+    cuts = fit.constants(fit.thresholds(_train(scored, split), high=0.8, low=0.2))
     return shown(simulate.fixed_hold_trades(ready, cuts, split, cost=COST, mirror=True, cross=True))
 
 
+@query
+def signal_distribution(spark, sf):
+    cuts = fit.constants(_cuts(spark, sf))
+    d = metrics.with_all(fit.with_split(fit.attach(_risked(spark, sf), cuts), _split(spark, sf)).where("split is not null"))
+    return shown(metrics.signal_distribution(d, ["split"], ["long_threshold", "short_threshold"]))
+
+
+@query
+def interaction_patterns(spark, sf):
+    test = _scored(spark, sf).where(F.col("datetime") >= _split(spark, sf)["test_start"])
+    return shown(metrics.interaction_patterns(test, "score_orderflow_delta", "score_auction_poc", "score_price_structure"))
+
+
+#: A choice of features, to hold their correlations against the caps.
+CHOSEN = [(c, k + 1, f, g) for c, gs in {"one": list(SCORED), "two": list(SCORED)[:2]}.items() for k, (g, f) in enumerate((g, f) for g in gs for f in SCORED[g])]
+
+
+@query
+def selected_correlations(spark, sf):
+    selected = spark.createDataFrame(CHOSEN, "combo_name string, selection_order int, feature string, dimension string")
+    corr = evaluate.correlations(_train(_features(spark, sf), _split(spark, sf)), SCORE_NAMES)
+    return shown(metrics.selected_correlations(selected, corr, cap=0.5, warn=0.05))
+
+
 @query
 def strategy_metrics(spark, sf):
     return shown(metrics.strategy_metrics(metrics.with_all(_trades(spark, sf)), ["split"]))
@@ -314,10 +358,10 @@ def win_rate_tests(spark, sf):
 
 @query
 def two_proportion_test(spark, sf):
-    m = _trades(spark, sf).groupBy("side").agg(F.count_if(F.col("net_return") > 0).alias("wins"), F.count(F.lit(1)).alias("n"))
-    a, b = (m.where(F.col("side") == s).select(F.col("wins").alias(f"wins_{s}"), F.col("n").alias(f"n_{s}")) for s in ("long", "short"))
+    t, sides = _trades(spark, sf), ("long", "short")
+    counts = [F.count_if((F.col("side") == s) & on).alias(f"{k}_{s}") for s in sides for k, on in (("wins", F.col("net_return") > 0), ("n", F.lit(True)))]
     z, p = metrics.two_proportions(F.col("wins_long"), F.col("n_long"), F.col("wins_short"), F.col("n_short"))
-    return shown(a.crossJoin(b).select("*", z.alias("z"), (p < 0.05).alias("significant")))
+    return shown(t.agg(*counts).select("*", z.alias("z"), (p < 0.05).alias("significant")))
 
 
 @query
@@ -327,61 +371,113 @@ def bootstrap_interval(spark, sf):
 
 @query
 def filter_funnel(spark, sf):
-    p = _pullback(spark, sf)
-    return shown(metrics.funnel(fit.with_split(p, _split(p)), features.COMBOS))
+    return shown(metrics.funnel(fit.with_split(_pullback(spark, sf), _split(spark, sf)), features.COMBOS))
 
 
 BARRIER_SIGNAL = "strong_bullish_close_flag"
 
 
+def _barrier(spark, sf):
+    ready = F.col(BARRIER_SIGNAL) & F.col("trade_ready")
+    return simulate.barrier_trades(_pullback(spark, sf), ready, _split(spark, sf), "long", cost=COST)
+
+
 @query
 def trades_triple_barrier(spark, sf):
-    p = _pullback(spark, sf)
-    return shown(simulate.barrier_trades(p, F.col(BARRIER_SIGNAL) & F.col("trade_ready"), _split(p), "long", cost=COST))
+    return shown(_barrier(spark, sf))
 
 
 @query
 def trades_triple_barrier_short(spark, sf):
-    p = _pullback(spark, sf)
-    return shown(simulate.barrier_trades(p, F.col("strong_bearish_close_flag") & F.col("trade_ready"), _split(p), "short", bars=12, stop_atr=0.5, take=1.5, cost=COST))
+    ready = F.col("strong_bearish_close_flag") & F.col("trade_ready")
+    return shown(simulate.barrier_trades(_pullback(spark, sf), ready, _split(spark, sf), "short", bars=12, stop_atr=0.5, take=1.5, cost=COST))
 
 
 @query
 def exit_reasons(spark, sf):
-    p = _pullback(spark, sf)
-    t = simulate.barrier_trades(p, F.col(BARRIER_SIGNAL) & F.col("trade_ready"), _split(p), "long", cost=COST)
-    return shown(metrics.exit_reasons(t, ["split"]))
+    return shown(metrics.exit_reasons(_barrier(spark, sf), ["split"]))
 
 
 @query
 def barrier_replay_audit(spark, sf):
-    p = _pullback(spark, sf)
-    t = simulate.barrier_trades(p, F.col(BARRIER_SIGNAL) & F.col("trade_ready"), _split(p), "long", cost=COST)
-    return shown(audit.trade_checks(t, p, _split(p), COST).unionByName(audit.path_replay(t, p)))
+    p, t, split = _pullback(spark, sf), shared_table(spark, sf, "barrier_trades", lambda: _barrier(spark, sf)), _split(spark, sf)
+    return shown(audit.trade_checks(t, p, split, COST).unionByName(audit.path_replay(t, p)))
+
+
+def _new_combo_trades(spark, sf):
+    """The five nested filter combinations."""
+    signals = {name: F.col(f"{name}_pass") & F.col("trade_ready") for name in features.COMBOS}
+    return simulate.named_barrier_trades(_pullback(spark, sf), signals, _split(spark, sf), "long", cost=COST)
+
+
+def _combo_trades(spark, sf):
+    return shared_table(spark, sf, "combo_trades", lambda: _new_combo_trades(spark, sf))
+
+
+@query
+def trades_by_combination(spark, sf):
+    return shown(_new_combo_trades(spark, sf))
+
+
+@query
+def combination_gains(spark, sf):
+    """Combinations in the test part against the one before. Samples here are small, so the bounds of confidence are low as well."""
+    t = _combo_trades(spark, sf)
+    m = metrics.strategy_metrics(t, ["combo_name", "split"]).select("combo_name", "split", "trade_count", "win_rate", "avg_gross_return", "avg_net_return", "sum_net_return")
+    gains = metrics.gain_diagnostics(metrics.sample_confidence(m, 1, 2), metrics.monthly(t.where("split = 'test'"), ["combo_name"]), list(features.COMBOS))
+    return shown(gains.drop("win_rate_diff_p"))
 
 
-SMALL_GRID = {"times": (5, 12), "stops": (0.5, 1.0, 1.25), "takes": (1.0, 2.0), "klines": ("none", "strong_close_only"), "spaces": (False,)}
+@query
+def combination_bootstrap(spark, sf):
+    return shown(metrics.bootstrap_differences(_combo_trades(spark, sf), list(features.COMBOS)))
 
 
-def small_signal(kline: str, space: bool):
-    base = F.col("bullish_bar_flag") & F.col("trade_ready")
-    return base & F.col("strong_bullish_close_flag") & F.col("body_quality_flag") if kline == "strong_close_only" else base
+@query
+def positive_months(spark, sf):
+    return shown(metrics.positive_months(metrics.monthly(_combo_trades(spark, sf), ["combo_name", "split"], "yyyy-MM-dd"), ["combo_name", "split"]))
 
 
-def _sweep(spark, sf):
-    p = _pullback(spark, sf)
-    cases = sweep.grid(**SMALL_GRID)
-    return sweep.sweep_trades(p, _split(p), "long", cases, cost=COST, signals=small_signal), spark.createDataFrame(cases)
+RATIOS = (1.0, 1.5, 2.0)
 
 
 @query
-def sweep_small_grid(spark, sf):
-    return shown(_sweep(spark, sf)[0])
+def reward_risk_sensitivity(spark, sf):
+    """Confirmed flow with room to the last swing, re-simulated with other least ratios of reward to risk (of flow alone, as these bars leave no row of all filters)."""
+    base = F.col("flow_confirm_pass") & F.col("trade_ready") & (F.col("previous_swing_high_20") > F.col("close")) & F.col("stop_distance_ticks_signal").between(2.0, 30.0)
+    t = simulate.named_barrier_trades(_pullback(spark, sf), {str(r): base & (F.col("reward_to_risk_proxy") >= r) for r in RATIOS}, _split(spark, sf), "long", cost=COST)
+    m = metrics.strategy_metrics(metrics.with_all(t), ["combo_name", "split"])
+    return shown(m.select(F.col("combo_name").cast("double").alias("reward_to_risk_threshold"), "split", "trade_count", "win_rate", "avg_net_return", "sum_net_return", "max_drawdown"))
+
+
+def _new_sweep(spark, sf, side):
+    return sweep.sweep_trades(_pullback(spark, sf), _split(spark, sf), side, sweep.grid(), cost=COST)
+
+
+def _sweep(spark, sf, side):
+    return shared_table(spark, sf, f"sweep_{side}", lambda: _new_sweep(spark, sf, side))
 
 
-def _cases(spark, sf):
-    trades, cases = _sweep(spark, sf)
-    return sweep.case_summary(trades, cases).select(*cases.columns, "trade_count", "win_rate", "avg_net_return")
+def _grid(spark):
+    return spark.createDataFrame(sweep.grid())
+
+
+CASE = ["case_id", "time_i", "stop_i", "take_i", "time_barrier_bars", "stop_atr_multiple", "take_profit_multiple", "kline_mode", "space_filter_on"]
+
+
+def _cases(spark, sf, side="long", split="train"):
+    return sweep.case_summary(_sweep(spark, sf, side), _grid(spark), split).select(*CASE, "trade_count", "win_rate", "avg_net_return", "sum_net_return")
+
+
+@query
+def sweep_long(spark, sf):
+    """All 384 cases."""
+    return shown(_new_sweep(spark, sf, "long"))
+
+
+@query
+def sweep_short(spark, sf):
+    return shown(_new_sweep(spark, sf, "short"))
 
 
 @query
@@ -395,6 +491,12 @@ def kline_ablation(spark, sf):
     return shown(metrics.against_baseline(_cases(spark, sf), "kline_mode", "none", same).select("case_id", "kline_mode", "avg_net_return", "avg_net_return_vs_baseline"))
 
 
+@query
+def space_ablation(spark, sf):
+    same = ["time_barrier_bars", "stop_atr_multiple", "take_profit_multiple", "kline_mode"]
+    return shown(metrics.against_baseline(_cases(spark, sf, "short"), "space_filter_on", False, same).select("case_id", "space_filter_on", "avg_net_return", "avg_net_return_vs_baseline"))
+
+
 @query
 def marginal_means(spark, sf):
     c = _cases(spark, sf)
@@ -403,6 +505,34 @@ def marginal_means(spark, sf):
     return shown(a.unionByName(b))
 
 
+LEAST_TRADES = 3  # of a training case here; the operator's own bound is 300
+
+
+def _verified(spark, sf, side):
+    train = metrics.plateau_scores(_cases(spark, sf, side))
+    return sweep.ranking(train, _cases(spark, sf, side, "test"), LEAST_TRADES)
+
+
+@query
+def sweep_ranking(spark, sf):
+    return shown(_verified(spark, sf, "long").withColumn("side", F.lit("long")).unionByName(_verified(spark, sf, "short").withColumn("side", F.lit("short"))), 5)
+
+
+def _both_tests(spark, sf):
+    return _cases(spark, sf, "long", "test").withColumn("side", F.lit("long")).unionByName(_cases(spark, sf, "short", "test").withColumn("side", F.lit("short")))
+
+
+@query
+def long_short_comparison(spark, sf):
+    return shown(sweep.comparison(_both_tests(spark, sf), trials=2 * len(sweep.grid())).select("side", *CASE, "trade_count", "win_rate", "avg_net_return", "sum_net_return", "win_rate_z", "win_rate_verdict"))
+
+
+@query
+def long_short_asymmetry(spark, sf):
+    best = [sweep.best_cases(_verified(spark, sf, s), _cases(spark, sf, s, "test"), _grid(spark)) for s in ("long", "short")]
+    return shown(sweep.asymmetry(*best, {"time_i": 4, "stop_i": 4, "take_i": 4}))
+
+
 @query
 def audit_integrity(spark, sf):
     return shown(audit.bar_integrity(_bars(spark, sf)))
@@ -412,12 +542,16 @@ def audit_integrity(spark, sf):
 def audit_label_alignment(spark, sf):
     y = features.labels(_bars(spark, sf))
     shifted = y.withColumn("future_return_5", F.col("future_return_5") + F.when(F.hour("datetime") == 7, 0.01).otherwise(0.0)).where(F.hour("datetime") != 3)
-    return shown(audit.differences(y, shifted, ["contract", "datetime"], ["future_return_1", "future_return_5", "mfe_10_long"]))
+    return shown(audit.differences(y, shifted, ["contract", "datetime"], features.LABELS))
+
+
+#: Rows that each label looks ahead.
+HORIZONS = {"future_return_1": 1, "future_return_3": 3, "future_return_5": 5, "future_return_10": 10, "mfe_10_long": 10, "mae_10_long": 10, "entry_open_next": 1, "exit_close_after_5": 5, "trade_return_5_gross": 5, "trade_return_5_net": 5}
 
 
 @query
 def audit_tail_null(spark, sf):
-    return shown(audit.tail_nulls(features.labels(_bars(spark, sf)), {"future_return_1": 1, "future_return_5": 5, "future_return_10": 10, "mfe_10_long": 10, "entry_open_next": 1}))
+    return shown(audit.tail_nulls(features.labels(_bars(spark, sf)), HORIZONS))
 
 
 @query
@@ -481,8 +615,8 @@ def kama_atr(spark, sf):
 @query
 def union_ragged(spark, sf):
     b = _bars(spark, sf)
-    wide = b.where("contract = 'C0'").select("contract", "datetime", "close", "volume")
-    return shown(wide.unionByName(b.where("contract = 'C1'").select("contract", "datetime", "close", "delta"), allowMissingColumns=True))
+    wide = b.where("contract in ('C0', 'C2')").select("contract", "datetime", "close", "volume")
+    return shown(wide.unionByName(b.where("contract in ('C1', 'C3')").select("contract", "datetime", "close", "delta"), allowMissingColumns=True))
 
 
 @query
@@ -492,20 +626,33 @@ def distinct_keys(spark, sf):
 
 @query
 def anti_test_only(spark, sf):
-    b = fit.with_split(_bars(spark, sf), _split(_bars(spark, sf)))
-    train = b.where("split = 'train' and volume > 30").select("contract", F.hour("datetime").alias("hour")).distinct()
-    test = b.where("split = 'test' and volume > 30").select("contract", F.hour("datetime").alias("hour")).distinct()
-    return shown(test.join(train, ["contract", "hour"], "left_anti"))
+    """Delta and volume that a bar had in the test part only."""
+    b = fit.with_split(_bars(spark, sf), _split(spark, sf)).select("split", "contract", "delta", "volume")
+    train, test = (b.where(F.col("split") == part).drop("split").distinct() for part in ("train", "test"))
+    return shown(test.join(train, ["contract", "delta", "volume"], "left_anti"))
+
+
+def _train_summary(spark, sf):
+    return shared_table(spark, sf, "train_summary", lambda: evaluate.summary(_train(_labelled(spark, sf), _split(spark, sf)), EVALUATED))
+
+
+def _selected(spark, sf):
+    """The greedy choice over the training summary: the 65 candidate rows and their correlations reach the driver."""
+    table = [r.asDict() for r in _train_summary(spark, sf).select("feature", "coverage", "unique_count", "inf_count", "spearman_ic").collect()]
+    corr = {(r["feature_a"], r["feature_b"]): r["spearman_corr"] for r in evaluate.correlations(_train(_features(spark, sf), _split(spark, sf)), EVALUATED).collect()}
+    chosen = fit.select_features(table, corr, features.GROUP_OF)
+    return spark.createDataFrame(chosen, "selection_order int, feature string, group string, abs_spearman_ic double, mrmr_score double")
 
 
 @query
 def feature_selection(spark, sf):
-    """The greedy choice over the training summary: at most some dozens of candidate rows reach the driver."""
-    d = _labelled(spark, sf)
-    train = _train(d, _split(d))
-    table = [r.asDict() for r in evaluate.summary(train, EVALUATED).select("feature", "coverage", "unique_count", "spearman_ic").collect()]
-    corr = {(r["feature_a"], r["feature_b"]): r["spearman_corr"] for r in evaluate.correlations(train, EVALUATED).collect()}
-    chosen = fit.select_features(table, corr, features.GROUP_OF, most=8)
-    return shown(spark.createDataFrame(chosen, "selection_order int, feature string, group string, abs_spearman_ic double, mrmr_score double"))
+    return shown(_selected(spark, sf))
 
 
+@query
+def audit_isolation(spark, sf):
+    """The checks that nothing was fitted on the test part, over tables that keep to it."""
+    d, split = _labelled(spark, sf), _split(spark, sf)
+    selected = _train_summary(spark, sf).where("abs_spearman_ic is not null").orderBy(F.desc("abs_spearman_ic"), "feature").limit(10).select("feature", "abs_spearman_ic")
+    used = _cuts(spark, sf).withColumn("split", F.explode(F.array(F.lit("train"), F.lit("test"))))
+    return shown(audit.isolation(selected, _train_summary(spark, sf), _params(spark, sf), fit.transform_params(evaluate.long_form(_train(d, split), EVALUATED, ["contract"])), used, _cuts(spark, sf)))

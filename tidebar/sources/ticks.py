@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.sources import calendar
 
+#: The columns of tick and bar files.
 NUMERIC = ["datetime_nano", "last_price", "highest", "lowest", "average", "volume", "amount", "open_interest", "bid_price1", "bid_volume1", "ask_price1", "ask_volume1"]
 BAR_COLUMNS = ["datetime", "open", "high", "low", "close", "volume", "poc", "delta", "open_interest"]
 BAR_TIME = "yyyy.MM.dd HH:mm"
@@ -49,9 +50,19 @@ def read_tick_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def filled_forward(ticks: DataFrame) -> DataFrame:
-    """Missing numbers take the last known one of the contract, else 0."""
-    w = Window.partitionBy("contract").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return ticks.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0.0)) for c in NUMERIC})
+    """Missing numbers take the last known one of the contract, else 0.
+
+    Rows are filled within chunks of consecutive seq (those of one file split), and each chunk's last known numbers are carried to the next ones, so no task
+    sorts all ticks of a contract.
+    """
+    chunk = ["contract", "_chunk"]
+    t = ticks.withColumn("_chunk", F.shiftright("seq", 33))
+    ends = t.groupBy(*chunk).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in NUMERIC])
+    before = Window.partitionBy("contract").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*chunk, *[F.last(c, ignorenulls=True).over(before).alias(f"_before_{c}") for c in NUMERIC])
+    w = Window.partitionBy(*chunk).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    filled = t.join(carried, chunk).withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_before_{c}"), F.lit(0.0)) for c in NUMERIC})
+    return filled.select(*ticks.columns)
 
 
 def valid_price(strict: bool = True) -> Column:
