@@ -27,7 +27,7 @@ def strategy_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     return t.groupBy(*keys).agg(
         n.alias("trade_count"), F.count_if(F.col("side") == "long").alias("long_count"), F.count_if(F.col("side") == "short").alias("short_count"), F.avg((F.col("net_return") > 0).cast("double")).alias("win_rate"),
         F.avg("gross_return").alias("avg_gross_return"), F.avg("net_return").alias("avg_net_return"), F.median("net_return").alias("median_net_return"), F.sum("net_return").alias("sum_net_return"),
-        F.when(std > 0, F.sqrt(n) * F.avg("net_return") / std).alias("sharpe"), F.min("_fall").alias("max_drawdown"),
+        F.when(std > 0, F.try_divide(F.sqrt(n) * F.avg("net_return"), std)).alias("sharpe"), F.min("_fall").alias("max_drawdown"),
     )
 
 
@@ -60,10 +60,11 @@ def overlaps(trades: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def sample_confidence(metrics: DataFrame, low: int = 100, good: int = 300, every_split: bool = False) -> DataFrame:
     """metrics with the standard error of the win rate, its 95 % interval within 0..1, and a status by trade count (of the test part only, unless every_split)."""
     n, rate = F.col("trade_count"), F.col("win_rate")
-    se = F.sqrt(rate * (1 - rate) / n)
+    se = F.sqrt(F.try_divide(rate * (1 - rate), n))
     judged = F.lit(True) if every_split else F.col("split") == "test"
     status = F.when((n == 0) | rate.isNull(), F.when(judged, "insufficient_samples").otherwise("no_samples")).when(judged & (n < low), "insufficient_samples").when(judged & (n < good), "low_confidence").otherwise("enough_samples")
-    return metrics.withColumns({"win_rate_se": se, "win_rate_low": F.greatest(F.lit(0.0), rate - 1.96 * se), "win_rate_high": F.least(F.lit(1.0), rate + 1.96 * se), "sample_status": status})
+    known = lambda x: F.when(se.isNotNull(), x)  # noqa: E731  greatest and least pass over what is missing
+    return metrics.withColumns({"win_rate_se": se, "win_rate_low": known(F.greatest(F.lit(0.0), rate - 1.96 * se)), "win_rate_high": known(F.least(F.lit(1.0), rate + 1.96 * se)), "sample_status": status})
 
 
 def positive_months(monthly_trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -172,19 +173,19 @@ def exit_reasons(trades: DataFrame, keys: list[str]) -> DataFrame:
     g = trades.groupingSets([[F.col(k) for k in keys], [*[F.col(k) for k in keys], F.col("exit_reason")]], *[F.col(k) for k in keys], F.col("exit_reason"))
     out = g.agg(F.count(F.lit(1)).alias("count"), F.avg("net_return").alias("avg_net_return"))
     total = F.max("count").over(Window.partitionBy(*keys))
-    return out.select(*keys, "exit_reason", "count", (F.col("count") / total).alias("rate"), "avg_net_return")
+    return out.select(*keys, "exit_reason", "count", F.try_divide("count", total).alias("rate"), "avg_net_return")
 
 
 def two_proportions(wins_a: Column, n_a: Column, wins_b: Column, n_b: Column) -> tuple[Column, Column]:
     """(z, two-sided p) of the difference of two shares with a pooled error."""
-    pooled = (wins_a + wins_b) / (n_a + n_b)
-    z = F.try_divide(wins_a / n_a - wins_b / n_b, F.sqrt(pooled * (1 - pooled) * (1 / n_a + 1 / n_b)))
+    pooled, each = F.try_divide(wins_a + wins_b, n_a + n_b), F.try_divide(F.lit(1), n_a) + F.try_divide(F.lit(1), n_b)
+    z = F.try_divide(F.try_divide(wins_a, n_a) - F.try_divide(wins_b, n_b), F.sqrt(F.greatest(pooled * (1 - pooled) * each, F.when(each.isNotNull(), 0.0))))
     return z, two_sided_p(z)
 
 
 def win_rate_test(metrics: DataFrame, trials: int, level: float = 0.05, half: float = 0.5) -> DataFrame:
     """metrics with z and p of the win rate against one half, p times the number of trials, and a verdict for the test part only."""
-    z = (F.col("win_rate") - half) / F.sqrt(half * (1 - half) / F.col("trade_count"))
+    z = F.try_divide(F.col("win_rate") - half, F.sqrt(F.try_divide(F.lit(half * (1 - half)), F.col("trade_count"))))
     m = metrics.withColumn("win_rate_z", z).withColumn("win_rate_p", two_sided_p(F.col("win_rate_z")))
     m = m.withColumn("win_rate_p_bonferroni", F.least(F.lit(1.0), F.col("win_rate_p") * trials))
     verdict = F.when(F.col("split") != "test", "not_tested").when(F.col("win_rate_p_bonferroni") >= level, "not_significant").when(F.col("win_rate_z") > 0, "passes").otherwise("below_half")
