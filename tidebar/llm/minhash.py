@@ -23,7 +23,6 @@ a Bloom filter of bounded size, which lets a few others through.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import _mix, id_filter, in_filter, materialize, small_batches, table, without_ids
 from .components import components
 from .decontaminate import _NORMAL
 
@@ -46,13 +45,6 @@ _BYTES = _rng.integers(1, 1 << 63, 256, dtype=_U)
 _PLACES = _rng.integers(1, 1 << 63, max(WIDTH, ROWS), dtype=_U) | _U(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A well-spread 64-bit hash of 64-bit values."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts, number of words of each text), from the texts' bytes at once."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
@@ -155,37 +147,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "id long, copy binary, n long, bands array<long>")
 
 
-def id_filter(ids: DataFrame, most_log2_bits: int = 27) -> np.ndarray:
-    """A Bloom filter (one hash, about 16 bits an id, at most 16 MB) of a long column `id`, as bytes of bits."""
-    log2_bits = min(max(int(ids.count() * 16).bit_length(), 16), most_log2_bits)
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << log2_bits, bool)
-        for b in batches:
-            bits[id_bit(b.column(0).to_numpy(), log2_bits)] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], ["bits"])
-
-    out = np.zeros(1 << (log2_bits - 3), np.uint8)
-    for row in ids.select("id").mapInArrow(build, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
-    return out
-
-
-def id_bit(ids: np.ndarray, log2_bits: int) -> np.ndarray:
-    return _mix(ids.astype(np.int64).view(_U)) & _U((1 << log2_bits) - 1)
-
-
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, set): the sorted distinct shingle hashes of the texts whose id is in ids, and of a few others."""
     shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        log2_bits = len(bits).bit_length() + 2
         for b in batches:
-            at = id_bit(b.column(0).to_numpy(), log2_bits)
-            b = b.take(pa.array(np.flatnonzero(bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & 1)))
+            b = b.take(pa.array(np.flatnonzero(in_filter(shared.value, b.column(0).to_numpy()))))
             own, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _groups(texts):
                 owner, values, _ = shingles(*word_hashes(texts[i:j]))
@@ -217,7 +185,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def blocks(rows: DataFrame, sets: DataFrame, most_shingles: int = 150_000) -> DataFrame:
+def blocks(rows: DataFrame, sets: DataFrame, most_shingles: int = 60_000) -> DataFrame:
     """(component, part, ids, ends, values): the shingle sets of rows (component, node, n), packed in blocks of about most_shingles."""
     count = rows.groupBy("component").agg(F.ceil(F.sum("n") / most_shingles).alias("parts"))
     dealt = rows.join(count, "component").join(sets.withColumnRenamed("id", "node"), "node").select("component", F.pmod(F.xxhash64("node"), F.greatest("parts", F.lit(1))).cast("int").alias("part"), "node", "set")
@@ -231,7 +199,11 @@ def blocks(rows: DataFrame, sets: DataFrame, most_shingles: int = 150_000) -> Da
 
 
 def block_links(queries: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between any query and any text of a component; two blocks meet in one row, so pairs are never rows."""
+    """Edges (a, b) that join what any query and any text of a component link, found block against block.
+
+    Each pair of blocks is dealt as a row of its own, so a large component is compared by many tasks. A task gives one edge per linked text, to the least
+    one it is joined with there, and never a list of pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,21 +212,33 @@ def block_links(queries: DataFrame, texts: DataFrame, threshold: float) -> DataF
                 sizes = np.diff(ends_t, prepend=0)
                 order = np.argsort(values_t, kind="stable")
                 ordered, owner = values_t[order], np.repeat(np.arange(len(ids_t)), sizes)[order]
-                found_a, found_b = [], []
+                parent: dict[int, int] = {}
+
+                def root(i: int) -> int:
+                    parent.setdefault(i, i)
+                    while parent[i] != i:
+                        parent[i] = parent[parent[i]]
+                        i = parent[i]
+                    return i
+
                 for node, i, j in zip(ids_q.tolist(), [0, *ends_q[:-1].tolist()], ends_q.tolist(), strict=True):
                     low, high = np.searchsorted(ordered, values_q[i:j], "left"), np.searchsorted(ordered, values_q[i:j], "right")
                     times = high - low
                     at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
                     shared = np.bincount(owner[at], minlength=len(ids_t))
-                    near = ids_t[(shared >= threshold * (j - i + sizes - shared)) & (shared > 0)]
-                    found_b += near[near != node].tolist()
-                    found_a += [node] * int((near != node).sum())
-                if found_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
+                    for other in ids_t[(shared >= threshold * (j - i + sizes - shared)) & (shared > 0)].tolist():
+                        x, y = root(node), root(other)
+                        parent[max(x, y)] = min(x, y)
+                edges = [(root(i), i) for i in parent if root(i) != i]
+                if edges:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
 
-    side = lambda df, s: df.select("component", *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "ends", "values")])
-    both = side(queries, "q").join(side(texts, "t"), "component").drop("component")
-    return both.mapInArrow(run, "a long, b long")
+    side = lambda df, s: df.select("component", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "ids", "ends", "values")])
+    pairs = side(queries, "q").select("component", "part_q").join(side(texts, "t").select("component", "part_t"), "component")
+    dealt = pairs.join(side(queries, "q"), ["component", "part_q"]).join(side(texts, "t"), ["component", "part_t"])
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "component", "part_q", "part_t").select("ids_q", "ends_q", "values_q", "ids_t", "ends_t", "values_t")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, rounds: int = 2) -> DataFrame:
@@ -313,8 +297,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """docs without the near duplicates of a kept row; rows without an id stay."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).where("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(materialize(gone, "near-copies"), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, threshold).where("not kept").select("id").distinct()
+    return without_ids(docs, materialize(gone, "near-copies"), id_col)
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
