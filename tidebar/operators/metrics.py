@@ -187,8 +187,8 @@ def win_rate_test(metrics: DataFrame, trials: int, level: float = 0.05, half: fl
     """metrics with z and p of the win rate against one half, p times the number of trials, and a verdict for the test part only."""
     z = F.try_divide(F.col("win_rate") - half, F.sqrt(F.try_divide(F.lit(half * (1 - half)), F.col("trade_count"))))
     m = metrics.withColumn("win_rate_z", z).withColumn("win_rate_p", two_sided_p(F.col("win_rate_z")))
-    m = m.withColumn("win_rate_p_bonferroni", F.least(F.lit(1.0), F.col("win_rate_p") * trials))
-    verdict = F.when(F.col("split") != "test", "not_tested").when(F.col("win_rate_p_bonferroni") >= level, "not_significant").when(F.col("win_rate_z") > 0, "passes").otherwise("below_half")
+    m = m.withColumn("win_rate_p_bonferroni", F.when(F.col("win_rate_p").isNotNull(), F.least(F.lit(1.0), F.col("win_rate_p") * trials)))
+    verdict = F.when((F.col("split") != "test") | F.col("win_rate_p").isNull(), "not_tested").when(F.col("win_rate_p_bonferroni") >= level, "not_significant").when(F.col("win_rate_z") > 0, "passes_bonferroni").otherwise("significant_below_50")
     return m.withColumn("win_rate_verdict", verdict)
 
 

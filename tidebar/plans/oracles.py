@@ -290,6 +290,20 @@ LABEL_DIFF = lambda v, off="0": f"SELECT '{v}' AS column_name, count(*) FILTER (
 TAIL = HORIZONS
 LABELS_ONLY = f"{BARS}, labels AS (SELECT *, {LABEL_COLUMNS} FROM bars {W})"
 
+_FILL = lambda x: f"coalesce(last_value({x} IGNORE NULLS) OVER (PARTITION BY contract ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0)"
+RAW_TICKS = f"""{TICKS}, quotes AS (SELECT 'SHFE.cu240' || contract[2:] AS contract, event_id, ts, CASE WHEN event_id % 13 <> 0 THEN price END AS lp, level + 5 AS highest, CASE WHEN event_id % 7 <> 0 THEN level END AS lo, CASE WHEN event_id % 11 <> 0 THEN level - 1 END AS bid0,
+  level + 1 AS ask, sum(qty) OVER (PARTITION BY contract, ts::DATE ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS volume, 100000 + sum(oi) OVER (PARTITION BY contract ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS interest_level FROM ticks),
+filled AS (SELECT *, {_FILL('lp')} AS last_price, {_FILL('lo')} AS lowest, {_FILL('bid0')} AS bid FROM quotes), sessions(b, e) AS (VALUES (32400, 36900), (37800, 41400), (48600, 54000), (75600, 90000)),
+based AS (SELECT *, CASE WHEN hour(ts) < 8 THEN ts::DATE - 1 ELSE ts::DATE END AS day FROM filled WHERE highest >= lowest AND highest <> 0 AND lowest <> 0 AND last_price <> 0 AND bid <> 0 AND ask <> 0),
+inside AS (SELECT *, epoch_ms(day::TIMESTAMP) + b * 1000 AS begin_ms, epoch_us(ts) // 1000 AS wall_ms FROM based, sessions WHERE epoch_us(ts) // 1000 - epoch_ms(day::TIMESTAMP) BETWEEN b * 1000 AND e * 1000),
+paired AS (SELECT *, lag(ts) OVER o AS pt, lag(volume) OVER o AS pv, lag(interest_level) OVER o AS pi, lag(bid) OVER o AS pb, lag(ask) OVER o AS pa FROM inside WINDOW o AS (PARTITION BY contract ORDER BY event_id)),
+sized AS (SELECT *, CASE WHEN volume >= pv THEN volume - pv WHEN epoch_us(ts) - epoch_us(pt) > 600000000 THEN volume ELSE 0 END AS qty, interest_level - pi AS oi_change FROM paired WHERE pt IS NOT NULL),
+named AS (SELECT *, CASE WHEN oi_change = 0 AND qty = 0 THEN 'NONE' WHEN oi_change = 0 THEN 'EXCHANGE' WHEN oi_change > 0 AND oi_change = qty THEN 'DOUBLEOPEN' WHEN oi_change > 0 THEN 'OPEN' WHEN oi_change + qty = 0 THEN 'DOUBLECLOSE' ELSE 'CLOSE' END AS interest,
+  CASE WHEN last_price >= pa THEN 'UP' WHEN last_price <= pb THEN 'DOWN' WHEN last_price >= ask THEN 'UP' WHEN last_price <= bid THEN 'DOWN' ELSE 'MIDDLE' END AS way FROM sized),
+typed AS (SELECT *, CASE WHEN interest IN ('OPEN', 'CLOSE', 'EXCHANGE') THEN interest || CASE WHEN way = 'MIDDLE' THEN 'UNKNOWN' WHEN interest = 'CLOSE' THEN CASE way WHEN 'UP' THEN 'SHORT' ELSE 'LONG' END WHEN way = 'UP' THEN 'LONG' ELSE 'SHORT' END ELSE interest END AS tick_type FROM named),
+sided AS (SELECT *, CASE WHEN tick_type IN ('OPENLONG', 'CLOSESHORT', 'EXCHANGELONG') THEN 1 WHEN tick_type IN ('OPENSHORT', 'CLOSELONG', 'EXCHANGESHORT') THEN -1 ELSE 0 END AS side, greatest(wall_ms // 300000 * 300000, begin_ms) AS w FROM typed)"""
+_MS = lambda x, n: f"strftime(epoch_ms({x}::BIGINT), '%Y-%m-%d %H:%M:%S') AS {n}"
+
 ORACLES: dict[str, str] = {
     "bars_hourly": shown(BARS, f"SELECT contract, {T}, {BAR_SHOWN} FROM bars"),
     "bars_from_lineitem": f"""WITH ticks AS (SELECT 'P' || (l_partkey % 16)::VARCHAR AS contract, date_trunc('day', l_shipdate) AS datetime, l_orderkey AS o, l_linenumber AS n, floor(l_extendedprice / nullif(l_quantity, 0) * 10) / 10 AS price, l_quantity::BIGINT AS qty,
@@ -297,6 +311,13 @@ ORACLES: dict[str, str] = {
 levels AS (SELECT contract, datetime, level, sum(CASE WHEN side <> 0 THEN qty ELSE 0 END) AS v FROM priced GROUP BY ALL), pocs AS (SELECT contract, datetime, arg_max(level, {{'v': v, 'l': -level}}) AS poc FROM levels GROUP BY ALL),
 hours AS (SELECT contract, datetime, arg_min(price, {{'o': o, 'n': n}}) AS open, max(price) AS high, min(price) AS low, arg_max(price, {{'o': o, 'n': n}}) AS close, sum(qty)::BIGINT AS volume, sum(qty * side)::BIGINT AS delta FROM priced GROUP BY ALL)
 SELECT h.contract, strftime(h.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, {r('poc')}, delta FROM hours h JOIN pocs p ON h.contract = p.contract AND h.datetime = p.datetime""",
+    "ticks_in_session": shown(RAW_TICKS, f"SELECT contract, event_id, {_MS('wall_ms', 'wall')}, {_MS('begin_ms', 'session_begin')}, strftime(day, '%Y-%m-%d') AS trading_day, {r('last_price')}, {r('lowest')}, {r('bid', 'bid_price1')}, {r('volume')} FROM inside"),
+    "ticks_classified": shown(RAW_TICKS, f"SELECT contract, event_id, {r('qty')}, {r('oi_change')}, interest, way, tick_type, side::BIGINT AS side FROM sided"),
+    "bars_from_ticks": shown(
+        f"{RAW_TICKS}, ladders AS (SELECT contract, w, last_price AS level, sum(CASE WHEN side <> 0 THEN qty ELSE 0 END) AS v FROM sided GROUP BY ALL), peaks AS (SELECT contract, w, arg_max(level, {{'v': v, 'l': -level}}) AS poc FROM ladders GROUP BY ALL)",
+        f"SELECT s.contract, strftime(date_trunc('minute', min(ts)), '%Y-%m-%d %H:%M:%S') AS datetime, {r('arg_min(last_price, event_id)', 'open')}, {r('max(last_price)', 'high')}, {r('min(last_price)', 'low')}, {r('arg_max(last_price, event_id)', 'close')}, sum(qty)::BIGINT AS volume, {r('any_value(poc)', 'poc')}, "
+        "sum(qty * side)::BIGINT AS delta, arg_max(interest_level, event_id)::BIGINT AS open_interest FROM sided s JOIN peaks p ON p.contract = s.contract AND p.w = s.w GROUP BY s.contract, s.w",
+    ),
     "price_ladder": shown(f"{TICKS}, {LADDER}", f"SELECT contract, {T}, {r('level')}, buy, sell, other FROM ladder"),
     "poc_by_bar": shown(BARS, f"SELECT contract, {T}, {r('poc')} FROM bars"),
     "imbalance_runs": shown(
@@ -346,7 +367,8 @@ types(interest, way, tick_type, s) AS (VALUES ('OPEN', 'UP', 'OPENLONG', 1), ('O
     "correlation_pairs": shown(
         f"{FEATURES}, clong AS ({long_of('features', EVALUATED, 'contract, datetime')}), cr AS (SELECT *, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY feature, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 END AS rk FROM clong), "
         + f"cp AS (SELECT a.feature AS feature_a, b.feature AS feature_b, a.x AS xa, b.x AS xb, a.rk AS ra, b.rk AS rb FROM cr a JOIN cr b ON a.contract = b.contract AND a.datetime = b.datetime WHERE list_position({EVALUATED!r}, a.feature) < list_position({EVALUATED!r}, b.feature) AND a.x IS NOT NULL AND b.x IS NOT NULL)",
-        f"SELECT feature_a, feature_b, {r('CASE WHEN count(*) >= 20 THEN ' + CORR('xa', 'xb') + ' END', 'pearson_corr')}, {r('CASE WHEN count(*) >= 20 THEN ' + CORR('ra', 'rb') + ' END', 'spearman_corr')} FROM cp GROUP BY ALL",
+        f"SELECT l.f AS feature_a, m.f AS feature_b, {r('p', 'pearson_corr')}, {r('s', 'spearman_corr')} FROM (SELECT unnest({EVALUATED!r}) AS f) l JOIN (SELECT unnest({EVALUATED!r}) AS f) m ON list_position({EVALUATED!r}, l.f) < list_position({EVALUATED!r}, m.f) "
+        f"LEFT JOIN (SELECT feature_a, feature_b, CASE WHEN count(*) >= 20 THEN {CORR('xa', 'xb')} END AS p, CASE WHEN count(*) >= 20 THEN {CORR('ra', 'rb')} END AS s FROM cp GROUP BY ALL) c ON c.feature_a = l.f AND c.feature_b = m.f",
     ),
     "time_split": shown(f"{BARS}, {SPLIT}", f"SELECT {_TIME('train_end')}, {_TIME('test_start')} FROM split"),
     "winsor_params": shown(f"{FEATURES}, {SPLIT}, {train_long('features', EVALUATED)}, {PARAMS}", f"SELECT contract, feature, {', '.join(r(c) for c in ('lower', 'upper', 'center', 'scale'))}, scale_type FROM params"),
@@ -486,4 +508,4 @@ _TESTS = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {cases_sql(side, 'te
 ORACLES["sweep_ranking"] = f"SELECT side, train_rank::BIGINT AS train_rank, case_id, {', '.join(r(c, places=5) for c in ('train_avg_net_return', 'train_sum_net_return', 'neighbour_mean', 'neighbour_positive', 'plateau_score'))}, trade_count, {', '.join(r(c, places=5) for c in ('win_rate', 'avg_net_return', 'sum_net_return'))}, recommendation_status FROM ({_RANKS})"
 ORACLES["long_short_comparison"] = f"""WITH tests AS ({_TESTS}), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY round(avg_net_return, 9) DESC NULLS LAST, round(sum_net_return, 9) DESC NULLS LAST, round(win_rate, 9) DESC NULLS LAST, case_id) AS place, (win_rate - 0.5) / sqrt(0.25 / trade_count) AS z FROM tests)
 SELECT side, case_id, time_i, stop_i, take_i, time_barrier_bars, {r('stop_atr_multiple')}, {r('take_profit_multiple')}, kline_mode, space_filter_on, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('z', 'win_rate_z')},
-  CASE WHEN abs(z) < 3.9 THEN 'not_significant' WHEN z > 0 THEN 'passes' ELSE 'below_half' END AS win_rate_verdict FROM placed WHERE place = 1"""
+  CASE WHEN z IS NULL THEN 'not_tested' WHEN abs(z) < 3.9 THEN 'not_significant' WHEN z > 0 THEN 'passes_bonferroni' ELSE 'significant_below_50' END AS win_rate_verdict FROM placed WHERE place = 1"""

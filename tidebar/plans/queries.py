@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import audit, bars, evaluate, features, fit, indicators, metrics, simulate, sweep
 from tidebar.plans.tables import shared_table
-from tidebar.sources import events
+from tidebar.sources import events, ticks
 
 EVALUATED = features.FEATURES
 #: Groups of the score and their features.
@@ -73,6 +73,30 @@ def bars_hourly(spark, sf):
     return shown(events.event_bars(spark, sf))
 
 
+def _session_ticks(spark, sf):
+    """Raw ticks filled forward, checked, and placed in their sessions."""
+    return ticks.in_session(ticks.filled_forward(events.event_quotes(spark, sf)))
+
+
+@query
+def ticks_in_session(spark, sf):
+    t = _session_ticks(spark, sf)
+    begin = F.timestamp_millis("session_begin_ms")
+    return shown(t.select("contract", (F.col("seq") % (1 << 33)).alias("event_id"), F.timestamp_millis("wall_ms").alias("wall"), begin.alias("session_begin"), F.col("trading_day").cast("string").alias("trading_day"), "last_price", "lowest", "bid_price1", "volume"))
+
+
+@query
+def ticks_classified(spark, sf):
+    t = bars.classified_ticks(_session_ticks(spark, sf))
+    return shown(t.select("contract", (F.col("seq") % (1 << 33)).alias("event_id"), "qty", "oi_change", "interest", "way", "tick_type", "side"))
+
+
+@query
+def bars_from_ticks(spark, sf):
+    """Five-minute bars out of raw level-1 ticks."""
+    return shown(bars.tick_bars(bars.classified_ticks(_session_ticks(spark, sf))))
+
+
 @query
 def bars_from_lineitem(spark, sf):
     return shown(events.lineitem_bars(spark, sf).drop("open_interest"))

@@ -79,7 +79,7 @@ def in_session(ticks: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
     A tick before 08:00 belongs to the day before. The session is found by an equality on the symbol and a range on seconds of the day.
     """
     spark = ticks.sparkSession
-    wall = F.from_utc_timestamp(F.timestamp_micros((F.col("datetime_nano") / 1000).cast("long")), zone)
+    wall = F.from_utc_timestamp(F.timestamp_micros(F.round(F.col("datetime_nano") / 1000).cast("long")), zone)
     t = ticks.where(valid_price() & (F.col("datetime_nano") > 0) & (F.col("volume") >= 0)).withColumn("_wall", wall).withColumn("wall_ms", F.unix_millis("_wall"))
     base = F.when(F.hour("_wall") < 8, F.date_sub(F.to_date("_wall"), 1)).otherwise(F.to_date("_wall"))
     t = t.withColumn("trading_day", base).withColumn("_base_ms", F.unix_millis(F.col("trading_day").cast("timestamp")))
