@@ -6,7 +6,7 @@ boosted the same way. A score is the sum of looked-up bins through a logistic cu
 
 Training takes at most `max_rows` labelled rows, those with the smallest hash of their id (a documented bound on a labelled sample). Scoring covers all rows.
 
-Results: null and empty texts get the features of an empty text, hence one common score. Repeated rows have equal scores. With no labelled row the
+Of rows that share a labelled id one takes part. Results: null and empty texts get the features of an empty text, hence one common score. Repeated rows have equal scores. With no labelled row the
 score is 0.5 everywhere; with labels of one class it is near that class. Rows whose label or id is null are not used for training.
 """
 
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     some = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("double").alias("_y"))
     some = some.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")  # bounded by max_rows
-    found = rows.select("_id", "_y", text_features(F.col("_text"))["f"].alias("f")).collect()
+    found = rows.select("_id", "_y", text_features(F.col("_text"))["f"].alias("f")).groupBy("_id", "_y").agg(F.min("f").alias("f")).collect()  # one row an id
     found.sort(key=lambda r: (r["_id"], r["f"]))
     return fit(np.array([r["f"] for r in found]).reshape(len(found), len(NAMES)), np.array([r["_y"] for r in found]))
 
