@@ -237,13 +237,27 @@ def test_embeddings(spark):
                 least[ok[j][0]] = least[ok[k][0]] = min(least[ok[j][0]], least[ok[k][0]])
     want = [(ok[j][0], len(of), least[ok[j][0]]) for j, of in enumerate(links)] + [(i, 0, i) for i in (1000, 1001, 1002, 1003, 1004, 1005)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    for block in (40, 4096):
-        found = cover_tree.linked_vectors(df, block_rows=block)
+    for options in ({"block_rows": 40}, {}, {"block_rows": 8, "most_cells": 3}):
+        found = cover_tree.linked_vectors(df.selectExpr("*", "1 as id", "2 as raw", "3 as h", "4 as node"), **options)
         assert got(found, "id", "n_links", "component_id") == sorted(want)
         assert all(x["kept"] == (x["id"] == x["component_id"]) for x in found.collect())
     assert cover_tree.linked_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_any_size_and_of_single_precision(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e-300, 1e-300]), (3, [3.0, 2.9]), (4, [1.0, -1.0]), (5, [-0.0, 1.0]), (6, [0.0, 5e-324])]
+    found = cover_tree.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert got(found, "id", "n_links", "component_id") == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 1, 5), (6, 1, 5)]
+    r = np.random.default_rng(8)
+    base = np.concatenate([r.normal(size=(150, 16)), np.repeat(r.normal(size=(1, 16)), 100, 0)]).astype(np.float32)
+    base[50:100] = base[:50] + r.normal(size=(50, 16)).astype(np.float32) * 0.05
+    x = base.astype(np.float64) / np.linalg.norm(base.astype(np.float64), axis=1, keepdims=True)
+    n = (x @ x.T >= 0.95).sum(1) - 1
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<float>")
+    found = cover_tree.linked_vectors(d, block_rows=16)
+    assert [(r["id"], r["n_links"]) for r in found.orderBy("id").collect()] == list(enumerate(n.tolist()))
+
+
 # ---- learned operators
 
 

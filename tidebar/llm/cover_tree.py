@@ -5,16 +5,17 @@ Class representatives are dealt to cells: the nearest of at most `most_cells` pi
 prefixes of pivots are the nested upper levels. Cells are cut into blocks of about `block_rows` by a hash, so that a crowded cell is many blocks, and each
 block becomes a cover tree (built once, and sent with the block): nested centers whose covering radii halve from level to level, with exact radii kept per node.
 
-Two cells are compared only if their pivots are at most the link distance plus both covering radii apart. Each remaining pair of blocks is one
-task: the two trees are descended together, node pairs beyond the bound are pruned, node pairs wholly within it are counted without descending, and points are
-compared by their cosines. A task returns counts of links per class and one edge per linked class to the least class it is joined with in the task, so a crowd of
-near copies never becomes a list of pairs.
+Two cells are compared only if their pivots are at most the link distance plus both covering radii apart. Blocks are lined up by cell and cut into strips; a
+tile is a pair of strips with cells to compare, and one task's work. So a block moves once per tile and not once per partner, and its vectors move as they came
+(single precision where the table has that). In a tile, pairs of trees are descended together, node pairs beyond the bound are pruned, node pairs wholly within it are
+counted without descending, and points are compared by their cosines. A tile gives counts of links per class and one edge per linked class to the least class it is
+joined with there, so a crowd of near copies never becomes a list of pairs.
 
 Results: null vectors, zero vectors and vectors with null or non-finite components link with nothing. Vectors of other lengths than most are compared
 only with those of their own length. Rows that share an id count as vectors of their own and belong to one component. Rows without an id are left out.
 
 Pruning depends on the data: where unrelated vectors lie about as far apart as cells are wide, all pairs of blocks remain and the work is quadratic in
-distinct vectors, as for every exact method there.
+distinct vectors, as for every exact method there; with S strips each vector then moves S + 1 times. S is what keeps all cores busy and a strip within `strip_mb`.
 """
 
 from __future__ import annotations
@@ -90,11 +91,16 @@ class CoverTree:
         self.center, self.radius = np.array(self.center), np.array(self.radius)
 
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "single"}
+    def parts(self) -> bytes:
+        """All but the points, small."""
+        small = {"order": self.order, "center": self.center, "children": np.array(self.children), "points": np.array(self.points)}
+        return pickle.dumps({k: v.astype(np.int32) for k, v in small.items()} | {"radius": self.radius})
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state | {"single": state["x"].astype(np.float32)}
+    @classmethod
+    def of_parts(cls, x: np.ndarray, parts: bytes) -> CoverTree:
+        tree = cls.__new__(cls)
+        tree.__dict__ = pickle.loads(parts) | {"x": x, "single": x.astype(np.float32)}
+        return tree
 
 
 class Links:
@@ -173,18 +179,6 @@ def traverse(a: CoverTree, b: CoverTree, threshold: float, links: Links, at_a: i
                 todo += list(zip(i[deeper].tolist(), j[deeper].tolist(), strict=True))
 
 
-def block_links(a: CoverTree, wa: np.ndarray, b: CoverTree | None, wb: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links of each point, least point number of its group) for points of a, then of b; without b, within a."""
-    if b is None:
-        links = Links(wa)
-        traverse(a, a, threshold, links, 0, 0)
-        links.count -= wa  # a point's own class is counted apart
-    else:
-        links = Links(np.concatenate([wa, wb]))
-        traverse(a, b, threshold, links, 0, len(a.x))
-    return links.count, np.array([links.root(i) for i in range(len(links.parent))])
-
-
 def pivots_of(sample: np.ndarray, most: int) -> np.ndarray:
     """A farthest-first walk over the sample: every prefix covers the sample with a radius no point of it undercuts."""
     if not len(sample):
@@ -196,87 +190,138 @@ def pivots_of(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _unit(vectors: list, size: int) -> np.ndarray:
-    x = np.array(vectors, np.float64).reshape(len(vectors), size)
+def unit(raw: list[bytes], kind: str) -> np.ndarray:
+    """The vectors in raw on the unit sphere, in double precision. Dividing by the greatest component first keeps squares within a double's range."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_rows: int = 4096, most_cells: int = 64, sample_rows: int = 2048) -> DataFrame:
+def linked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, block_rows: int = 4096, most_cells: int = 64, sample_rows: int = 2048, strip_mb: int = 32) -> DataFrame:
     """One row per row with an id: (id, n_links, component_id, kept)."""
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
-    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    usable = rows.where(F.coalesce(finite & F.exists("v", lambda c: c != 0), F.lit(False)))
-    classes = usable.groupBy("v").agg(F.min("id").alias("node"), F.count("*").alias("n"))
-    classes = materialize(classes.withColumn("h", F.xxhash64("v")), "vector-classes")  # h: classes of one id are told apart
-    done = [block_work(classes.where(F.size("v") == size), size, threshold, block_rows, most_cells, sample_rows) for size in [r[0] for r in classes.select(F.size("v")).distinct().collect()]]
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if v is None else np.array([np.nan if c is None else c for c in v], kind) + 0.0 for v in b.column(1).to_pylist()]
+            found = [v.tobytes() if v is not None and np.isfinite(v).all() and v.any() else None for v in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["id", "raw"])
+
+    plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>" if kind == "<f4" else "array<double>").alias("v"))
+    rows = plain.where("id is not null").mapInArrow(pack, "id long, raw binary")
+    key = [F.xxhash64("raw").alias("h"), F.xxhash64("raw", F.lit(1)).alias("h2")]
+    rows = materialize(rows.select("id", "raw", *key), "vectors")  # the key of a missing vector is of no use
+    usable = rows.where("raw is not null")
+    sizes = [r[0] for r in usable.select(F.length("raw")).distinct().collect()]  # lengths of vectors
+    alone = rows.where("raw is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    done = [size_work(usable.where(F.length("raw") == size), kind, threshold, block_rows, most_cells, sample_rows, strip_mb << 20) for size in sizes]
     if not done:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    work = done[0]
-    for more in done[1:]:
-        work = work.union(more)
-    work = materialize(work, "block-links")
+        return alone.withColumn("kept", F.lit(True))
+    classes, work = done[0]
+    for more_classes, more_work in done[1:]:
+        classes, work = classes.union(more_classes), work.union(more_work)
+    work = materialize(work, "tile-links")
     counts = work.groupBy("node", "h").agg(F.sum("links").alias("links"))
-    owner = usable.join(classes, "v").select("id", "node", "h", "n")
+    owner = usable.select("id", "h", "h2").join(classes, ["h", "h2"]).select("id", "node", "h", "n")
     owner = materialize(owner.join(counts, ["node", "h"], "left").select("id", "node", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-owners")
     shared = owner.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
     edges = work.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(owner.join(shared, "id").select("a", F.col("node").alias("b")))
     found = components(edges)
     linked = owner.join(found, "node", "left").select("id", "n_links", F.coalesce("component", "node").alias("component_id"))
-    alone = rows.where(~F.coalesce(finite & F.exists("v", lambda c: c != 0), F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("id") == F.col("component_id"))
 
 
-def block_work(classes: DataFrame, size: int, threshold: float, block_rows: int, most_cells: int, sample_rows: int) -> DataFrame:
-    """(node, h, links, root) per class and pair of blocks in which it has links."""
-    spark = classes.sparkSession
-    total = classes.count()
-    sample = [r["v"] for r in classes.orderBy(F.xxhash64("node")).limit(sample_rows).select("v").collect()]
-    pivots = pivots_of(_unit(sample, size), int(np.clip(total // block_rows, 1, most_cells)))
+def size_work(rows: DataFrame, kind: str, threshold: float, block_rows: int, most_cells: int, sample_rows: int, strip_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """((h, h2, node, n) of each class of equal vectors, (node, h, links, root) per class and tile in which it has links) of vectors of one length."""
+    spark = rows.sparkSession
+    total = rows.count()
+    low = F.lit(int(min(1.0, 2 * sample_rows / total) * (1 << 32)))
+    sample = rows.where(F.shiftrightunsigned("h", 32) < low).select("raw").distinct().limit(sample_rows).collect()  # by a hash of the vector, so a copied one counts once
+    if not sample:
+        sample = rows.select("raw").limit(1).collect()
+    pivots = pivots_of(unit(sorted(bytes(r[0]) for r in sample), kind), int(np.clip(total // block_rows, 1, most_cells)))
     shared = spark.sparkContext.broadcast(pivots)  # at most most_cells vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _unit(b.column(3).to_pylist(), size)
-            d = distances(x, shared.value)
-            cell = d.argmin(1)
-            data = [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell]), pa.array(data, pa.binary())], ["node", "h", "n", "cell", "far", "unit"])
-
-    placed = materialize(classes.select("node", "h", "n", "v").mapInArrow(assign, "node long, h long, n long, cell int, far double, unit binary"), "cells")
-    stats = {r["cell"]: (r["rows"], r["radius"]) for r in placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius")).collect()}  # a row per cell
-    blocks_in = {c: -(-rows // block_rows) for c, (rows, _) in stats.items()}
+            if b.num_rows:
+                d = distances(unit(b.column(2).to_pylist(), kind), shared.value)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(d[np.arange(len(d)), cell])], [*b.schema.names, "cell", "far"])
+
+    classes = rows.groupBy("h", "h2", "raw").agg(F.min("id").alias("node"), F.count("*").alias("n"))
+    placed = materialize(classes.mapInArrow(assign, "h long, h2 long, raw binary, node long, n long, cell int, far double"), "cells")
+    stats = {r["cell"]: (r["rows"], r["radius"], r["bytes"]) for r in placed.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius"), F.sum(F.length("raw")).alias("bytes")).collect()}  # a row per cell
+    cells = sorted(stats)
+    blocks_in = {c: -(-stats[c][0] // block_rows) for c in cells}
+    first = dict(zip(cells, np.cumsum([0, *[blocks_in[c] for c in cells]]).tolist(), strict=False))
+    n_blocks = sum(blocks_in.values())
+    cores = int(spark.conf.get("spark.executor.instances", "0")) * int(spark.conf.get("spark.executor.cores", "1")) or spark.sparkContext.defaultParallelism
+    strips = max(int(np.ceil((4 * cores) ** 0.5)), -(-sum(x[2] for x in stats.values()) // strip_bytes))
+    wide = max(1, n_blocks // strips)  # blocks of a strip
     reach, between = float(np.sqrt(2 - 2 * threshold)), distances(pivots, pivots)
-    pairs = [(a, i, b, j) for a in stats for b in stats if a <= b and between[a, b] - stats[a][1] - stats[b][1] <= reach + SLACK for i in range(blocks_in[a]) for j in range(blocks_in[b]) if a < b or i <= j]
-    numbered = spark.createDataFrame([(k, a, i, b, j) for k, (a, i, b, j) in enumerate(pairs)], "pair int, cell_a int, part_a int, cell_b int, part_b int")
-    parts = F.create_map(*[x for c, k in blocks_in.items() for x in (F.lit(c), F.lit(k))])
+    near = {(a, b) for a in cells for b in cells if a <= b and between[a, b] - stats[a][1] - stats[b][1] <= reach + SLACK}  # at most most_cells squared
+    strip_of = lambda c: (first[c] // wide, (first[c] + blocks_in[c] - 1) // wide)
+    ranges = spark.createDataFrame([(*strip_of(a), *strip_of(b)) for a, b in near], "a0 int, a1 int, b0 int, b1 int")
+    pairs = ranges.select(F.explode(F.sequence("a0", "a1")).alias("a"), "b0", "b1").select("a", F.explode(F.sequence("b0", "b1")).alias("b"))
+    tiles = pairs.where("a <= b").distinct().select(F.struct("a", "b").alias("tile"), F.explode(F.array_distinct(F.array("a", "b"))).alias("strip"))
+    count = lambda of: F.create_map(*[x for c in cells for x in (F.lit(c), F.lit(of[c]))])[F.col("cell")]
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        tree = CoverTree(np.frombuffer(b"".join(group["unit"]), "<f8").reshape(-1, size))
-        return pd.DataFrame({"cell": [group["cell"].iloc[0]], "part": [group["part"].iloc[0]], "nodes": [group["node"].to_numpy("<i8").tobytes()], "hs": [group["h"].to_numpy("<i8").tobytes()], "ns": [group["n"].to_numpy("<i8").tobytes()], "tree": [pickle.dumps(tree)]})
+        group = group.sort_values(["node", "h"])
+        tree = CoverTree(unit(group["raw"].tolist(), kind))
+        return pd.DataFrame({"block": group["block"].iloc[:1].to_numpy(), "cell": group["cell"].iloc[:1].to_numpy(), "nodes": [group["node"].to_numpy("<i8").tobytes()], "hs": [group["h"].to_numpy("<i8").tobytes()], "ns": [group["n"].to_numpy("<i8").tobytes()], "raw": [b"".join(group["raw"])], "tree": [tree.parts()]})
 
-    blocks = placed.withColumn("part", F.pmod(F.xxhash64("node"), parts[F.col("cell")]).cast("int")).groupBy("cell", "part").applyInPandas(pack, "cell int, part int, nodes binary, hs binary, ns binary, tree binary")
-    blocks = materialize(blocks, "blocks")
-    side = lambda s: blocks.select(F.col("cell").alias(f"cell_{s}"), F.col("part").alias(f"part_{s}"), F.col("nodes").alias(f"nodes_{s}"), F.col("hs").alias(f"hs_{s}"), F.col("ns").alias(f"ns_{s}"), F.col("tree").alias(f"tree_{s}"))
-    both = numbered.join(side("a"), ["cell_a", "part_a"]).join(side("b"), ["cell_b", "part_b"])
-    dealt = both.repartition(max(1, len(pairs)), "pair").select("cell_a", "part_a", "cell_b", "part_b", "nodes_a", "hs_a", "ns_a", "tree_a", "nodes_b", "hs_b", "ns_b", "tree_b")
+    numbered = placed.select("node", "h", "n", "raw", "cell", (count(first) + F.pmod(F.xxhash64("node", "h"), count(blocks_in))).cast("int").alias("block"))
+    blocks = numbered.groupBy("block").applyInPandas(pack, "block int, cell int, nodes binary, hs binary, ns binary, raw binary, tree binary")
+    blocks = materialize(blocks.withColumn("strip", F.floor(F.col("block") / wide).cast("int")), "blocks")
+    parts = int(np.clip(strips * (strips + 1) // 2, 1, max(4 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    place = F.pmod(F.col("tile.a") * (strips + 1) + F.col("tile.b"), F.lit(parts)).cast("int")
+    dealt = blocks.join(tiles, "strip").repartitionById(parts, place).sortWithinPartitions("tile", "block")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
         for b in batches:
             for k in range(b.num_rows):
-                row = [c[k].as_py() for c in b.columns]
-                same = row[:2] == row[2:4]
-                (na, ha, ca, ta), (nb, hb, cb, tb) = [(*(np.frombuffer(x, "<i8") for x in part[:3]), pickle.loads(part[3])) for part in (row[4:8], row[8:12])]
-                count, root = block_links(ta, ca, None, None, threshold) if same else block_links(ta, ca, tb, cb, threshold)
-                nodes, hs = (na, ha) if same else (np.concatenate([na, nb]), np.concatenate([ha, hb]))
-                least = np.full(len(nodes), np.iinfo(np.int64).max)
-                np.minimum.at(least, root, nodes)
-                has = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(hs[has]), pa.array(count[has]), pa.array(least[root[has]])], ["node", "h", "links", "root"])
-
-    return dealt.mapInArrow(link, "node long, h long, links long, root long")
+                row = {name: b.column(i)[k].as_py() for i, name in enumerate(b.schema.names)}
+                now = (row["a"], row["b"])
+                if now != tile and held:
+                    yield tile_links(held, near, kind, threshold, tile)
+                    held = []
+                tile = now
+                held.append(row)
+        if held:
+            yield tile_links(held, near, kind, threshold, tile)
+
+    sent = dealt.select("tile.a", "tile.b", "strip", "cell", "nodes", "hs", "ns", "raw", "tree")
+    return placed.select("h", "h2", "node", "n"), sent.mapInArrow(link, "node long, h long, links long, root long")
+
+
+def tile_links(rows: list[dict], near: set[tuple[int, int]], kind: str, threshold: float, tile: tuple[int, int]) -> pa.RecordBatch:
+    """(node, h, links, root) of the classes of a tile that have links there: between its first strip and its second one."""
+    of = lambda name: [np.frombuffer(r[name], "<i8") for r in rows]
+    nodes, hs, ns = np.concatenate(of("nodes")), np.concatenate(of("hs")), np.concatenate(of("ns"))
+    ends = np.cumsum([len(x) for x in of("nodes")])
+    trees = []
+    for r, x in zip(rows, of("nodes"), strict=True):
+        size = len(r["raw"]) // len(x)
+        trees.append(CoverTree.of_parts(unit([r["raw"][i : i + size] for i in range(0, len(r["raw"]), size)], kind), r["tree"]))
+    links = Links(ns)
+    for i, p in enumerate(rows):
+        for j, q in enumerate(rows[i:], i):
+            if (p["strip"], q["strip"]) != tile or (p["cell"], q["cell"]) not in near:
+                continue
+            at_i, at_j = int(ends[i]) - len(trees[i].x), int(ends[j]) - len(trees[j].x)
+            traverse(trees[i], trees[j], threshold, links, at_i, at_j)
+            if i == j:
+                links.count[at_i : ends[i]] -= ns[at_i : ends[i]]  # a point's own class is counted apart
+    root = np.array([links.root(i) for i in range(len(nodes))])
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, root, nodes)
+    has = np.flatnonzero(links.count)
+    return pa.RecordBatch.from_arrays([pa.array(nodes[has]), pa.array(hs[has]), pa.array(links.count[has]), pa.array(least[root[has]])], ["node", "h", "links", "root"])
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
