@@ -148,7 +148,7 @@ class WordEncoder:
 
     MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"  # without the apostrophe, which may begin a piece of letters
 
-    def __init__(self, file: str, limit: int = 500_000):
+    def __init__(self, file: str, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(file), limit
