@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import divergence, line_dedup
+from . import divergence, importance, line_dedup
 from .byte_bpe import op8_byte_bpe
 from .cover_tree import op2_embedding_dedup
 from .decontaminate import op7_decontamination
 from .divergence import op12_source_divergence
 from .html_extract import op9_html_extract
+from .importance import op13_importance_resampling
 from .language_id import op10_language_id
 from .line_dedup import op4_line_dedup
 from .minhash import op6_near_dedup
@@ -15,5 +16,5 @@ from .quality import op5_quality
 from .simple8b import op3_token_ids
 from .token_counts import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_token_ids, op4_line_dedup, op5_quality, op6_near_dedup, op7_decontamination, op8_byte_bpe, op9_html_extract, op10_language_id, op12_source_divergence)}
-ORACLE_SQL = {"op4_line_dedup": line_dedup.ORACLE, "op12_source_divergence": divergence.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_embedding_dedup, op3_token_ids, op4_line_dedup, op5_quality, op6_near_dedup, op7_decontamination, op8_byte_bpe, op9_html_extract, op10_language_id, op12_source_divergence, op13_importance_resampling)}
+ORACLE_SQL = {"op4_line_dedup": line_dedup.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_importance_resampling": importance.ORACLE}
