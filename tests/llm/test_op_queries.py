@@ -14,7 +14,7 @@ from cases import AWKWARD, prose
 from test_corpus import LINES, groups_brute, junk, lines_brute, page, words
 from test_tokens import BYTE_BPE, PIECES, WORD_BPE, encoding, unigram
 
-from tidebar.llm import language_id, quality, queries, simple8b, token_counts
+from tidebar.llm import language_id, quality, queries, simple8b, token_counts, url_filter
 from tidebar.llm.common import table
 
 TONGUE = {"xx": "aka oki imi ulu", "yy": "strng blmp krtz wrd"}
@@ -49,6 +49,7 @@ COLUMNS = {
     "op4_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"], "op5_quality": ["doc_id", "held_out", "score", "predicted"], "op6_near_dedup": ["doc_id", "class_id"],
     "op7_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"], "op8_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9_html_extract": ["page_id", "url", "text", "n_chars"], "op10_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op11_url_filter": ["page_id", "host", "path", "rule", "verdict"], "op12_source_divergence": ["lang", "source", "part", "item", "value", "rank"], "op13_importance_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
 }
 
 
@@ -166,3 +167,13 @@ def test_pipeline_over_awkward_rows(spark, sf):
     ids = [r["doc_id"] for r in out.collect()]
     assert set(ids) <= {d for d, *_ in DOCS} and 3000 not in ids and AWKWARD[8][0] in ids
     assert len({2000, 2002, 2004} & set(ids)) <= 1  # copies
+
+
+def test_urls_sources_and_targets(spark, sf):
+    from test_urls_sources_targets import divergence_brute, judged_brute, resample_brute
+
+    pages = [(r["page_id"], r["url"]) for r in table(spark, sf, "pages").collect()]
+    same([tuple(r[c] for c in COLUMNS["op11_url_filter"]) for r in rows_of(spark, "op11_url_filter", sf)], [w[:5] for w in judged_brute(pages, url_filter.RULES)])
+    docs = [r[:4] for r in DOCS]
+    same([tuple(r[c] for c in COLUMNS["op12_source_divergence"]) for r in rows_of(spark, "op12_source_divergence", sf)], divergence_brute(docs, 3, 200))
+    same([tuple(r[c] for c in COLUMNS["op13_importance_resampling"]) for r in rows_of(spark, "op13_importance_resampling", sf)], [(d, n, w, s, k) for d, _, n, w, s, k in resample_brute(docs, [t for _, t in ITEMS])])
