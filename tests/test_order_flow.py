@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions import kernels as k
-from tidebar.operators import audit, bars, evaluate, features, fit, indicators, metrics, simulate, sweep
+from tidebar.operators import audit, bars, evaluate, features, fit, indicators, metrics, simulate, sweep, tick_bars
 from tidebar.sources import calendar, ticks
 from tidebar.streaming.bars import stream_bars, write_bars
 
@@ -233,13 +233,18 @@ def tick_table(spark):
     for i, (t, last, bid, ask, v, oi) in enumerate(at):
         wall = dt.datetime.fromisoformat(f"2024-01-10T{t}+08:00")
         rows.append((CU, i, int(wall.timestamp()) * 10**9 * 1.0, *map(float, (last, 200, 50, v, oi, bid, ask))))
-    return spark.createDataFrame(rows, "contract string, seq long, datetime_nano double, last_price double, highest double, lowest double, volume double, open_interest double, bid_price1 double, ask_price1 double")
+    return full_ticks(spark, rows)
+
+
+def full_ticks(spark, rows):
+    t = spark.createDataFrame(rows, "contract string, seq long, datetime_nano double, last_price double, highest double, lowest double, volume double, open_interest double, bid_price1 double, ask_price1 double")
+    return t.withColumns({c: F.lit(1.0) for c in ticks.NUMERIC if c not in t.columns})
 
 
 def test_tick_fold(spark):
     inside = ticks.in_session(tick_table(spark))
     assert inside.count() == 7  # noon is in no session
-    found = bars.tick_bars(bars.classified_ticks(inside)).orderBy("datetime").collect()
+    found = tick_bars.bars_of_ticks(tick_table(spark)).orderBy("datetime").collect()
     got = [(r["datetime"].strftime("%H:%M"), r["open"], r["high"], r["low"], r["close"], r["volume"], r["poc"], r["delta"], r["open_interest"]) for r in found]
     utc = {"01:00": "09:00", "01:05": "09:05", "13:00": "21:00"}
     got = [(utc.get(t, t), *rest) for t, *rest in got]
@@ -249,9 +254,9 @@ def test_tick_fold(spark):
 def test_session_ends_are_inside(spark):
     at = ["10:14:59", "10:15:00", "10:15:01"]
     rows = [(CU, i, int(dt.datetime.fromisoformat(f"2024-01-10T{t}+08:00").timestamp()) * 1e9, 100.0, 101.0, 99.0, 5.0 + i, 10.0, 99.0, 101.0) for i, t in enumerate(["10:14:50", *at])]
-    inside = ticks.in_session(spark.createDataFrame(rows, tick_table(spark).schema))
-    assert inside.count() == 3
-    assert bars.tick_bars(bars.classified_ticks(inside)).count() == 2
+    t = full_ticks(spark, rows)
+    assert ticks.in_session(t).count() == 3
+    assert tick_bars.bars_of_ticks(t).count() == 2
 
 
 def test_previous_tick_crosses_chunks(spark):

@@ -105,37 +105,21 @@ def volume_change(volume: Column, prev_volume: Column, ms: Column, prev_ms: Colu
     return F.when(d >= 0, d).when(ms - prev_ms > NEW_DAY_MS, volume).otherwise(F.lit(0))
 
 
-def classified_ticks(ticks: DataFrame, tick_size: float | None = None) -> DataFrame:
-    """Level-1 ticks (see sources.ticks) with level, qty, side, oi and datetime of the bar still to come. The first tick of a contract only primes."""
-    order = ("datetime_nano", "seq")
-    prev = previous_tick(ticks, order, ["volume", "open_interest", "bid_price1", "ask_price1", "datetime_nano"], F.col("trading_day"))
-    prev = prev.where("prev_datetime_nano is not null")
-    ms, prev_ms = F.col("datetime_nano") / 1e6, F.col("prev_datetime_nano") / 1e6
-    qty = volume_change(F.col("volume"), F.col("prev_volume"), ms, prev_ms)
-    d_oi = F.col("open_interest") - F.col("prev_open_interest")
-    t = prev.withColumns({"qty": qty, "oi_change": d_oi})
+PAIRED = ["volume", "open_interest", "bid_price1", "ask_price1", "datetime_nano"]
+
+
+def classified(ticks: DataFrame, prefix: str = "prev_") -> DataFrame:
+    """Ticks that have PAIRED columns of the tick before, with qty, oi_change, interest, way, tick_type, side, price and level."""
+    prev = {c: F.col(prefix + c) for c in PAIRED}
+    qty = volume_change(F.col("volume"), prev["volume"], F.col("datetime_nano") / 1e6, prev["datetime_nano"] / 1e6)
+    t = ticks.withColumns({"qty": qty, "oi_change": F.col("open_interest") - prev["open_interest"]})
     t = t.withColumn("interest", interest_class(F.col("qty"), F.col("oi_change")))
-    t = t.withColumn("way", direction(F.col("last_price"), F.col("bid_price1"), F.col("ask_price1"), F.col("prev_bid_price1"), F.col("prev_ask_price1")))
+    t = t.withColumn("way", direction(F.col("last_price"), F.col("bid_price1"), F.col("ask_price1"), prev["bid_price1"], prev["ask_price1"]))
     t = t.withColumn("tick_type", tick_type(F.col("interest"), F.col("way")))
     return t.withColumns({"side": side_of(F.col("tick_type")), "price": F.col("last_price"), "level": F.col("last_price")})
 
 
-def tick_bars(classified: DataFrame, minutes: int = 5, scale: int = 1) -> DataFrame:
-    """Bars of classified ticks: a window begins at its multiple of `minutes` or its session's begin, whichever is later, and ends before the next.
-
-    Exact for windows whose multiples meet every session begin (all begin on a full or half hour). A bar is labelled by its first tick's minute.
-    """
-    window_ms = minutes * 60_000
-    begin = F.greatest(F.floor(F.col("wall_ms") / window_ms) * window_ms, F.col("session_begin_ms"))
-    t = classified.withColumn("_begin", begin)
-    ladder = ladder_of(t.withColumn("oi", F.lit(0)), ("datetime_nano", "seq"), ("contract", "_begin", "level"))
-    volume = F.sum(F.col("buy") + F.col("sell") + F.col("other"))
-    priced = ladder.groupBy("contract", "_begin").agg(
-        F.min("first").getField("price").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last").getField("price").alias("close"), volume.alias("volume"),
-        (-F.max(F.struct(F.col("buy") + F.col("sell"), -F.col("level"))).getField("col2")).alias("poc"), F.sum(F.col("buy") - F.col("sell")).alias("delta"),
-    )
-    at = F.struct("datetime_nano", "seq")
-    ends = t.groupBy("contract", "_begin").agg(F.min_by("wall_ms", at).alias("first_ms"), F.max_by("open_interest", at).alias("open_interest"))
-    label = F.date_trunc("minute", F.timestamp_millis("first_ms"))
-    rounded = [F.bround(c, scale).alias(c) for c in ("open", "high", "low", "close")]
-    return priced.join(ends, ["contract", "_begin"]).select("contract", label.alias("datetime"), *rounded, F.col("volume").cast("long").alias("volume"), F.bround("poc", scale).alias("poc"), F.col("delta").cast("long").alias("delta"), F.col("open_interest").cast("long").alias("open_interest"))
+def classified_ticks(ticks: DataFrame) -> DataFrame:
+    """Level-1 ticks inside sessions (see sources.ticks), classified. The first tick of a contract only primes."""
+    prev = previous_tick(ticks, ("datetime_nano", "seq"), PAIRED, F.col("trading_day"))
+    return classified(prev.where("prev_datetime_nano is not null"))

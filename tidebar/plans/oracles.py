@@ -301,9 +301,26 @@ sized AS (SELECT *, CASE WHEN volume >= pv THEN volume - pv WHEN epoch_us(ts) -
 named AS (SELECT *, CASE WHEN oi_change = 0 AND qty = 0 THEN 'NONE' WHEN oi_change = 0 THEN 'EXCHANGE' WHEN oi_change > 0 AND oi_change = qty THEN 'DOUBLEOPEN' WHEN oi_change > 0 THEN 'OPEN' WHEN oi_change + qty = 0 THEN 'DOUBLECLOSE' ELSE 'CLOSE' END AS interest,
   CASE WHEN last_price >= pa THEN 'UP' WHEN last_price <= pb THEN 'DOWN' WHEN last_price >= ask THEN 'UP' WHEN last_price <= bid THEN 'DOWN' ELSE 'MIDDLE' END AS way FROM sized),
 typed AS (SELECT *, CASE WHEN interest IN ('OPEN', 'CLOSE', 'EXCHANGE') THEN interest || CASE WHEN way = 'MIDDLE' THEN 'UNKNOWN' WHEN interest = 'CLOSE' THEN CASE way WHEN 'UP' THEN 'SHORT' ELSE 'LONG' END WHEN way = 'UP' THEN 'LONG' ELSE 'SHORT' END ELSE interest END AS tick_type FROM named),
-sided AS (SELECT *, CASE WHEN tick_type IN ('OPENLONG', 'CLOSESHORT', 'EXCHANGELONG') THEN 1 WHEN tick_type IN ('OPENSHORT', 'CLOSELONG', 'EXCHANGESHORT') THEN -1 ELSE 0 END AS side, greatest(wall_ms // 300000 * 300000, begin_ms) AS w FROM typed)"""
+sided AS (SELECT *, CASE WHEN tick_type IN ('OPENLONG', 'CLOSESHORT', 'EXCHANGELONG') THEN 1 WHEN tick_type IN ('OPENSHORT', 'CLOSELONG', 'EXCHANGESHORT') THEN -1 ELSE 0 END AS side FROM typed)"""
 _MS = lambda x, n: f"strftime(epoch_ms({x}::BIGINT), '%Y-%m-%d %H:%M:%S') AS {n}"
 
+
+
+def tick_bars_sql(minutes: int) -> str:
+    """Windows one after the other: each begins with the first tick at or after the end of the last. Multiples of the width are those of epoch time, 8 hours before wall time."""
+    width = minutes * 60_000
+    begin = f"greatest((wall_ms - 28800000) // {width} * {width} + 28800000, begin_ms)"
+    return shown(
+        f"""{RAW_TICKS}, starts AS MATERIALIZED (SELECT contract, wall_ms, min(begin_ms) AS begin_ms FROM sided GROUP BY ALL),
+chain AS (SELECT contract, min(wall_ms) AS at, arg_min({begin}, wall_ms) AS w FROM starts GROUP BY contract
+  UNION ALL SELECT n.contract, min(n.wall_ms), arg_min({begin}, n.wall_ms) FROM chain c JOIN starts n ON n.contract = c.contract AND n.wall_ms >= c.w + {width} GROUP BY n.contract, c.w),
+windowed AS (SELECT s.*, c.w FROM sided s ASOF JOIN chain c ON s.contract = c.contract AND s.wall_ms >= c.at),
+ladders AS (SELECT contract, w, last_price AS level, sum(CASE WHEN side <> 0 THEN qty ELSE 0 END) AS v FROM windowed GROUP BY ALL), peaks AS (SELECT contract, w, arg_max(level, {{'v': v, 'l': -level}}) AS poc FROM ladders GROUP BY ALL)""",
+        f"SELECT s.contract, strftime(date_trunc('minute', min(ts)), '%Y-%m-%d %H:%M:%S') AS datetime, {r('arg_min(last_price, event_id)', 'open')}, {r('max(last_price)', 'high')}, {r('min(last_price)', 'low')}, {r('arg_max(last_price, event_id)', 'close')}, sum(qty)::BIGINT AS volume, {r('any_value(poc)', 'poc')}, "
+        "sum(qty * side)::BIGINT AS delta, arg_max(interest_level, event_id)::BIGINT AS open_interest FROM windowed s JOIN peaks p ON p.contract = s.contract AND p.w = s.w GROUP BY s.contract, s.w",
+    )
+
+
 ORACLES: dict[str, str] = {
     "bars_hourly": shown(BARS, f"SELECT contract, {T}, {BAR_SHOWN} FROM bars"),
     "bars_from_lineitem": f"""WITH ticks AS (SELECT 'P' || (l_partkey % 16)::VARCHAR AS contract, date_trunc('day', l_shipdate) AS datetime, l_orderkey AS o, l_linenumber AS n, floor(l_extendedprice / nullif(l_quantity, 0) * 10) / 10 AS price, l_quantity::BIGINT AS qty,
@@ -313,11 +330,7 @@ hours AS (SELECT contract, datetime, arg_min(price, {{'o': o, 'n': n}}) AS open,
 SELECT h.contract, strftime(h.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, {r('poc')}, delta FROM hours h JOIN pocs p ON h.contract = p.contract AND h.datetime = p.datetime""",
     "ticks_in_session": shown(RAW_TICKS, f"SELECT contract, event_id, {_MS('wall_ms', 'wall')}, {_MS('begin_ms', 'session_begin')}, strftime(day, '%Y-%m-%d') AS trading_day, {r('last_price')}, {r('lowest')}, {r('bid', 'bid_price1')}, {r('volume')} FROM inside"),
     "ticks_classified": shown(RAW_TICKS, f"SELECT contract, event_id, {r('qty')}, {r('oi_change')}, interest, way, tick_type, side::BIGINT AS side FROM sided"),
-    "bars_from_ticks": shown(
-        f"{RAW_TICKS}, ladders AS (SELECT contract, w, last_price AS level, sum(CASE WHEN side <> 0 THEN qty ELSE 0 END) AS v FROM sided GROUP BY ALL), peaks AS (SELECT contract, w, arg_max(level, {{'v': v, 'l': -level}}) AS poc FROM ladders GROUP BY ALL)",
-        f"SELECT s.contract, strftime(date_trunc('minute', min(ts)), '%Y-%m-%d %H:%M:%S') AS datetime, {r('arg_min(last_price, event_id)', 'open')}, {r('max(last_price)', 'high')}, {r('min(last_price)', 'low')}, {r('arg_max(last_price, event_id)', 'close')}, sum(qty)::BIGINT AS volume, {r('any_value(poc)', 'poc')}, "
-        "sum(qty * side)::BIGINT AS delta, arg_max(interest_level, event_id)::BIGINT AS open_interest FROM sided s JOIN peaks p ON p.contract = s.contract AND p.w = s.w GROUP BY s.contract, s.w",
-    ),
+    "bars_from_ticks": tick_bars_sql(5), "bars_from_ticks_60": tick_bars_sql(60), "bars_from_ticks_7": tick_bars_sql(7),
     "price_ladder": shown(f"{TICKS}, {LADDER}", f"SELECT contract, {T}, {r('level')}, buy, sell, other FROM ladder"),
     "poc_by_bar": shown(BARS, f"SELECT contract, {T}, {r('poc')} FROM bars"),
     "imbalance_runs": shown(

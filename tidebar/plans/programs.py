@@ -5,14 +5,13 @@ Tables that a program reads more than once are written to the session's shared f
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.operators import audit, evaluate, features, fit, metrics, simulate, sweep
-from tidebar.plans.tables import shared_folder
+from tidebar.sources.shared import written
 
 TARGET = "future_return_5"
 
@@ -45,9 +44,7 @@ def save(tables: dict[str, DataFrame], path: str) -> None:
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
     """df as a written table."""
-    path = f"{shared_folder(df.sparkSession)}/program-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, f"program-{name}")
 
 
 def _parts(df: DataFrame, split: fit.Fitted) -> tuple[DataFrame, DataFrame]:

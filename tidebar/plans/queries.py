@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.operators import audit, bars, evaluate, features, fit, indicators, metrics, simulate, sweep
+from tidebar.operators import audit, bars, evaluate, features, fit, indicators, metrics, simulate, sweep, tick_bars
 from tidebar.plans.tables import shared_table
 from tidebar.sources import events, ticks
 
@@ -73,9 +73,14 @@ def bars_hourly(spark, sf):
     return shown(events.event_bars(spark, sf))
 
 
+def _quotes(spark, sf):
+    """The raw feed, as its files hold it."""
+    return shared_table(spark, sf, "quotes", lambda: events.event_quotes(spark, sf))
+
+
 def _session_ticks(spark, sf):
     """Raw ticks filled forward, checked, and placed in their sessions."""
-    return ticks.in_session(ticks.filled_forward(events.event_quotes(spark, sf)))
+    return ticks.in_session(ticks.filled_forward(_quotes(spark, sf)))
 
 
 @query
@@ -94,7 +99,19 @@ def ticks_classified(spark, sf):
 @query
 def bars_from_ticks(spark, sf):
     """Five-minute bars out of raw level-1 ticks."""
-    return shown(bars.tick_bars(bars.classified_ticks(_session_ticks(spark, sf))))
+    return shown(tick_bars.bars_of_ticks(_quotes(spark, sf)))
+
+
+@query
+def bars_from_ticks_60(spark, sf):
+    """Hourly bars, whose windows last beyond session begins at half hours."""
+    return shown(tick_bars.bars_of_ticks(_quotes(spark, sf), 60))
+
+
+@query
+def bars_from_ticks_7(spark, sf):
+    """Bars of seven minutes, which meet no session begin."""
+    return shown(tick_bars.bars_of_ticks(_quotes(spark, sf), 7))
 
 
 @query

@@ -1,27 +1,26 @@
-"""Tables that several queries of a session share: each is written once and read again, so that no query repeats another's windows and nothing is persisted in memory."""
+"""Tables that several queries of a session share: each is written once for the state its source is in, so that no query repeats another's windows and nothing is persisted
+in memory."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[tuple[str, str, str], tuple[str, object]] = {}
+from tidebar.sources.shared import drop_written, listed, written
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which a cluster's executors share; the warehouse where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+_KEPT: dict[tuple, DataFrame] = {}
 
 
 def shared_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """build()'s rows, written on the first call for a source folder and read on the others."""
-    key = (spark.sparkContext.applicationId, source, name)
-    if key not in _WRITTEN:
-        df = build()
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
-        _WRITTEN[key] = (path, df.schema)
-    path, schema = _WRITTEN[key]
-    return spark.read.schema(schema).parquet(path)
+    """build()'s rows, written on the first call for a source folder and read on the others, until a file of the folder changes, comes or goes."""
+    key = (spark.sparkContext.applicationId, source, name, tuple(listed(spark, source)))
+    if key not in _KEPT:
+        _KEPT[key] = written(build(), name)
+    return _KEPT[key]
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove all written tables of this process; later queries write theirs again."""
+    _KEPT.clear()
+    return drop_written(spark)

@@ -26,13 +26,16 @@ def event_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers are missing, and the order in file is by day."""
     t = event_ticks(spark, sf_dir).withColumns({"contract": F.concat(F.lit("SHFE.cu240"), F.substring("contract", 2, 1)), "day": F.to_date("ts")})
     day = Window.partitionBy("contract", "day").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    all_days = Window.partitionBy("contract").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    # the days before are added up a row a day, so no task sorts all ticks of a contract
+    days = t.groupBy("contract", "day").agg(F.sum("oi").alias("_oi"))
+    before = Window.partitionBy("contract").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    t = t.join(days.select("contract", "day", F.coalesce(F.sum("_oi").over(before), F.lit(0)).alias("_before")), ["contract", "day"])
     nano = ((F.unix_micros(F.col("ts").cast("timestamp")) - 8 * 3_600_000_000) * 1000).cast("double")
     some = lambda c, n: F.when(F.col("event_id") % n != 0, c)
     level, one = F.col("level"), F.lit(1.0)
     numbers = {
         "datetime_nano": nano, "last_price": some(F.col("price"), 13), "highest": level + 5, "lowest": some(level, 7), "average": level, "volume": F.sum("qty").over(day).cast("double"), "amount": one,
-        "open_interest": (F.sum("oi").over(all_days) + 100_000).cast("double"), "bid_price1": some(level - 1, 11), "bid_volume1": one, "ask_price1": level + 1, "ask_volume1": one,
+        "open_interest": (F.sum("oi").over(day) + F.col("_before") + 100_000).cast("double"), "bid_price1": some(level - 1, 11), "bid_volume1": one, "ask_price1": level + 1, "ask_volume1": one,
     }
     seq = F.shiftleft(F.datediff("day", F.lit("2000-01-01")).cast("long"), 33) + F.col("event_id")
     return t.select("contract", seq.alias("seq"), F.col("ts").cast("string").alias("datetime"), *[x.alias(n) for n, x in numbers.items()])

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.sources import calendar
+from tidebar.sources.shared import first_line, listed
 
 #: The columns of tick and bar files.
 NUMERIC = ["datetime_nano", "last_price", "highest", "lowest", "average", "volume", "amount", "open_interest", "bid_price1", "bid_volume1", "ask_price1", "ask_volume1"]
 BAR_COLUMNS = ["datetime", "open", "high", "low", "close", "volume", "poc", "delta", "open_interest"]
 BAR_TIME = "yyyy.MM.dd HH:mm"
+TICKS = "contract string, chunk string, seq long, datetime string, " + ", ".join(f"{c} double" for c in NUMERIC)
 
 
 def contract_of(path: Column) -> Column:
@@ -30,46 +33,81 @@ def normalise_contract(c: Column, exchange: str = "SHFE") -> Column:
     return F.when(c.startswith(f"{exchange}."), c).otherwise(F.concat(F.lit(f"{exchange}."), c))
 
 
-def strip_prefix(df: DataFrame) -> DataFrame:
-    """Column names without a leading contract and dot, and without a byte-order mark."""
-    return df.toDF(*[re.sub(r"^[A-Z]+\.[A-Za-z]+\d+\.", "", c.lstrip("﻿").strip()) for c in df.columns])
+def number(c: str) -> Column:
+    """A text as a double; what is no number, NaN too, is missing."""
+    return F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None).cast("double"))
+
+
+def stripped(header: str) -> tuple[str, ...]:
+    """The column names of a header line without a leading contract and dot, quotes and blanks."""
+    return tuple(re.sub(r"^[A-Z]+\.[A-Za-z]+\d+\.", "", c.strip().strip('"')) for c in header.split(","))
+
+
+def tick_index(spark: SparkSession, folder: str, pattern: str = "*_tick.csv") -> DataFrame:
+    """(contract, path, bytes) of the tick files of a folder, the last path of each contract; files whose names hold no contract are left out."""
+    return _index(spark, f"{folder.rstrip('/')}/{pattern}", F.max_by)
+
+
+def golden_index(spark: SparkSession, folder: str, minutes: int = 5) -> DataFrame:
+    """(contract, path, bytes) of the golden bar files of a folder for a bar width, the first path of each contract."""
+    return _index(spark, f"{folder.rstrip('/')}/period_of_{minutes}_*.csv", F.min_by)
+
+
+def _index(spark: SparkSession, paths: str, choose) -> DataFrame:
+    files = spark.createDataFrame(listed(spark, paths), "path string, bytes long, modified long").withColumn("contract", contract_of(F.col("path")))
+    return files.where("contract <> ''").groupBy("contract").agg(choose("path", "path").alias("path"), choose("bytes", "path").alias("bytes"))
 
 
 def read_tick_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Tick files as one table: contract, seq (order in the file), datetime, and NUMERIC columns; bad numbers are missing.
+    """Tick files, folders or globs as one table: contract, chunk and seq (rows of a contract are in order of both), datetime, and NUMERIC columns; bad numbers are missing.
 
-    Files whose headers carry their contract differ in columns, so each such file is its own scan; Spark joins them in one plan.
+    Headers carry their contract, so names are read from first lines, without it, and files with the same names in the same order are one scan, however many they are. A chunk
+    is a file's split, in order of paths and places, and seq is the order within it. Empty files have no rows; a column that a file lacks is missing.
     """
-    out = None
-    for p in [paths] if isinstance(paths, str) else paths:
-        raw = strip_prefix(spark.read.option("header", True).csv(p))
-        t = raw.select(contract_of(F.col("_metadata.file_path")).alias("contract"), "*") if "_metadata" in raw.columns else raw.withColumn("contract", contract_of(F.input_file_name()))
-        t = t.select("contract", F.monotonically_increasing_id().alias("seq"), "datetime", *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in NUMERIC])
-        out = t if out is None else out.unionByName(t)
-    return out
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for path, size, _ in listed(spark, paths):
+        if size and (header := first_line(spark, path)):
+            kinds.setdefault(stripped(header), []).append(path)
+    scans = []
+    for names, files in sorted(kinds.items()):
+        raw = spark.read.schema(", ".join(f"`{c}` string" for c in names)).option("header", True).option("enforceSchema", True).csv(files)
+        at = F.concat(F.col("_metadata.file_path"), F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+        have = {c: number(c) if c in names else F.lit(None).cast("double") for c in NUMERIC}
+        time = F.col("datetime") if "datetime" in names else F.lit(None).cast("string")
+        t = raw.select(contract_of(F.col("_metadata.file_path")).alias("contract"), at.alias("chunk"), F.monotonically_increasing_id().alias("seq"), time.alias("datetime"), *[x.alias(c) for c, x in have.items()])
+        scans.append(t)
+    return reduce(DataFrame.unionByName, scans) if scans else spark.createDataFrame([], TICKS)
+
+
+def chunk_of(ticks: DataFrame) -> Column:
+    """The chunk of a row: its column `chunk`, or what a file split's numbering of seq gives."""
+    return F.col("chunk") if "chunk" in ticks.columns else F.shiftright("seq", 33)
+
+
+def carried_numbers(ticks: DataFrame) -> DataFrame:
+    """(contract, _chunk, _before_...): the last known numbers before each chunk, a row a chunk."""
+    ends = ticks.groupBy("contract", chunk_of(ticks).alias("_chunk")).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in NUMERIC])
+    before = Window.partitionBy("contract").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select("contract", "_chunk", *[F.last(c, ignorenulls=True).over(before).alias(f"_before_{c}") for c in NUMERIC])
 
 
-def filled_forward(ticks: DataFrame) -> DataFrame:
+def filled_forward(ticks: DataFrame, keep_chunk: bool = False) -> DataFrame:
     """Missing numbers take the last known one of the contract, else 0.
 
-    Rows are filled within chunks of consecutive seq (those of one file split), and each chunk's last known numbers are carried to the next ones, so no task
-    sorts all ticks of a contract.
+    Rows are filled within chunks, and each chunk's last known numbers are carried to the next ones, so no task sorts all ticks of a contract. With
+    keep_chunk, the rows come dealt and sorted by (contract, _chunk, seq).
     """
-    chunk = ["contract", "_chunk"]
-    t = ticks.withColumn("_chunk", F.shiftright("seq", 33))
-    ends = t.groupBy(*chunk).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in NUMERIC])
-    before = Window.partitionBy("contract").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*chunk, *[F.last(c, ignorenulls=True).over(before).alias(f"_before_{c}") for c in NUMERIC])
-    w = Window.partitionBy(*chunk).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    filled = t.join(carried, chunk).withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_before_{c}"), F.lit(0.0)) for c in NUMERIC})
-    return filled.select(*ticks.columns)
+    w = Window.partitionBy("contract", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    t = ticks.withColumn("_chunk", chunk_of(ticks)).join(carried_numbers(ticks), ["contract", "_chunk"])
+    filled = t.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_before_{c}"), F.lit(0.0)) for c in NUMERIC})
+    return filled.select(*ticks.columns, *(["_chunk"] if keep_chunk else []))
 
 
 def valid_price(strict: bool = True) -> Column:
     keys = ["last_price", "highest", "lowest", *(["bid_price1", "ask_price1"] if strict else [])]
     ok = F.col("highest") >= F.col("lowest")
     for k in keys:
-        ok = ok & F.col(k).isNotNull() & (F.col(k) != 0)
+        ok = ok & F.col(k).isNotNull() & ~F.isnan(k) & (F.col(k) != 0)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -96,7 +134,7 @@ def read_bar_csv(spark: SparkSession, paths: str | list[str], contracts: list[st
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(paths)
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
     numbers = [c for c in BAR_COLUMNS[1:] if c in raw.columns]
-    t = raw.select(contract_of(F.input_file_name()).alias("contract"), F.try_to_timestamp("datetime", F.lit(BAR_TIME)).alias("datetime"), *[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in numbers]).where("datetime is not null")
+    t = raw.select(contract_of(F.input_file_name()).alias("contract"), F.try_to_timestamp("datetime", F.lit(BAR_TIME)).alias("datetime"), *[number(c).alias(c) for c in numbers]).where("datetime is not null")
     if contracts:
         t = t.where(F.col("contract").isin(*contracts))
     return t.where(F.col("datetime") >= F.lit(start).cast("timestamp")) if start else t
