@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.kernels import per_contract
+from tidebar.functions.ordered import quantiles
 from tidebar.operators.fit import Fitted, attach
 
 FINDING = ["severity", "category", "check_id", "status", "affected_rows"]
@@ -20,21 +21,44 @@ def findings(df: DataFrame, category: str, checks: dict[str, tuple[str, Column]]
     return long.select(severity.alias("severity"), F.lit(category).alias("category"), "check_id", status.alias("status"), F.coalesce("affected_rows", F.lit(0)).alias("affected_rows"))
 
 
+CORE = ["contract", "datetime", "open", "high", "low", "close", "volume", "poc", "delta", "open_interest"]
+
+
 def bar_integrity(bars: DataFrame) -> DataFrame:
+    """The whole list of checks of bars (or of features with their bars): a check whose columns are not there counts every row."""
+    there = set(bars.columns)
     w = per_contract()
-    b = bars.withColumn("_again", F.coalesce(F.lag("datetime").over(w) == F.col("datetime"), F.lit(False)))
+    again = F.coalesce(F.lag("datetime").over(w) == F.col("datetime"), F.lit(False)) if {"contract", "datetime"} <= there else F.lit(True)
+    b = bars.withColumn("_again", again)
+    infinite = [f.name for f in bars.schema if f.dataType.typeName() in ("double", "float")]
+    null = lambda c: F.col(c).isNull() | (F.isnan(c) if c in infinite else F.lit(False))
+    bad = lambda columns, condition: F.count_if(condition()) if set(columns) <= there else F.count(F.lit(1))
+    total = lambda columns, of: sum((F.count_if(of(c)) for c in columns if c in there), F.lit(0))
     body = [F.col("open"), F.col("close")]
+    prices = ["open", "high", "low", "close"]
     return findings(
         b, "integrity",
         {
-            "duplicate_key": ("BLOCKER", F.count_if("_again")), "null_price": ("BLOCKER", F.count_if(F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull())),
-            "ohlc_order": ("BLOCKER", F.count_if((F.col("high") < F.greatest(*body)) | (F.col("low") > F.least(*body)) | (F.col("high") < F.col("low")))),
-            "negative_volume": ("BLOCKER", F.count_if(F.col("volume") < 0)), "zero_volume": ("OBSERVATION", F.count_if(F.col("volume") == 0)),
-            "delta_bound": ("BLOCKER", F.count_if(F.abs("delta") > F.col("volume"))), "poc_in_range": ("WARNING", F.count_if((F.col("poc") > F.col("high")) | (F.col("poc") < F.floor("low")))),
+            "core_columns": ("BLOCKER", F.max(F.lit(len(set(CORE) - there)))), "invalid_time": ("BLOCKER", bad(["datetime"], lambda: F.col("datetime").isNull())), "duplicate_key": ("BLOCKER", F.count_if("_again")),
+            "time_order": ("BLOCKER", F.count_distinct(F.when(F.col("_again"), F.col("contract"))) if "contract" in there else F.count(F.lit(1))), "null_price": ("BLOCKER", bad(prices, lambda: null("open") | null("high") | null("low") | null("close"))),
+            "core_nulls": ("BLOCKER", total(CORE, null)), "infinite_values": ("BLOCKER", total(infinite, lambda c: F.abs(c) == float("inf"))),
+            "ohlc_order": ("BLOCKER", bad(prices, lambda: (F.col("high") < F.greatest(*body)) | (F.col("low") > F.least(*body)) | (F.col("high") < F.col("low")))),
+            "negative_volume": ("BLOCKER", bad(["volume"], lambda: F.col("volume") < 0)), "zero_volume": ("OBSERVATION", bad(["volume"], lambda: F.col("volume") == 0)), "negative_open_interest": ("BLOCKER", bad(["open_interest"], lambda: F.col("open_interest") < 0)),
+            "delta_bound": ("BLOCKER", bad(["delta", "volume"], lambda: F.abs("delta") > F.col("volume"))), "poc_in_range": ("BLOCKER", bad(["poc", "low", "high"], lambda: (F.col("poc") > F.col("high")) | (F.col("poc") < F.col("low")))),
         },
     )
 
 
+def column_report(df: DataFrame) -> DataFrame:
+    """Per numeric column: field, null_count, null_rate, inf_count, unique_count, zero_variance, min and max (of finite values)."""
+    numbers = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float", "long", "integer")]
+    long = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numbers]).unpivot([], numbers, "field", "x")
+    none, inf = F.col("x").isNull() | F.isnan("x"), F.coalesce(F.abs("x") == float("inf"), F.lit(False))
+    finite = F.when(~none & ~inf, F.col("x"))
+    n = F.count_distinct(finite)
+    return long.groupBy("field").agg(F.count_if(none).alias("null_count"), (F.count_if(none) / F.count(F.lit(1))).alias("null_rate"), F.count_if(inf).alias("inf_count"), n.alias("unique_count"), (n == 1).alias("zero_variance"), F.min(finite).alias("min"), F.max(finite).alias("max"))
+
+
 def differences(expected: DataFrame, actual: DataFrame, keys: list[str], values: list[str], tolerance: float = 1e-10) -> DataFrame:
     """Per value column: keys only expected, keys only actual, values that differ, and those missing on one side."""
     e = expected.select(*keys, *[F.col(v).alias(f"e_{v}") for v in values], F.lit(1).alias("_e"))
@@ -52,8 +76,6 @@ def differences(expected: DataFrame, actual: DataFrame, keys: list[str], values:
 
 def tail_nulls(df: DataFrame, horizons: dict[str, int]) -> DataFrame:
     """Per label: non-null values among the last `horizon` rows of a contract (leaks), and nulls before them."""
-    from pyspark.sql import Window
-
     left = F.row_number().over(Window.partitionBy("contract").orderBy(F.desc("datetime")))
     d = df.withColumn("_left", left)
     row = lambda v, h: F.struct(F.lit(v).alias("label"), F.lit(h).alias("horizon"), F.count_if((F.col("_left") <= h) & F.col(v).isNotNull()).alias("leaked_rows"), F.count_if((F.col("_left") > h) & F.col(v).isNull()).alias("missing_rows"))
@@ -83,17 +105,27 @@ def trade_checks(trades: DataFrame, bars: DataFrame, split: Fitted, cost: float
     )
 
 
-def path_replay(trades: DataFrame, bars: DataFrame, sample: int = 20_000) -> DataFrame:
-    """Stop and target trades whose first touching bar is not the exit bar: an interval join within the contract. `sample` trades are drawn by hash."""
-    some = trades.where("stop_price is not null").orderBy(F.xxhash64("contract", "side", "signal_time")).limit(sample)
-    b = bars.select("contract", "datetime", "high", "low")
-    j = some.join(b, "contract").where((F.col("datetime") >= F.col("entry_time")) & (F.col("datetime") <= F.col("exit_time")))
+def path_replay(trades: DataFrame, bars: DataFrame, keys: tuple[str, ...] = (), bucket: int = 16) -> DataFrame:
+    """All stop and target trades whose first touching bar is not the exit bar, and timed ones that touch before it.
+
+    Bars are numbered per contract and dealt into buckets of `bucket` numbers. A trade finds the numbers of its entry and exit bars by their times, and goes to each bucket between them, so the interval join is
+    one on (contract, bucket); the first touch is a partial minimum. `keys` (a case, a combination) tell trades of one contract, side and signal time apart.
+    """
+    n = F.row_number().over(Window.partitionBy("contract").orderBy("datetime"))
+    numbered = bars.select("contract", "datetime", "high", "low", n.alias("_n"))
+    ids = [*keys, "contract", "side", "signal_time"]
+    t = trades.where("stop_price is not null").select(*ids, "entry_time", "exit_time", "stop_price", "take_profit_price", "exit_reason")
+    at = lambda name: numbered.select("contract", F.col("datetime").alias(f"{name}_time"), F.col("_n").alias(f"_{name}"))
+    t = t.join(at("entry"), ["contract", "entry_time"], "left").join(at("exit"), ["contract", "exit_time"], "left")
+    first, last = (F.floor(F.col(c) / bucket).cast("long") for c in ("_entry", "_exit"))
+    spans = t.where("_entry <= _exit").select(*ids, "_entry", "_exit", "stop_price", "take_profit_price", F.explode(F.sequence(first, last)).alias("_bucket"))
+    j = spans.join(numbered.withColumn("_bucket", F.floor(F.col("_n") / bucket).cast("long")), ["contract", "_bucket"]).where("_n between _entry and _exit")
     long = F.col("side") == "long"
     touch = F.when(long, (F.col("low") <= F.col("stop_price")) | (F.col("high") >= F.col("take_profit_price"))).otherwise((F.col("high") >= F.col("stop_price")) | (F.col("low") <= F.col("take_profit_price")))
-    first = j.where(touch).groupBy("contract", "side", "signal_time").agg(F.min("datetime").alias("first_touch"))
-    checked = some.join(first, ["contract", "side", "signal_time"], "left")
+    touched = j.where(touch).groupBy(*ids).agg(F.min("datetime").alias("first_touch"))
+    checked = t.join(touched, ids, "left")
     timed = F.col("exit_reason") == "time_barrier"
-    wrong = F.when(timed, F.col("first_touch").isNotNull()).otherwise(F.coalesce(F.col("first_touch") != F.col("exit_time"), F.lit(True)))
+    wrong = F.when(F.coalesce(F.col("_entry") > F.col("_exit"), F.lit(True)), True).when(timed, F.col("first_touch").isNotNull()).otherwise(F.coalesce(F.col("first_touch") != F.col("exit_time"), F.lit(True)))
     return findings(checked, "trades", {"path_replay": ("BLOCKER", F.count_if(wrong))})
 
 
@@ -135,10 +167,8 @@ def golden_diff(generated: DataFrame, reference: DataFrame, floats: list[str], i
 
 def extremes(bars: DataFrame, fields: list[str], q: float = 0.999, most: int = 500) -> DataFrame:
     """The rows above a field's quantile, at most `most` of the greatest per field (a report's top list)."""
-    from pyspark.sql import Window
-
     long = bars.select("contract", "datetime", *[F.abs(F.col(f).cast("double")).alias(f) for f in fields]).unpivot(["contract", "datetime"], fields, "field", "value")
-    cut = long.groupBy("field").agg(F.percentile("value", F.lit(q)).alias("cut"))
+    cut = quantiles(long, ["field"], "value", [q]).select("field", F.get("q", F.lit(0)).alias("cut"))  # a row a field
     above = long.join(F.broadcast(cut), "field").where("value > cut")
     place = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("value"), "contract", "datetime"))
     return above.withColumn("place", place).where(F.col("place") <= most).drop("cut")

@@ -34,21 +34,37 @@ def bars_of(ladder: DataFrame) -> DataFrame:
     return bars.withColumn("open_interest", running + OPEN_INTEREST_START).drop("_oi")
 
 
-def imbalance_runs(ladder: DataFrame, ratio: float = 3.0, least: int = 3, step: float = 1.0) -> DataFrame:
-    """Runs of at least `least` neighbouring levels where one side outweighs the diagonal other: contract, datetime, side, low_level, high_level, levels.
+def _place(step: float) -> Column:
+    """A level's number on the grid of its bar, whose lowest level is 0."""
+    return F.round((F.col("level") - F.min("level").over(Window.partitionBy("contract", "datetime"))) / step).cast("long")
 
-    Buying at a level is held against selling one level below, selling against buying one level above; a side without its
-    counterpart counts from 1 up. Levels of a bar are found by their place, so runs are gaps and islands within a bar.
+
+def price_grid(ladder: DataFrame, step: float = 1.0) -> DataFrame:
+    """contract, datetime, level, buy, sell of every tick level between a bar's lowest and highest; levels without trades have none of either."""
+    span = ladder.groupBy("contract", "datetime").agg(F.min("level").alias("_low"), F.round((F.max("level") - F.min("level")) / step).cast("long").alias("_last"))
+    grid = span.select("contract", "datetime", "_low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_place"))
+    known = ladder.select("contract", "datetime", "buy", "sell", _place(step).alias("_place"))
+    j = grid.join(known, ["contract", "datetime", "_place"], "left")
+    return j.select("contract", "datetime", F.round(F.col("_low") + F.col("_place") * step, 10).alias("level"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("buy", "sell")])
+
+
+def heavy(own: Column, other: Column, ratio: float, least: float) -> Column:
+    """Whether a side of a level outweighs the other: `ratio` times as much, or at least `least` against nothing."""
+    return F.when(other > 0, own >= ratio * other).otherwise(own >= least)
+
+
+def imbalance_runs(ladder: DataFrame, ratio: float = 3.0, run: int = 3, step: float = 1.0, least: float = 1.0) -> DataFrame:
+    """Runs of at least `run` neighbouring tick levels whose own sides are out of balance: contract, datetime, side, low_level, high_level, levels, from_level.
+
+    A level counts for a side that has `ratio` times the other's quantity at that level, or at least `least` where the other has none. A level without trades
+    ends a run. from_level is where the run is first `run` levels long; the published range of a run is from_level to high_level.
     """
-    w = Window.partitionBy("contract", "datetime").orderBy("level")
-    below = F.when(F.col("level") - F.lag("level").over(w) == step, F.lag("sell").over(w)).otherwise(0)
-    above = F.when(F.lead("level").over(w) - F.col("level") == step, F.lead("buy").over(w)).otherwise(0)
-    heavy = lambda a, b: F.when(b > 0, a >= ratio * b).otherwise(a >= 1)
-    marked = ladder.select("contract", "datetime", "level", heavy(F.col("buy"), below).alias("buy_heavy"), heavy(F.col("sell"), above).alias("sell_heavy"))
-    sides = marked.select("contract", "datetime", "level", F.explode(F.array(F.when(F.col("buy_heavy"), "buy"), F.when(F.col("sell_heavy"), "sell"))).alias("side")).where("side is not null")
-    island = F.col("level") / step - F.row_number().over(Window.partitionBy("contract", "datetime", "side").orderBy("level"))
+    marked = ladder.select("contract", "datetime", "level", _place(step).alias("_place"), *[heavy(F.col(a), F.col(b), ratio, least).alias(f"_{a}") for a, b in (("buy", "sell"), ("sell", "buy"))])
+    sides = marked.select("contract", "datetime", "level", "_place", F.explode(F.array(F.when(F.col("_buy"), "buy"), F.when(F.col("_sell"), "sell"))).alias("side")).where("side is not null")
+    island = F.col("_place") - F.row_number().over(Window.partitionBy("contract", "datetime", "side").orderBy("_place"))
     runs = sides.withColumn("_island", island).groupBy("contract", "datetime", "side", "_island")
-    return runs.agg(F.min("level").alias("low_level"), F.max("level").alias("high_level"), F.count("*").alias("levels")).where(F.col("levels") >= least).drop("_island")
+    found = runs.agg(F.min("level").alias("low_level"), F.max("level").alias("high_level"), F.count(F.lit(1)).alias("levels")).where(F.col("levels") >= run)
+    return found.withColumn("from_level", F.round(F.col("low_level") + (run - 1) * step, 10)).drop("_island")
 
 
 def previous_tick(ticks: DataFrame, order: tuple[str, ...], columns: list[str], chunk: Column, prefix: str = "prev_") -> DataFrame:

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.functions.kernels import average_rank, bucket_of, quantile_edges
+from tidebar.functions.kernels import average_rank, bucket_of, distinct_edges
+from tidebar.functions.ordered import quantiles, with_quantiles
+from tidebar.sources.shared import written
 
 LEAST = 20
 
@@ -34,10 +36,10 @@ def quality(df: DataFrame, features: list[str]) -> DataFrame:
     rows = long_form(df, features, []).withColumn("inf", F.coalesce(infinite("x"), F.lit(False))).withColumn("x", F.when(~F.col("inf"), F.col("x")))
     found = rows.groupBy("feature").agg(
         F.count("x").alias("non_null_count"), F.count_if(F.col("x").isNull()).alias("missing_count"), F.count_if("inf").alias("inf_count"), F.count(F.lit(1)).alias("row_count"), (F.count("x") / F.count(F.lit(1))).alias("coverage"),
-        F.count_distinct("x").alias("unique_count"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.percentile("x", F.array(*map(F.lit, (0.001, 0.01, 0.5, 0.99, 0.999)))).alias("q"), F.max("x").alias("max"),
+        F.count_distinct("x").alias("unique_count"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
     )
-    at = [F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("p001", "p01", "median", "p99", "p999"))]
-    return found.select(*[c for c in found.columns if c not in ("q", "max")], *at, "max")
+    found = with_quantiles(found, rows, ["feature"], "x", {"p001": 0.001, "p01": 0.01, "median": 0.5, "p99": 0.99, "p999": 0.999})
+    return found.select(*[c for c in found.columns if c != "max"], "max")
 
 
 def _below(column: str):
@@ -85,16 +87,16 @@ def periodic_ic(df: DataFrame, features: list[str], pattern: str = "yyyy-MM", ta
     return found.where(F.col("count") >= LEAST)
 
 
-def quintiles(df: DataFrame, features: list[str], target: str = "future_return_5", keys: list[str] | None = None) -> DataFrame:
-    """Per keys, feature and quintile of its own values (edges deduplicated, so ties can leave fewer): count and means."""
+def quintiles(df: DataFrame, features: list[str], target: str = "future_return_5", keys: list[str] | None = None, median: bool = True) -> DataFrame:
+    """Per keys, feature and quintile of its own values (edges deduplicated, so ties can leave fewer): count, means, and the target's median where asked."""
     keys = [*(keys or []), "feature"]
     rows = long_form(df, features, [*keys[:-1], target, "mfe_10_long", "mae_10_long"]).where(F.col("x").isNotNull() & F.col(target).isNotNull())
-    edges = rows.groupBy(*keys).agg(quantile_edges("x").alias("edges"))
+    edges = written(quantiles(rows, keys, "x", [k / 5 for k in range(6)]).select(*keys, distinct_edges("q").alias("edges")), "edges")  # a row a feature
     placed = rows.join(edges, keys).where(F.size("edges") > 1).withColumn("quintile", bucket_of(F.col("x"), F.col("edges")))
-    return placed.groupBy(*keys, "quintile").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean_feature"), F.avg(target).alias("mean_return"), F.median(target).alias("median_return"),
-        F.avg((F.col(target) > 0).cast("double")).alias("win_rate"), F.avg("mfe_10_long").alias("mean_mfe_10_long"), F.avg("mae_10_long").alias("mean_mae_10_long"),
+    found = placed.groupBy(*keys, "quintile").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean_feature"), F.avg(target).alias("mean_return"), F.avg((F.col(target) > 0).cast("double")).alias("win_rate"), F.avg("mfe_10_long").alias("mean_mfe_10_long"), F.avg("mae_10_long").alias("mean_mae_10_long"),
     )
+    return with_quantiles(found, placed, [*keys, "quintile"], target, {"median_return": 0.5}) if median else found
 
 
 def summary(df: DataFrame, features: list[str], target: str = "future_return_5", keys: list[str] | None = None) -> DataFrame:
@@ -108,7 +110,7 @@ def summary(df: DataFrame, features: list[str], target: str = "future_return_5",
     )
     ic = information_coefficients(df, features, target, keys[:-1]).drop("count")
     of = lambda q, c: F.max(F.when(F.col("quintile") == q, F.col(c)))
-    fifth = quintiles(df, features, target, keys[:-1]).groupBy(*keys).agg(
+    fifth = quintiles(df, features, target, keys[:-1], median=False).groupBy(*keys).agg(
         (of(5, "mean_return") - of(1, "mean_return")).alias("quintile_spread"), of(5, "win_rate").alias("top_quintile_win_rate"), of(5, "mean_mfe_10_long").alias("top_quintile_mean_mfe"), of(5, "mean_mae_10_long").alias("top_quintile_mean_mae"),
     )
     fifth = fifth.select(*keys, *[F.when(F.col("quintile_spread").isNotNull(), F.col(c)).alias(c) for c in fifth.columns[len(keys) :]])

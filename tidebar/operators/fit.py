@@ -9,6 +9,9 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.functions.ordered import quantiles, with_quantiles
+from tidebar.sources.shared import written
+
 GLOBAL = "__GLOBAL__"
 
 
@@ -47,17 +50,18 @@ def transform_params(long_train: DataFrame) -> DataFrame:
     """(contract, feature, lower, upper, center, scale, scale_type) from (contract, feature, x): per contract, and over all contracts under GLOBAL.
 
     Bounds are the 1st and 99th percentile; centre and scale are the median and 1.4826 times the median deviation of the clipped values, else mean and
-    deviation, else a constant's 1.
+    deviation, else a constant's 1. Clipping leaves the median where it is, so one selection gives bounds and median and a second the deviation.
     """
+    keys = ["contract", "feature"]
     both = long_train.where("x is not null").select("feature", "x", F.explode(F.array("contract", F.lit(GLOBAL))).alias("contract"))
-    bounds = both.groupBy("contract", "feature").agg(F.percentile("x", F.lit(0.01)).alias("lower"), F.percentile("x", F.lit(0.99)).alias("upper"))
-    clipped = both.join(bounds, ["contract", "feature"]).withColumn("x", F.greatest("lower", F.least("x", "upper")))
-    middle = clipped.groupBy("contract", "feature").agg(F.median("x").alias("median"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.first("lower").alias("lower"), F.first("upper").alias("upper"))
-    mad = clipped.join(middle.select("contract", "feature", "median"), ["contract", "feature"]).groupBy("contract", "feature").agg(F.median(F.abs(F.col("x") - F.col("median"))).alias("mad"))
-    out = middle.join(mad, ["contract", "feature"])
+    fitted = quantiles(both, keys, "x", [0.01, 0.5, 0.99]).select(*keys, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("lower", "median", "upper"))])
+    fitted = written(fitted, "quantiles")  # a row a contract and feature, which two passes use
+    clipped = both.join(fitted, keys).withColumn("x", F.greatest("lower", F.least("x", "upper")))
+    spread = clipped.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    out = with_quantiles(fitted.join(spread, keys), clipped, keys, F.abs(F.col("x") - F.col("median")), {"mad": 0.5})
     by_mad, by_std = F.col("mad") > 1e-12, F.col("std") > 1e-12
     return out.select(
-        "contract", "feature", "lower", "upper", F.when(by_mad, F.col("median")).otherwise(F.col("mean")).alias("center"),
+        *keys, "lower", "upper", F.when(by_mad, F.col("median")).otherwise(F.col("mean")).alias("center"),
         F.when(by_mad, 1.4826 * F.col("mad")).when(by_std, F.col("std")).otherwise(1.0).alias("scale"), F.when(by_mad, "mad").when(by_std, "std").otherwise("constant").alias("scale_type"),
     )
 
@@ -74,18 +78,6 @@ def standardised(long: DataFrame, params: DataFrame) -> DataFrame:
     return j.select(*long.columns, clipped.alias("clipped"), F.try_divide(clipped - pick["center"], pick["scale"]).alias("z"))
 
 
-def standardised(long: DataFrame, params: DataFrame) -> DataFrame:
-    """long with x clipped and z = (x - centre) / scale, by the contract's own parameters or, where it has none, the global ones."""
-    own = params.where(F.col("contract") != GLOBAL)
-    all_ = params.where(F.col("contract") == GLOBAL).drop("contract")
-    names = ["lower", "upper", "center", "scale"]
-    j = long.join(own.select("contract", "feature", *[F.col(n).alias(f"own_{n}") for n in names]), ["contract", "feature"], "left")
-    j = j.join(all_.select("feature", *[F.col(n).alias(f"all_{n}") for n in names]), "feature", "left")
-    pick = {n: F.when(F.col("own_lower").isNotNull(), F.col(f"own_{n}")).otherwise(F.col(f"all_{n}")) for n in names}
-    clipped = F.when(F.col("x").isNotNull(), F.greatest(pick["lower"], F.least("x", pick["upper"])))
-    return j.select(*long.columns, clipped.alias("clipped"), F.try_divide(clipped - pick["center"], pick["scale"]).alias("z"))
-
-
 def with_z(df: DataFrame, params: DataFrame, names: list[str], clipped: bool = False) -> DataFrame:
     """df with z_<name> of each feature, as `standardised` but on wide rows: the parameters become one row per contract. `clipped` clips the features as well."""
     values = ["lower", "upper", "center", "scale"]
@@ -115,7 +107,9 @@ def weighted_score(features: dict[str, list[tuple[str, float, float]]]) -> Colum
 
 def risk_limits(train: DataFrame) -> DataFrame:
     """One row (max_range, max_poc_shift): the 99.5th percentiles over training rows."""
-    return train.agg(F.percentile("true_range_ticks", F.lit(0.995)).alias("max_range"), F.percentile(F.abs("poc_shift_ticks"), F.lit(0.995)).alias("max_poc_shift"))
+    sizes = train.select(F.col("true_range_ticks").cast("double").alias("max_range"), F.abs("poc_shift_ticks").cast("double").alias("max_poc_shift")).unpivot([], ["max_range", "max_poc_shift"], "limit", "x")
+    found = quantiles(sizes, ["limit"], "x", [0.995])
+    return found.agg(*[F.max(F.when(F.col("limit") == n, F.get("q", F.lit(0)))).alias(n) for n in ("max_range", "max_poc_shift")])
 
 
 def risk_pass(limits: Fitted, df: DataFrame, score: str = "signal_score") -> DataFrame:
@@ -125,7 +119,8 @@ def risk_pass(limits: Fitted, df: DataFrame, score: str = "signal_score") -> Dat
 
 
 def thresholds(train: DataFrame, score: str = "signal_score", high: float = 0.85, low: float = 0.15) -> DataFrame:
-    return train.agg(F.percentile(score, F.lit(high)).alias("long_threshold"), F.percentile(score, F.lit(low)).alias("short_threshold"))
+    found = quantiles(train, [], score, [high, low])
+    return found.agg(*[F.max(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("long_threshold", "short_threshold"))])
 
 
 def select_features(summary: list[dict], corr: dict[tuple[str, str], float], groups: dict[str, str], most: int = 18, corr_cap: float = 0.85, group_share: float = 0.45, coverage: float = 0.70, unique: int = 10, spread: float = 0.15, penalty: float = 0.8) -> list[dict]:

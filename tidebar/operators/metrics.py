@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.kernels import two_sided_p
+from tidebar.functions.ordered import attached, deepest_fall, running, with_quantiles
 
 
 def with_all(df: DataFrame, column: str = "split") -> DataFrame:
@@ -18,23 +17,26 @@ def with_all(df: DataFrame, column: str = "split") -> DataFrame:
 def strategy_metrics(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Per keys: trades by side, win rate, mean, median and sum of net returns, Sharpe ratio, and the greatest fall from a running peak.
 
-    The path runs by contract and signal time; its peak starts at the first value.
+    The path runs by contract and signal time, in chunks of a contract's months; its peak starts at the first value.
     """
-    w = Window.partitionBy(*keys).orderBy("contract", "signal_time").rowsBetween(Window.unboundedPreceding, 0)
-    t = trades.withColumn("_equity", F.sum("net_return").over(w))
-    t = t.withColumn("_fall", F.col("_equity") - F.max("_equity").over(w))
     n, std = F.count(F.lit(1)), F.stddev_samp("net_return")
-    return t.groupBy(*keys).agg(
+    found = trades.groupBy(*keys).agg(
         n.alias("trade_count"), F.count_if(F.col("side") == "long").alias("long_count"), F.count_if(F.col("side") == "short").alias("short_count"), F.avg((F.col("net_return") > 0).cast("double")).alias("win_rate"),
-        F.avg("gross_return").alias("avg_gross_return"), F.avg("net_return").alias("avg_net_return"), F.median("net_return").alias("median_net_return"), F.sum("net_return").alias("sum_net_return"),
-        F.when(std > 0, F.try_divide(F.sqrt(n) * F.avg("net_return"), std)).alias("sharpe"), F.min("_fall").alias("max_drawdown"),
+        F.avg("gross_return").alias("avg_gross_return"), F.avg("net_return").alias("avg_net_return"), F.sum("net_return").alias("sum_net_return"), F.when(std > 0, F.try_divide(F.sqrt(n) * F.avg("net_return"), std)).alias("sharpe"),
     )
+    month = F.struct("contract", F.date_trunc("month", "signal_time").alias("month"))
+    falls = deepest_fall(trades, keys, month, ["contract", "signal_time"], "net_return")
+    found = with_quantiles(attached(found, falls, keys), trades, keys, "net_return", {"median_net_return": 0.5})
+    return found.select(*keys, "trade_count", "long_count", "short_count", "win_rate", "avg_gross_return", "avg_net_return", "median_net_return", "sum_net_return", "sharpe", "max_drawdown")
+
+
+BY_EXIT = ["exit_time", "contract", "signal_time"]
 
 
 def equity_curve(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """trades with the running sum of net returns by exit time, ties by contract and signal time."""
-    w = Window.partitionBy(*keys).orderBy("exit_time", "contract", "signal_time").rowsBetween(Window.unboundedPreceding, 0)
-    return trades.select(*keys, "contract", "signal_time", "exit_time", F.sum("net_return").over(w).alias("equity"))
+    """trades with the running sum of net returns by exit time, ties by contract and signal time; days are summed apart and carried on."""
+    found = running(trades, keys, F.date_trunc("day", "exit_time"), BY_EXIT, "net_return", "equity")
+    return found.select(*keys, "contract", "signal_time", "exit_time", "equity")
 
 
 def cost_sensitivity(trades: DataFrame, ticks: tuple[float, ...] = (1.0, 2.0, 3.0, 4.0), tick: float = 1.0, keys: list[str] | None = None) -> DataFrame:
@@ -90,10 +92,11 @@ def signal_distribution(scored: DataFrame, keys: list[str], cuts: list[str], sco
     (long, short) of the keys, their distance and their mean size."""
     x = F.col(score)
     skew, kurtosis = moments(x)
-    q = F.percentile(x, F.array(*map(F.lit, SHOWN_QUANTILES)))
-    g = scored.where("risk_pass").groupBy(*keys).agg(F.count(x).alias("signal_count"), F.avg(x).alias("score_mean"), F.stddev_pop(x).alias("score_std"), skew.alias("score_skew"), kurtosis.alias("score_kurtosis"), q.alias("q"), *[F.first(c).alias(c) for c in cuts])
+    passed = scored.where("risk_pass")
+    g = passed.groupBy(*keys).agg(F.count(x).alias("signal_count"), F.avg(x).alias("score_mean"), F.stddev_pop(x).alias("score_std"), skew.alias("score_skew"), kurtosis.alias("score_kurtosis"), *[F.first(c).alias(c) for c in cuts])
     long, short = map(F.col, cuts)
-    shown = [F.get("q", F.lit(k)).alias(f"score_p{round(100 * p):02d}") for k, p in enumerate(SHOWN_QUANTILES)]
+    shown = {f"score_p{round(100 * p):02d}": p for p in SHOWN_QUANTILES}
+    g = with_quantiles(g, passed, keys, x, shown)
     return g.select(*keys, "signal_count", "score_mean", "score_std", "score_skew", "score_kurtosis", *shown, *cuts, (long - short).alias("tail_separation"), ((F.abs(long) + F.abs(short)) / 2).alias("threshold_abs_mean"))
 
 
@@ -165,7 +168,9 @@ def interaction_patterns(df: DataFrame, delta: str, poc: str, position: str, tar
     d, p, x = (F.signum(F.col(c)) for c in (delta, poc, position))
     pattern = F.when((d == p) & (p == x), "all_same_direction").when(d == p, "delta_poc_same").otherwise("delta_poc_conflict")
     known = df.dropna(subset=[delta, poc, position, target])
-    return known.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("rows"), F.avg(target).alias("mean_return"), F.median(target).alias("median_return"), F.avg((F.col(target) > 0).cast("double")).alias("positive_rate"))
+    known = known.select(pattern.alias("pattern"), target)
+    found = known.groupBy("pattern").agg(F.count(F.lit(1)).alias("rows"), F.avg(target).alias("mean_return"), F.avg((F.col(target) > 0).cast("double")).alias("positive_rate"))
+    return with_quantiles(found, known, ["pattern"], target, {"median_return": 0.5})
 
 
 def exit_reasons(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,49 +197,59 @@ def win_rate_test(metrics: DataFrame, trials: int, level: float = 0.05, half: fl
     return m.withColumn("win_rate_verdict", verdict)
 
 
-def block_bootstrap(trades: DataFrame, keys: list[str], samples: int = 500, seed: int = 20260528) -> DataFrame:
-    """Per keys: a 95 % interval of the mean net return from moving blocks of its trades by exit time. Trades of one key are a small table."""
-    schema = trades.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", trades long, mean double, low double, high double"
+def block_size(n: Column) -> Column:
+    return F.least(n, F.greatest(F.lit(5), F.round(F.sqrt(n)))).cast("long")
+
 
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        x = group.sort_values(["exit_time", "contract", "signal_time"])["net_return"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        size = block_size(len(x))
-        low, high = np.quantile([moving_block(x, size, rng).mean() for _ in range(samples)], [0.025, 0.975])
-        return pd.DataFrame({**{k: [group[k].iloc[0]] for k in keys}, "trades": [len(x)], "mean": [x.mean()], "low": [low], "high": [high]})
+def _numbered(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., _i, _sum): the running sums of net returns by exit time, numbered, with a row 0."""
+    t = running(trades, keys, F.date_trunc("day", "exit_time"), BY_EXIT, "net_return", "_sum", number="_i").select(*keys, "_i", "_sum")
+    return t.unionByName(trades.select(*keys).distinct().select(*keys, F.lit(0).alias("_i"), F.lit(0.0).alias("_sum")))
 
-    return trades.groupBy(*keys).applyInPandas(draw, schema)
 
+def block_means(trades: DataFrame, groups: DataFrame, keys: list[str], part: Column, samples: int, seed: int) -> DataFrame:
+    """(keys..., _sample, _mean) of moving-block samples of each of groups (keys, n trades, size of a block).
+
+    A sample is as long as its group; its blocks of `size` trades by exit time begin at places drawn by a hash of (seed, part, sample, block), and the last is cut. A block's sum is
+    the difference of two running sums, so a sample meets two rows for each block, whatever its length.
+    """
+    blocks = F.ceil(F.col("n") / F.col("size"))
+    g = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_sample")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_block"))
+    drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), part, F.col("_sample").cast("string"), F.col("_block").cast("string")).cast("binary"), 256), 1, 8), 16, 10).cast("decimal(20,0)")
+    start = F.call_function("div", drawn * (F.col("n") - F.col("size") + 1).cast("decimal(20,0)"), F.lit(1 << 32).cast("decimal(20,0)")).cast("long")
+    length = F.least(F.col("size"), F.col("n") - F.col("_block") * F.col("size"))
+    ends = g.withColumn("_start", start).select(*keys, "n", "_sample", F.explode(F.array(F.struct(F.col("_start").alias("i"), F.lit(-1.0).alias("sign")), F.struct((F.col("_start") + length).alias("i"), F.lit(1.0).alias("sign")))).alias("_end"))
+    ends = ends.select(*keys, "n", "_sample", F.col("_end.i").alias("_i"), F.col("_end.sign").alias("_sign"))
+    met = attached(ends, _numbered(trades, keys), [*keys, "_i"], "inner")
+    return met.groupBy(*keys, "n", "_sample").agg((F.sum(F.col("_sign") * F.col("_sum")) / F.col("n")).alias("_mean")).drop("n")
 
-def block_size(n: int) -> int:
-    return min(n, max(5, round(n**0.5)))
 
+INTERVAL = {"low": 0.025, "high": 0.975}
 
-def moving_block(x: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """A sample as long as x of runs of `size` values from random places."""
-    size = max(1, min(size, len(x)))
-    starts = rng.integers(0, len(x) - size + 1, -(-len(x) // size))
-    return x[(starts[:, None] + np.arange(size)).ravel()[: len(x)]]
+
+def block_bootstrap(trades: DataFrame, keys: list[str], samples: int = 500, seed: int = 20260528) -> DataFrame:
+    """Per keys: trades, their mean net return, and its 95 % interval from moving blocks by exit time, some root of n trades long."""
+    groups = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("net_return").alias("mean"))
+    means = block_means(trades, groups.select(*keys, "n", block_size(F.col("n")).alias("size")), keys, F.lit("one"), samples, seed)
+    return with_quantiles(groups.withColumnRenamed("n", "trades"), means, keys, "_mean", INTERVAL)
 
 
 def bootstrap_differences(trades: DataFrame, combos: list[str], samples: int = 500, seed: int = 20260528) -> DataFrame:
     """(combo_name, benchmark_combo, low, high): a 95 % interval of the difference of mean net returns between each combination and the one before it in
-    combos, from moving blocks of both by exit time, drawn in turn. A group holds the trades of two combinations, which are few beside bars."""
-    pairs = [(a, b) for b, a in zip(combos, combos[1:], strict=False)]
-    member = F.filter(F.array(*[F.when(F.col("combo_name").isin(*p), F.struct(F.lit(p[0]).alias("combo"), F.lit(p[1]).alias("benchmark"))) for p in pairs]), lambda x: x.isNotNull())
-    t = trades.select("combo_name", "contract", "signal_time", "exit_time", "net_return", F.explode(member).alias("pair")).select("*", "pair.*").drop("pair")
-
-    def draw(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["exit_time", "contract", "signal_time"])
-        combo, benchmark = group["combo"].iloc[0], group["benchmark"].iloc[0]
-        x, y = (g.loc[g["combo_name"] == n, "net_return"].to_numpy(float) for n in (combo, benchmark))
-        low = high = None
-        if len(x) and len(y):
-            rng, size = np.random.default_rng(seed), max(5, round(min(len(x), len(y)) ** 0.5))
-            low, high = np.quantile([moving_block(x, size, rng).mean() - moving_block(y, size, rng).mean() for _ in range(samples)], [0.025, 0.975])
-        return pd.DataFrame({"combo_name": [combo], "benchmark_combo": [benchmark], "low": [low], "high": [high]})
-
-    return t.groupBy("combo", "benchmark").applyInPandas(draw, "combo_name string, benchmark_combo string, low double, high double")
+    combos, from moving blocks of both by exit time, as long as the root of the smaller one's trades. Pairs without trades on both sides have no interval."""
+    pairs = F.array(*[F.struct(F.lit(b).alias("combo"), F.lit(a).alias("benchmark")) for a, b in zip(combos, combos[1:], strict=False)])
+    n = trades.groupBy("combo_name").agg(F.count(F.lit(1)).alias("n"))
+    one = n.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("combo_name", "n"))).alias("_n"))  # a row, an entry a combination
+    both = one.select(F.explode(pairs).alias("p"), "_n").select("p.*", *[F.element_at("_n", F.col(f"p.{c}")).alias(f"n_{c}") for c in ("combo", "benchmark")])
+    both = both.where("n_combo is not null or n_benchmark is not null")
+    size = F.greatest(F.lit(5), F.round(F.sqrt(F.least("n_combo", "n_benchmark"))))
+    sides = []
+    for s, sign in (("combo", 1), ("benchmark", -1)):
+        groups = both.where("n_combo is not null and n_benchmark is not null").select("combo", "benchmark", F.col(s).alias("combo_name"), F.col(f"n_{s}").alias("n"), F.least(size, F.col(f"n_{s}")).cast("long").alias("size"))
+        mine = block_means(attached(groups.select("combo", "benchmark", "combo_name"), trades.select("combo_name", *BY_EXIT, "net_return"), ["combo_name"], "inner"), groups, ["combo", "benchmark", "combo_name"], F.lit(s), samples, seed)
+        sides.append(mine.select("combo", "benchmark", "_sample", (sign * F.col("_mean")).alias("_mean")))
+    differences = sides[0].unionByName(sides[1]).groupBy("combo", "benchmark", "_sample").agg(F.sum("_mean").alias("_mean"))
+    return with_quantiles(both.select("combo", "benchmark"), differences, ["combo", "benchmark"], "_mean", INTERVAL).withColumnsRenamed({"combo": "combo_name", "benchmark": "benchmark_combo"})
 
 
 def gain_diagnostics(summary: DataFrame, monthly_test: DataFrame, combos: list[str]) -> DataFrame:

@@ -276,13 +276,18 @@ def finding(category: str, checks: list[tuple[str, str, str]], source: str) -> s
     return " UNION ALL ".join(f"SELECT '{s}' AS severity, '{category}' AS category, '{k}' AS check_id, CASE WHEN n = 0 THEN 'PASS' ELSE '{status.get(s, 'INFO')}' END AS status, n AS affected_rows FROM (SELECT count(*) FILTER ({c}) AS n FROM {source})" for k, s, c in checks)
 
 
+_CORE = ("contract", "datetime", "open", "high", "low", "close", "volume", "poc", "delta", "open_interest")
+_SUM = lambda check, severity, x, source: f" UNION ALL SELECT '{severity}', 'integrity', '{check}', CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END, n FROM (SELECT {x} AS n FROM {source})"
+_SORTED = f"(SELECT *, lag(datetime) OVER w AS prev FROM bars {W})"
 INTEGRITY = finding(
     "integrity",
     [
-        ("duplicate_key", "BLOCKER", "datetime = prev"), ("null_price", "BLOCKER", "open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL"), ("ohlc_order", "BLOCKER", "high < greatest(open, close) OR low > least(open, close) OR high < low"),
-        ("negative_volume", "BLOCKER", "volume < 0"), ("zero_volume", "OBSERVATION", "volume = 0"), ("delta_bound", "BLOCKER", "abs(delta) > volume"), ("poc_in_range", "WARNING", "poc > high OR poc < floor(low)"),
+        ("duplicate_key", "BLOCKER", "datetime = prev"), ("invalid_time", "BLOCKER", "datetime IS NULL"), ("null_price", "BLOCKER", "open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL"), ("ohlc_order", "BLOCKER", "high < greatest(open, close) OR low > least(open, close) OR high < low"),
+        ("negative_volume", "BLOCKER", "volume < 0"), ("zero_volume", "OBSERVATION", "volume = 0"), ("negative_open_interest", "BLOCKER", "open_interest < 0"), ("delta_bound", "BLOCKER", "abs(delta) > volume"), ("poc_in_range", "BLOCKER", "poc > high OR poc < low"),
     ],
-    f"(SELECT *, lag(datetime) OVER w AS prev FROM bars {W})",
+    _SORTED,
+) + _SUM("core_columns", "BLOCKER", "0::BIGINT", "(SELECT 1)") + _SUM("time_order", "BLOCKER", "count(DISTINCT contract) FILTER (datetime = prev)", _SORTED) + _SUM("core_nulls", "BLOCKER", "(" + " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in _CORE) + ")", "bars") + _SUM(
+    "infinite_values", "BLOCKER", "(" + " + ".join(f"count(*) FILTER (isinf({c}))" for c in ("open", "high", "low", "close", "poc")) + ")", "bars"
 )
 HEAD = lambda names: finding("isolation", [(f"head_null_{v}", "BLOCKER", f"row_i <= {n} AND {v} IS NOT NULL") for v, n in names.items()], "pullback")
 BAR_SHOWN = ", ".join([r("open"), r("high"), r("low"), r("close"), "volume", r("poc"), "delta", "open_interest"])
@@ -321,6 +326,32 @@ ladders AS (SELECT contract, w, last_price AS level, sum(CASE WHEN side <> 0 THE
     )
 
 
+#: Every level of a bar; those without trades have nothing bought or sold.
+GRID = """spans AS (SELECT contract, datetime, unnest(generate_series(min(level)::BIGINT, max(level)::BIGINT))::DOUBLE AS level FROM ladder GROUP BY contract, datetime),
+grid AS (SELECT s.contract, s.datetime, s.level, coalesce(l.buy, 0) AS buy, coalesce(l.sell, 0) AS sell FROM spans s LEFT JOIN ladder l ON l.contract = s.contract AND l.datetime = s.datetime AND l.level = s.level)"""
+
+
+def p_of(z: str) -> str:
+    """2 (1 - Phi(|z|)) by Simpson's rule over the normal density."""
+    end = f"least(abs({z}), 12)"
+    return f"CASE WHEN ({z}) IS NOT NULL THEN greatest(0, 1 - sqrt(2 / pi()) * {end} / 3000 * list_sum(list_transform(range(0, 1001), lambda k: (CASE WHEN k IN (0, 1000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-power({end} * k / 1000, 2) / 2)))) END"
+
+
+def bootstrap_sql(part: str, group: str, source: str, keys: str) -> str:
+    """Means of 500 samples of moving blocks: tables of `source` (keys, sums by place) and `group` (keys, n, size)."""
+    on = lambda a: " AND ".join(f"{a}.{k} = b.{k}" for k in keys.split(", "))
+    return f"""(SELECT {keys}, sample, sum(t.s - f.s) / any_value(n) AS m FROM (SELECT *, start + least(size, n - block * size) AS stop FROM (SELECT g.*, sample, block, (('0x' || substr(sha256('20260528:{part}:' || sample || ':' || block), 1, 8))::BIGINT * (n - size + 1)) >> 32 AS start
+  FROM (SELECT *, unnest(range(ceil(n / size)::BIGINT)) AS block FROM {group}) g, range(500) x(sample))) b JOIN {source} f ON f.i = b.start AND {on('f')} JOIN {source} t ON t.i = b.stop AND {on('t')} GROUP BY ALL)""".replace(f"SELECT {keys}, sample", f"SELECT {', '.join('b.' + k for k in keys.split(', '))}, sample", 1)
+
+
+def interval(q: str) -> str:
+    return f"{r(f'quantile_cont(m, {q[0]})', 'low')}, {r(f'quantile_cont(m, {q[1]})', 'high')}"
+
+
+def running_sums(rows: str, key: str) -> str:
+    return f"(SELECT {key}, row_number() OVER o AS i, sum(net_return) OVER (o ROWS UNBOUNDED PRECEDING) AS s FROM {rows} WINDOW o AS (PARTITION BY {key} ORDER BY exit_time, contract, signal_time) UNION ALL SELECT DISTINCT {key}, 0, 0.0 FROM {rows})"
+
+
 ORACLES: dict[str, str] = {
     "bars_hourly": shown(BARS, f"SELECT contract, {T}, {BAR_SHOWN} FROM bars"),
     "bars_from_lineitem": f"""WITH ticks AS (SELECT 'P' || (l_partkey % 16)::VARCHAR AS contract, date_trunc('day', l_shipdate) AS datetime, l_orderkey AS o, l_linenumber AS n, floor(l_extendedprice / nullif(l_quantity, 0) * 10) / 10 AS price, l_quantity::BIGINT AS qty,
@@ -334,12 +365,11 @@ SELECT h.contract, strftime(h.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('op
     "price_ladder": shown(f"{TICKS}, {LADDER}", f"SELECT contract, {T}, {r('level')}, buy, sell, other FROM ladder"),
     "poc_by_bar": shown(BARS, f"SELECT contract, {T}, {r('poc')} FROM bars"),
     "imbalance_runs": shown(
-        f"""{TICKS}, {LADDER}, near AS (SELECT l.*, coalesce(a.sell, 0) AS below, coalesce(b.buy, 0) AS above FROM ladder l LEFT JOIN ladder a ON a.contract = l.contract AND a.datetime = l.datetime AND a.level = l.level - 1
-  LEFT JOIN ladder b ON b.contract = l.contract AND b.datetime = l.datetime AND b.level = l.level + 1),
-sides AS (SELECT contract, datetime, level, 'buy' AS side FROM near WHERE CASE WHEN below > 0 THEN buy >= below ELSE buy >= 1 END UNION ALL SELECT contract, datetime, level, 'sell' FROM near WHERE CASE WHEN above > 0 THEN sell >= above ELSE sell >= 1 END),
-islands AS (SELECT *, level - row_number() OVER (PARTITION BY contract, datetime, side ORDER BY level) AS g FROM sides)""",
-        f"SELECT contract, {T}, side, round(min(level) + 1e-9, 6) AS low_level, round(max(level) + 1e-9, 6) AS high_level, count(*) AS levels FROM islands GROUP BY contract, islands.datetime, side, g HAVING count(*) >= 2",
+        f"""{TICKS}, {LADDER}, {GRID}, flags AS (SELECT contract, datetime, level, 'buy' AS side, CASE WHEN sell > 0 THEN buy / sell::DOUBLE >= 1 ELSE buy >= 1 END AS f FROM grid UNION ALL SELECT contract, datetime, level, 'sell', CASE WHEN buy > 0 THEN sell / buy::DOUBLE >= 1 ELSE sell >= 1 END FROM grid),
+rolled AS (SELECT *, sum(f::INT) OVER (PARTITION BY contract, datetime, side ORDER BY level ROWS 1 PRECEDING) = 2 AS run FROM flags), ends AS (SELECT *, level - row_number() OVER (PARTITION BY contract, datetime, side ORDER BY level) AS g FROM rolled WHERE run)""",
+        f"SELECT contract, {T}, side, round(min(level) - 1 + 1e-9, 6) AS low_level, round(max(level) + 1e-9, 6) AS high_level, count(*) + 1 AS levels, round(min(level) + 1e-9, 6) AS from_level FROM ends GROUP BY contract, ends.datetime, side, g",
     ),
+    "price_grid": shown(f"{TICKS}, {LADDER}, {GRID}", f"SELECT contract, {T}, {r('level')}, buy, sell FROM grid"),
     "tick_direction_class": shown(
         f"""{TICKS}, prev AS (SELECT *, level - 1 AS bid, level + 1 AS ask, lag(level - 1) OVER (PARTITION BY contract ORDER BY ts, event_id) AS pb, lag(level + 1) OVER (PARTITION BY contract ORDER BY ts, event_id) AS pa FROM ticks),
 classed AS (SELECT *, CASE WHEN oi = 0 AND qty = 0 THEN 'NONE' WHEN oi = 0 THEN 'EXCHANGE' WHEN oi > 0 AND oi = qty THEN 'DOUBLEOPEN' WHEN oi > 0 THEN 'OPEN' WHEN oi + qty = 0 THEN 'DOUBLECLOSE' ELSE 'CLOSE' END AS interest,
@@ -403,10 +433,18 @@ types(interest, way, tick_type, s) AS (VALUES ('OPEN', 'UP', 'OPENLONG', 1), ('O
         f"{TRADES}, {WITH_ALL}, {metrics_of('alls', 'split')}, se AS (SELECT *, sqrt(win_rate * (1 - win_rate) / trade_count) AS e FROM metrics)",
         f"SELECT split, trade_count, {r('win_rate')}, {r('e', 'win_rate_se')}, {r('greatest(0, win_rate - 1.96 * e)', 'win_rate_low')}, {r('least(1, win_rate + 1.96 * e)', 'win_rate_high')}, CASE WHEN split = 'test' AND trade_count < 100 THEN 'insufficient_samples' WHEN split = 'test' AND trade_count < 300 THEN 'low_confidence' ELSE 'enough_samples' END AS sample_status FROM se",
     ),
+    "win_rate_tests": shown(
+        f"{TRADES}, {WITH_ALL}, {metrics_of('alls', 'split')}, rate_z AS (SELECT *, (win_rate - 0.5) / sqrt(0.25 / trade_count) AS z FROM metrics), rate_p AS (SELECT *, {p_of('z')} AS p FROM rate_z)",
+        f"SELECT split, trade_count, {r('win_rate')}, {r('z', 'win_rate_z')}, {r('p', 'win_rate_p')}, {r('least(1, p * 768)', 'win_rate_p_bonferroni')}, CASE WHEN split <> 'test' OR p IS NULL THEN 'not_tested' WHEN least(1, p * 768) >= 0.05 THEN 'not_significant' WHEN z > 0 THEN 'passes_bonferroni' ELSE 'significant_below_50' END AS win_rate_verdict FROM rate_p",
+    ),
+    "bootstrap_interval": shown(
+        f"{TRADES}, sums AS {running_sums('priced', 'split')}, g AS (SELECT split, count(*) AS n, avg(net_return) AS mean, least(count(*), greatest(5, round(sqrt(count(*)))))::BIGINT AS size FROM priced GROUP BY split), means AS {bootstrap_sql('one', 'g', 'sums', 'split')}",
+        f"SELECT g.split, any_value(n) AS trades, {r('any_value(g.mean)', 'mean')}, {interval(('0.025', '0.975'))} FROM g JOIN means m ON m.split = g.split GROUP BY g.split",
+    ),
     "two_proportion_test": shown(
         f"{TRADES}, w AS (SELECT count(*) FILTER (side = 'long' AND net_return > 0) AS wins_long, count(*) FILTER (side = 'long') AS n_long, count(*) FILTER (side = 'short' AND net_return > 0) AS wins_short, count(*) FILTER (side = 'short') AS n_short FROM priced), "
         "pz AS (SELECT *, (wins_long / n_long::DOUBLE - wins_short / n_short::DOUBLE) / nullif(sqrt((wins_long + wins_short) / (n_long + n_short)::DOUBLE * (1 - (wins_long + wins_short) / (n_long + n_short)::DOUBLE) * (1.0::DOUBLE / n_long + 1.0::DOUBLE / n_short)), 0) AS z FROM w)",
-        f"SELECT wins_long, n_long, wins_short, n_short, {r('z')}, abs(z) > 1.959963984540054 AS significant FROM pz",
+        f"SELECT wins_long, n_long, wins_short, n_short, {r('z')}, {r(p_of('z'), 'p')}, abs(z) > 1.959963984540054 AS significant FROM pz",
     ),
     "filter_funnel": shown(
         f"""{PULLBACK}, {SPLIT}, named AS (SELECT p.*, {NAMED} AS sp FROM pullback p, split), both_of AS (SELECT *, sp AS split FROM named WHERE sp IS NOT NULL UNION ALL SELECT *, 'all' FROM named WHERE sp IS NOT NULL),
@@ -426,6 +464,14 @@ names(o, combo_name) AS (VALUES (1, 'trend_only'), (2, 'trend_pullback'), (3, 't
     "sweep_short": shown(sweep_sql("short"), SWEEP_ROWS),
     "trades_by_combination": shown(COMBO, SWEEP_ROWS.replace("SELECT case_id,", "SELECT case_id AS combo_name,")),
     "positive_months": shown(f"{COMBO}, days AS (SELECT case_id, split, strftime(exit_time, '%Y-%m-%d') AS d, avg(net_return) AS a FROM priced GROUP BY ALL)", f"SELECT case_id AS combo_name, split, {r('avg((a > 0)::INT)', 'positive_month_share')} FROM days GROUP BY ALL"),
+    "combination_bootstrap": shown(
+        f"{COMBO}, sums AS {running_sums('priced', 'case_id')}, n AS (SELECT case_id, count(*) AS n FROM priced GROUP BY case_id), pairs AS (SELECT unnest({list(COMBOS)[1:]!r}) AS combo, unnest({list(COMBOS)[:-1]!r}) AS benchmark), "
+        "both_of AS (SELECT p.*, a.n AS na, b.n AS nb, greatest(5, round(sqrt(least(a.n, b.n)))) AS size FROM pairs p LEFT JOIN n a ON a.case_id = combo LEFT JOIN n b ON b.case_id = benchmark WHERE a.n IS NOT NULL OR b.n IS NOT NULL), "
+        "ga AS (SELECT combo, benchmark, combo AS case_id, na AS n, least(size, na)::BIGINT AS size FROM both_of WHERE na IS NOT NULL AND nb IS NOT NULL), gb AS (SELECT combo, benchmark, benchmark AS case_id, nb AS n, least(size, nb)::BIGINT AS size FROM both_of WHERE na IS NOT NULL AND nb IS NOT NULL), "
+        f"ma AS {bootstrap_sql('combo', 'ga', 'sums', 'case_id').replace('SELECT b.case_id, sample', 'SELECT combo, benchmark, sample', 1)}, mb AS {bootstrap_sql('benchmark', 'gb', 'sums', 'case_id').replace('SELECT b.case_id, sample', 'SELECT combo, benchmark, sample', 1)}, "
+        "diffs AS (SELECT combo, benchmark, ma.m - mb.m AS m FROM ma JOIN mb USING (combo, benchmark, sample))",
+        f"SELECT combo AS combo_name, benchmark AS benchmark_combo, {interval(('0.025', '0.975'))} FROM both_of LEFT JOIN diffs USING (combo, benchmark) GROUP BY combo, benchmark",
+    ),
     "combination_gains": shown(
         f"{COMBO}, {metrics_of('priced', 'case_id, split')}, days AS (SELECT case_id, strftime(exit_time, '%Y-%m') AS d, avg(net_return) AS a FROM priced WHERE split = 'test' GROUP BY ALL), shares AS (SELECT case_id, avg((a > 0)::INT) AS positive_month_share FROM days GROUP BY ALL), "
         f"placed AS (SELECT m.*, list_position({list(COMBOS)!r}, case_id) AS o, sqrt(win_rate * (1 - win_rate) / trade_count) AS e FROM metrics m WHERE split = 'test'), "
@@ -436,7 +482,7 @@ names(o, combo_name) AS (VALUES (1, 'trend_only'), (2, 'trend_pullback'), (3, 't
         "WHEN win_rate > bw AND avg_net_return <= ba THEN 'win_rate_only' WHEN avg_gross_return > 0 AND avg_net_return <= 0 THEN 'cost_failed' ELSE 'ineffective' END WHEN win_rate > 0.5 AND avg_net_return > 0 AND sum_net_return > 0 THEN 'absolute_effective' "
         "WHEN avg_gross_return > 0 AND avg_net_return <= 0 THEN 'cost_failed' ELSE 'ineffective' END AS label FROM zed)",
         f"SELECT case_id AS combo_name, split, trade_count, {r('win_rate')}, {r('avg_gross_return')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('e', 'win_rate_se')}, {r('greatest(0, win_rate - 1.96 * e)', 'win_rate_low')}, {r('least(1, win_rate + 1.96 * e)', 'win_rate_high')}, sample_status, {r('positive_month_share')}, b AS benchmark_combo, "
-        f"{r('win_rate - bw', 'win_rate_gain')}, {r('avg_net_return - ba', 'avg_net_gain')}, {r('sum_net_return - bs', 'sum_net_gain')}, {r('(win_rate - bw) / nullif(sqrt(pool * (1 - pool) * (1.0::DOUBLE / trade_count + 1.0::DOUBLE / bn)), 0)', 'win_rate_diff_z')}, "
+        f"{r('win_rate - bw', 'win_rate_gain')}, {r('avg_net_return - ba', 'avg_net_gain')}, {r('sum_net_return - bs', 'sum_net_gain')}, {r('(win_rate - bw) / nullif(sqrt(pool * (1 - pool) * (1.0::DOUBLE / trade_count + 1.0::DOUBLE / bn)), 0)', 'win_rate_diff_z')}, {r(p_of('((win_rate - bw) / nullif(sqrt(pool * (1 - pool) * (1.0::DOUBLE / trade_count + 1.0::DOUBLE / bn)), 0))'), 'win_rate_diff_p')}, "
         "CASE WHEN sample_status <> 'enough_samples' THEN sample_status WHEN label IN ('absolute_effective', 'incremental_effective') AND positive_month_share < 0.5 THEN 'unstable' ELSE label END AS effectiveness FROM named",
     ),
     "reward_risk_sensitivity": shown(
@@ -520,5 +566,5 @@ _RANKS = f"{_recursive(_ranked('long'))} UNION ALL {_recursive(_ranked('short'))
 _TESTS = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {cases_sql(side, 'test')} SELECT '{side}' AS side, * FROM summary)" for side in ("long", "short"))
 ORACLES["sweep_ranking"] = f"SELECT side, train_rank::BIGINT AS train_rank, case_id, {', '.join(r(c, places=5) for c in ('train_avg_net_return', 'train_sum_net_return', 'neighbour_mean', 'neighbour_positive', 'plateau_score'))}, trade_count, {', '.join(r(c, places=5) for c in ('win_rate', 'avg_net_return', 'sum_net_return'))}, recommendation_status FROM ({_RANKS})"
 ORACLES["long_short_comparison"] = f"""WITH tests AS ({_TESTS}), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY round(avg_net_return, 9) DESC NULLS LAST, round(sum_net_return, 9) DESC NULLS LAST, round(win_rate, 9) DESC NULLS LAST, case_id) AS place, (win_rate - 0.5) / sqrt(0.25 / trade_count) AS z FROM tests)
-SELECT side, case_id, time_i, stop_i, take_i, time_barrier_bars, {r('stop_atr_multiple')}, {r('take_profit_multiple')}, kline_mode, space_filter_on, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('z', 'win_rate_z')},
+SELECT side, case_id, time_i, stop_i, take_i, time_barrier_bars, {r('stop_atr_multiple')}, {r('take_profit_multiple')}, kline_mode, space_filter_on, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('z', 'win_rate_z')}, {r(p_of('z'), 'win_rate_p')}, {r(f"least(1, 768 * {p_of('z')})", 'win_rate_p_bonferroni')},
   CASE WHEN z IS NULL THEN 'not_tested' WHEN abs(z) < 3.9 THEN 'not_significant' WHEN z > 0 THEN 'passes_bonferroni' ELSE 'significant_below_50' END AS win_rate_verdict FROM placed WHERE place = 1"""

@@ -131,7 +131,13 @@ def poc_by_bar(spark, sf):
 
 @query
 def imbalance_runs(spark, sf):
-    return shown(bars.imbalance_runs(_ladder(spark, sf), ratio=1.0, least=2))
+    return shown(bars.imbalance_runs(_ladder(spark, sf), ratio=1.0, run=2))
+
+
+@query
+def price_grid(spark, sf):
+    """Every price level of a bar, traded or not."""
+    return shown(bars.price_grid(_ladder(spark, sf)))
 
 
 def _quoted(spark, sf):
@@ -394,7 +400,7 @@ def sample_confidence(spark, sf):
 @query
 def win_rate_tests(spark, sf):
     m = metrics.strategy_metrics(metrics.with_all(_trades(spark, sf)), ["split"]).select("split", "trade_count", "win_rate")
-    return shown(metrics.win_rate_test(m, trials=768).select("split", "trade_count", "win_rate", "win_rate_z", "win_rate_verdict"))
+    return shown(metrics.win_rate_test(m, trials=768).select("split", "trade_count", "win_rate", "win_rate_z", "win_rate_p", "win_rate_p_bonferroni", "win_rate_verdict"))
 
 
 @query
@@ -402,7 +408,7 @@ def two_proportion_test(spark, sf):
     t, sides = _trades(spark, sf), ("long", "short")
     counts = [F.count_if((F.col("side") == s) & on).alias(f"{k}_{s}") for s in sides for k, on in (("wins", F.col("net_return") > 0), ("n", F.lit(True)))]
     z, p = metrics.two_proportions(F.col("wins_long"), F.col("n_long"), F.col("wins_short"), F.col("n_short"))
-    return shown(t.agg(*counts).select("*", z.alias("z"), (p < 0.05).alias("significant")))
+    return shown(t.agg(*counts).select("*", z.alias("z"), p.alias("p"), (p < 0.05).alias("significant")))
 
 
 @query
@@ -445,6 +451,18 @@ def barrier_replay_audit(spark, sf):
     return shown(audit.trade_checks(t, p, split, COST).unionByName(audit.path_replay(t, p)))
 
 
+@query
+def sweep_replay_audit(spark, sf):
+    """Every trade of all 384 cases of both sides against its path."""
+    p, split = _pullback(spark, sf), _split(spark, sf)
+    found = None
+    for side in ("long", "short"):
+        t = _sweep(spark, sf, side)
+        checks = audit.trade_checks(t, p, split, COST).unionByName(audit.path_replay(t, p, ("case_id",))).withColumn("side", F.lit(side))
+        found = checks if found is None else found.unionByName(checks)
+    return shown(found)
+
+
 def _new_combo_trades(spark, sf):
     """The five nested filter combinations."""
     signals = {name: F.col(f"{name}_pass") & F.col("trade_ready") for name in features.COMBOS}
@@ -466,7 +484,7 @@ def combination_gains(spark, sf):
     t = _combo_trades(spark, sf)
     m = metrics.strategy_metrics(t, ["combo_name", "split"]).select("combo_name", "split", "trade_count", "win_rate", "avg_gross_return", "avg_net_return", "sum_net_return")
     gains = metrics.gain_diagnostics(metrics.sample_confidence(m, 1, 2), metrics.monthly(t.where("split = 'test'"), ["combo_name"]), list(features.COMBOS))
-    return shown(gains.drop("win_rate_diff_p"))
+    return shown(gains)
 
 
 @query
@@ -565,7 +583,7 @@ def _both_tests(spark, sf):
 
 @query
 def long_short_comparison(spark, sf):
-    return shown(sweep.comparison(_both_tests(spark, sf), trials=2 * len(sweep.grid())).select("side", *CASE, "trade_count", "win_rate", "avg_net_return", "sum_net_return", "win_rate_z", "win_rate_verdict"))
+    return shown(sweep.comparison(_both_tests(spark, sf), trials=2 * len(sweep.grid())).select("side", *CASE, "trade_count", "win_rate", "avg_net_return", "sum_net_return", "win_rate_z", "win_rate_p", "win_rate_p_bonferroni", "win_rate_verdict"))
 
 
 @query
@@ -579,6 +597,12 @@ def audit_integrity(spark, sf):
     return shown(audit.bar_integrity(_bars(spark, sf)))
 
 
+@query
+def audit_columns(spark, sf):
+    """Nulls, infinities, distinct and extreme values of each column of bars and features."""
+    return shown(audit.column_report(_features(spark, sf).drop("trading_day")))
+
+
 @query
 def audit_label_alignment(spark, sf):
     y = features.labels(_bars(spark, sf))
