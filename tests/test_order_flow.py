@@ -89,7 +89,6 @@ def test_ema_and_trendline_match_pandas(spark, some_bars):
     d = features.pullback(features.labels(features.extended(some_bars)))
     p = some_bars.toPandas().sort_values(["contract", "datetime"])
     close_to(column(d, "ema60"), p.groupby("contract")["close"].transform(lambda s: s.ewm(span=60, adjust=False, min_periods=60).mean()).tolist())
-    close_to(column(indicators.ema_from_first(some_bars), "ema"), column(d, "ema60"))
     i = np.arange(60)
     want = p.groupby("contract")["close"].transform(lambda s: s.rolling(60).apply(lambda y: np.polyval(np.polyfit(i, y, 1), 59)))
     close_to(column(d, "trendline_60"), want.tolist(), 1e-7)
@@ -426,11 +425,46 @@ def test_indicators(spark, some_bars):
         want.append((want[-1] * 13 + x) / 14)
     close_to(column(a, "atr"), want)
     assert column(indicators.kama(some_bars).where("contract = 'A'"), "kama")[:3] == [0.0, 0.0, 0.0]
-    band = indicators.kama_atr(some_bars).where("upper is not null").first()
-    assert band["upper"] >= band["kama"] >= band["lower"]
     assert indicators.keltner(some_bars).where("upper < lower").count() == 0
 
 
+def wilder(rows, period):
+    """Average true range of the last of rows (high, low, close), step by step."""
+    tr = [max(h - low, abs(h - c), abs(low - c)) for (h, low, _), (_, _, c) in zip(rows[1:], rows, strict=False)]
+    if len(tr) < period:
+        return None
+    out = sum(tr[:period]) / period
+    for x in tr[period:]:
+        out = (out * (period - 1) + x) / period
+    return out
+
+
+def test_recursive_indicators_row_by_row(spark, some_bars):
+    p = some_bars.where("contract = 'B'").toPandas().sort_values("datetime")
+    rows = list(zip(p["high"], p["low"], p["close"], strict=True))
+    of = lambda df, c: column(df.where("contract = 'B'"), c)
+    close_to(of(indicators.atr(some_bars, 7), "atr"), [wilder(rows[: i + 1], 7) for i in range(len(rows))])
+    bands = indicators.kama_atr(some_bars, slow=20, period=11)
+    close_to(of(bands, "atr"), [wilder(rows[i - 40 : i], 11) if i >= 40 else None for i in range(len(rows))])
+    assert bands.where("upper < kama or lower > kama").count() == 0
+    close = p["close"].tolist()
+    want = [None] * 4 + [sum(close[:5]) / 5]
+    for x in close[5:]:
+        want.append(want[-1] + 2 / 6 * (x - want[-1]))
+    close_to(of(indicators.ema(some_bars, 5), "ema"), want)
+    assert indicators.kama_atr(some_bars, slow=5, period=30).where("atr is not null").count() == 0 and indicators.ema(some_bars, 10_000).where("ema is not null").count() == 0
+
+
+def test_wilder_of_a_long_contract(spark):
+    n = 7000  # several pieces
+    r = np.random.default_rng(5)
+    close = 100 + np.cumsum(r.normal(size=n))
+    d = spark.createDataFrame(pd.DataFrame({"contract": "A", "datetime": np.arange(n), "high": close + 1, "low": close - r.uniform(0, 2, n), "close": close}))
+    found = indicators.atr(d, 14).toPandas().sort_values("datetime")["atr"]
+    rows = list(d.select("high", "low", "close").toPandas().itertuples(index=False, name=None))
+    assert found.isna().sum() == 14 and found.iloc[-1] == pytest.approx(wilder(rows, 14), abs=1e-9) and found.iloc[5000] == pytest.approx(wilder(rows[:5001], 14), abs=1e-9)
+
+
 # ---- audits
 
 

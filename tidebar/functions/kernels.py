@@ -97,13 +97,13 @@ def ema_within(x: str | Column, span: int, row: str = "_row") -> Column:
     return F.sum(share * col(x) * F.pow(q, -j)).over(so_far_in_piece) * F.pow(q, j)
 
 
-def ema(within: str, span: int, row: str = "_row") -> Column:
-    """Recursive mean from row `span` on, out of the column `within` of `ema_within`: a piece adds what the last one ended with, of which older ones are no
+def ema(within: str, span: int, row: str = "_row", least: int | None = None) -> Column:
+    """Recursive mean from row `span` (or `least`) on, out of the column `within` of `ema_within`: a piece adds what the last one ended with, of which older ones are no
     measurable part."""
     a = 2.0 / (span + 1)
     j = ((col(row) - 1) % ema_piece(span)).cast("double")
     before = F.last(F.when(col(row) % ema_piece(span) == 0, col(within)), ignorenulls=True).over(per_contract().rowsBetween(Window.unboundedPreceding, -1))
-    return F.when(col(row) >= span, col(within) + F.coalesce(before * F.pow(F.lit(1 - a), j + 1), F.lit(0.0)))
+    return F.when(col(row) >= (span if least is None else least), col(within) + F.coalesce(before * F.pow(F.lit(1 - a), j + 1), F.lit(0.0)))
 
 
 def fracdiff_weights(d: float = 0.4, threshold: float = 1e-4, cap: int = 200) -> list[float]:

@@ -1,4 +1,4 @@
-"""Classic indicators per contract. Recursive ones that round or restart run by rows in grouped functions; the others are windows."""
+"""Classic indicators per contract. All are windows but the adaptive mean, whose every step is rounded and so runs by rows in a grouped function."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.functions.kernels import per_contract, rolling
+from tidebar.functions.kernels import ema as ema_value
+from tidebar.functions.kernels import ema_within, lag, per_contract, rolling
 from tidebar.operators.evaluate import correlation
 
 _ROW = "contract string, datetime timestamp"
@@ -47,55 +48,53 @@ def kama_interval(bars: DataFrame, n: int = 3, fast: int = 10, slow: int = 50, p
     return kama(bars, n, fast, slow).join(rows, ["contract", "datetime"])
 
 
-def wilder(high: np.ndarray, low: np.ndarray, close: np.ndarray, period: int) -> np.ndarray:
-    """Average true range: the mean of the first `period` ranges that have a close before, then Wilder's smoothing."""
-    out = np.full(len(close), np.nan)
-    if len(close) <= period:
-        return out
-    tr = np.maximum(high[1:] - low[1:], np.maximum(np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])))
-    out[period] = tr[:period].mean()
-    for i in range(period + 1, len(close)):
-        out[i] = (out[i - 1] * (period - 1) + tr[i - 1]) / period
-    return out
+def _numbered(bars: DataFrame) -> DataFrame:
+    """Bars with their number within the contract from 1, and the true range of rows that have a close before."""
+    before = lag("close")
+    ranges = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
+    return bars.select("contract", "datetime", "close", F.row_number().over(per_contract()).alias("_n"), F.when(before.isNotNull(), ranges).alias("_range"))
+
+
+def _smoothed(numbered: DataFrame, x: str, span: int, first: int, seed: int, out: str) -> DataFrame:
+    """(contract, datetime, out): an exponential mean with weight 2 / (span + 1), which begins at row `seed` with the plain mean of rows first..seed.
+
+    The recursion y = q y + a x is affine, so pieces of a contract are summed alone and only what the last piece ended with is carried on.
+    """
+    head = F.avg(F.when(F.col("_n").between(first, seed), F.col(x))).over(per_contract().rowsBetween(Window.unboundedPreceding, 0))
+    started = numbered.withColumn("_x", F.when(F.col("_n") == seed, head).otherwise(F.col(x))).where(F.col("_n") >= seed).withColumn("_row", F.col("_n") - (seed - 1))
+    done = started.withColumn("_within", ema_within("_x", span)).select("contract", "datetime", ema_value("_within", span, least=1).alias(out))
+    return numbered.select("contract", "datetime").join(done, ["contract", "datetime"], "left")
 
 
 def atr(bars: DataFrame, period: int = 14) -> DataFrame:
-    return _per_contract(bars, ["high", "low", "close"], lambda g: wilder(*(g[c].to_numpy(float) for c in ("high", "low", "close")), period), "atr")
+    """Average true range: the mean of the first `period` ranges that have a close before, then Wilder's smoothing (weight 1 / period)."""
+    return _smoothed(_numbered(bars), "_range", 2 * period - 1, 2, period + 1, "atr")
 
 
-def kama_atr(bars: DataFrame, n: int = 3, fast: int = 10, slow: int = 50, period: int = 30, width: float = 2.0) -> DataFrame:
-    """kama with bands of `width` average ranges, taken over the 2 * slow rows before each."""
+def wilder_weights(rows: int, period: int) -> list[float]:
+    """The weights, oldest first, that Wilder's smoothing over `rows` rows gives to their rows - 1 true ranges; none if there are too few."""
+    ranges, q = rows - 1, (period - 1) / period
+    return [q ** (ranges - max(j + 1, period)) / period for j in range(ranges)] if ranges >= period else []
 
-    def band(g: pd.DataFrame) -> np.ndarray:
-        h, low, c = (g[x].to_numpy(float) for x in ("high", "low", "close"))
-        out = np.full(len(c), np.nan)
-        for i in range(2 * slow, len(c)):
-            out[i] = wilder(h[i - 2 * slow : i], low[i - 2 * slow : i], c[i - 2 * slow : i], period)[-1]
-        return out
 
-    bands = _per_contract(bars, ["high", "low", "close"], band, "atr")
+def kama_atr(bars: DataFrame, n: int = 3, fast: int = 10, slow: int = 50, period: int = 30, width: float = 2.0) -> DataFrame:
+    """kama with bands of `width` average ranges, taken over the 2 * slow rows before each: a sum with fixed weights over a fixed frame."""
+    weights = wilder_weights(2 * slow, period)
+    before = per_contract().rowsBetween(-(2 * slow - 1), -1)
+    numbered = _numbered(bars)
+    if weights:
+        terms = F.zip_with(F.collect_list("_range").over(before), F.array(*map(F.lit, weights)), lambda v, w: v * w)
+        band = F.when((F.col("_n") > 2 * slow) & (F.count("_range").over(before) == len(weights)), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+    else:
+        band = F.lit(None).cast("double")
+    bands = numbered.select("contract", "datetime", band.alias("atr"))
     j = kama(bars, n, fast, slow).join(bands, ["contract", "datetime"])
     return j.withColumns({"upper": F.bround(F.col("kama") + width * F.col("atr"), 2), "lower": F.bround(F.col("kama") - width * F.col("atr"), 2)})
 
 
-def ema_values(x: np.ndarray, period: int) -> np.ndarray:
-    """Exponential mean that starts at the mean of the first `period` values."""
-    out = np.full(len(x), np.nan)
-    if len(x) < period:
-        return out
-    out[period - 1] = x[:period].mean()
-    for i in range(period, len(x)):
-        out[i] = out[i - 1] + 2 / (period + 1) * (x[i] - out[i - 1])
-    return out
-
-
 def ema(bars: DataFrame, period: int = 20) -> DataFrame:
-    return _per_contract(bars, ["close"], lambda g: ema_values(g["close"].to_numpy(float), period), "ema")
-
-
-def ema_from_first(bars: DataFrame, span: int = 60) -> DataFrame:
-    """The kernel `ema` by rows, for contracts too long for its closed form."""
-    return _per_contract(bars, ["close"], lambda g: g["close"].ewm(span=span, adjust=False, min_periods=span).mean().to_numpy(), "ema")
+    """Exponential mean of closes that starts at the mean of the first `period`."""
+    return _smoothed(_numbered(bars), "close", period, 1, period, "ema")
 
 
 def keltner(bars: DataFrame, period: int = 20, width: float = 2.0) -> DataFrame:

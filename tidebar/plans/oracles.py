@@ -352,6 +352,12 @@ def running_sums(rows: str, key: str) -> str:
     return f"(SELECT {key}, row_number() OVER o AS i, sum(net_return) OVER (o ROWS UNBOUNDED PRECEDING) AS s FROM {rows} WINDOW o AS (PARTITION BY {key} ORDER BY exit_time, contract, signal_time) UNION ALL SELECT DISTINCT {key}, 0, 0.0 FROM {rows})"
 
 
+#: The adaptive mean row by row, each step rounded to two places.
+KAMA = f"""{BARS}, stepped AS (SELECT *, row_number() OVER w AS n, abs(close - lag(close) OVER w) AS step, lag(close, 3) OVER w AS c3, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr,
+  max(close) OVER (PARTITION BY contract ORDER BY datetime ROWS 20 PRECEDING) AS up, min(close) OVER (PARTITION BY contract ORDER BY datetime ROWS 20 PRECEDING) AS down FROM bars {W}),
+paced AS (SELECT *, pow(CASE WHEN noise <> 0 THEN abs(close - c3) / noise ELSE 0 END * (2.0::DOUBLE / 11 - 2.0::DOUBLE / 51) + 2.0::DOUBLE / 51, 2) AS smooth, lag(close) OVER (PARTITION BY contract ORDER BY n) AS c1 FROM (SELECT *, sum(step) OVER (PARTITION BY contract ORDER BY n ROWS 2 PRECEDING) AS noise FROM stepped)),
+kr AS (SELECT contract, n, round_even(c1 + smooth * (close - c1), 2) AS k FROM paced WHERE n = 4 UNION ALL SELECT r.contract, r.n + 1, round_even(k + smooth * (close - k), 2) FROM kr r JOIN paced b ON b.contract = r.contract AND b.n = r.n + 1)"""
+
 ORACLES: dict[str, str] = {
     "bars_hourly": shown(BARS, f"SELECT contract, {T}, {BAR_SHOWN} FROM bars"),
     "bars_from_lineitem": f"""WITH ticks AS (SELECT 'P' || (l_partkey % 16)::VARCHAR AS contract, date_trunc('day', l_shipdate) AS datetime, l_orderkey AS o, l_linenumber AS n, floor(l_extendedprice / nullif(l_quantity, 0) * 10) / 10 AS price, l_quantity::BIGINT AS qty,
@@ -542,6 +548,16 @@ names(o, combo_name) AS (VALUES (1, 'trend_only'), (2, 'trend_pullback'), (3, 't
         f"{BARS}, nb AS (SELECT *, row_number() OVER w AS n, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {W}), ar AS (SELECT contract, 15::BIGINT AS n, avg(tr) AS a FROM nb WHERE n BETWEEN 2 AND 15 GROUP BY contract HAVING count(*) = 14 UNION ALL SELECT r.contract, r.n + 1, (a * 13 + b.tr) / 14 FROM ar r JOIN nb b ON b.contract = r.contract AND b.n = r.n + 1)",
         f"SELECT b.contract, strftime(b.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('a', 'atr', 4)} FROM nb b LEFT JOIN ar r ON r.contract = b.contract AND r.n = b.n",
     ),
+    "keltner": shown(
+        f"{BARS}, nb AS (SELECT *, row_number() OVER w AS n, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {W}), ar AS (SELECT contract, 21::BIGINT AS n, avg(tr) AS a FROM nb WHERE n BETWEEN 2 AND 21 GROUP BY contract HAVING count(*) = 20 UNION ALL SELECT r.contract, r.n + 1, (a * 19 + b.tr) / 20 FROM ar r JOIN nb b ON b.contract = r.contract AND b.n = r.n + 1), "
+        "er AS (SELECT contract, 20::BIGINT AS n, avg(close) AS e FROM nb WHERE n <= 20 GROUP BY contract HAVING count(*) = 20 UNION ALL SELECT r.contract, r.n + 1, e + 2.0 / 21 * (b.close - e) FROM er r JOIN nb b ON b.contract = r.contract AND b.n = r.n + 1)",
+        f"SELECT b.contract, strftime(b.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('e', 'ema', 4)}, {r('a', 'atr', 4)}, {r('e + 2 * a', 'upper', 4)}, {r('e - 2 * a', 'lower', 4)} FROM nb b LEFT JOIN ar a ON a.contract = b.contract AND a.n = b.n LEFT JOIN er e ON e.contract = b.contract AND e.n = b.n",
+    ),
+    "kama": shown(KAMA, f"SELECT b.contract, strftime(b.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('coalesce(k, 0)', 'kama')}, {r('CASE WHEN b.n > 20 THEN up END', 'upper')}, {r('CASE WHEN b.n > 20 THEN down END', 'lower')} FROM paced b LEFT JOIN kr k ON k.contract = b.contract AND k.n = b.n"),
+    "kama_atr": shown(
+        f"{KAMA}, frames AS (SELECT contract, n, list_sum(list_transform(range(1, 100), lambda j: trs[j] * pow(29.0 / 30, 99 - greatest(j, 30)) / 30)) AS atr FROM (SELECT contract, n, list(tr) OVER (PARTITION BY contract ORDER BY n ROWS BETWEEN 99 PRECEDING AND 1 PRECEDING) AS trs FROM paced) WHERE n > 100)",
+        f"SELECT b.contract, strftime(b.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('coalesce(k, 0)', 'kama')}, {r('atr')}, {r('round_even(coalesce(k, 0) + 2 * atr, 2)', 'upper')}, {r('round_even(coalesce(k, 0) - 2 * atr, 2)', 'lower')} FROM paced b LEFT JOIN kr k ON k.contract = b.contract AND k.n = b.n LEFT JOIN frames f ON f.contract = b.contract AND f.n = b.n",
+    ),
     "union_ragged": shown(BARS, f"SELECT contract, {T}, {r('close')}, volume, NULL::BIGINT AS delta FROM bars WHERE contract IN ('C0', 'C2') UNION ALL SELECT contract, strftime(datetime, '%Y-%m-%d %H:%M:%S'), round(close, 6), NULL, delta FROM bars WHERE contract IN ('C1', 'C3')"),
     "distinct_keys": shown(BARS, "SELECT DISTINCT contract, hour(datetime)::BIGINT AS hour FROM bars"),
     "anti_test_only": shown(f"{BARS}, {SPLIT}", "SELECT DISTINCT contract, delta, volume FROM bars, split WHERE datetime >= test_start EXCEPT SELECT contract, delta, volume FROM bars, split WHERE datetime <= train_end"),
