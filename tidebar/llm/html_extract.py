@@ -10,6 +10,8 @@ Menus, headers, footers, asides, forms, scripts, styles, comments and containers
 counts by its head word (`FURNITURE`): `ad-slot` and `post-comments` do, `has-sidebar`, `search-result` and `comments-open` do not. A container that is named
 so but encloses more than half of a page's text (readers' comments: all of it) is a plain container. Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page order.
 
+Time and memory follow the length of a page, however deep or broken: a tag that is never closed is text, with all behind it.
+
 Results: null, empty and text-free html give an empty text. Pages without a host share the host ''. Repeated pages have their own rows (and
 votes). Ties of votes go to the greater path in string order. Votes are summed before they move, so a hot host costs one row per task and path; winners are
 written as a table, and Spark broadcasts it only while it is below its own size limit.
@@ -25,13 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table, text_udf
+from .common import free_names, materialize, small_batches, table, text_udf
 
+#: What is between a tag's name and its end: quotes count behind an equals sign only, and an unclosed one is a plain character. Nothing is tried twice.
+_INSIDE = r"((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)"
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|iframe|svg|math|xmp)\b(?:{_INSIDE[1:-1]})>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+){_INSIDE}>|<[!?][^>]*+>",
     re.S | re.I,
 )
+#: What begins like a tag: where it does not end, nothing behind it is one.
+_BEGINS = re.compile(r"<(?:/?[a-zA-Z]|[!?])")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that end one block of text and begin another.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -75,59 +80,85 @@ def _names(tag: str, attributes: str) -> tuple[str, bool, str]:
                 classes = value.split()
             words = map(_head, value.split())
             name = name or next((w for w in words if w in (FURNITURE if tag not in ("article", "main") else ("comment", "comments"))), "")
-    step = ".".join([tag, *sorted(re.sub(r"\d+", "N", c) for c in classes)])
+    step = ".".join([tag.replace(">", ""), *sorted(re.sub(r"\d+", "N", c).replace(">", "") for c in classes)])
     return step, tag in FURNITURE_TAGS, name if tag not in ("html", "body") else ""
 
 
+def _tags(source: str) -> Iterator[re.Match]:
+    """The markup of a page from left to right. One that is never closed is text, with all behind it, so each character is looked at once."""
+    at = source.find("<")
+    while at >= 0:
+        m = _MARKUP.match(source, at)
+        if m:
+            yield m
+        elif _BEGINS.match(source, at):
+            return
+        at = source.find("<", m.end() if m else at + 1)
+
+
 class Page:
-    """The blocks of a page's text outside furniture, and the containers around them."""
+    """The blocks of a page's text outside furniture, and the containers around them.
+
+    Containers are numbered in page order, so the one around another has a smaller number; each knows the one around it and the number of its path, and a block knows its innermost
+    container. All figures are sums over that tree: time and memory follow the length of the page, however deep it is.
+    """
 
     def __init__(self, source: str | None):
         named = self._read(source or "", frozenset())
         if named:
-            whole = sum(len(text) for text, _ in self.blocks) + sum(size for _, size, _, outermost in named if outermost)
+            whole = sum(map(len, self.texts)) + sum(size for _, size, _, outermost in named if outermost)
             plain = frozenset(at for at, size, word, _ in named if (size >= whole if word in REMARKS else 2 * size > whole) and size)
             if plain:
                 self._read(source or "", plain)
 
     def _read(self, source: str, plain: frozenset[int]) -> list[tuple[int, int, str, bool]]:
         """Reads the page; elements that begin at `plain` are no furniture by name. Those that are: (where, characters, name, is it in no other)."""
-        self.blocks: list[tuple[str, tuple[int, ...]]] = []  # text, numbers of containers from the outermost in
-        self.paths: list[str] = []  # by container
+        self.texts: list[str] = []  # by block
         self.linked: list[int] = []  # characters of link text by block
-        # open elements: tag, path, number of container or -1, is furniture, is link, is furniture by its tag
-        stack: list[tuple[str, str, int, bool, bool, bool]] = []
-        inside: list[int] = []
+        self.within: list[int] = []  # innermost container by block, or -1
+        self.around: list[int] = []  # by container, the one around it or -1
+        self.tag: list[str] = []  # by container
+        self.path: list[int] = []  # by container, its path's number
+        self.steps: dict[tuple[int, str], int] = {}  # number of a path from that of the path above and its last step; 0 is the empty path
+        # open elements: tag, number of path, container before it, is container, is furniture, is link, is furniture by its tag
+        stack: list[tuple[str, int, int, bool, bool, bool, bool]] = []
+        places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+        bounds: list[int] = []  # where in the stack containers are
         named: list[tuple[int, int, str, bool]] = []
         opened: list[tuple[int, int, int, str]] = []  # furniture by name: depth, where, characters before, name
         furniture = links = by_tag = hidden = 0
         parts: list[str] = []
         in_links = at = 0
+        inner = -1
 
         def close_block() -> None:
             nonlocal in_links
             if parts:
                 text = " ".join("".join(parts).split())
                 if text:
-                    self.blocks.append((text, tuple(inside)))
+                    self.texts.append(text)
+                    self.within.append(inner)
                     self.linked.append(in_links)
                 parts.clear()
             in_links = 0
 
         def pop_to(depth: int) -> None:
-            nonlocal furniture, links, by_tag
+            nonlocal furniture, links, by_tag, inner
             while len(stack) > depth:
-                _, _, number, dull, link, tagged = stack.pop()
+                tag, _, before, bound, dull, link, tagged = stack.pop()
+                places[tag].pop()
                 furniture -= dull
                 by_tag -= tagged
+                if bound:
+                    bounds.pop()
                 if opened and opened[-1][0] == len(stack):
-                    _, where, before, word = opened.pop()
-                    named.append((where, hidden - before, word, not opened))
+                    _, where, count, word = opened.pop()
+                    named.append((where, hidden - count, word, not opened))
                 links -= link
-                if number >= 0:
-                    inside.pop()
+                inner = before
 
-        for m in _MARKUP.finditer(source):
+        last = lambda tag: places[tag][-1] if places.get(tag) else -1
+        for m in _tags(source):
             if m.start() > at and not furniture:
                 parts.append(html.unescape(source[at : m.start()]))
                 in_links += (m.start() - at) * (links > 0)
@@ -140,31 +171,30 @@ class Page:
             if tag in BLOCKS:
                 close_block()
             if m[2]:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        pop_to(depth)
-                        break
+                if last(tag) >= 0:
+                    pop_to(last(tag))
                 continue
             if tag in _CLOSES_P or tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == "p" or stack[depth][0] == tag and tag in ("li", "option", "dd", "dt"):
-                        pop_to(depth)
-                        break
-                    if stack[depth][0] in CONTAINERS:
-                        break
+                ends = max(last("p"), last(tag) if tag in ("li", "option", "dd", "dt") else -1)
+                if ends >= 0 and ends >= (bounds[-1] if bounds else -1):
+                    pop_to(ends)
             if tag in VOID or m[4].endswith("/") and tag not in BLOCKS:
                 continue
             step, tagged, word = _names(tag, m[4])
             if word and not tagged and not by_tag and m.start() not in plain:
                 opened.append((len(stack), m.start(), hidden, word))
             dull = tagged or bool(word) and m.start() not in plain
-            path = f"{stack[-1][1]}>{step}" if stack and tag in CONTAINERS else step if tag in CONTAINERS else stack[-1][1] if stack else ""
-            number = -1
-            if tag in CONTAINERS and not furniture and not dull:
-                number = len(self.paths)
-                self.paths.append(path)
-                inside.append(number)
-            stack.append((tag, path, number, dull, tag == "a", tagged))
+            path, before, bound = stack[-1][1] if stack else 0, inner, tag in CONTAINERS
+            if bound:
+                path = self.steps.setdefault((path, step), len(self.steps) + 1)
+                bounds.append(len(stack))
+                if not furniture and not dull:
+                    self.around.append(inner)
+                    self.tag.append(tag)
+                    self.path.append(path)
+                    inner = len(self.path) - 1
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, path, before, bound, dull, tag == "a", tagged))
             furniture += dull
             by_tag += tagged
             links += tag == "a"
@@ -178,49 +208,83 @@ class Page:
 
     def best(self) -> tuple[int, int]:
         """(number of the best container or -1, its score in sixths of a character, so that sums are exact)."""
-        score = [0] * len(self.paths)
-        for (text, inside), linked in zip(self.blocks, self.linked, strict=True):
+        score = [0] * len(self.path)
+        for text, number, linked in zip(self.texts, self.within, self.linked, strict=True):
             worth = len(text) - 2 * linked
-            for k, number in enumerate(reversed(inside[-3:])):
-                score[number] += worth * (6, 3, 2)[k]
+            for share in (6, 3, 2):
+                if number >= 0:
+                    score[number] += worth * share
+                    number = self.around[number]
         if not score:
             return -1, 0
         top = max(range(len(score)), key=lambda i: (score[i], -i))
         return (top, score[top]) if score[top] > 0 else (-1, 0)
 
+    def _sums(self) -> tuple[list[int], list[int], list[int]]:
+        """By container: characters of text in it, those in links, and those that reach it through containers of FLOW alone."""
+        whole, linked, flow = ([0] * len(self.path) for _ in range(3))
+        for text, number, links in zip(self.texts, self.within, self.linked, strict=True):
+            if number >= 0:
+                whole[number] += len(text)
+                linked[number] += links
+                flow[number] += len(text)
+        for i in range(len(self.path) - 1, -1, -1):  # inner ones first
+            above = self.around[i]
+            if above >= 0:
+                whole[above] += whole[i]
+                linked[above] += linked[i]
+                flow[above] += flow[i] if self.tag[i] in FLOW else 0
+        return whole, linked, flow
+
     def climb(self, top: int) -> int:
         """The container whose text the container `top` is a part of, or top."""
-        around = next((inside for _, inside in self.blocks if top in inside), (top,))
-        outward = around[: around.index(top)][::-1]  # from the next one out
-        tags = {i: self.paths[i].rsplit(">", 1)[-1].split(".", 1)[0] for i in {j for _, inside in self.blocks for j in inside} | {top}}
-        for number in outward:
-            if tags[number] == "article":
+        number = self.around[top]
+        while number >= 0:
+            if self.tag[number] == "article":
                 return number
-        found = top
-        for number in outward:
-            if tags[number] == "html" or tags[number] == "body" and tags[found] not in PARTS:
+            number = self.around[number]
+        whole, linked, flow = self._sums()
+        found, number = top, self.around[top]
+        flows = self.tag[found] in FLOW  # whether all from found out to below number are
+        while number >= 0:
+            tag = self.tag[number]
+            if tag == "html" or tag == "body" and self.tag[found] not in PARTS:
                 break
-            rest = linked = own = 0
-            for (text, inside), in_links in zip(self.blocks, self.linked, strict=True):
-                if number in inside and found not in inside:
-                    rest += len(text)
-                    linked += in_links
-                    if all(tags[i] in FLOW for i in inside[inside.index(number) + 1 :]):
-                        own += len(text)
-            if rest and 2 * linked < rest and (tags[number] in PARTS or tags[number] == "main" or 2 * own >= rest):
-                found = number
+            rest, links, own = whole[number] - whole[found], linked[number] - linked[found], flow[number] - (flow[found] if flows else 0)
+            if rest and 2 * links < rest and (tag in PARTS or tag == "main" or 2 * own >= rest):
+                found, flows = number, tag in FLOW
+            else:
+                flows = flows and tag in FLOW
+            number = self.around[number]
         return found
 
+    def path_of(self, number: int) -> str:
+        """The path of a container as text."""
+        above = {n: (before, step) for (before, step), n in self.steps.items()}
+        steps, n = [], self.path[number]
+        while n:
+            n, step = above[n]
+            steps.append(step)
+        return ">".join(reversed(steps))
+
     def text(self, path: str | None) -> str:
         """The blocks in containers on the path, else in the best container, else all blocks."""
-        chosen = {i for i, p in enumerate(self.paths) if p == path}
-        kept = [text for text, inside in self.blocks if not chosen.isdisjoint(inside)]
+        n = 0
+        for step in path.split(">") if path else []:
+            n = self.steps.get((n, step), -1)
+        kept = self._inside({i for i, p in enumerate(self.path) if p == n}) if path and n > 0 else []
         if not kept:
             top, _ = self.best()
-            top = self.climb(top) if top >= 0 else top
-            kept = [text for text, inside in self.blocks if top < 0 or top in inside]
+            kept = self._inside({self.climb(top)}) if top >= 0 else self.texts
         return " ".join(kept)
 
+    def _inside(self, chosen: set[int]) -> list[str]:
+        """The blocks within any of the chosen containers, in page order."""
+        held = [False] * len(self.path)
+        for i, above in enumerate(self.around):
+            held[i] = i in chosen or above >= 0 and held[above]
+        return [text for text, number in zip(self.texts, self.within, strict=True) if number >= 0 and held[number]]
+
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -229,7 +293,7 @@ def host_of(url: Column) -> Column:
 def _vote(source: str | None) -> tuple[str | None, int]:
     page = Page(source)
     top, score = page.best()
-    return (page.paths[page.climb(top)], score) if top >= 0 else (None, 0)
+    return (page.path_of(page.climb(top)), score) if top >= 0 else (None, 0)
 
 
 def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -258,8 +322,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", into
         for sources, paths in batches:
             yield pd.Series([Page(s).text(p) for s, p in zip(sources, paths, strict=True)], dtype=object)
 
-    found = pages.withColumn("_host", host_of(F.col(url_col))).join(winners.select(F.col("host").alias("_host"), F.col("path").alias("_path")), "_host", "left")
-    return found.withColumn(into, main_text(F.col(html_col), F.col("_path"))).drop("_host", "_path")
+    own, host, path = free_names(pages, "own_host", "host", "path")
+    winners = winners.toDF(host, path)
+    found = pages.withColumn(own, host_of(F.col(url_col))).join(winners, F.col(own) == F.col(host), "left")
+    return found.withColumn(into, main_text(F.col(html_col), F.col(path))).drop(own, host, path)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
