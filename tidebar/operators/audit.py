@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.kernels import per_contract
 from tidebar.functions.ordered import quantiles
-from tidebar.operators.fit import Fitted, attach
+from tidebar.operators.fit import Fitted, attach, constants
 
 FINDING = ["severity", "category", "check_id", "status", "affected_rows"]
 
@@ -105,6 +107,52 @@ def trade_checks(trades: DataFrame, bars: DataFrame, split: Fitted, cost: float
     )
 
 
+def score_again(features: DataFrame, chosen: list[tuple[str, float]], split: Fitted) -> DataFrame:
+    """features with `_score`: the mean over chosen (feature, sign) of the signed z-scores by training mean and deviation that there are."""
+    f = attach(features, split)
+    train = F.col("datetime") <= F.col("train_end")
+    moments = f.where(train).agg(*[x.alias(f"_{k}{i}") for i, (n, _) in enumerate(chosen) for k, x in (("m", F.avg(n)), ("s", F.stddev_pop(n)))])
+    z = [F.when(F.col(f"_s{i}") != 0, sign * (F.col(n) - F.col(f"_m{i}")) / F.col(f"_s{i}")) for i, (n, sign) in enumerate(chosen)]
+    known = sum((x.isNotNull().cast("int") for x in z), F.lit(0))
+    score = F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in z), F.lit(0.0)), known)
+    return attach(f, constants(moments)).withColumn("_score", score).drop(*moments.columns)
+
+
+def strategy_replay(features: DataFrame, trades: DataFrame, selected: DataFrame, summary: DataFrame, split: Fitted, cost: float = 2.0, hold: int = 5, top: int = 5, high: float = 0.8, low: float = 0.2) -> DataFrame:
+    """The whole first-stage strategy made again and held against what was reported, a finding per rule.
+
+    selected (feature, in order) must be the `top` of the training summary by |coefficient|; each trade's signal_score must be that of its bar, beyond the training thresholds on its
+    side; entry and exit must be the first and the `hold`-th bar after the signal by number, at their open and close; returns must follow from those prices; trades of a
+    contract must not overlap, and none may run from the training into the test part. The few selected features are read by the driver; bars and trades are joined once.
+    """
+    best = summary.where("spearman_ic is not null and coverage >= 0.5 and spearman_ic <> 0").orderBy(F.desc(F.abs("spearman_ic")), "feature").limit(top).select("feature", "spearman_ic").collect()
+    named = [r["feature"] for r in selected.collect()]  # a handful
+    sign = {r["feature"]: r["spearman_ic"] for r in summary.where(F.col("feature").isin(named)).select("feature", "spearman_ic").collect()}
+    chosen = [(n, math.copysign(1.0, sign[n])) for n in named if sign.get(n)]
+    scored = score_again(features, chosen, split)
+    cuts = quantiles(scored.where(F.col("datetime") <= F.col("train_end")), [], "_score", [low, high]).agg(F.max(F.get("q", F.lit(0))).alias("_low"), F.max(F.get("q", F.lit(1))).alias("_high"))
+    at = lambda c, n: F.lead(c, n).over(per_contract())
+    rows = scored.select("contract", F.col("datetime").alias("signal_time"), "_score", "train_end", "test_start", at("datetime", 1).alias("_entry_time"), at("open", 1).alias("_open"), at("datetime", hold).alias("_exit_time"), at("close", hold).alias("_close"))
+    t = attach(trades.withColumn("_next", F.lead("entry_time").over(Window.partitionBy("contract").orderBy("entry_time", "signal_time"))).join(rows, ["contract", "signal_time"], "left"), constants(cuts))
+    long = F.col("side") == "long"
+    gross = F.when(long, F.try_divide(F.col("_close"), F.col("_open")) - 1).otherwise(F.try_divide(F.col("_open"), F.col("_close")) - 1)
+    off = lambda a, b: F.coalesce(F.abs(F.col(a) - b) > 1e-10, F.lit(True))
+    differs = lambda a, b: F.coalesce(F.col(a) != F.col(b), F.lit(True))
+    beyond = F.when(long, F.col("signal_score") >= F.col("_high") - 1e-12).otherwise(F.col("signal_score") <= F.col("_low") + 1e-12)
+    found = findings(
+        t, "strategy",
+        {
+            "signal_score": ("BLOCKER", F.count_if(off("signal_score", F.col("_score")))), "threshold_side": ("BLOCKER", F.count_if(~F.coalesce(beyond, F.lit(False)))),
+            "bars_by_number": ("BLOCKER", F.count_if(differs("entry_time", "_entry_time") | differs("exit_time", "_exit_time") | off("entry_price", F.col("_open")) | off("exit_price", F.col("_close")))),
+            "returns": ("BLOCKER", F.count_if(off("gross_return", gross) | off("net_return", gross - F.try_divide(F.lit(cost), F.col("_open"))))), "overlap": ("BLOCKER", F.count_if(F.col("_next") < F.col("exit_time"))),
+            "boundary": ("BLOCKER", F.count_if((F.col("split") == "train") & (F.col("exit_time") >= F.col("test_start")))),
+        },
+    )
+    wrong = int(named != [r["feature"] for r in best])
+    top_list = trades.sparkSession.createDataFrame([("BLOCKER", "strategy", "selected_top", "FAIL" if wrong else "PASS", wrong)], found.schema)
+    return top_list.unionByName(found)
+
+
 def path_replay(trades: DataFrame, bars: DataFrame, keys: tuple[str, ...] = (), bucket: int = 16) -> DataFrame:
     """All stop and target trades whose first touching bar is not the exit bar, and timed ones that touch before it.
 

@@ -441,7 +441,7 @@ types(interest, way, tick_type, s) AS (VALUES ('OPEN', 'UP', 'OPENLONG', 1), ('O
     ),
     "win_rate_tests": shown(
         f"{TRADES}, {WITH_ALL}, {metrics_of('alls', 'split')}, rate_z AS (SELECT *, (win_rate - 0.5) / sqrt(0.25 / trade_count) AS z FROM metrics), rate_p AS (SELECT *, {p_of('z')} AS p FROM rate_z)",
-        f"SELECT split, trade_count, {r('win_rate')}, {r('z', 'win_rate_z')}, {r('p', 'win_rate_p')}, {r('least(1, p * 768)', 'win_rate_p_bonferroni')}, CASE WHEN split <> 'test' OR p IS NULL THEN 'not_tested' WHEN least(1, p * 768) >= 0.05 THEN 'not_significant' WHEN z > 0 THEN 'passes_bonferroni' ELSE 'significant_below_50' END AS win_rate_verdict FROM rate_p",
+        f"SELECT split, trade_count, {r('win_rate')}, {r('z', 'win_rate_z')}, {r('p', 'win_rate_p')}, {r('CASE WHEN p IS NOT NULL THEN least(1, p * 768) END', 'win_rate_p_bonferroni')}, CASE WHEN split <> 'test' OR p IS NULL THEN 'not_tested' WHEN least(1, p * 768) >= 0.05 THEN 'not_significant' WHEN z > 0 THEN 'passes_bonferroni' ELSE 'significant_below_50' END AS win_rate_verdict FROM rate_p",
     ),
     "bootstrap_interval": shown(
         f"{TRADES}, sums AS {running_sums('priced', 'split')}, g AS (SELECT split, count(*) AS n, avg(net_return) AS mean, least(count(*), greatest(5, round(sqrt(count(*)))))::BIGINT AS size FROM priced GROUP BY split), means AS {bootstrap_sql('one', 'g', 'sums', 'split')}",
@@ -582,5 +582,5 @@ _RANKS = f"{_recursive(_ranked('long'))} UNION ALL {_recursive(_ranked('short'))
 _TESTS = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {cases_sql(side, 'test')} SELECT '{side}' AS side, * FROM summary)" for side in ("long", "short"))
 ORACLES["sweep_ranking"] = f"SELECT side, train_rank::BIGINT AS train_rank, case_id, {', '.join(r(c, places=5) for c in ('train_avg_net_return', 'train_sum_net_return', 'neighbour_mean', 'neighbour_positive', 'plateau_score'))}, trade_count, {', '.join(r(c, places=5) for c in ('win_rate', 'avg_net_return', 'sum_net_return'))}, recommendation_status FROM ({_RANKS})"
 ORACLES["long_short_comparison"] = f"""WITH tests AS ({_TESTS}), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY round(avg_net_return, 9) DESC NULLS LAST, round(sum_net_return, 9) DESC NULLS LAST, round(win_rate, 9) DESC NULLS LAST, case_id) AS place, (win_rate - 0.5) / sqrt(0.25 / trade_count) AS z FROM tests)
-SELECT side, case_id, time_i, stop_i, take_i, time_barrier_bars, {r('stop_atr_multiple')}, {r('take_profit_multiple')}, kline_mode, space_filter_on, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('z', 'win_rate_z')}, {r(p_of('z'), 'win_rate_p')}, {r(f"least(1, 768 * {p_of('z')})", 'win_rate_p_bonferroni')},
+SELECT side, case_id, time_i, stop_i, take_i, time_barrier_bars, {r('stop_atr_multiple')}, {r('take_profit_multiple')}, kline_mode, space_filter_on, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('z', 'win_rate_z')}, {r(p_of('z'), 'win_rate_p')}, {r(f"CASE WHEN z IS NOT NULL THEN least(1, 768 * {p_of('z')}) END", 'win_rate_p_bonferroni')},
   CASE WHEN z IS NULL THEN 'not_tested' WHEN abs(z) < 3.9 THEN 'not_significant' WHEN z > 0 THEN 'passes_bonferroni' ELSE 'significant_below_50' END AS win_rate_verdict FROM placed WHERE place = 1"""

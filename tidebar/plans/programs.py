@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.operators import audit, evaluate, features, fit, metrics, simulate, sweep
+from tidebar.operators import audit, evaluate, features, fit, metrics, simulate, sweep, tick_bars
+from tidebar.sources import ticks
 from tidebar.sources.shared import written
 
 TARGET = "future_return_5"
@@ -74,8 +75,11 @@ def stage1(bars: DataFrame, cfg: Settings = Settings(high=0.8, low=0.2), top: in
     scored = _kept(scored, "stage1-scored")
     cuts = fit.thresholds(_parts(scored, split)[0], high=cfg.high, low=cfg.low)
     trades = _kept(simulate.fixed_hold_trades(scored, fit.constants(cuts), split, cfg.holding_bars, cfg.cost, mirror=True, cross=True), "stage1-trades")
+    summary = _kept(evaluate.summary(train, features.STAGE1), "stage1-summary")
+    signals = scored.select("contract", F.col("datetime").alias("signal_time"), "signal_score")
+    replay = audit.strategy_replay(data, trades.join(signals, ["contract", "signal_time"], "left"), ranked.select("feature"), summary, split, cfg.cost, cfg.holding_bars, top, cfg.high, cfg.low)
     return {
-        "features": data, "summary": evaluate.summary(train, features.STAGE1), "quintiles": evaluate.quintiles(train, features.STAGE1), "monthly_ic": evaluate.periodic_ic(data, features.STAGE1),
+        "replay": replay, "features": data, "summary": summary, "quintiles": evaluate.quintiles(train, features.STAGE1), "monthly_ic": evaluate.periodic_ic(data, features.STAGE1),
         "selected": ranked, "thresholds": cuts, **_outcome(trades, cfg), "correlations": evaluate.correlations(train, features.STAGE1), "quality": evaluate.quality(data, features.STAGE1), "audit": audit.bar_integrity(bars),
     }
 
@@ -220,6 +224,26 @@ def parameter_sweep(bars: DataFrame, cfg: Settings = Settings(), pack: dict[str,
     return out | {"comparison": sweep.comparison(tests[0].unionByName(tests[1]), trials=2 * len(cases)), "asymmetry": sweep.asymmetry(*best, steps)}
 
 
+def tick_validation(spark: SparkSession, tick_folder: str, golden_folder: str, minutes: int = 5, out: str | None = None) -> DataFrame:
+    """Bars of all tick files of a folder held against its golden bar files, a row a contract of either folder: contract, input_csv, reference_csv, status, and the rest of `golden_diff`.
+
+    Statuses are passed, value_mismatch, row_count_mismatch, missing_input (no tick file), missing_reference (no golden file) and generation_failed (a tick file without a bar). With `out`,
+    the bars are written there, a folder a contract.
+    """
+    inputs, golden = ticks.tick_index(spark, tick_folder), ticks.golden_index(spark, golden_folder, minutes)
+    index = inputs.select("contract", F.col("path").alias("input_csv")).join(golden.select("contract", F.col("path").alias("reference_csv")), "contract", "full_outer")
+    chosen = index.collect()  # a row a file
+    bars = written(tick_bars.bars_of_ticks(ticks.read_tick_csv(spark, [r["input_csv"] for r in chosen if r["input_csv"]]), minutes), "tick-bars")
+    if out:
+        ticks.write_table(bars, out)
+    paths = [r["reference_csv"] for r in chosen if r["reference_csv"]]
+    reference = ticks.read_bar_csv(spark, paths) if paths else bars.limit(0)
+    found = audit.golden_diff(bars, reference, ["open", "high", "low", "close", "poc"], ["volume", "delta", "open_interest"], ["datetime"])
+    j = index.join(found, "contract", "left")
+    status = F.when(F.col("input_csv").isNull(), "missing_input").when(F.coalesce("generated_rows", F.lit(0)) == 0, "generation_failed").when(F.col("reference_csv").isNull(), "missing_reference").when(F.coalesce("reference_rows", F.lit(0)) == 0, "row_count_mismatch")
+    return j.select("contract", "input_csv", "reference_csv", F.coalesce(status, "status").alias("status"), *[c for c in found.columns if c not in ("contract", "status")])
+
+
 PROGRAMS = {"stage1": stage1, "stage2": stage2, "gain_curve": gain_curve, "pullback": pullback, "parameter_sweep": parameter_sweep}
 
 
@@ -234,8 +258,6 @@ def main() -> None:
     """python -m tidebar.plans.programs PROGRAM BARS OUT: a program over a Parquet table of bars, its tables written below OUT."""
     import argparse
 
-    from pyspark.sql import SparkSession
-
     ask = argparse.ArgumentParser(description=main.__doc__)
     ask.add_argument("program", choices=sorted(PROGRAMS))
     ask.add_argument("bars")

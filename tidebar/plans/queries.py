@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.operators import audit, bars, evaluate, features, fit, indicators, metrics, simulate, sweep, tick_bars
+from tidebar.plans import programs
 from tidebar.plans.tables import shared_table
 from tidebar.sources import events, ticks
 
@@ -597,6 +598,12 @@ def audit_integrity(spark, sf):
     return shown(audit.bar_integrity(_bars(spark, sf)))
 
 
+@query
+def stage1_replay_audit(spark, sf):
+    """The first-stage strategy, run and made again from its tables."""
+    return shown(programs.stage1(_bars(spark, sf))["replay"])
+
+
 @query
 def audit_columns(spark, sf):
     """Nulls, infinities, distinct and extreme values of each column of bars and features."""
