@@ -452,3 +452,15 @@ def test_long_text_is_not_cut(spark):
     docs = spark.createDataFrame([(1, LONG), (2, LONG + "\n" + LONG)], SCHEMA)
     found = docs.select("doc_id", decontaminate.contamination(docs, spark.createDataFrame([("a", LONG[-200:])], "item_id string, text string")).alias("c"))
     assert {r["doc_id"]: r["c"]["n_words"] for r in found.collect()} == {1: len(words(LONG)), 2: 2 * len(words(LONG))}
+
+
+def test_templated_items_cost_their_windows_only():
+    import time
+
+    template = prose(5, 13).split()
+    items = [(f"i{k}", " ".join([*template[:6], f"name{k}", *template[6:], f"end{k}"])) for k in range(20_000)]
+    scan = decontaminate.WindowAutomaton([*items, ("whole", " ".join([*template, "closing"]))])
+    text = [w.encode() for w in words(" ".join([" ".join(template) + f" other{k}" for k in range(200)] + [items[77][1]] * 3))]
+    began = time.process_time()
+    mask, found = scan.scan(text)
+    assert time.process_time() - began < 0.3 and found == {"whole", "i77"} and mask.sum() == 200 * 13 + 3 * 15

@@ -3,9 +3,9 @@
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z: runs of digits, a-z and any code point above 0x7F. A window is 13
 consecutive words of an item; an item with fewer words, but not none, is one window. Items are cut into blocks of 7 words from their start on,
 of which every window holds a whole one. The automaton's patterns are the first 5 words of each block, and whole items of under 13 words, written as
-word numbers: some states per benchmark word, where whole windows would take thirteen words' bytes. Where a pattern occurs in a text, the words around it are held
-against those around each of its places in the benchmark: 13 equal words or more in a row are windows, whose words are hit. Places with equal words around them
-are one context, however many items share it. Word numbers map to offsets in the original text (`hit_spans`).
+word numbers: some states per benchmark word, where whole windows would take thirteen words' bytes. Where a pattern occurs in a text, the windows that may hold it there
+are looked up by search among the hashes of all distinct windows of the items, and compared word by word with one place of each: an occurrence costs seven look-ups, however many items
+share its pattern. Word numbers map to offsets in the original text (`hit_spans`).
 
 Results: null, empty and word-free texts have no words, no hits and are clean. Repeated rows and repeated items give repeated rows and one id.
 Items without an id hit words like any other but are in no list or number of items. Items without words match nothing; with an empty benchmark all is clean.
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_udf
+from .common import _mix, table, text_udf
 
 WINDOW = 13
 #: Bytes of UTF-8 by what they are to a word: themselves, lower-cased, or a break.
@@ -47,6 +47,15 @@ def _numbers(line: str) -> np.ndarray:
     return pairs[::2] + (pairs[1::2] - 256 << 8)
 
 
+def _places(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each of consecutive runs of the given lengths."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+_U = np.uint64
+_ODD = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, _U)) | _U(1)
+
+
 class WindowAutomaton:
     """All windows of some items; finds which occur in a text and which of its words they cover."""
 
@@ -55,7 +64,7 @@ class WindowAutomaton:
 
         self.size, block = size, (size + 1) // 2
         self.anchor = min(ANCHOR, block)
-        self.before, self.behind = size - block, size - self.anchor  # words that a window may have on either side of an anchor
+        self.before = size - block  # words that a window may have before an anchor
         self.coded: dict[bytes, str] = {}  # the symbols of each word; those of 0 are any other word's
         of_name: dict[str, int] = {}
         coded, lines, lengths, owners = self.coded, [], [], []
@@ -68,7 +77,7 @@ class WindowAutomaton:
                     if w not in coded:
                         coded[w] = _symbols(len(coded) + 1)
                 lines.append("".join(map(coded.__getitem__, words)))
-        if len(coded) > 50_000 << 8:
+        if len(coded) > 50_000 << 8:  # over 64 MB of words
             raise ValueError("too many distinct words for one automaton")
         self.other, self.names = _symbols(0), list(of_name)
         lengths, owners = np.array(lengths, np.int64), np.array(owners, np.int64)
@@ -77,27 +86,17 @@ class WindowAutomaton:
         for a, n, line in zip(starts.tolist(), lengths.tolist(), lines, strict=True):
             flat[a : a + n] = _numbers(line)
 
-        # contexts: an anchor, the words before it from the nearest on, and the words behind it, -1 beyond the item
-        long = lengths >= size
-        count = np.where(long, (lengths - block) // block + 1, 0)
-        places = np.repeat(starts, count) + block * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-        reach = np.concatenate([np.arange(self.anchor), -1 - np.arange(self.before), self.anchor + np.arange(self.behind)])
-        rows = flat[places[:, None] + reach]
-        for part in (rows[:, self.anchor : self.anchor + self.before], rows[:, self.anchor + self.before :]):
-            part[~np.logical_and.accumulate(part > 0, axis=1)] = -1
-        self.contexts, of_row = np.unique(rows, axis=0, return_inverse=True)  # those of an anchor are neighbours
-        del rows
-        pairs = np.stack([of_row.ravel(), np.repeat(owners, count)], 1)
-        pairs = np.unique(pairs[pairs[:, 1] >= 0], axis=0)
-        self.items, self.items_from = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(self.contexts) + 1))
-        anchors = self.contexts[:, : self.anchor]
-        first = np.flatnonzero(np.concatenate([[True], (anchors[1:] != anchors[:-1]).any(1)])) if len(anchors) else np.zeros(0, np.int64)
+        self.flat = flat
+        self._windows(flat, np.repeat(starts, np.maximum(lengths - size + 1, 0)), np.maximum(lengths - size + 1, 0), owners)
+        count = np.where(lengths >= size, (lengths - block) // block + 1, 0)
+        places = np.repeat(starts, count) + block * _places(count)
+        anchors = np.unique(flat[places[:, None] + np.arange(self.anchor)], axis=0) if len(places) else np.zeros((0, self.anchor), np.int32)
 
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         symbols = [self.other, *coded.values()]
-        for k, pattern in enumerate(anchors[first].tolist()):
+        for k, pattern in enumerate(anchors.tolist()):
             self.automaton.add_word("".join([symbols[i] for i in pattern]), k)
-        self.anchors, self.first = len(first), np.append(first, len(anchors))  # pattern k < anchors: contexts first[k] up to first[k + 1]
+        self.anchors = len(anchors)
         self.whole: dict[int, tuple[int, set[int]]] = {}  # (words, items) of patterns that are items of under `size` words
         for line, n, owner in zip(lines, lengths.tolist(), owners.tolist(), strict=True):
             if n < size:
@@ -110,6 +109,33 @@ class WindowAutomaton:
         if not self.empty:
             self.automaton.make_automaton()
 
+    def _hashes(self, numbers: np.ndarray) -> np.ndarray:
+        """The hash of each `size` consecutive numbers."""
+        n = max(len(numbers) - self.size + 1, 0)
+        return _mix(sum((numbers[k : k + n].astype(_U) * _ODD[k] for k in range(self.size)), np.zeros(n, _U)))
+
+    def _windows(self, flat: np.ndarray, firsts: np.ndarray, count: np.ndarray, owners: np.ndarray) -> None:
+        """The distinct windows by hash: one place of each in flat, and the items that have it."""
+        at = firsts + _places(count)
+        owner = np.repeat(owners, count)
+        keys = self._hashes(flat)[at]
+        order = np.lexsort((owner, keys))
+        at, owner, keys = at[order], owner[order].astype(np.int32), keys[order]
+        # windows of one hash are of one text but for one chance in 2^64 a pair; those are told apart here
+        other = np.zeros(len(at), bool)
+        other[1:] = keys[1:] != keys[:-1]
+        same = np.flatnonzero(~other)[1:] if len(at) else np.zeros(0, np.int64)
+        for part in np.array_split(same, len(same) // 100_000 + 1):
+            if (flat[at[part, None] + np.arange(self.size)] != flat[at[part - 1, None] + np.arange(self.size)]).any():
+                raise ValueError("two windows of the benchmark share a hash")
+        first = np.flatnonzero(other | (np.arange(len(at)) == 0))
+        self.keys, self.place = keys[first], at[first]
+        group = np.cumsum(other)
+        new = np.ones(len(at), bool)
+        new[1:] = other[1:] | (owner[1:] != owner[:-1])
+        new &= owner >= 0
+        self.items, self.items_from = owner[new], np.searchsorted(group[new], np.arange(len(first) + 1))
+
     def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
         """(mask of hit words or None, ids of items with a window in the text)."""
         if self.empty or not words:
@@ -126,22 +152,20 @@ class WindowAutomaton:
                 change[(end + 1) // 2 - n] += 1
                 change[(end + 1) // 2] -= 1
                 items |= of
-        text = np.full(self.before + len(words) + self.behind, -2, np.int32)  # beyond the text no context is equal
-        text[self.before : self.before + len(words)] = _numbers(line)
-        hits = np.array([((end + 1) // 2 - self.anchor, k) for end, k in found if k < self.anchors], np.int64).reshape(-1, 2)
-        sizes = self.first[hits[:, 1] + 1] - self.first[hits[:, 1]]
-        parts = np.flatnonzero(np.diff(np.cumsum(sizes) // 50_000, prepend=-1))  # compare some ten thousand contexts at once
-        for i, j in zip(parts.tolist(), [*parts.tolist(), len(hits)][1:], strict=True):
-            n = sizes[i:j]
-            row = np.repeat(self.first[hits[i:j, 1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            begin = np.repeat(hits[i:j, 0], n)
-            context, at = self.contexts[row], self.before + begin[:, None]
-            a = np.logical_and.accumulate(context[:, self.anchor : self.anchor + self.before] == text[at - 1 - np.arange(self.before)], axis=1).sum(1)
-            b = np.logical_and.accumulate(context[:, self.anchor + self.before :] == text[at + self.anchor + np.arange(self.behind)], axis=1).sum(1)
-            hit = a + self.anchor + b >= self.size
-            np.add.at(change, (begin - a)[hit], 1)
-            np.add.at(change, (begin + self.anchor + b)[hit], -1)
-            for r in np.unique(row[hit]).tolist():
+        begins = np.array([(end + 1) // 2 - self.anchor for end, k in found if k < self.anchors], np.int64)
+        if len(begins) and len(words) >= self.size:
+            may = np.unique(begins[:, None] - np.arange(self.before + 1))
+            may = may[(may >= 0) & (may <= len(words) - self.size)]
+            numbers = _numbers(line)
+            keys = self._hashes(numbers)[may]
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            equal = self.keys[at] == keys
+            may, at = may[equal], at[equal]
+            equal = (self.flat[self.place[at][:, None] + np.arange(self.size)] == numbers[may[:, None] + np.arange(self.size)]).all(1)
+            may, at = may[equal], np.unique(at[equal])
+            change[may] += 1
+            change[may + self.size] -= 1
+            for r in at.tolist():
                 items.update(self.items[self.items_from[r] : self.items_from[r + 1]].tolist())
         mask = np.cumsum(change[:-1]) > 0
         return (mask if mask.any() else None), {self.names[i] for i in items}
@@ -157,7 +181,7 @@ def hit_spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
 SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<begin:int,end:int>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_mb: int = 256, spans: bool = False) -> Column:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", most_mb: int = 64, spans: bool = False) -> Column:
     """A struct column of SCHEMA for text_col of docs. contaminated: n_hit > 0 and 20 * n_hit >= n_words."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > most_mb << 20:
