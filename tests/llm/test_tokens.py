@@ -162,3 +162,20 @@ def test_prefix_states_append_and_edit(piece, more, at, drop):
     assert state == bpe.extend(joined, [-1])
     changed, state = bpe.edit(piece, last, min(at, len(piece)), more, drop)
     assert state == bpe.extend(changed, [-1]) and len(last) == len(piece) + 1
+
+
+def test_an_edit_costs_its_neighbourhood():
+    import time
+
+    bpe = BPE.bpe
+    piece = ("ein langes wort ohne ende and some other words " * 4000).replace(" ", "").encode()
+    last = bpe.extend(piece, [-1])
+    assert len(piece) > 150_000
+    for at, new, drop in ((5, b"xyz", 2), (90_000, b"", 7), (len(piece) - 3, b"zz", 1), (len(piece), b"tail", 4)):
+        whole = bpe.extend(piece[:at] + new + piece[at + drop :], [-1])
+        took = []
+        for _ in range(5):
+            began = time.perf_counter()
+            _, state = bpe.edit(piece, last, at, new, drop)
+            took.append(time.perf_counter() - began)
+        assert state == whole and min(took) < 0.03, took  # a whole encoding takes ten times as long

@@ -110,9 +110,22 @@ class PrefixBpe:
         return piece + more, self.extend(piece + more, list(last))
 
     def edit(self, piece: bytes, last: list[int], at: int, new: bytes, drop: int) -> tuple[bytes, list[int]]:
-        """The state after replacing `drop` bytes at `at`: prefixes before the edit keep their entries."""
-        changed = piece[:at] + new + piece[at + drop :]
-        return changed, self.extend(changed, list(last[: at + 1]))
+        """The state after replacing `drop` bytes at `at`. Prefixes before the edit keep their entries.
+
+        An entry hangs on the entries and bytes of the longest token before it, so where that many entries in a row behind the edit are the old ones, moved, all that follow are.
+        """
+        drop = min(drop, len(piece) - at)
+        changed, shift = piece[:at] + new + piece[at + drop :], len(new) - drop
+        state, agree, end = last[: at + 1], 0, at + len(new)
+        while len(state) <= len(changed):
+            first = max(len(state), at + len(new) + 1)
+            end = min(max(end, len(state)) + 2 * self.longest, len(changed))
+            self.extend(changed[:end], state)
+            for i in range(first, len(state)):
+                agree = agree + 1 if state[i] == last[i - shift] else 0
+                if agree == self.longest:
+                    return changed, state[: i + 1] + last[i - shift + 1 :]
+        return changed, state
 
 
 class TextBpe:
