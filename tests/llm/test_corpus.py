@@ -214,6 +214,40 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - exact) < 4 * math.sqrt(exact / 4096)
 
 
+def test_weighted_slots_stand_beside_equal_ones():
+    texts = [prose(1, 200), prose(1, 200) + " " + " ".join([prose(9, 6)] * 50), None, prose(2, 3)]
+    hashes, counts = minhash.word_hashes(texts)
+    owner, values, times = minhash.shingles(hashes, counts)
+    bands = minhash.text_bands(owner, values, times, len(texts))
+    assert bands.shape == (4, minhash.BANDS + minhash.WEIGHTED) and len(set(bands[0].tolist())) == bands.shape[1]
+    same = (bands[0] == bands[1])[: minhash.BANDS].sum()
+    ones = minhash.text_bands(owner, values, np.ones(len(values)), len(texts))
+    assert same > 15 and (ones[:, : minhash.BANDS] == bands[:, : minhash.BANDS]).all() and (ones[1] != bands[1])[minhash.BANDS :].any()
+
+
+@pytest.mark.parametrize("strip", [1, 2, 50])
+def test_strips_of_blocks_give_all_links(spark, strip):
+    r = np.random.default_rng(4)
+    base = [np.unique(r.integers(0, 1 << 60, 60)) for _ in range(12)]
+    sets = {i: np.sort(np.unique(np.concatenate([base[i % 12][: 60 - i % 9], r.integers(0, 1 << 60, i % 5)]))).astype("<u8") for i in range(90)}
+    rows = spark.createDataFrame([(i % 2, i, len(s)) for i, s in sets.items()], "component long, node long, n long")
+    frame = spark.createDataFrame([(i, s.tobytes()) for i, s in sets.items()], "id long, set binary")
+    queries, texts = minhash.blocks(rows.where("node % 3 = 0"), frame, 300), minhash.blocks(rows, frame, 300)
+    assert texts.count() > 6
+    edges = [(x["a"], x["b"]) for x in minhash.block_links(queries, texts, 0.8, strip).collect()]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = [(i, j) for i in sets for j in sets if i % 3 == 0 and i % 2 == j % 2 and i != j and jaccard(sets[i], sets[j]) >= 0.8]
+
+    def classes(pairs):
+        least = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    assert classes(edges) == classes(want) and len(want) > 50
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7), (101, 100)]
     found = components(spark.createDataFrame(edges, "a long, b long"))

@@ -3,9 +3,9 @@
 Shingles are five consecutive words (as in decontamination: A-Z lower-cased, runs of letters and digits); a text of one to four words is one shingle of all its
 words. Each shingle is a Poisson process whose rate is its weight, 1 + ln(count): its arrivals, made from its hash alone, fall on signature
 slots, and a slot keeps the shingle that arrives first. A text's processes stop once they are behind the latest first arrival (early
-termination). Two texts agree on a slot with the probability Jaccard similarity of their weighted shingles. Signatures of candidates count every
-distinct shingle once, so that this is the Jaccard similarity of the sets, which links are verified by: weights of counts would
-lower it where copies repeat a passage a different number of times.
+termination). Two texts agree on a slot with the probability Jaccard similarity of their weighted shingles. A signature has two parts: 30 slots by those weights,
+banded by 6, and 125 slots in which each distinct shingle counts once, so that their agreement is the Jaccard similarity of the sets, which links are verified by: weights of
+counts alone would lower it where copies repeat a passage a different number of times, and raise it where they share what they repeat.
 
 Texts with the same words are one class from the start (an aggregate, whatever its size). Class representatives that share a band of slots are
 candidates, and a pair is linked if the exact Jaccard similarity of the two shingle sets is 0.8 or more. Candidates are tried in rounds, so that a
@@ -17,7 +17,7 @@ largest component is the same, so no link between texts that share a band is los
 Results: texts without words (null, empty, marks only) link with nothing. Rows that share an id belong to one group. Rows without an id are kept
 and have no group. The kept row of a group is that with the least id. Ties between partners go to the least id.
 
-Whole texts never move: signatures (200 bytes) do, and the shingle hashes of candidates only. Candidates are found again in the table through
+Whole texts never move: signatures (250 bytes) do, and the shingle hashes of candidates only. Candidates are found again in the table through
 a Bloom filter of bounded size, which lets a few others through.
 """
 
@@ -38,6 +38,8 @@ from .decontaminate import _NORMAL
 
 WIDTH, BANDS, ROWS = 5, 25, 5
 SLOTS = BANDS * ROWS
+#: Bands of the slots by weights of counts, beside those in which each shingle counts once.
+WEIGHTED = 6
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, _U)) | _U(1)
@@ -110,9 +112,18 @@ def prob_minhash(owner: np.ndarray, values: np.ndarray, counts: np.ndarray, text
     return winner.reshape(texts, slots)
 
 
-def band_hashes(signature: np.ndarray) -> np.ndarray:
-    cut = signature[:, :SLOTS].reshape(len(signature), BANDS, ROWS)
-    return _mix((cut * _PLACES[:ROWS]).sum(2, dtype=_U) + np.arange(BANDS, dtype=_U))
+def band_hashes(signature: np.ndarray, first: int = 0) -> np.ndarray:
+    """A hash of each ROWS slots in a row; bands are numbered from `first`, so that no two bands of a text are one."""
+    bands = signature.shape[1] // ROWS
+    cut = signature[:, : bands * ROWS].reshape(len(signature), bands, ROWS)
+    return _mix((cut * _PLACES[:ROWS]).sum(2, dtype=_U) + np.arange(first, first + bands, dtype=_U))
+
+
+def text_bands(owner: np.ndarray, values: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
+    """texts x (BANDS + WEIGHTED): the bands of slots that count each shingle once, and of those that weigh it by its count."""
+    once = band_hashes(prob_minhash(owner, values, np.ones(len(values)), texts))
+    weighed = band_hashes(prob_minhash(owner, values, counts, texts, WEIGHTED * ROWS), BANDS)
+    return np.concatenate([once, weighed], axis=1)
 
 
 def _groups(texts: list, most_chars: int = 400_000) -> Iterator[tuple[int, int]]:
@@ -134,12 +145,12 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _groups(texts):
                 hashes, counts = word_hashes(texts[i:j])
-                owner, values, _ = shingles(hashes, counts)
-                bands = band_hashes(prob_minhash(owner, values, np.ones(len(values)), j - i)).astype(np.int64)
+                owner, values, times = shingles(hashes, counts)
+                bands = text_bands(owner, values, times, j - i).astype(np.int64)
                 ends = np.cumsum(counts)
                 has = np.flatnonzero(counts)
                 copies = [xxhash.xxh3_128_digest(hashes[ends[k] - counts[k] : ends[k]].tobytes()) for k in has.tolist()]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(bands[has].ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * (BANDS + WEIGHTED)), pa.array(bands[has].ravel()))
                 n = np.bincount(owner, minlength=j - i)[has]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(has)), pa.array(copies, pa.binary()), pa.array(n, pa.int64()), flat], ["id", "copy", "n", "bands"])
 
@@ -198,47 +209,56 @@ def blocks(rows: DataFrame, sets: DataFrame, most_shingles: int = 60_000) -> Dat
     return materialize(dealt.groupBy("component", "part").applyInPandas(pack, "component long, part int, ids binary, ends binary, values binary"), "set-blocks")
 
 
-def block_links(queries: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) that join what any query and any text of a component link, found block against block.
-
-    Each pair of blocks is dealt as a row of its own, so a large component is compared by many tasks. A task gives one edge per linked text, to the least
-    one it is joined with there, and never a list of pairs.
+def linked(queries: pd.DataFrame, texts: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Edges (least, other) that join what the queries and the texts of two strips of blocks link."""
+    sides = []
+    for side in (queries, texts):
+        sizes = [np.diff(np.frombuffer(e, "<i8"), prepend=0) for e in side["ends"]]
+        sides.append((np.frombuffer(b"".join(side["ids"]), "<i8"), np.concatenate(sizes), np.frombuffer(b"".join(side["values"]), _U)))
+    (ids_q, sizes_q, values_q), (ids_t, sizes, values_t) = sides
+    order = np.argsort(values_t, kind="stable")
+    ordered, owner = values_t[order], np.repeat(np.arange(len(ids_t)), sizes)[order]
+    parent: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        parent.setdefault(i, i)
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    ends = np.cumsum(sizes_q)
+    for node, i, j in zip(ids_q.tolist(), (ends - sizes_q).tolist(), ends.tolist(), strict=True):
+        low, high = np.searchsorted(ordered, values_q[i:j], "left"), np.searchsorted(ordered, values_q[i:j], "right")
+        times = high - low
+        at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        shared = np.bincount(owner[at], minlength=len(ids_t))
+        for other in ids_t[(shared >= threshold * (j - i + sizes - shared)) & (shared > 0)].tolist():
+            x, y = root(node), root(other)
+            parent[max(x, y)] = min(x, y)
+    return [(root(i), i) for i in parent if root(i) != i]
+
+
+def block_links(queries: DataFrame, texts: DataFrame, threshold: float, strip: int = 12) -> DataFrame:
+    """Edges (a, b) that join what any query and any text of a component link, found strip against strip.
+
+    `strip` blocks (about half a megabyte each) are a strip. Each pair of strips of a component is a group of its own, so a large component is compared by many tasks, a block moves
+    once for each strip of the other side, and a group holds two strips. It gives one edge per linked text, to the least one it is joined with there, and never a list
+    of pairs.
     """
+    strips = lambda df, n: df.groupBy("component").agg(F.floor(F.max("part") / strip).cast("int").alias(n))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                ids_q, ends_q, values_q, ids_t, ends_t, values_t = [np.frombuffer(c[k].as_buffer(), t) for c, t in zip(b.columns, ("<i8", "<i8", _U) * 2, strict=True)]
-                sizes = np.diff(ends_t, prepend=0)
-                order = np.argsort(values_t, kind="stable")
-                ordered, owner = values_t[order], np.repeat(np.arange(len(ids_t)), sizes)[order]
-                parent: dict[int, int] = {}
-
-                def root(i: int) -> int:
-                    parent.setdefault(i, i)
-                    while parent[i] != i:
-                        parent[i] = parent[parent[i]]
-                        i = parent[i]
-                    return i
-
-                for node, i, j in zip(ids_q.tolist(), [0, *ends_q[:-1].tolist()], ends_q.tolist(), strict=True):
-                    low, high = np.searchsorted(ordered, values_q[i:j], "left"), np.searchsorted(ordered, values_q[i:j], "right")
-                    times = high - low
-                    at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
-                    shared = np.bincount(owner[at], minlength=len(ids_t))
-                    for other in ids_t[(shared >= threshold * (j - i + sizes - shared)) & (shared > 0)].tolist():
-                        x, y = root(node), root(other)
-                        parent[max(x, y)] = min(x, y)
-                edges = [(root(i), i) for i in parent if root(i) != i]
-                if edges:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
-
-    side = lambda df, s: df.select("component", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "ids", "ends", "values")])
-    pairs = side(queries, "q").select("component", "part_q").join(side(texts, "t").select("component", "part_t"), "component")
-    dealt = pairs.join(side(queries, "q"), ["component", "part_q"]).join(side(texts, "t"), ["component", "part_t"])
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "component", "part_q", "part_t").select("ids_q", "ends_q", "values_q", "ids_t", "ends_t", "values_t")
-    return dealt.mapInArrow(run, "a long, b long")
+    def dealt(df: DataFrame, own: str, others: DataFrame, other: str) -> DataFrame:
+        placed = df.join(strips(others, "last"), "component").withColumn(own, F.floor(F.col("part") / strip).cast("int"))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("last")))).select("component", "strip_q", "strip_t", "ids", "ends", "values")
+
+    def run(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        edges = linked(q, t, threshold) if len(q) and len(t) else []
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    keys = ["component", "strip_q", "strip_t"]
+    left, right = dealt(queries, "strip_q", texts, "strip_t"), dealt(texts, "strip_t", queries, "strip_q")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, rounds: int = 2) -> DataFrame:
