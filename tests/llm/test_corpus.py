@@ -498,3 +498,13 @@ def test_templated_items_cost_their_windows_only():
     began = time.process_time()
     mask, found = scan.scan(text)
     assert time.process_time() - began < 0.3 and found == {"whole", "i77"} and mask.sum() == 200 * 13 + 3 * 15
+
+
+def test_long_texts_in_slices_have_the_same_features_and_hashes(monkeypatch):
+    texts = [t for _, t in AWKWARD] + [LONG, "a a a\n\na", " lead", "x\x85y \x1c z", "ß" * 3000 + " é", "w " * 999, None]
+    whole, hashes = [quality.features(t) for t in texts], minhash.word_hashes(texts)
+    monkeypatch.setattr(quality, "SLICE", 41)
+    monkeypatch.setattr(minhash, "SLICE", 29)
+    assert [quality.features(t) for t in texts] == whole
+    again = minhash.word_hashes(texts)
+    assert (hashes[0] == again[0]).all() and (hashes[1] == again[1]).all()

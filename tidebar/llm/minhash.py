@@ -47,24 +47,40 @@ _BYTES = _rng.integers(1, 1 << 63, 256, dtype=_U)
 _PLACES = _rng.integers(1, 1 << 63, max(WIDTH, ROWS), dtype=_U) | _U(1)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts, number of words of each text), from the texts' bytes at once."""
-    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-    line = np.frombuffer((b"\n".join(raw) + b"\n").translate(_NORMAL), np.uint8)
+#: Bytes that are hashed at once: a very long text goes in slices, cut between words.
+SLICE = 1 << 22
+
+
+def _hashed(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word begins, its hash) of bytes with 32 between words and at the end."""
     inside = line != 32
     edge = np.diff(inside.astype(np.int8), prepend=0)
     starts = np.flatnonzero(edge == 1)
     if not len(starts):
-        return np.zeros(0, _U), np.zeros(len(texts), np.int64)
-    ends = np.flatnonzero(edge == -1)
-    sizes = ends - starts
+        return starts, np.zeros(0, _U)
+    sizes = np.flatnonzero(edge == -1) - starts
     letters = line[inside]
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(letters)) - np.repeat(first, sizes)
     hashes = np.add.reduceat(_BYTES[letters] * _POWERS[place & 255] + (place >> 8).astype(_U), first)
+    return starts, _mix(hashes + sizes.astype(_U))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of all texts, number of words of each text), from the texts' bytes at once."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    whole = (b"\n".join(raw) + b"\n").translate(_NORMAL)
+    line, starts, hashes, at = np.frombuffer(whole, np.uint8), [], [], 0
+    while at < len(whole):
+        end = whole.find(b" ", at + SLICE) + 1 if len(whole) - at > SLICE else len(whole)
+        end = end or len(whole)
+        first, found = _hashed(line[at:end])
+        starts.append(first + at)
+        hashes.append(found)
+        at = end
     bounds = np.cumsum([len(r) + 1 for r in raw])
-    counts = np.diff(np.searchsorted(starts, bounds), prepend=0)
-    return _mix(hashes + sizes.astype(_U)), counts
+    counts = np.diff(np.searchsorted(np.concatenate(starts), bounds), prepend=0)
+    return np.concatenate(hashes), counts
 
 
 def shingles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

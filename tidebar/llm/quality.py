@@ -13,6 +13,7 @@ score is 0.5 everywhere; with labels of one class it is near that class. Rows wh
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 from operator import eq
@@ -27,7 +28,7 @@ NAMES = (
     "log_words", "word_length", "upper", "digit", "symbol", "bars", "bangs", "distinct_words", "repeats", "top_word", "line_length", "repeated_lines",
     "stops", "not_ascii", "worst_upper", "worst_symbol", "capitals", "worst_repeats",
 )
-_CLASS = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower, 3 digit, 4 space, 5 symbol, 6 not ASCII, 7 common marks
+_CLASS = np.zeros(256, np.uint8)  # 0 other, 1 upper, 2 lower, 3 digit, 4 space, 5 symbol, 6 not ASCII, 7 common marks
 _CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 1, 2, 3, 6
 for _c in b" \n\r\t":
     _CLASS[_c] = 4
@@ -38,28 +39,75 @@ for _c in b".,;:'\"()-?":
 SEGMENTS = 8
 
 
+#: Characters of a text that are cut into words or lines at once.
+SLICE = 1 << 21
+
+
+def _words(text: str) -> Iterator[list[str]]:
+    """text.split() in slices, cut where there is white space."""
+    at = 0
+    while len(text) - at > SLICE:
+        end = at + SLICE
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end].split()
+        at = end
+    yield text[at:].split()
+
+
+def _distinct_lines(text: str) -> int:
+    seen, at = set(), 0
+    while (end := text.find("\n", at + SLICE)) >= 0:
+        seen.update(text[at:end].split("\n"))
+        at = end + 1
+    seen.update(text[at:].split("\n"))
+    return len(seen)
+
+
+def _kinds(raw: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """How many bytes of each class are in each of the parts that begin at cuts."""
+    if len(raw) <= SLICE:
+        part = np.repeat(np.arange(len(cuts)) * 8, np.diff(cuts, append=len(raw)))
+        return np.bincount(part + _CLASS[raw], minlength=8 * len(cuts)).reshape(-1, 8)
+    out = np.zeros((len(cuts), 8))
+    for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(raw)], strict=True)):
+        for i in range(a, b, SLICE):
+            out[k] += np.bincount(_CLASS, np.bincount(raw[i : min(i + SLICE, b)], minlength=256), 8)
+    return out
+
+
 def features(text: str | None) -> list[float]:
+    """The features NAMES. A very long text is cut in slices, so what it takes is its distinct words and lines and a few times its bytes."""
     text = text or ""
-    words = text.split()
-    n = len(words)
+    short = list(_words(text)) if len(text) <= SLICE else None
+    n = sum(map(len, short or _words(text)))
     if not n:
         return [0.0] * len(NAMES)
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    kinds = _CLASS[raw]
-    cuts = np.unique(np.linspace(0, len(raw), SEGMENTS + 1).astype(np.int64)[:-1])
-    by = np.bincount(kinds + 8 * (np.searchsorted(cuts, np.arange(len(raw)), side="right") - 1), minlength=8 * len(cuts)).reshape(-1, 8)[:, :8].astype(float)
+    cuts = np.unique(np.linspace(0, len(raw), SEGMENTS + 1).astype(np.int64)[:-1]).tolist()
+    by = _kinds(raw, cuts).astype(float)
     size = by.sum(1)
     kind = by.sum(0)
     letters = max(kind[1] + kind[2] + kind[6], 1.0)
-    counts = Counter(words)
-    same = list(map(eq, words, words[1:]))
-    lines = text.split("\n")
     step = max(1, -(-n // SEGMENTS))
+    counts: Counter = Counter()
+    same, titles, done, before = np.zeros(SEGMENTS + 1), 0, 0, None
+    for words in short or _words(text):
+        if not words:
+            continue
+        counts.update(words)
+        titles += sum(map(str.istitle, words))
+        if before == words[0]:
+            same[(done - 1) // step] += 1
+        repeats = np.flatnonzero(np.fromiter(map(eq, words, words[1:]), bool, len(words) - 1))
+        if len(repeats):
+            same += np.bincount((repeats + done) // step, minlength=SEGMENTS + 1)
+        done, before = done + len(words), words[-1]
+    lines = text.count("\n") + 1
     return [
         np.log1p(n), len(text) / n, kind[1] / letters, kind[3] / len(raw), kind[5] / len(raw), counts["|"] / n, text.count("!") / n, len(counts) / n ** 0.8,
-        sum(same) / n, max(counts.values()) / n, np.log1p(len(text) / len(lines)), 1 - len(set(lines)) / len(lines), text.count(".") / n, kind[6] / len(raw),
-        float((by[:, 1] / np.maximum(by[:, 1] + by[:, 2] + by[:, 6], 1)).max()), float((by[:, 5] / size).max()), sum(map(str.istitle, words)) / n,
-        max((sum(same[i : i + step]) / step for i in range(0, n, step)), default=0.0),
+        same.sum() / n, max(counts.values()) / n, np.log1p(len(text) / lines), 1 - _distinct_lines(text) / lines, text.count(".") / n, kind[6] / len(raw),
+        float((by[:, 1] / np.maximum(by[:, 1] + by[:, 2] + by[:, 6], 1)).max()), float((by[:, 5] / size).max()), titles / n, float(same.max()) / step,
     ]
 
 
