@@ -728,3 +728,10 @@ def audit_isolation(spark, sf):
     selected = _train_summary(spark, sf).where("abs_spearman_ic is not null").orderBy(F.desc("abs_spearman_ic"), "feature").limit(10).select("feature", "abs_spearman_ic")
     used = _cuts(spark, sf).withColumn("split", F.explode(F.array(F.lit("train"), F.lit("test"))))
     return shown(audit.isolation(selected, _train_summary(spark, sf), _params(spark, sf), fit.transform_params(evaluate.long_form(_train(d, split), EVALUATED, ["contract"])), used, _cuts(spark, sf)))
+
+
+#: The tables that queries share, in an order in which each finds those that it reads.
+TABLES: dict[str, Callable[[SparkSession, str], object]] = {
+    "quotes": _quotes, "bars": _bars, "pack": _labelled, "split": _split, "pullback": _pullback, "params": _params, "scored": _scored, "limits": _limits, "trades": _trades,
+    "combo_trades": _combo_trades, "sweep_long": lambda spark, sf: _sweep(spark, sf, "long"), "train_summary": _train_summary,
+}
