@@ -100,6 +100,8 @@ class Predictor:
             self.key = keys[self.row]
             if (self.key[1:] != self.key[:-1]).all():
                 break
+        else:
+            raise ValueError("no seed tells the hashes of all grams apart")
 
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which hashes are known grams, rows of these grams)."""
