@@ -181,6 +181,12 @@ def exit_reasons(trades: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "exit_reason", "count", F.try_divide("count", total).alias("rate"), "avg_net_return")
 
 
+def exit_rates(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Per keys: trades, the share of each exit, and the mean number of bars held."""
+    share = lambda reason: F.avg((F.col("exit_reason") == reason).cast("double")).alias(f"{reason}_rate")
+    return trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"), share("take_profit"), share("stop_loss"), share("time_barrier"), F.avg("holding_bars").alias("mean_holding_bars"))
+
+
 def two_proportions(wins_a: Column, n_a: Column, wins_b: Column, n_b: Column) -> tuple[Column, Column]:
     """(z, two-sided p) of the difference of two shares with a pooled error."""
     pooled, each = F.try_divide(wins_a + wins_b, n_a + n_b), F.try_divide(F.lit(1), n_a) + F.try_divide(F.lit(1), n_b)

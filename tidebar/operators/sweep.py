@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.kernels import flag
+from tidebar.functions.ordered import with_quantiles
 from tidebar.operators import metrics
 from tidebar.operators.fit import Fitted
 from tidebar.operators.simulate import ahead_of, barrier_exits, closed_trades
@@ -86,6 +87,43 @@ def best_cases(verified: DataFrame, test: DataFrame, cases: DataFrame) -> DataFr
     return best.join(F.broadcast(cases), "case_id")
 
 
+RATES = ("take_profit_rate", "stop_loss_rate", "time_barrier_rate")
+
+
+def exit_diagnostics(test: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
+    """Per setting of keys: cases, means and median of the test cases' results, and the mean shares of their exits (of cases with trades)."""
+    found = test.groupBy(*keys).agg(F.count_distinct("case_id").alias("cases"), F.avg("win_rate").alias("mean_win_rate"), F.avg("avg_net_return").alias("mean_net_return"), F.avg("sum_net_return").alias("mean_sum_net_return"))
+    found = with_quantiles(found, test, keys, "avg_net_return", {"median_net_return": 0.5})
+    shares = test.select("case_id", *keys).join(rates, "case_id").groupBy(*keys).agg(*[F.avg(c).alias(f"mean_{c}") for c in RATES])
+    return found.join(shares, keys, "left")
+
+
+def time_barrier_diagnostics(test: DataFrame, rates: DataFrame, base: int = 5, long: tuple[int, ...] = (24, 36)) -> DataFrame:
+    """`exit_diagnostics` by time barrier, with a diagnosis where a long one is better on average than the base."""
+    found = exit_diagnostics(test, rates, ["time_barrier_bars"])
+    at_base = found.groupBy().agg(F.max(F.when(F.col("time_barrier_bars") == base, F.col("mean_net_return"))).alias("_base"))
+    better = F.col("time_barrier_bars").isin(*long) & (F.col("mean_net_return") > F.col("_base"))
+    return found.crossJoin(F.broadcast(at_base)).withColumn("diagnosis", F.when(better, f"longer_than_{base}_is_better").otherwise("")).drop("_base")  # one row
+
+
+def stop_take_diagnostics(test: DataFrame, rates: DataFrame) -> DataFrame:
+    """`exit_diagnostics` by stop and target, with a diagnosis of stops that are hit often and targets that are hardly met."""
+    found = exit_diagnostics(test, rates, ["stop_atr_multiple", "take_profit_multiple"])
+    tight, rare = (F.col("stop_atr_multiple") == 0.5) & (F.col("mean_stop_loss_rate") > 0.35), (F.col("take_profit_multiple") >= 2.0) & (F.col("mean_take_profit_rate") < 0.1)
+    return found.withColumn("diagnosis", F.concat_ws(";", F.when(tight, "stop_is_tight"), F.when(rare, "target_is_rare")))
+
+
+def best_plateaus(verified: DataFrame, side: str, most: int = 10) -> DataFrame:
+    """The first rows of a side's ranking: by training rank, then the best test cases."""
+    order = [F.col("train_rank").asc_nulls_last(), *[F.round(c, 9).desc_nulls_last() for c in ("avg_net_return", "sum_net_return", "win_rate")], F.col("case_id")]
+    return verified.orderBy(*order).limit(most).withColumn("side", F.lit(side))
+
+
+def exit_comparison(best: DataFrame, rates: DataFrame, side: str) -> DataFrame:
+    """One row: the exits in the test part of a side's best case."""
+    return best.select("case_id", "selection_source").join(rates, "case_id").withColumn("side", F.lit(side))
+
+
 def comparison(test: DataFrame, trials: int) -> DataFrame:
     """Per side the best test case by mean net return, with the p-value of its win rate against one half times all trials."""
     place = F.row_number().over(Window.partitionBy("side").orderBy(*[F.round(c, 9).desc_nulls_last() for c in ("avg_net_return", "sum_net_return", "win_rate")], "case_id"))

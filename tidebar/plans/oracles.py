@@ -584,3 +584,18 @@ ORACLES["sweep_ranking"] = f"SELECT side, train_rank::BIGINT AS train_rank, case
 ORACLES["long_short_comparison"] = f"""WITH tests AS ({_TESTS}), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY round(avg_net_return, 9) DESC NULLS LAST, round(sum_net_return, 9) DESC NULLS LAST, round(win_rate, 9) DESC NULLS LAST, case_id) AS place, (win_rate - 0.5) / sqrt(0.25 / trade_count) AS z FROM tests)
 SELECT side, case_id, time_i, stop_i, take_i, time_barrier_bars, {r('stop_atr_multiple')}, {r('take_profit_multiple')}, kline_mode, space_filter_on, trade_count, {r('win_rate')}, {r('avg_net_return')}, {r('sum_net_return')}, {r('z', 'win_rate_z')}, {r(p_of('z'), 'win_rate_p')}, {r(f"CASE WHEN z IS NOT NULL THEN least(1, 768 * {p_of('z')}) END", 'win_rate_p_bonferroni')},
   CASE WHEN z IS NULL THEN 'not_tested' WHEN abs(z) < 3.9 THEN 'not_significant' WHEN z > 0 THEN 'passes_bonferroni' ELSE 'significant_below_50' END AS win_rate_verdict FROM placed WHERE place = 1"""
+
+_EXITS = "rates AS (SELECT case_id, count(*) AS trades, avg((exit_reason = 'take_profit')::INT) AS tp, avg((exit_reason = 'stop_loss')::INT) AS sl, avg((exit_reason = 'time_barrier')::INT) AS tb, avg(holding_bars) AS held FROM priced WHERE split = 'test' GROUP BY case_id)"
+_DIAGNOSED = f"count(DISTINCT s.case_id) AS cases, {r('avg(win_rate)', 'mean_win_rate')}, {r('avg(avg_net_return)', 'mean_net_return')}, {r('avg(sum_net_return)', 'mean_sum_net_return')}, {r('median(avg_net_return)', 'median_net_return')}, {r('avg(tp)', 'mean_take_profit_rate')}, {r('avg(sl)', 'mean_stop_loss_rate')}, {r('avg(tb)', 'mean_time_barrier_rate')}"
+_TEST_CASES = cases_sql("long", "test")
+ORACLES["time_barrier_diagnostics"] = f"""WITH RECURSIVE {_TEST_CASES}, {_EXITS}, d AS (SELECT time_barrier_bars, {_DIAGNOSED}, avg(avg_net_return) AS m FROM summary s LEFT JOIN rates USING (case_id) GROUP BY time_barrier_bars)
+SELECT * EXCLUDE (m), CASE WHEN time_barrier_bars IN (24, 36) AND m > (SELECT m FROM d WHERE time_barrier_bars = 5) THEN 'longer_than_5_is_better' ELSE '' END AS diagnosis FROM d"""
+ORACLES["stop_take_diagnostics"] = f"""WITH RECURSIVE {_TEST_CASES}, {_EXITS}, d AS (SELECT {r('stop_atr_multiple')}, {r('take_profit_multiple')}, {_DIAGNOSED}, avg(sl) AS s_rate, avg(tp) AS t_rate FROM summary s LEFT JOIN rates USING (case_id) GROUP BY s.stop_atr_multiple, s.take_profit_multiple)
+SELECT * EXCLUDE (s_rate, t_rate), concat_ws(';', CASE WHEN stop_atr_multiple = 0.5 AND s_rate > 0.35 THEN 'stop_is_tight' END, CASE WHEN take_profit_multiple >= 2 AND t_rate < 0.1 THEN 'target_is_rare' END) AS diagnosis FROM d"""
+_BEST_FIRST = ", ".join(f"round({c}, 9) DESC NULLS LAST" for c in ("avg_net_return", "sum_net_return", "win_rate")) + ", case_id"
+ORACLES["best_plateaus"] = f"""SELECT side, train_rank::BIGINT AS train_rank, case_id, {', '.join(r(c, places=5) for c in ('train_avg_net_return', 'train_sum_net_return', 'neighbour_mean', 'neighbour_positive', 'plateau_score'))}, trade_count, {', '.join(r(c, places=5) for c in ('win_rate', 'avg_net_return', 'sum_net_return'))}, recommendation_status
+FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY train_rank NULLS LAST, {_BEST_FIRST}) AS place FROM ({_RANKS})) WHERE place <= 10"""
+_ALL_RATES = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {cases_sql(side, 'test')}, {_EXITS} SELECT '{side}' AS side, * FROM rates)" for side in ("long", "short"))
+ORACLES["exit_comparison"] = f"""WITH tests AS ({_TESTS}), ranks AS ({_RANKS}), may AS (SELECT side, case_id, avg_net_return, sum_net_return, win_rate, 'train_test_consistent' AS selection_source FROM ranks WHERE recommendation_status = 'train_test_consistent'
+  UNION ALL SELECT side, case_id, avg_net_return, sum_net_return, win_rate, 'test_only' FROM tests WHERE avg_net_return IS NOT NULL), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY selection_source DESC, {_BEST_FIRST}) AS place FROM may), rates AS ({_ALL_RATES})
+SELECT p.side, p.case_id, selection_source, trades, {r('tp', 'take_profit_rate')}, {r('sl', 'stop_loss_rate')}, {r('tb', 'time_barrier_rate')}, {r('held', 'mean_holding_bars')} FROM placed p JOIN rates x ON x.side = p.side AND x.case_id = p.case_id WHERE place = 1"""

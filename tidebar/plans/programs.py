@@ -216,6 +216,8 @@ def parameter_sweep(bars: DataFrame, cfg: Settings = Settings(), pack: dict[str,
         judged = metrics.case_effectiveness(metrics.sample_confidence(test.withColumn("split", F.lit("test"))))
         tests.append(judged.withColumn("side", F.lit(side)))
         best.append(sweep.best_cases(ranked, test, table))
+        rates = _kept(metrics.exit_rates(trades.where("split = 'test'"), ["case_id"]), f"exit-rates-{side}")
+        out |= {f"{side}_time_diagnostics": sweep.time_barrier_diagnostics(test, rates), f"{side}_stop_take_diagnostics": sweep.stop_take_diagnostics(test, rates), f"{side}_best": sweep.best_plateaus(ranked, side), f"{side}_best_exits": sweep.exit_comparison(best[-1], rates, side)}
         out |= {
             f"{side}_trades": trades, f"{side}_summary": scored, f"{side}_ranking": ranked, f"{side}_kline_ablation": metrics.against_baseline(train, "kline_mode", "none", [*axes, "space_filter_on"]),
             f"{side}_space_ablation": metrics.against_baseline(train, "space_filter_on", False, [*axes, "kline_mode"]), f"{side}_time_means": metrics.marginal(train, ["time_barrier_bars"]),

@@ -565,6 +565,21 @@ def marginal_means(spark, sf):
     return shown(a.unionByName(b))
 
 
+def _rates(spark, sf, side="long"):
+    """The exits of each case in the test part."""
+    return metrics.exit_rates(_sweep(spark, sf, side).where("split = 'test'"), ["case_id"])
+
+
+@query
+def time_barrier_diagnostics(spark, sf):
+    return shown(sweep.time_barrier_diagnostics(_cases(spark, sf, split="test"), _rates(spark, sf)))
+
+
+@query
+def stop_take_diagnostics(spark, sf):
+    return shown(sweep.stop_take_diagnostics(_cases(spark, sf, split="test"), _rates(spark, sf)))
+
+
 LEAST_TRADES = 3  # of a training case here; the operator's own bound is 300
 
 
@@ -587,6 +602,19 @@ def long_short_comparison(spark, sf):
     return shown(sweep.comparison(_both_tests(spark, sf), trials=2 * len(sweep.grid())).select("side", *CASE, "trade_count", "win_rate", "avg_net_return", "sum_net_return", "win_rate_z", "win_rate_p", "win_rate_p_bonferroni", "win_rate_verdict"))
 
 
+@query
+def best_plateaus(spark, sf):
+    """The ten best cases of each side."""
+    return shown(sweep.best_plateaus(_verified(spark, sf, "long"), "long").unionByName(sweep.best_plateaus(_verified(spark, sf, "short"), "short")), 5)
+
+
+@query
+def exit_comparison(spark, sf):
+    """How the best case of each side leaves its trades."""
+    side = lambda s: sweep.exit_comparison(sweep.best_cases(_verified(spark, sf, s), _cases(spark, sf, s, "test"), _grid(spark)), _rates(spark, sf, s), s)
+    return shown(side("long").unionByName(side("short")))
+
+
 @query
 def long_short_asymmetry(spark, sf):
     best = [sweep.best_cases(_verified(spark, sf, s), _cases(spark, sf, s, "test"), _grid(spark)) for s in ("long", "short")]
