@@ -28,7 +28,7 @@ def same(x):
 
 def test_every_oracle_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"audit_columns", "sweep_replay_audit", "stage1_replay_audit", "feature_selection", "long_short_asymmetry"}
+    assert set(QUERIES) - set(ORACLES) == {"audit_columns", "audit_features", "sweep_replay_audit", "stage1_replay_audit", "feature_selection", "long_short_asymmetry"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

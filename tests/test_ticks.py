@@ -168,6 +168,26 @@ def test_first_golden_file_of_a_contract(spark, tmp_path):
     assert len(rows) == 1 and rows[0]["path"].endswith("period_of_5_a_z_SHFE.cu2401_9.csv")
 
 
+def test_next_begin_and_last_end(spark):
+    at = ["2024-01-10T08:30", "2024-01-10T10:20", "2024-01-10T15:30", "2024-01-10T20:59", "2024-01-11T01:30", "2024-01-11T00:30", "2024-01-11T07:59"]
+    rows = [("SHFE.cu2401", i, dt.datetime.fromisoformat(t).replace(tzinfo=ZONE).timestamp() * 1e9) for i, t in enumerate(at)]
+    found = ticks.session_neighbours(spark.createDataFrame(rows, "contract string, seq long, datetime_nano double")).orderBy("seq").collect()
+    wall = lambda ms: ms and (dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=ms)).strftime("%dT%H:%M")
+    assert [(wall(r["next_begin_ms"]), wall(r["last_end_ms"]), r["in_session"]) for r in found] == [
+        ("10T09:00", "11T01:00", False), ("10T10:30", "11T01:00", False), ("10T21:00", "11T01:00", False), ("10T21:00", "11T01:00", False), (None, "11T01:00", False), (None, "11T01:00", True), (None, "11T01:00", False),
+    ]
+
+
+def test_folders_of_tables(spark, tmp_path):
+    (tmp_path / "features.csv").write_text("\ufeffcontract,datetime,x\nA,2024-01-02 09:00:00,1.5\nA,bad,\n")
+    (tmp_path / "labels.csv").write_text("")
+    (tmp_path / "stage1_mvp_report.md").write_text("# report\n")
+    tables, missing = ticks.read_folder(spark, str(tmp_path), ticks.STAGE1_FILES)
+    assert len(ticks.STAGE1_FILES) == 12 and set(tables) == {"features"} and missing == [n for n in ticks.STAGE1_FILES if n not in ("features.csv", "stage1_mvp_report.md")]
+    assert [tuple(r) for r in tables["features"].collect()] == [("A", dt.datetime(2024, 1, 2, 9), 1.5), ("A", None, None)]
+    assert ticks.read_table_csv(spark, f"{tmp_path}/labels.csv") is None
+
+
 def test_shared_tables_follow_their_source(spark, tmp_path):
     at = str(tmp_path / "source")
     put = lambda n: spark.range(n).write.mode("overwrite").parquet(f"{at}/t.parquet")

@@ -254,6 +254,17 @@ def feature_checks(quality: DataFrame, correlations: DataFrame, selected: DataFr
     return q.unionByName(c).unionByName(d)
 
 
+#: Features that look one row back, so that a contract's first row has none of them; fixed values.
+ONE_ROW_BACK = ["close_to_prev_close_return", "gap_return", "delta_change_1", "poc_shift_ticks", "open_interest_change", "open_interest_change_pct"]
+
+
+def first_row_sentinel(features: DataFrame) -> DataFrame:
+    """One finding: values of ONE_ROW_BACK at the first rows of contracts, which could come from another contract only."""
+    there = [c for c in ONE_ROW_BACK if c in features.columns]
+    first = features.withColumn("_row", F.row_number().over(per_contract())).where("_row = 1")
+    return findings(first, "isolation", {"first_row_shift": ("BLOCKER", sum((F.count(c) for c in there), F.lit(0)))})
+
+
 def forbidden_columns(df: DataFrame, tokens: tuple[str, ...] = ("future", "mfe", "mae", "trade_return", "entry_open", "exit_close")) -> list[str]:
     """Columns whose names betray a look ahead."""
     return [c for c in df.columns if any(t in c.lower() for t in tokens)]

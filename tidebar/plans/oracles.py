@@ -366,6 +366,10 @@ levels AS (SELECT contract, datetime, level, sum(CASE WHEN side <> 0 THEN qty EL
 hours AS (SELECT contract, datetime, arg_min(price, {{'o': o, 'n': n}}) AS open, max(price) AS high, min(price) AS low, arg_max(price, {{'o': o, 'n': n}}) AS close, sum(qty)::BIGINT AS volume, sum(qty * side)::BIGINT AS delta FROM priced GROUP BY ALL)
 SELECT h.contract, strftime(h.datetime, '%Y-%m-%d %H:%M:%S') AS datetime, {r('open')}, {r('high')}, {r('low')}, {r('close')}, volume, {r('poc')}, delta FROM hours h JOIN pocs p ON h.contract = p.contract AND h.datetime = p.datetime""",
     "ticks_in_session": shown(RAW_TICKS, f"SELECT contract, event_id, {_MS('wall_ms', 'wall')}, {_MS('begin_ms', 'session_begin')}, strftime(day, '%Y-%m-%d') AS trading_day, {r('last_price')}, {r('lowest')}, {r('bid', 'bid_price1')}, {r('volume')} FROM inside"),
+    "ticks_between_sessions": shown(
+        f"{RAW_TICKS}, dated AS (SELECT contract, event_id, epoch_us(ts) // 1000 AS ms, epoch_ms(CASE WHEN hour(ts) < 8 THEN (ts::DATE - 1)::TIMESTAMP ELSE ts::DATE::TIMESTAMP END) AS base FROM quotes)",
+        f"SELECT contract, event_id, {_MS('(SELECT min(base + b * 1000) FROM sessions WHERE base + b * 1000 > ms)', 'next_begin')}, {_MS('base + 90000000', 'last_end')} FROM dated WHERE NOT EXISTS (FROM sessions WHERE ms - base BETWEEN b * 1000 AND e * 1000)",
+    ),
     "ticks_classified": shown(RAW_TICKS, f"SELECT contract, event_id, {r('qty')}, {r('oi_change')}, interest, way, tick_type, side::BIGINT AS side FROM sided"),
     "bars_from_ticks": tick_bars_sql(5), "bars_from_ticks_60": tick_bars_sql(60), "bars_from_ticks_7": tick_bars_sql(7),
     "price_ladder": shown(f"{TICKS}, {LADDER}", f"SELECT contract, {T}, {r('level')}, buy, sell, other FROM ladder"),
@@ -599,3 +603,4 @@ _ALL_RATES = " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE {cases_sql(side,
 ORACLES["exit_comparison"] = f"""WITH tests AS ({_TESTS}), ranks AS ({_RANKS}), may AS (SELECT side, case_id, avg_net_return, sum_net_return, win_rate, 'train_test_consistent' AS selection_source FROM ranks WHERE recommendation_status = 'train_test_consistent'
   UNION ALL SELECT side, case_id, avg_net_return, sum_net_return, win_rate, 'test_only' FROM tests WHERE avg_net_return IS NOT NULL), placed AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY selection_source DESC, {_BEST_FIRST}) AS place FROM may), rates AS ({_ALL_RATES})
 SELECT p.side, p.case_id, selection_source, trades, {r('tp', 'take_profit_rate')}, {r('sl', 'stop_loss_rate')}, {r('tb', 'time_barrier_rate')}, {r('held', 'mean_holding_bars')} FROM placed p JOIN rates x ON x.side = p.side AND x.case_id = p.case_id WHERE place = 1"""
+ORACLES["audit_first_rows"] = "SELECT 'BLOCKER' AS severity, 'isolation' AS category, 'first_row_shift' AS check_id, 'PASS' AS status, 0::BIGINT AS affected_rows"

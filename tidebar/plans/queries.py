@@ -91,6 +91,14 @@ def ticks_in_session(spark, sf):
     return shown(t.select("contract", (F.col("seq") % (1 << 33)).alias("event_id"), F.timestamp_millis("wall_ms").alias("wall"), begin.alias("session_begin"), F.col("trading_day").cast("string").alias("trading_day"), "last_price", "lowest", "bid_price1", "volume"))
 
 
+@query
+def ticks_between_sessions(spark, sf):
+    """Ticks outside sessions with the session that comes next."""
+    t = ticks.session_neighbours(_quotes(spark, sf)).where("not in_session")
+    at = lambda c: F.timestamp_millis(F.col(f"{c}_ms")).alias(c)
+    return shown(t.select("contract", (F.col("seq") % (1 << 33)).alias("event_id"), at("next_begin"), at("last_end")))
+
+
 @query
 def ticks_classified(spark, sf):
     t = bars.classified_ticks(_session_ticks(spark, sf))
@@ -659,6 +667,21 @@ def audit_head_null(spark, sf):
     return shown(audit.head_nulls(_pullback(spark, sf), {"ema60": 59, "atr20_ticks": 19, "trendline_60": 59, "volume_zscore_20": 19}))
 
 
+@query
+def audit_first_rows(spark, sf):
+    return shown(audit.first_row_sentinel(_features(spark, sf)))
+
+
+@query
+def audit_features(spark, sf):
+    """Infinite and constant features, pairs that are nearly one, groups of the ten best, and names that betray a look ahead."""
+    f, top = _features(spark, sf), _train_summary(spark, sf).where("abs_spearman_ic is not null").orderBy(F.desc("abs_spearman_ic"), "feature").limit(10)
+    groups = F.create_map(*[F.lit(x) for pair in features.GROUP_OF.items() for x in pair])
+    found = audit.feature_checks(evaluate.quality(f, EVALUATED), evaluate.correlations(f, EVALUATED), top.select("feature", groups[F.col("feature")].alias("group")), 10)
+    bad = len(audit.forbidden_columns(f))
+    return shown(found.unionByName(spark.createDataFrame([("BLOCKER", "isolation", "forbidden_columns", "FAIL" if bad else "PASS", bad)], found.schema)))
+
+
 @query
 def audit_summary(spark, sf):
     found = audit.bar_integrity(_bars(spark, sf)).unionByName(audit.head_nulls(_pullback(spark, sf), {"ema60": 59, "atr20_ticks": 19}))

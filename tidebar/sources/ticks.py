@@ -129,6 +129,49 @@ def in_session(ticks: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
     return j.withColumn("session_begin_ms", F.col("_base_ms") + F.col("begin_s") * 1000).drop("_wall", "_base_ms", "_symbol", "symbol", "begin_s", "end_s")
 
 
+def session_neighbours(ticks: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
+    """Ticks with in_session, next_begin_ms (of the first session of their trading day that begins after them, or missing) and last_end_ms (of the day's last session), as wall time.
+
+    A trading day's sessions are an array of its symbol, from a calendar of some hundred rows.
+    """
+    wall = F.from_utc_timestamp(F.timestamp_micros(F.round(F.col("datetime_nano") / 1000).cast("long")), zone)
+    t = ticks.withColumn("_wall", wall)
+    base = F.when(F.hour("_wall") < 8, F.date_sub(F.to_date("_wall"), 1)).otherwise(F.to_date("_wall"))
+    t = t.withColumn("wall_ms", F.unix_millis("_wall")).withColumn("_base", F.unix_millis(base.cast("timestamp")))
+    listed_symbols = [s.lower() for s, *_ in calendar.INSTRUMENTS]
+    symbol = symbol_of(F.col("contract"))
+    days = calendar.sessions(ticks.sparkSession).groupBy("symbol").agg(F.collect_list(F.struct("begin_s", "end_s")).alias("_sessions"))
+    j = t.withColumn("_symbol", F.when(symbol.isin(*listed_symbols), symbol).otherwise("")).join(F.broadcast(days.withColumnRenamed("symbol", "_of")), F.col("_symbol") == F.col("_of"))
+    ms = F.col("wall_ms") - F.col("_base")
+    inside = F.exists("_sessions", lambda s: ms.between(s["begin_s"] * 1000, s["end_s"] * 1000))
+    ahead = F.array_min(F.filter(F.transform("_sessions", lambda s: s["begin_s"].cast("long") * 1000), lambda b: b > ms))
+    end = F.array_max(F.transform("_sessions", lambda s: s["end_s"].cast("long") * 1000))
+    return j.select(*ticks.columns, "wall_ms", inside.alias("in_session"), (F.col("_base") + ahead).alias("next_begin_ms"), (F.col("_base") + end).alias("last_end_ms"))
+
+
+def read_table_csv(spark: SparkSession, path: str, time: str | None = "datetime") -> DataFrame | None:
+    """A CSV file with a header, numbers and times by their looks, without a byte-order mark; `time` is a timestamp, missing where it cannot be read. An empty file is None."""
+    if not any(size for _, size, _ in listed(spark, path)):
+        return None
+    raw = spark.read.option("header", True).option("inferSchema", True).option("encoding", "UTF-8").csv(path)
+    t = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
+    return t.withColumn(time, F.try_to_timestamp(F.col(time).cast("string"))) if time in t.columns else t
+
+
+def read_folder(spark: SparkSession, folder: str, expected: list[str]) -> tuple[dict[str, DataFrame], list[str]]:
+    """({name without suffix: table} of the CSV files expected in a folder, names of those that are not there or empty)."""
+    there = {p.rsplit("/", 1)[-1]: p for p, size, _ in listed(spark, folder) if size}
+    tables = {n.removesuffix(".csv"): read_table_csv(spark, there[n]) for n in expected if n in there and n.endswith(".csv")}
+    return tables, [n for n in expected if n not in there]
+
+
+#: The tables of a first-stage run.
+STAGE1_FILES = [
+    "features.csv", "labels.csv", "feature_summary.csv", "feature_quintiles.csv", "monthly_ic.csv", "selected_features.csv", "trades_mvp.csv", "strategy_summary.csv", "equity_curve.csv", "trade_overlap_check.csv",
+    "stage1_mvp_report.md", "stage1_mvp_report_zh.md",
+]
+
+
 def read_bar_csv(spark: SparkSession, paths: str | list[str], contracts: list[str] | None = None, start: str | None = None) -> DataFrame:
     """Bar files as one table: contract from the file name, time parsed, numbers coerced; rows without a time are left out."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(paths)
