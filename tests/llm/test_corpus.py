@@ -214,15 +214,26 @@ def test_signatures_estimate_probability_jaccard():
     assert abs((sig[0] == sig[1]).mean() - exact) < 4 * math.sqrt(exact / 4096)
 
 
-def test_weighted_slots_stand_beside_equal_ones():
-    texts = [prose(1, 200), prose(1, 200) + " " + " ".join([prose(9, 6)] * 50), None, prose(2, 3)]
-    hashes, counts = minhash.word_hashes(texts)
-    owner, values, times = minhash.shingles(hashes, counts)
-    bands = minhash.text_bands(owner, values, times, len(texts))
-    assert bands.shape == (4, minhash.BANDS + minhash.WEIGHTED) and len(set(bands[0].tolist())) == bands.shape[1]
-    same = (bands[0] == bands[1])[: minhash.BANDS].sum()
-    ones = minhash.text_bands(owner, values, np.ones(len(values)), len(texts))
-    assert same > 15 and (ones[:, : minhash.BANDS] == bands[:, : minhash.BANDS]).all() and (ones[1] != bands[1])[minhash.BANDS :].any()
+def test_weights_of_shingles_are_those_of_their_words():
+    texts = ["aa bb cc dd eeee aa bb cc dd eeee aa", None, "ü x", ". ", "one two three four five six"]
+    owner, values, weight = minhash.shingles(*minhash.word_hashes(texts))
+    assert np.bincount(owner, minlength=5).tolist() == [5, 0, 1, 0, 2] and sorted(weight.tolist()) == [3, 12, 12, 12, 12, 12, 19, 19]
+    alone = [minhash.shingles(*minhash.word_hashes([t])) for t in texts]
+    assert np.concatenate([v for _, v, _ in alone]).tolist() == values.tolist() and np.concatenate([w for *_, w in alone]).tolist() == weight.tolist()
+
+
+def test_recall_of_bands_over_all_links():
+    """Of all linked pairs among edited texts, those that share a band: at least 99 %."""
+    r, texts = random.Random(8), []
+    for i in range(150):
+        base = prose(7000 + i, r.randint(8, 150))
+        texts += [base, edited(base, i, 1), edited(base, i + 500, 2), base + " " + " ".join([prose(9000 + i, 6)] * r.randint(0, 40))]
+    owner, values, weight = minhash.shingles(*minhash.word_hashes(texts))
+    bands = minhash.band_hashes(minhash.prob_minhash(owner, values, weight, len(texts)))
+    sets = [set(values[owner == i].tolist()) for i in range(len(texts))]
+    links = [(i, j) for k in range(0, len(texts), 4) for i in range(k, k + 4) for j in range(i + 1, k + 4) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = sum(bool((bands[i] == bands[j]).any()) for i, j in links)
+    assert len(links) > 200 and found >= 0.99 * len(links), (found, len(links))
 
 
 @pytest.mark.parametrize("strip", [1, 2, 50])
@@ -507,4 +518,4 @@ def test_long_texts_in_slices_have_the_same_features_and_hashes(monkeypatch):
     monkeypatch.setattr(minhash, "SLICE", 29)
     assert [quality.features(t) for t in texts] == whole
     again = minhash.word_hashes(texts)
-    assert (hashes[0] == again[0]).all() and (hashes[1] == again[1]).all()
+    assert all((a == b).all() for a, b in zip(hashes, again, strict=True))

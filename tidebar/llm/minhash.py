@@ -1,11 +1,10 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and verification.
 
 Shingles are five consecutive words (as in decontamination: A-Z lower-cased, runs of letters and digits); a text of one to four words is one shingle of all its
-words. Each shingle is a Poisson process whose rate is its weight, 1 + ln(count): its arrivals, made from its hash alone, fall on signature
-slots, and a slot keeps the shingle that arrives first. A text's processes stop once they are behind the latest first arrival (early
-termination). Two texts agree on a slot with the probability Jaccard similarity of their weighted shingles. A signature has two parts: 30 slots by those weights,
-banded by 6, and 125 slots in which each distinct shingle counts once, so that their agreement is the Jaccard similarity of the sets, which links are verified by: weights of
-counts alone would lower it where copies repeat a passage a different number of times, and raise it where they share what they repeat.
+words. Each distinct shingle is a Poisson process whose rate is its weight, 1 + ln(bytes of its words): long words tell more than short ones. Its arrivals, made from
+its hash alone, fall on signature slots, and a slot keeps the shingle that arrives first. A text's processes stop once they are behind the latest first arrival (early
+termination). Two texts agree on a slot with the probability Jaccard similarity of their weighted shingles. A shingle weighs the same in every text, however often it is there, so this stays near
+the Jaccard similarity of the sets, which links are verified by; weights of counts would lower it where copies repeat a passage a different number of times.
 
 Texts with the same words are one class from the start (an aggregate, whatever its size). Class representatives that share a band of slots are
 candidates, and a pair is linked if the exact Jaccard similarity of the two shingle sets is 0.8 or more. Candidates are tried in rounds, so that a
@@ -17,7 +16,7 @@ largest component is the same, so no link between texts that share a band is los
 Results: texts without words (null, empty, marks only) link with nothing. Rows that share an id belong to one group. Rows without an id are kept
 and have no group. The kept row of a group is that with the least id. Ties between partners go to the least id.
 
-Whole texts never move: signatures (250 bytes) do, and the shingle hashes of candidates only. Candidates are found again in the table through
+Whole texts never move: signatures (200 bytes) do, and the shingle hashes of candidates only. Candidates are found again in the table through
 a Bloom filter of bounded size, which lets a few others through.
 """
 
@@ -38,8 +37,6 @@ from .decontaminate import _NORMAL
 
 WIDTH, BANDS, ROWS = 5, 25, 5
 SLOTS = BANDS * ROWS
-#: Bands of the slots by weights of counts, beside those in which each shingle counts once.
-WEIGHTED = 6
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _POWERS = np.cumprod(np.full(256, 0x9E3779B97F4A7C15, _U)) | _U(1)
@@ -51,66 +48,67 @@ _PLACES = _rng.integers(1, 1 << 63, max(WIDTH, ROWS), dtype=_U) | _U(1)
 SLICE = 1 << 22
 
 
-def _hashed(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each word begins, its hash) of bytes with 32 between words and at the end."""
+def _hashed(line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each word begins, its hash, its bytes) of bytes with 32 between words and at the end."""
     inside = line != 32
     edge = np.diff(inside.astype(np.int8), prepend=0)
     starts = np.flatnonzero(edge == 1)
     if not len(starts):
-        return starts, np.zeros(0, _U)
+        return starts, np.zeros(0, _U), starts
     sizes = np.flatnonzero(edge == -1) - starts
     letters = line[inside]
     first = np.cumsum(sizes) - sizes
     place = np.arange(len(letters)) - np.repeat(first, sizes)
     hashes = np.add.reduceat(_BYTES[letters] * _POWERS[place & 255] + (place >> 8).astype(_U), first)
-    return starts, _mix(hashes + sizes.astype(_U))
+    return starts, _mix(hashes + sizes.astype(_U)), sizes
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts, number of words of each text), from the texts' bytes at once."""
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word of all texts, number of words of each text, bytes of each word), from the texts' bytes at once."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     whole = (b"\n".join(raw) + b"\n").translate(_NORMAL)
-    line, starts, hashes, at = np.frombuffer(whole, np.uint8), [], [], 0
+    line, starts, hashes, sizes, at = np.frombuffer(whole, np.uint8), [], [], [], 0
     while at < len(whole):
         end = whole.find(b" ", at + SLICE) + 1 if len(whole) - at > SLICE else len(whole)
         end = end or len(whole)
-        first, found = _hashed(line[at:end])
+        first, found, size = _hashed(line[at:end])
         starts.append(first + at)
         hashes.append(found)
+        sizes.append(size)
         at = end
     bounds = np.cumsum([len(r) + 1 for r in raw])
     counts = np.diff(np.searchsorted(np.concatenate(starts), bounds), prepend=0)
-    return np.concatenate(hashes), counts
+    return np.concatenate(hashes), counts, np.concatenate(sizes)
 
 
-def shingles(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, distinct shingle, count), sorted by text and shingle."""
+def shingles(hashes: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, distinct shingle, bytes of its words), sorted by text and shingle."""
     doc = np.repeat(np.arange(len(counts)), counts)
+    ends = np.cumsum(counts)
+    bytes_to = np.concatenate([[0], np.cumsum(sizes)])
     if len(hashes) >= WIDTH:
         n = len(hashes) - WIDTH + 1
         values = sum((hashes[k : k + n] * _PLACES[k] for k in range(1, WIDTH)), hashes[:n] * _PLACES[0])
         whole = doc[:n] == doc[WIDTH - 1 :]
-        owner, values = doc[:n][whole], _mix(values[whole])
+        owner, values, size = doc[:n][whole], _mix(values[whole]), (bytes_to[WIDTH:] - bytes_to[:-WIDTH])[whole]
     else:
-        owner, values = np.zeros(0, np.int64), np.zeros(0, _U)
-    ends = np.cumsum(counts)
+        owner, values, size = np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     short = np.flatnonzero((counts > 0) & (counts < WIDTH))
     if len(short):
         own = [_mix(np.array([(hashes[ends[i] - counts[i] : ends[i]] * _PLACES[: counts[i]]).sum() + _U(counts[i])], _U))[0] for i in short]
-        owner, values = np.concatenate([owner, short]), np.concatenate([values, np.array(own, _U)])
+        owner, values, size = np.concatenate([owner, short]), np.concatenate([values, np.array(own, _U)]), np.concatenate([size, bytes_to[ends[short]] - bytes_to[ends[short] - counts[short]]])
     order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
+    owner, values, size = owner[order], values[order], size[order]
     new = np.ones(len(values), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
-    at = np.flatnonzero(new)
-    return owner[at], values[at], np.diff(at, append=len(values))
+    return owner[new], values[new], size[new]
 
 
-def prob_minhash(owner: np.ndarray, values: np.ndarray, counts: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
-    """texts x slots: the shingle that arrives first at each slot (0 where a text has no shingle)."""
+def prob_minhash(owner: np.ndarray, values: np.ndarray, sizes: np.ndarray, texts: int, slots: int = SLOTS) -> np.ndarray:
+    """texts x slots: the shingle that arrives first at each slot (0 where a text has no shingle), at rates 1 + ln(size)."""
     first = np.full(texts * slots, np.inf)
     winner = np.zeros(texts * slots, _U)
-    rate = 1 + np.log(counts)
+    rate = 1 + np.log(sizes)
     time = np.zeros(len(values))
     step = 0
     while len(values):
@@ -128,18 +126,9 @@ def prob_minhash(owner: np.ndarray, values: np.ndarray, counts: np.ndarray, text
     return winner.reshape(texts, slots)
 
 
-def band_hashes(signature: np.ndarray, first: int = 0) -> np.ndarray:
-    """A hash of each ROWS slots in a row; bands are numbered from `first`, so that no two bands of a text are one."""
-    bands = signature.shape[1] // ROWS
-    cut = signature[:, : bands * ROWS].reshape(len(signature), bands, ROWS)
-    return _mix((cut * _PLACES[:ROWS]).sum(2, dtype=_U) + np.arange(first, first + bands, dtype=_U))
-
-
-def text_bands(owner: np.ndarray, values: np.ndarray, counts: np.ndarray, texts: int) -> np.ndarray:
-    """texts x (BANDS + WEIGHTED): the bands of slots that count each shingle once, and of those that weigh it by its count."""
-    once = band_hashes(prob_minhash(owner, values, np.ones(len(values)), texts))
-    weighed = band_hashes(prob_minhash(owner, values, counts, texts, WEIGHTED * ROWS), BANDS)
-    return np.concatenate([once, weighed], axis=1)
+def band_hashes(signature: np.ndarray) -> np.ndarray:
+    cut = signature[:, :SLOTS].reshape(len(signature), BANDS, ROWS)
+    return _mix((cut * _PLACES[:ROWS]).sum(2, dtype=_U) + np.arange(BANDS, dtype=_U))
 
 
 def _groups(texts: list, most_chars: int = 400_000) -> Iterator[tuple[int, int]]:
@@ -160,13 +149,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
             for i, j in _groups(texts):
-                hashes, counts = word_hashes(texts[i:j])
-                owner, values, times = shingles(hashes, counts)
-                bands = text_bands(owner, values, times, j - i).astype(np.int64)
+                hashes, counts, sizes = word_hashes(texts[i:j])
+                owner, values, weight = shingles(hashes, counts, sizes)
+                bands = band_hashes(prob_minhash(owner, values, weight, j - i)).astype(np.int64)
                 ends = np.cumsum(counts)
                 has = np.flatnonzero(counts)
                 copies = [xxhash.xxh3_128_digest(hashes[ends[k] - counts[k] : ends[k]].tobytes()) for k in has.tolist()]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * (BANDS + WEIGHTED)), pa.array(bands[has].ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * BANDS), pa.array(bands[has].ravel()))
                 n = np.bincount(owner, minlength=j - i)[has]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).take(pa.array(has)), pa.array(copies, pa.binary()), pa.array(n, pa.int64()), flat], ["id", "copy", "n", "bands"])
 
