@@ -185,7 +185,7 @@ def pullback(bars: DataFrame, cfg: Settings = Settings(), pack: dict[str, DataFr
     ready = F.col("trade_ready")
     trades = _kept(simulate.named_barrier_trades(data, {n: F.col(f"{n}_pass") & ready for n in features.COMBOS}, split, "long", **options), "pullback-trades")
     room = F.col("trend_pullback_kline_flow_pass") & ready & (F.col("previous_swing_high_20") > F.col("close")) & F.col("stop_distance_ticks_signal").between(2.0, 30.0)
-    ratios = simulate.named_barrier_trades(data, {str(x): room & (F.col("reward_to_risk_proxy") >= x) for x in (1.0, 1.5, 2.0)}, split, "long", **options)
+    ratios = _kept(simulate.named_barrier_trades(data, {str(x): room & (F.col("reward_to_risk_proxy") >= x) for x in (1.0, 1.5, 2.0)}, split, "long", **options), "pullback-ratios")
     summary = _kept(metrics.sample_confidence(metrics.strategy_metrics(metrics.with_all(trades), ["combo_name", "split"])), "pullback-summary")
     monthly = metrics.monthly(trades, ["combo_name", "split"])
     names = list(features.COMBOS)

@@ -513,7 +513,8 @@ RATIOS = (1.0, 1.5, 2.0)
 def reward_risk_sensitivity(spark, sf):
     """Confirmed flow with room to the last swing, re-simulated with other least ratios of reward to risk (of flow alone, as these bars leave no row of all filters)."""
     base = F.col("flow_confirm_pass") & F.col("trade_ready") & (F.col("previous_swing_high_20") > F.col("close")) & F.col("stop_distance_ticks_signal").between(2.0, 30.0)
-    t = simulate.named_barrier_trades(_pullback(spark, sf), {str(r): base & (F.col("reward_to_risk_proxy") >= r) for r in RATIOS}, _split(spark, sf), "long", cost=COST)
+    new = lambda: simulate.named_barrier_trades(_pullback(spark, sf), {str(r): base & (F.col("reward_to_risk_proxy") >= r) for r in RATIOS}, _split(spark, sf), "long", cost=COST)
+    t = shared_table(spark, sf, "ratio_trades", new)  # metrics read it several times
     m = metrics.strategy_metrics(metrics.with_all(t), ["combo_name", "split"])
     return shown(m.select(F.col("combo_name").cast("double").alias("reward_to_risk_threshold"), "split", "trade_count", "win_rate", "avg_net_return", "sum_net_return", "max_drawdown"))
 
